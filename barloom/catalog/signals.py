@@ -210,7 +210,7 @@ out AS (SELECT series_id, date, w * e AS w FROM w0 JOIN ex USING (date) WHERE w
 sig("g24_inverse_vol_basket", "inverse_vol_basket", f"""{MB}, t AS (SELECT *, {VOL13} AS vol FROM px WHERE {basket_cond('T1')}),
 out AS (SELECT series_id, date, (1 / vol) / sum(1 / vol) OVER (PARTITION BY date) AS w FROM t WHERE mask AND me_stamp AND vol > 0)""", ("members",), basket="T1", window=13)
 BETA = lambda n, minp: f"((CASE WHEN count(ret * ix_ret) {W(n)} >= {minp} THEN covar_samp(ret, ix_ret) {W(n)} END) / nullif({roll('var_samp', 'ix_ret', n, minp)}, 0))"
-sig("g26_residual_momentum", "residual_momentum", f"""{MK}, t0 AS (SELECT px.*, ix_ret FROM px JOIN ix USING (date)), t1 AS (SELECT *, ret - {BETA(52, 52)} * ix_ret AS resid FROM t0),
+sig("g26_residual_momentum", "residual_momentum", f"""{MK}, t0 AS (SELECT px.*, ix_ret FROM px JOIN ix USING (date) WHERE series_id <> '{IX}'), t1 AS (SELECT *, ret - {BETA(52, 52)} * ix_ret AS resid FROM t0),
 t AS (SELECT *, ({roll('sum', 'resid', 22, None, 4)}) / nullif({roll('stddev_samp', 'resid', 26)}, 0) AS sc FROM t1), {topn('sc', 8, 'me', 'score > 0', src='t')}""", lookback=26, skip=4, beta_window=52)
 MH = f"""t0 AS (SELECT *, {mom(13, 4)} AS a, {mom(26, 4)} AS b, {mom(52, 4)} AS c, {VOL13} AS vol FROM px),
 t AS (SELECT *, {Z('a')} + {Z('b')} + {Z('c')} AS z FROM t0 WHERE mask AND me_stamp)"""
@@ -270,7 +270,18 @@ h AS (SELECT *, {latch('coalesce(share >= qh, FALSE) AND up AND mask', 'coalesce
     ("short",), lookback=52, q=0.8, trend=20, exit_q=0.5, min_history=26)
 sig("g52_hedged_signal", "hedged_signal", f"""{MK}, {RSNH}, w00 AS (SELECT series_id, date, 1e0 / count(*) OVER (PARTITION BY date) AS w FROM h WHERE held AND mask),
 w0 AS (SELECT * FROM w00 WHERE series_id <> '{IX}'), {own_return()},
-ee AS (SELECT c.date, coalesce(least(sum(abs(w)), 1e0), 0e0) AS e0 FROM cal c LEFT JOIN w0 USING (date) GROUP BY 1),
+ee AS (SELECT c.date, least(coalesce(sum(abs(w)), 0e0), 1e0) AS e0 FROM cal c LEFT JOIN w0 USING (date) GROUP BY 1),
 o2 AS (SELECT date, g / nullif(lag(e0) OVER (ORDER BY date), 0) AS inv, e0 FROM own JOIN ee USING (date)), {HEDGE('inv', 'e0', 13).format(src='o2')},
 out AS (SELECT * FROM w0 UNION ALL SELECT * FROM leg)""", book="relative_new_high", window=26, entry_window=13, exit_window=5, trend=40)
+BSK = f"{MB}, bk AS (SELECT * FROM px WHERE {basket_cond('T1')})"
+sig("g32_equal_risk", "equal_risk", None, ("members",), basket="T1", window=26)
+# Pairwise-complete correlations of the trailing window, every pair of live names joined on the row position.
+sig("g33_min_correlation", "min_correlation", f"""{MK}, st AS (SELECT date AS stamp, pos AS sp FROM cal WHERE qe_stamp),
+wn AS (SELECT stamp, px.series_id, px.pos, px.ret FROM st JOIN px ON px.pos BETWEEN sp - 51 AND sp AND px.ret IS NOT NULL
+ SEMI JOIN (SELECT series_id, date FROM px WHERE mask) lv ON lv.series_id = px.series_id AND lv.date = st.stamp),
+en AS (SELECT * FROM wn QUALIFY count(*) OVER (PARTITION BY stamp, series_id) >= 26),
+pc AS (SELECT a.stamp, a.series_id AS a, b.series_id AS b, corr(a.ret, b.ret) AS c FROM en a JOIN en b ON a.stamp = b.stamp AND a.pos = b.pos AND a.series_id <> b.series_id GROUP BY 1, 2, 3),
+av AS (SELECT stamp, a, sum(c) / count(*) AS m FROM pc GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY stamp ORDER BY m, a) AS rn FROM av),
+pk AS (SELECT a AS series_id, stamp AS date, 1e0 / count(*) OVER (PARTITION BY stamp) AS w FROM rk WHERE rn <= 10),
+{equal('px', 'qe', 'date NOT IN (SELECT date FROM pk)', 'rest')}, out AS (SELECT * FROM pk UNION ALL SELECT * FROM rest)""", window=52)
 sig("g53_golden_cross", "golden_cross", f"{MK}, t AS (SELECT *, {sma(10)} > {sma(40)} AS x FROM px), {equal('t', 'me', 'x')}", fast=10, slow=40)

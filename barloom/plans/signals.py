@@ -391,11 +391,14 @@ def trend_plus_vol_target(m: Market, basket: str, target: float, window: int, tr
 @signal
 def drawdown_derisk(m: Market, basket: str, start: float = -0.10, full: float = -0.30, freq: str = "wf") -> DataFrame:
     w = _masked_equal(m.basket(basket))
-    p = _own_return(m, w).withColumn("_eq", R.growth_path("gross", **BY_DATE))
-    dd = F.try_divide("_eq", F.max("_eq").over(R.over(**BY_DATE))) - 1
-    p = p.withColumn("_dd", dd)
-    ex = p.select("date", F.least(F.greatest((F.col("_dd") - full) / (start - full), F.lit(0.0)), F.lit(1.0)).alias("exposure"))
-    return _overlay(m, w, ex, freq, rest_of_exposure=True)
+    return _overlay(m, w, drawdown_exposure(m, w, start, full), freq, rest_of_exposure=True)
+
+
+def drawdown_exposure(m: Market, weights: DataFrame, start: float, full: float) -> DataFrame:
+    """Exposure falling from one to zero as the weights' own drawdown deepens from ``start`` to ``full``."""
+    p = _own_return(m, weights).withColumn("_eq", R.growth_path("gross", **BY_DATE))
+    p = p.withColumn("_dd", F.try_divide("_eq", F.max("_eq").over(R.over(**BY_DATE))) - 1)
+    return p.select("date", F.least(F.greatest((F.col("_dd") - full) / (start - full), F.lit(0.0)), F.lit(1.0)).alias("exposure"))
 
 
 @signal
@@ -407,7 +410,7 @@ def inverse_vol_basket(m: Market, basket: str, window: int, freq: str = "me") ->
 # ------------------------------------------------------------------ factors
 @signal
 def residual_momentum(m: Market, lookback: int, skip: int, beta_window: int, n: int = 8, freq: str = "me") -> DataFrame:
-    x = m.with_index(m.panel).withColumn("beta", R.rolling_beta("ret", "ix_ret", beta_window))
+    x = m.with_index(m.panel.where(F.col("series_id") != m.index)).withColumn("beta", R.rolling_beta("ret", "ix_ret", beta_window))
     x = x.withColumn("resid", F.col("ret") - F.col("beta") * F.col("ix_ret"))
     x = x.withColumns({"_s": R.rolling(F.sum, "resid", lookback - skip, shift=skip), "_v": R.std("resid", lookback)})
     return _pick(m, x, F.try_divide("_s", "_v"), n, freq)
