@@ -40,12 +40,12 @@ def shape(df: DataFrame, spec: str, digits: int = 6) -> DataFrame:
 def shape_sql(ctes: str, spec: str, digits: int = 6, final: str = "out") -> str:
     cols = []
     for name, kind in parse(spec):
-        c = f"CAST({name} AS {_SQL[kind]})"
+        c = f'CAST("{name}" AS {_SQL[kind]})'
         if kind == "f":
             c = f"round({c}, {digits}) + 0.0e0"
         elif kind == "p":
             c = f"round({c} + {LEVEL_SHIFT!r}, 4)"
-        cols.append(f"{c} AS {name}")
+        cols.append(f'{c} AS "{name}"')
     return f"WITH RECURSIVE {ctes} SELECT {', '.join(cols)} FROM {final}"
 
 

@@ -121,14 +121,14 @@ def b8(spark, d):
     return B.capacity(c, ["strategy"])
 
 
-@query("study_momentum_net", "scenario:s n_days:i total_return:f cagr:f ann_vol:f sharpe:f max_drawdown:f turnover:f costs:f", f"""{W5}, {sql_net([1e5]).replace('{join}', '')},
+@query("study_momentum_net", "scenario:s n_days:i log_growth:f cagr:f ann_vol:f sharpe:f max_drawdown:f turnover:f costs:f", f"""{W5}, {sql_net([1e5]).replace('{join}', '')},
 eq AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY scenario ORDER BY date)) AS e FROM net), dd AS (SELECT *, e / max(e) OVER (PARTITION BY scenario ORDER BY date) - 1 AS drawdown FROM eq),
-out AS (SELECT scenario, count(*) AS n_days, product(1 + ret) - 1 AS total_return, {CAGR} AS cagr, stddev_samp(ret) * sqrt(252e0) AS ann_vol, {SHARPE} AS sharpe, min(drawdown) AS max_drawdown,
+out AS (SELECT scenario, count(*) AS n_days, ln(product(1 + ret)) AS log_growth, {CAGR} AS cagr, stddev_samp(ret) * sqrt(252e0) AS ann_vol, {SHARPE} AS sharpe, min(drawdown) AS max_drawdown,
  avg(turnover) * 252 AS turnover, sum(cost) AS costs FROM dd GROUP BY 1)""")
 def study(spark, d):
     m, w = top5(spark, d)
     c = M.drawdowns(B.net_curves(w, m.panel, m.cal, "me", capitals=[1e5]), ["scenario"])
-    return c.groupBy("scenario").agg(F.count("*").alias("n_days"), S.total_return("ret").alias("total_return"), S.cagr("ret").alias("cagr"), S.ann_vol("ret").alias("ann_vol"),
+    return c.groupBy("scenario").agg(F.count("*").alias("n_days"), F.ln(S.compound("ret")).alias("log_growth"), S.cagr("ret").alias("cagr"), S.ann_vol("ret").alias("ann_vol"),
                                      S.sharpe("ret").alias("sharpe"), M.max_drawdown().alias("max_drawdown"), (F.avg("turnover") * 252).alias("turnover"), F.sum("cost").alias("costs"))
 
 
