@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["panel", "windows", "signals", "joins", "xsection", "returns", "metrics", "evidence"]
+MODULES = ["panel", "windows", "signals", "joins", "xsection", "returns", "metrics", "evidence", "quality", "storage", "misc"]
 
 
 def load():

@@ -9,6 +9,7 @@ from ..operators import ranking as RK
 from ..operators import resample as V
 from ..plans import study
 from ..plans.lab import family_independence
+from ..session import materialize
 from ..sources import curves as C
 from .base import query
 from .metrics import ID, SQL_BN, SQL_CORR, SQL_CURVES, SQL_MONTHLY, SQL_PER, curves, monthly, sql_dd
@@ -145,7 +146,7 @@ RG = f"{SQL_CURVES}, {SQL_REG}"
 
 
 def registry(spark, d):
-    return C.registry(spark, d)
+    return materialize(C.registry(spark, d), "registry")
 
 
 @query("r1_current_cohort", "strategy:s scenario:s family:s", f"{RG}, out AS (SELECT strategy, scenario, family FROM reg WHERE uh = 'u2' AND NOT failed)")

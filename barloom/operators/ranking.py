@@ -54,7 +54,7 @@ def _std(arr: Column) -> Column:
     return F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.nullif(F.size(arr) - 1, F.lit(0)))
 
 
-def score(records: DataFrame) -> DataFrame:
+def score(records: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Composite score of each record.
 
     Rewards holdout and development Sharpe, Calmar, stability over sub-periods and confidence; charges degradation, turnover,
@@ -80,7 +80,7 @@ def score(records: DataFrame) -> DataFrame:
     return r.select("strategy", "family", rd(total, 3).alias("score"), rd("_ds", 2).alias("dev_sharpe"), rd("_hs", 2).alias("holdout_sharpe"),
                     rd(safe("metrics_dev.cagr", 0.0), 4).alias("dev_cagr"), rd(safe("metrics_holdout.cagr", 0.0), 4).alias("holdout_cagr"), rd("_dd", 3).alias("max_drawdown"),
                     rd("_cal", 2).alias("calmar"), rd("_psr", 3).alias("psr"), rd("_to", 2).alias("annual_turnover"), rd("_top", 2).alias("top_name_share"),
-                    rd("_stab", 2).alias("stability"), rd("_deg", 2).alias("degradation"), F.col("_fails").alias("fails_early"))
+                    rd("_stab", 2).alias("stability"), rd("_deg", 2).alias("degradation"), F.col("_fails").alias("fails_early"), *carry)
 
 
 def rank(registry: DataFrame, scenario: str = "base") -> DataFrame:
@@ -89,12 +89,12 @@ def rank(registry: DataFrame, scenario: str = "base") -> DataFrame:
     Mixed data modes are refused at run time. A strategy that keeps under a quarter of its Sharpe under stressed costs loses a
     point; verdicts compare with the best diversified benchmark.
     """
-    one_mode = registry.agg(F.expr("assert_true(count(distinct data_mode) <= 1, 'records of several data modes cannot be ranked together')").alias("_ok"),
-                            F.count("*").alias("_n")).select(F.coalesce(F.col("_ok").cast("string"), F.lit("")).alias("_ok"))
+    one_mode = registry.agg(F.expr("assert_true(count(distinct data_mode) <= 1, 'records of several data modes cannot be ranked together')").alias("_ok"))
+    one_mode = one_mode.select(F.coalesce(F.col("_ok").cast("string"), F.lit("")).alias("_ok")).where("_ok = ''")
     ok = current_cohort(registry.where("status = 'ok'"))
-    s = score(ok.where(F.col("scenario") == scenario)).join(F.broadcast(one_mode)).drop("_ok")
-    stressed = ok.where("scenario = 'stressed'").groupBy("strategy").agg(F.max_by(safe("metrics_dev.sharpe", 0.0), "timestamp").alias("stressed_sharpe"))
-    s = s.join(stressed, "strategy", "left")
+    worst = F.max_by(F.when(F.col("scenario") == "stressed", safe("metrics_dev.sharpe", 0.0)), F.when(F.col("scenario") == "stressed", F.col("timestamp")))
+    ok = ok.withColumn("stressed_sharpe", worst.over(Window.partitionBy("strategy")))
+    s = score(ok.where(F.col("scenario") == scenario), ["stressed_sharpe"]).join(F.broadcast(one_mode)).drop("_ok")
     s = s.withColumn("cost_fragile", F.coalesce((F.col("dev_sharpe") > 0.5) & (F.col("stressed_sharpe") < 0.25 * F.col("dev_sharpe")), F.lit(False)))
     s = s.withColumn("score", F.round(F.col("score") - F.when(F.col("cost_fragile"), 1.0).otherwise(0.0), 3))
     return verdicts(s)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str = "local[*]", app: str = "barloom", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,3 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
 def workspace(spark: SparkSession, tag: str) -> str:
     """A fresh sub-folder of :func:`shared_dir` for one job's written tables."""
     return f"{shared_dir(spark).rstrip('/')}/barloom-{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write a derived table to the shared folder and read it back: later uses scan it instead of recomputing it."""
+    path = workspace(df.sparkSession, tag)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
