@@ -12,7 +12,8 @@ from ..plans.lab import family_independence
 from ..session import materialize
 from ..sources import curves as C
 from .base import query
-from .metrics import ID, SQL_BN, SQL_CORR, SQL_CURVES, SQL_MONTHLY, SQL_PER, curves, monthly, sql_dd
+from .metrics import ID, SQL_CORR, SQL_CURVES, SQL_MONTHLY, SQL_PER, sql_dd
+from .metrics import stored_curves as curves
 from .returns import CAGR, SHARPE
 
 G1 = "CASE WHEN count(ret) > 2 THEN skewness(ret) * (count(ret) - 2) / sqrt(count(ret) * (count(ret) - 1e0)) END"
@@ -98,7 +99,7 @@ MOM = f"count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, {G1} AS g3, kurt
 
 @query("v5_probabilistic_sharpe", "strategy:s n:i psr:f", f"{SQL_CURVES}, q AS (SELECT strategy, {MOM} FROM cv GROUP BY 1), out AS (SELECT strategy, n, {probabilistic_sharpe_sql('n', 'm', 'sd', 'g3', 'g4', '0.3e0')} AS psr FROM q)")
 def v5(spark, d):
-    return M.probabilistic_sharpe(curves(spark, d), ID, bench_ann="0.3e0")
+    return M.probabilistic_sharpe(curves(spark, d), ID, bench_ann=0.3)
 
 
 SQL_TR = f"tr AS (SELECT family, strategy, {SHARPE} AS sharpe, count(*) AS n_days FROM cv GROUP BY 1, 2)"
@@ -145,6 +146,10 @@ reg AS (SELECT * FROM rn UNION ALL SELECT * REPLACE (ts - INTERVAL 40 DAY AS ts,
 RG = f"{SQL_CURVES}, {SQL_REG}"
 
 
+def monthly(spark, d):
+    return M.resample_compound(curves(spark, d), ID, "me")
+
+
 def registry(spark, d):
     return materialize(C.registry(spark, d), "registry")
 

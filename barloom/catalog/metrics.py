@@ -9,6 +9,7 @@ from ..operators import gram
 from ..operators import metrics as M
 from ..operators import returns as B
 from ..operators.panel import period_key
+from ..session import materialize
 from ..sources import curves as C
 from ..sources import tables as T
 from .base import WK, W, lagx, query, roll, sql_panel
@@ -31,6 +32,11 @@ def curves(spark, d):
     return C.strategy_curves(spark, d)
 
 
+def stored_curves(spark, d):
+    """The curves as a written table, for plans that read them more than once."""
+    return materialize(C.strategy_curves(spark, d), "curves")
+
+
 def sql_dd(src: str, ids: str, name: str = "dd") -> str:
     return f"""{name}_e AS (SELECT *, exp(sum(ln(1 + ret)) OVER (PARTITION BY {ids} ORDER BY date)) AS equity, row_number() OVER (PARTITION BY {ids} ORDER BY date) AS rn FROM {src}),
 {name}_d AS (SELECT *, equity / max(equity) OVER (PARTITION BY {ids} ORDER BY date) - 1 AS drawdown FROM {name}_e),
@@ -233,7 +239,7 @@ bl AS (SELECT blend, date, v / coalesce(lag(v) OVER (PARTITION BY blend, date_tr
 
 @query("b10_blend", "blend:s date:d ret:f", f"{SQL_CURVES}, mem AS (SELECT family AS blend, strategy, (line + 1e0) / sum(line + 1e0) OVER (PARTITION BY family) AS wt FROM (SELECT DISTINCT family, strategy, line FROM cv)), {SQL_BLEND}, out AS (SELECT * FROM bl)")
 def b10(spark, d):
-    c = curves(spark, d)
+    c = stored_curves(spark, d)
     mem = c.select(F.col("family").alias("blend"), "strategy", (F.col("line") + 1.0).alias("weight")).distinct()
     return B.blend(c, mem)
 
@@ -247,4 +253,4 @@ out AS (SELECT a, b, cr.c AS corr_monthly, sa AS sharpe_a, sb AS sharpe_b, bs.s
 def b11(spark, d):
     from ..plans.lab import blend_report
 
-    return blend_report(curves(spark, d), 6)
+    return blend_report(stored_curves(spark, d), 6)

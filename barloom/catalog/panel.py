@@ -25,9 +25,9 @@ def sql_mask(src: str = "panel", name: str = "mask") -> str:
     return SQL_MASK_T.format(name=name, src=src, all=W(None), liquid=roll("median", "dollar_volume", 13, 5), price=roll("min", "close", 5, 1))
 
 
-def masked_panel(spark, sf_dir, series="brand"):
+def masked_panel(spark, sf_dir, series="brand", stored=False):
     """Weekly panel with returns and the investability mask (26-week seasoning, 13-week liquidity, 5-week price floor)."""
-    panel, cal = T.market_panel(spark, sf_dir, "w", series)
+    panel, cal = T.market_panel(spark, sf_dir, "w", series, stored)
     panel = P.investable(panel, seasoning=26, dv_window=13, dv_min=5, dv_floor=5e4, price_window=5, price_floor=100.0)
     return panel.withColumn("ret", R.pct_change("adj_close")), cal
 

@@ -69,7 +69,7 @@ def equal(src: str, stamp: str, cond: str = "TRUE", name: str = "out") -> str:
 
 
 def market(spark, d, *extra: str) -> Market:
-    panel, cal = masked_panel(spark, d)
+    panel, cal = masked_panel(spark, d, stored=True)
     m = Market(panel, cal, fallback=FB, index=IX)
     makers = {"members": T.members, "macro": T.macro, "filings": T.fundamentals, "short": T.short_volume}
     for e in extra:

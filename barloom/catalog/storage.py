@@ -208,20 +208,20 @@ def s21(spark, d):
 
 # ------------------------------------------------------------------ filings from company-facts payloads
 SQL_FACTS = """qf AS (SELECT series_id AS cik, CAST(substr(series_id, 7) AS INTEGER) AS no, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS st, CAST(last_day(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH) AS DATE) AS en,
- round(sum(l_extendedprice), 2) AS rev, round(sum(l_extendedprice * l_discount), 2) AS cash, sum(l_quantity) AS shr FROM lines GROUP BY ALL),
+ sum(l_extendedprice) AS rev, sum(l_extendedprice * l_discount) AS cash, sum(l_quantity) AS shr FROM lines GROUP BY ALL),
 yt AS (SELECT *, sum(cash) OVER (PARTITION BY cik, year(st) ORDER BY st) AS ytd, CAST(date_trunc('year', st) AS DATE) AS ys FROM qf),
 facts AS (SELECT cik, CASE WHEN no % 2 = 0 THEN 'Revenues' ELSE 'SalesRevenueNet' END AS concept, 'USD' AS unit, st AS start, en AS "end", rev AS val, '10-Q' AS form, en + 40 AS filed FROM qf
  UNION ALL SELECT cik, 'SalesRevenueNet', 'USD', st, en, rev * 2, '10-Q', en + 41 FROM qf WHERE no % 2 = 0 UNION ALL SELECT cik, CASE WHEN no % 2 = 0 THEN 'Revenues' ELSE 'SalesRevenueNet' END, 'USD', st, en, rev + 1, '10-Q/A', en + 90 FROM qf
  UNION ALL SELECT cik, CASE WHEN no % 2 = 0 THEN 'Revenues' ELSE 'SalesRevenueNet' END, 'USD', st, en, rev + 5, '8-K', en + 10 FROM qf
  UNION ALL SELECT cik, 'NetCashProvidedByUsedInOperatingActivities', 'USD', CASE WHEN no % 3 = 0 THEN ys ELSE st END, en, CASE WHEN no % 3 = 0 THEN ytd ELSE cash END, '10-Q', en + 40 FROM yt WHERE no % 3 <> 0 OR month(st) > 1
- UNION ALL SELECT cik, 'PaymentsToAcquirePropertyPlantAndEquipment', 'USD', st, en, round(cash / 4, 2), '10-K', en + 40 FROM qf WHERE no % 5 <> 0
+ UNION ALL SELECT cik, 'PaymentsToAcquirePropertyPlantAndEquipment', 'USD', st, en, cash / 4, '10-K', en + 40 FROM qf WHERE no % 5 <> 0
  UNION ALL SELECT cik, 'WeightedAverageNumberOfDilutedSharesOutstanding', 'shares', st, en, shr, '10-Q', en + 40 FROM qf UNION ALL SELECT cik, 'Assets', 'USD', NULL, en, rev * 4, '10-Q', en + 40 FROM qf WHERE no % 4 <> 0)"""
 
 
 def fact_payload(spark, d):
     """One JSON document per filer with the facts that the SQL text above lists."""
     q = T.lines(spark, d).groupBy(F.col("series_id").alias("cik"), F.trunc(T.DAY_OF, "quarter").alias("st")).agg(
-        F.round(F.sum("l_extendedprice"), 2).alias("rev"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("cash"), F.sum("l_quantity").alias("shr"))
+        F.sum("l_extendedprice").alias("rev"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("cash"), F.sum("l_quantity").alias("shr"))
     from pyspark.sql import Window
 
     q = q.withColumns({"no": T.brand_no("cik"), "en": F.last_day(F.add_months("st", 2)), "ys": F.trunc("st", "year")})
@@ -237,7 +237,7 @@ def fact_payload(spark, d):
     ocf = "NetCashProvidedByUsedInOperatingActivities"
     fs = [fact(rev, "USD", st, F.col("rev"), "10-Q", 40, yes), fact("SalesRevenueNet", "USD", st, F.col("rev") * 2, "10-Q", 41, no % 2 == 0), fact(rev, "USD", st, F.col("rev") + 1, "10-Q/A", 90, yes),
           fact(rev, "USD", st, F.col("rev") + 5, "8-K", 10, yes), fact(ocf, "USD", F.when(no % 3 == 0, F.col("ys")).otherwise(st), F.when(no % 3 == 0, F.col("ytd")).otherwise(F.col("cash")), "10-Q", 40, (no % 3 != 0) | (F.month("st") > 1)),
-          fact("PaymentsToAcquirePropertyPlantAndEquipment", "USD", st, F.round(F.col("cash") / 4, 2), "10-K", 40, no % 5 != 0), fact("WeightedAverageNumberOfDilutedSharesOutstanding", "shares", st, F.col("shr"), "10-Q", 40, yes),
+          fact("PaymentsToAcquirePropertyPlantAndEquipment", "USD", st, F.col("cash") / 4, "10-K", 40, no % 5 != 0), fact("WeightedAverageNumberOfDilutedSharesOutstanding", "shares", st, F.col("shr"), "10-Q", 40, yes),
           fact("Assets", "USD", F.lit(None).cast("date"), F.col("rev") * 4, "10-Q", 40, no % 4 != 0)]
     f = q.select("cik", F.inline(F.filter(F.array(*fs), lambda x: x.isNotNull())))
     u = f.groupBy("cik", "concept", "unit").agg(F.collect_list(F.struct("start", "end", "val", "form", "filed")).alias("fs"))
@@ -287,9 +287,9 @@ out AS (SELECT * FROM w WHERE CAST(day + 1 AS TIMESTAMP) <= (SELECT max(ts) - IN
 def t2(spark, d):
     root = workspace(spark, "stream")
     jobs.run_bars(spark, f"{d.rstrip('/')}/events.parquet", f"{root}/out", f"{root}/ck").awaitTermination()
-    return spark.read.parquet(f"{root}/out").withColumn("day", F.col("start").cast("date"))
+    return spark.read.parquet(f"{root}/out").withColumn("day", jobs.utc_day("start"))
 
 
 @query("t2_batch_bars", "series_id:s day:d open:f high:f low:f close:f volume:f n:i", """out AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(value) AS volume, count(*) AS n FROM events GROUP BY 1, 2)""")
 def t2b(spark, d):
-    return jobs.tumbling_bars(T.table(spark, d, "events")).withColumn("day", F.col("start").cast("date"))
+    return jobs.tumbling_bars(T.table(spark, d, "events")).withColumn("day", jobs.utc_day("start"))

@@ -5,7 +5,7 @@ Neither Spark nor DuckDB has ``erf``; both sides evaluate the published rational
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EULER_GAMMA = 0.5772156649015329
@@ -98,6 +98,24 @@ def probabilistic_sharpe_sql(n: str, mean: str, sd: str, skew: str, kurt: str, b
     return f"(CASE WHEN {n} < 60 OR NOT ({sd} > 0e0) THEN NULL ELSE {norm_cdf_sql(z)} END)"
 
 
+def with_probabilistic_sharpe(df: DataFrame, out: str, n: str, mean: str, sd: str, skew: str, kurt: str, bench_ann: str | float = 0.0) -> DataFrame:
+    """Add the probabilistic Sharpe; the z value is its own column, so the long CDF expression refers to a name only."""
+    sr = F.when(F.col(sd) > 0, F.col(mean) / F.col(sd))
+    b = F.col(bench_ann) if isinstance(bench_ann, str) else F.lit(float(bench_ann))
+    df = df.withColumn("_sr", sr)
+    v = 1 - F.col(skew) * F.col("_sr") + (F.col(kurt) - 1) / 4 * F.col("_sr") * F.col("_sr")
+    df = df.withColumn("_z", (F.col("_sr") - b / ANN**0.5) * F.sqrt(F.col(n) - 1.0) / F.sqrt(F.greatest(v, F.lit(1e-12))))
+    return df.withColumn(out, F.when((F.col(n) >= 60) & F.col("_z").isNotNull(), norm_cdf("_z"))).drop("_sr", "_z")
+
+
+def with_expected_max_sharpe(df: DataFrame, out: str, n: str, var: str) -> DataFrame:
+    """Add the expected best annual Sharpe among ``n`` zero-skill trials with per-period variance ``var``."""
+    df = df.withColumns({"_p1": 1 - F.lit(1.0) / F.greatest(F.col(n), F.lit(2)), "_p2": 1 - F.lit(1.0) / (F.greatest(F.col(n), F.lit(2)) * F.exp(F.lit(1.0)))})
+    df = df.withColumns({"_q1": norm_ppf("_p1"), "_q2": norm_ppf("_p2")})
+    x = F.sqrt(F.col(var)) * ((1 - EULER_GAMMA) * F.col("_q1") + EULER_GAMMA * F.col("_q2")) * ANN**0.5
+    return df.withColumn(out, F.when((F.col(n) <= 1) | (F.col(var) <= 0), F.lit(0.0)).otherwise(x)).drop("_p1", "_p2", "_q1", "_q2")
+
+
 def safe(x: Column | str, default: float | None = None) -> Column:
     """Finite value of ``x`` or ``default`` (NULL, NaN and infinities all count as missing)."""
     c = F.col(x) if isinstance(x, str) else x

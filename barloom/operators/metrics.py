@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions import stats as S
-from ..functions.mathx import probabilistic_sharpe_sql
+from ..functions.mathx import with_probabilistic_sharpe
 
 
 def drawdowns(curves: DataFrame, ids: list[str], ret: str = "ret") -> DataFrame:
@@ -62,12 +62,12 @@ def summary(curves: DataFrame, ids: list[str], ret: str = "ret", bench: str | No
     return s.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")))
 
 
-def probabilistic_sharpe(curves: DataFrame, ids: list[str], ret: str = "ret", bench_ann: str = "0e0", carry: list[Column] = ()) -> DataFrame:
-    """Probability that the true Sharpe beats ``bench_ann`` (SQL text over the carried columns), from population moments."""
+def probabilistic_sharpe(curves: DataFrame, ids: list[str], ret: str = "ret", bench_ann: str | float = 0.0, carry: list[Column] = ()) -> DataFrame:
+    """Probability that the true Sharpe beats ``bench_ann`` (a number or the name of a carried column), from population moments."""
     m = curves.where(F.col(ret).isNotNull()).groupBy(*ids).agg(
         F.count(ret).alias("n"), F.avg(ret).alias("_m"), F.stddev_samp(ret).alias("_sd"), F.skewness(ret).alias("_g3"),
         (F.kurtosis(ret) + 3).alias("_g4"), *carry)
-    return m.withColumn("psr", F.expr(probabilistic_sharpe_sql("n", "_m", "_sd", "_g3", "_g4", bench_ann)))
+    return with_probabilistic_sharpe(m, "psr", "n", "_m", "_sd", "_g3", "_g4", bench_ann)
 
 
 def period_metrics(curves: DataFrame, ids: list[str], periods: list[tuple[str, str, str]], ret: str = "ret", bench: str | None = None,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mathx import expected_max_sharpe_sql, safe
+from ..functions.mathx import safe, with_expected_max_sharpe
 
 # The diversified index funds that may set the benchmark hurdle.
 DIVERSIFIED = ["SPY", "QQQ", "XLK", "SOXX", "SMH", "IGV", "VGT", "IWM", "ARKK", "SKYY", "CIBR", "BOTZ"]
@@ -201,7 +201,7 @@ def focus(ranking: DataFrame, min_trials: int = 2) -> DataFrame:
                                      F.min_by("strategy", F.struct(-F.col("dev_sharpe"), "strategy")).alias("best_strategy"), F.min_by("verdict", F.struct(-F.col("dev_sharpe"), "strategy")).alias("best_verdict"),
                                      F.min("max_drawdown").alias("worst_drawdown"), F.stddev_samp("dev_sharpe").alias("_sd"), F.avg("dev_sharpe").alias("_m"), F.var_pop(per).alias("_v"))
     g = g.where((F.col("_rows") >= min_trials) & (F.col("n_trials") > 0))
-    g = g.withColumn("expected_best", F.expr(expected_max_sharpe_sql("n_trials", "_v")) * F.sqrt(F.lit(252.0)))
+    g = with_expected_max_sharpe(g, "expected_best", "n_trials", "_v")
     g = g.withColumns({"excess": F.col("best_sharpe") - F.col("expected_best"),
                        "dispersion": F.when((F.col("n_trials") > 1) & (F.col("_m") != 0), F.col("_sd") / F.abs("_m")).otherwise(0.0)})
     weak = (F.col("n_trials") >= 5) & (F.col("dispersion") < 0.25)

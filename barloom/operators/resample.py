@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..functions.mathx import expected_max_sharpe_sql, probabilistic_sharpe_sql, uniform_from_key
+from ..functions.mathx import uniform_from_key, with_expected_max_sharpe, with_probabilistic_sharpe
 
 
 def _month_start(c: Column) -> Column:
@@ -145,8 +145,7 @@ def battery(trials: DataFrame, group: list[str], failed: DataFrame | None = None
     if failed is not None:
         t = t.unionByName(failed.select(*group, F.lit(0.0).alias("sharpe")))
     b = t.where("sharpe is not null").groupBy(*group).agg(F.count("*").alias("n_trials"), F.var_pop(F.col("sharpe") / S.ROOT).alias("_v"))
-    b = b.withColumn("expected_max", F.expr(expected_max_sharpe_sql("n_trials", "_v")) * S.ROOT)
-    return b.drop("_v")
+    return with_expected_max_sharpe(b, "expected_max", "n_trials", "_v").drop("_v")
 
 
 def deflated_sharpe(curves: DataFrame, group: list[str], variant: str, failed: DataFrame | None = None, ret: str = "ret") -> DataFrame:
@@ -156,7 +155,7 @@ def deflated_sharpe(curves: DataFrame, group: list[str], variant: str, failed: D
     m = curves.where(F.col(ret).isNotNull()).groupBy(*ids).agg(
         F.count(ret).alias("n"), F.avg(ret).alias("_m"), F.stddev_samp(ret).alias("_sd"), F.skewness(ret).alias("_g3"), (F.kurtosis(ret) + 3).alias("_g4"))
     x = m.join(b, group).withColumn("_bench", F.when(F.col("n_trials") < 2, 0.0).otherwise(F.col("expected_max")))
-    return x.select(*ids, "n_trials", F.col("expected_max"), F.expr(probabilistic_sharpe_sql("n", "_m", "_sd", "_g3", "_g4", "_bench")).alias("dsr"))
+    return with_probabilistic_sharpe(x, "dsr", "n", "_m", "_sd", "_g3", "_g4", "_bench").select(*ids, "n_trials", "expected_max", "dsr")
 
 
 def parameter_sensitivity(trials: DataFrame, group: list[str], variant: str, stat: str = "sharpe") -> DataFrame:

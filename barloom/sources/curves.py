@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..functions.mathx import with_probabilistic_sharpe
 from ..operators import metrics as M
 from ..operators.ranking import stable_hash
+from ..session import materialize
 from .tables import WEEK_OF, table
 
 PERIODS = [("early", "1995-01-01", "1996-12-31"), ("mid", "1997-01-01", "1998-12-31"), ("bull", "1999-01-01", "1999-12-31"), ("ai_rally", "2000-01-01", "2001-12-31")]
@@ -51,14 +53,13 @@ def scenario_curves(curves: DataFrame) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested record per (strategy, scenario), two failed runs and an older cohort."""
-    c = scenario_curves(strategy_curves(spark, sf_dir)).withColumn("split", F.when(F.col("date") < F.to_date(F.lit(HOLDOUT_START)), "dev").otherwise("holdout"))
+    c = scenario_curves(materialize(strategy_curves(spark, sf_dir), "curves")).withColumn("split", F.when(F.col("date") < F.to_date(F.lit(HOLDOUT_START)), "dev").otherwise("holdout"))
     ids = ["strategy", "family", "cls", "line", "scenario"]
     m = M.drawdowns(c, [*ids, "split"]).groupBy(*ids, "split").agg(S.sharpe("ret").alias("sharpe"), S.cagr("ret").alias("cagr"), M.max_drawdown().alias("max_drawdown"),
                                                                   (F.avg("turnover") * 252).alias("_to"), F.count("ret").alias("n"), F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_sd"),
                                                                   F.skewness("ret").alias("_g3"), (F.kurtosis("ret") + 3).alias("_g4"))
-    from ..functions.mathx import probabilistic_sharpe_sql
-
-    m = m.withColumns({"calmar": F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")), "psr": F.expr(probabilistic_sharpe_sql("n", "_m", "_sd", "_g3", "_g4"))})
+    m = with_probabilistic_sharpe(m, "psr", "n", "_m", "_sd", "_g3", "_g4")
+    m = m.withColumn("calmar", F.when(F.col("max_drawdown") < 0, F.col("cagr") / F.abs("max_drawdown")))
     met = F.struct("sharpe", "cagr", "calmar", "max_drawdown")
     side = lambda s, e: F.max(F.when(F.col("split") == s, e))
     r = m.groupBy(*ids).agg(side("dev", met).alias("metrics_dev"), side("holdout", met).alias("metrics_holdout"), side("dev", F.col("psr")).alias("psr_dev"), side("dev", F.col("_to")).alias("annual_turnover"))

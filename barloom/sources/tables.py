@@ -10,13 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.panel import calendar, densify, week_ending_friday
+from ..session import materialize
 
 WEEK_OF = week_ending_friday(F.col("l_shipdate").cast("date"))
 DAY_OF = F.col("l_shipdate").cast("date")
 
 
+# Declared schemas spare every read the footer job that schema inference runs.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +58,16 @@ def market_calendar(spark: SparkSession, sf_dir: str, freq: str = "w") -> DataFr
     return calendar(table(spark, sf_dir, "lineitem").select((WEEK_OF if freq == "w" else DAY_OF).alias("date")))
 
 
-def market_panel(spark: SparkSession, sf_dir: str, freq: str = "w", series: str = "brand") -> tuple[DataFrame, DataFrame]:
-    """The dense bar panel and its calendar."""
+def market_panel(spark: SparkSession, sf_dir: str, freq: str = "w", series: str = "brand", stored: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The dense bar panel and its calendar.
+
+    A plan that reads the panel several times would scan the order lines each time. With ``stored`` the bars (series x dates,
+    a small fraction of the lines) are written once to the shared folder and everything else, the calendar included, starts there.
+    """
+    if stored:
+        b = materialize(bars(spark, sf_dir, freq, series), "bars")
+        cal = calendar(b)
+        return densify(b, cal), cal
     cal = market_calendar(spark, sf_dir, freq)
     return densify(bars(spark, sf_dir, freq, series), cal), cal
 

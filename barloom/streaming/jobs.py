@@ -6,7 +6,7 @@ the watermark, so it does not grow with history.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,8 +29,18 @@ def ingest_sessions(spark: SparkSession, path: str, out: str, checkpoint: str, l
         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def utc_day(c: str) -> Column:
+    """UTC calendar day of a timestamp, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c) / 86400).cast("int"))
+
+
 def tumbling_bars(events: DataFrame, width: str = "1 day", late: str = "1 day", key: str = "event_type", ts: str = "ts", value: str = "value") -> DataFrame:
-    """Open, high, low, close, sum and count per key and window of event time."""
+    """Open, high, low, close, sum and count per key and window of event time; zone-less times are taken as UTC."""
+    if events.schema[ts].dataType.typeName() == "timestamp_ntz":
+        events = events.withColumn(ts, F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, {ts})")))
     e = events.withWatermark(ts, late)
     order = F.struct(F.col(ts), F.col("event_id"))
     g = e.groupBy(F.window(ts, width).alias("w"), key).agg(F.min_by(value, order).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"),
@@ -40,7 +50,9 @@ def tumbling_bars(events: DataFrame, width: str = "1 day", late: str = "1 day",
 
 def run_bars(spark: SparkSession, path: str, out: str, checkpoint: str, width: str = "1 day", late: str = "1 day") -> StreamingQuery:
     """Closed bars of an event folder, appended to a Parquet table."""
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A single file is addressed through its folder: the file stream lists folders.
+    events = source.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else source.parquet(path)
     return tumbling_bars(events, width, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
         .outputMode("append").trigger(availableNow=True).start()
