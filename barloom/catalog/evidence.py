@@ -195,13 +195,16 @@ def j14(spark, d):
     return RK.rank(registry(spark, d))
 
 
-FAM = F.when(F.col("family") == "growth", "xsmom").when(F.col("family") == "value", "regime").when(F.col("family") == "rotate", "unknown").otherwise(F.col("family"))
+def mapped_family():
+    return F.when(F.col("family") == "growth", "xsmom").when(F.col("family") == "value", "regime").when(F.col("family") == "rotate", "unknown").otherwise(F.col("family"))
+
+
 SQL_TIER = """tiers AS (SELECT *, CASE WHEN failed THEN 'C' WHEN family = 'rotate' THEN 'B' WHEN family = 'value' THEN 'B' WHEN family = 'growth' THEN 'B' ELSE 'A' END AS tier,
  CASE WHEN failed THEN 'not run' WHEN family = 'rotate' THEN 'unrecognised family' WHEN family = 'value' THEN 'macro inputs are revised' WHEN family = 'growth' THEN 'universe lacks delisted names' ELSE 'complete adjusted histories' END AS tier_reason FROM reg WHERE uh = 'u2' AND scenario = 'base')"""
 
 
 def tiered(spark, d):
-    r = registry(spark, d).where("scenario = 'base' and coalesce(universe_hash, 'u2') = 'u2'").withColumn("family", FAM)
+    r = registry(spark, d).where("scenario = 'base' and coalesce(universe_hash, 'u2') = 'u2'").withColumn("family", mapped_family())
     return RK.assign_tier(r, {"delisted_incomplete": True})
 
 

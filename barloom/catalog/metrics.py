@@ -44,23 +44,23 @@ def sql_dd(src: str, ids: str, name: str = "dd") -> str:
 
 
 AGG = {
-    "a1_total_return": (S.total_return("ret"), "product(1 + ret) - 1"),
-    "a2_cagr": (S.cagr("ret"), CAGR),
-    "a3_ann_vol": (S.ann_vol("ret"), "stddev_samp(ret) * sqrt(252e0)"),
-    "a4_sharpe": (S.sharpe("ret"), SHARPE),
-    "a5_sortino": (S.sortino("ret"), "avg(ret) / stddev_samp(CASE WHEN ret < 0 THEN ret END) * sqrt(252e0)"),
-    "a11_tracking_error": (S.tracking_error("ret", "bench"), "stddev_samp(ret - bench) * sqrt(252e0)"),
-    "a11_information_ratio": (S.information_ratio("ret", "bench"), "CASE WHEN stddev_samp(ret - bench) > 0 THEN avg(ret - bench) / stddev_samp(ret - bench) * sqrt(252e0) END"),
-    "a10_beta": (S.beta("ret", "bench"), "CASE WHEN count(ret * bench) >= 60 THEN covar_samp(ret, bench) / var_samp(bench) END"),
-    "a10_alpha": (S.alpha("ret", "bench"), "CASE WHEN count(ret * bench) >= 60 THEN (avg(CASE WHEN bench IS NOT NULL THEN ret END) - covar_samp(ret, bench) / var_samp(bench) * avg(bench)) * 252 END"),
-    "a12_upside_capture": (S.capture("ret", "bench", True), "avg(CASE WHEN bench > 0 THEN ret END) / avg(CASE WHEN bench > 0 THEN bench END)"),
-    "a12_downside_capture": (S.capture("ret", "bench", False), "avg(CASE WHEN bench < 0 THEN ret END) / avg(CASE WHEN bench < 0 THEN bench END)"),
-    "a13_win_rate": (S.win_rate("ret"), "count_if(ret > 0) / count_if(ret <> 0)"),
-    "a13_profit_factor": (S.profit_factor("ret"), "sum(CASE WHEN ret > 0 THEN ret END) / -sum(CASE WHEN ret < 0 THEN ret END)"),
-    "a15_skew": (S.skew_g1("ret"), "skewness(ret)"),
-    "a15_kurtosis": (S.kurt_g2("ret"), "kurtosis(ret)"),
-    "a15_correlation": (S.correlation("ret", "bench"), "CASE WHEN count(ret * bench) > 30 THEN corr(ret, bench) END"),
-    "a23_annual_turnover": (F.avg("turnover") * 252, "avg(turnover) * 252"),
+    "a1_total_return": (lambda: S.total_return("ret"), "product(1 + ret) - 1"),
+    "a2_cagr": (lambda: S.cagr("ret"), CAGR),
+    "a3_ann_vol": (lambda: S.ann_vol("ret"), "stddev_samp(ret) * sqrt(252e0)"),
+    "a4_sharpe": (lambda: S.sharpe("ret"), SHARPE),
+    "a5_sortino": (lambda: S.sortino("ret"), "avg(ret) / stddev_samp(CASE WHEN ret < 0 THEN ret END) * sqrt(252e0)"),
+    "a11_tracking_error": (lambda: S.tracking_error("ret", "bench"), "stddev_samp(ret - bench) * sqrt(252e0)"),
+    "a11_information_ratio": (lambda: S.information_ratio("ret", "bench"), "CASE WHEN stddev_samp(ret - bench) > 0 THEN avg(ret - bench) / stddev_samp(ret - bench) * sqrt(252e0) END"),
+    "a10_beta": (lambda: S.beta("ret", "bench"), "CASE WHEN count(ret * bench) >= 60 THEN covar_samp(ret, bench) / var_samp(bench) END"),
+    "a10_alpha": (lambda: S.alpha("ret", "bench"), "CASE WHEN count(ret * bench) >= 60 THEN (avg(CASE WHEN bench IS NOT NULL THEN ret END) - covar_samp(ret, bench) / var_samp(bench) * avg(bench)) * 252 END"),
+    "a12_upside_capture": (lambda: S.capture("ret", "bench", True), "avg(CASE WHEN bench > 0 THEN ret END) / avg(CASE WHEN bench > 0 THEN bench END)"),
+    "a12_downside_capture": (lambda: S.capture("ret", "bench", False), "avg(CASE WHEN bench < 0 THEN ret END) / avg(CASE WHEN bench < 0 THEN bench END)"),
+    "a13_win_rate": (lambda: S.win_rate("ret"), "count_if(ret > 0) / count_if(ret <> 0)"),
+    "a13_profit_factor": (lambda: S.profit_factor("ret"), "sum(CASE WHEN ret > 0 THEN ret END) / -sum(CASE WHEN ret < 0 THEN ret END)"),
+    "a15_skew": (lambda: S.skew_g1("ret"), "skewness(ret)"),
+    "a15_kurtosis": (lambda: S.kurt_g2("ret"), "kurtosis(ret)"),
+    "a15_correlation": (lambda: S.correlation("ret", "bench"), "CASE WHEN count(ret * bench) > 30 THEN corr(ret, bench) END"),
+    "a23_annual_turnover": (lambda: F.avg("turnover") * 252, "avg(turnover) * 252"),
 }
 
 
@@ -70,7 +70,7 @@ def _agg(key, expr, sql):
         c = curves(spark, d)
         if "bench" in sql:
             c = C.with_benchmark(c)
-        return c.groupBy("strategy").agg(expr.alias("x"))
+        return c.groupBy("strategy").agg(expr().alias("x"))
 
 
 for _k, (_e, _s) in AGG.items():

@@ -59,7 +59,7 @@ def u1(spark, d):
 @query("u2_set_operations", "date:d kind:s", f"""w AS (SELECT DISTINCT {WK} AS date FROM lineitem), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders),
 out AS (SELECT date, 'difference' AS kind FROM (SELECT * FROM o EXCEPT SELECT * FROM w) UNION ALL SELECT date, 'intersection' FROM (SELECT * FROM o INTERSECT SELECT * FROM w) UNION ALL SELECT date, 'union' FROM (SELECT * FROM o UNION SELECT * FROM w))""")
 def u2(spark, d):
-    w = T.table(spark, d, "lineitem").select(T.WEEK_OF.alias("date")).distinct()
+    w = T.table(spark, d, "lineitem").select(T.week_of().alias("date")).distinct()
     o = T.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
     tag = lambda x, k: x.select("date", F.lit(k).alias("kind"))
     # One grouped pass over both sides instead of three set operations.
@@ -106,7 +106,7 @@ def x5(spark, d):
 @query("x6_period_buckets", "date:d me:d qe:d ye:d wf:d plus:d eom:d", """dts AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), out AS (SELECT date, date_trunc('month', date) AS me, date_trunc('quarter', date) AS qe, date_trunc('year', date) AS ye,
  date_trunc('week', date + 2) AS wf, CAST(date + INTERVAL 5 MONTH AS DATE) AS plus, last_day(date) AS eom FROM dts)""")
 def x6(spark, d):
-    x = T.table(spark, d, "lineitem").select(T.DAY_OF.alias("date")).distinct()
+    x = T.table(spark, d, "lineitem").select(T.day_of().alias("date")).distinct()
     return x.select("date", *[period_key(f).alias(f) for f in ("me", "qe", "ye", "wf")], F.add_months("date", 5).alias("plus"), F.last_day("date").alias("eom"))
 
 
@@ -119,7 +119,7 @@ def x6m(spark, d):
 
 @query("x7_date_parts", "date:d dom:i y:i wd:i since:i", "dts AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), out AS (SELECT date, day(date) AS dom, year(date) AS y, isodow(date) - 1 AS wd, date - DATE '1995-01-01' AS since FROM dts)")
 def x7(spark, d):
-    x = T.table(spark, d, "lineitem").select(T.DAY_OF.alias("date")).distinct()
+    x = T.table(spark, d, "lineitem").select(T.day_of().alias("date")).distinct()
     return x.select("date", F.dayofmonth("date").alias("dom"), F.year("date").alias("y"), F.weekday("date").alias("wd"), F.datediff("date", F.to_date(F.lit("1995-01-01"))).alias("since"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..operators import panel as P
+from ..session import materialize
 from ..sources import tables as T
 from .base import SQL_CAL, SQL_LINES, SQL_PANEL, WEEK, WK, W, query, roll, sql_bars, sql_panel
 
@@ -26,10 +27,15 @@ def sql_mask(src: str = "panel", name: str = "mask") -> str:
 
 
 def masked_panel(spark, sf_dir, series="brand", stored=False):
-    """Weekly panel with returns and the investability mask (26-week seasoning, 13-week liquidity, 5-week price floor)."""
+    """Weekly panel with returns and the investability mask (26-week seasoning, 13-week liquidity, 5-week price floor).
+
+    Plans that read the panel more than once take it ``stored``: series x dates rows, a small fraction of the order lines, are
+    written to the shared folder, so the lines are scanned and reduced once.
+    """
     panel, cal = T.market_panel(spark, sf_dir, "w", series, stored)
     panel = P.investable(panel, seasoning=26, dv_window=13, dv_min=5, dv_floor=5e4, price_window=5, price_floor=100.0)
-    return panel.withColumn("ret", R.pct_change("adj_close")), cal
+    panel = panel.withColumn("ret", R.pct_change("adj_close"))
+    return (materialize(panel, "panel") if stored else panel), cal
 
 
 @query("p1_ratio_adjust", "series_id:s date:d open:p high:p low:p dollar_volume:p", f"""{SQL_LINES}, {sql_bars()},

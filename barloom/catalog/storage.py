@@ -220,7 +220,7 @@ facts AS (SELECT cik, CASE WHEN no % 2 = 0 THEN 'Revenues' ELSE 'SalesRevenueNet
 
 def fact_payload(spark, d):
     """One JSON document per filer with the facts that the SQL text above lists."""
-    q = T.lines(spark, d).groupBy(F.col("series_id").alias("cik"), F.trunc(T.DAY_OF, "quarter").alias("st")).agg(
+    q = T.lines(spark, d).groupBy(F.col("series_id").alias("cik"), F.trunc(T.day_of(), "quarter").alias("st")).agg(
         F.sum("l_extendedprice").alias("rev"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("cash"), F.sum("l_quantity").alias("shr"))
     from pyspark.sql import Window
 

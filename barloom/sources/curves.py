@@ -10,7 +10,7 @@ from ..functions.mathx import with_probabilistic_sharpe
 from ..operators import metrics as M
 from ..operators.ranking import stable_hash
 from ..session import materialize
-from .tables import WEEK_OF, table
+from .tables import week_of, table
 
 PERIODS = [("early", "1995-01-01", "1996-12-31"), ("mid", "1997-01-01", "1998-12-31"), ("bull", "1999-01-01", "1999-12-31"), ("ai_rally", "2000-01-01", "2001-12-31")]
 STRESS = 0.0008
@@ -22,7 +22,7 @@ def strategy_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Order lines are reduced to (flag, status, line number, week) sums first; the strategies are rollups of those few rows.
     """
-    cell = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber", WEEK_OF.alias("date")).agg(
+    cell = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber", week_of().alias("date")).agg(
         F.sum("l_extendedprice").alias("p"), F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
     line = F.col("l_linenumber").cast("string")
     cls = F.when(F.col("l_returnflag") == "A", "Growth").when(F.col("l_returnflag") == "N", "Value").otherwise("Rotate")

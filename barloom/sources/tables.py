@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from ..operators.panel import calendar, densify, week_ending_friday
 from ..session import materialize
 
-WEEK_OF = week_ending_friday(F.col("l_shipdate").cast("date"))
-DAY_OF = F.col("l_shipdate").cast("date")
+
+def day_of():
+    return F.col("l_shipdate").cast("date")
+
+
+def week_of():
+    return week_ending_friday(day_of())
+
 
 
 # Declared schemas spare every read the footer job that schema inference runs.
@@ -47,7 +53,7 @@ def bars(spark: SparkSession, sf_dir: str, freq: str = "w", series: str = "brand
     key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice")
     price = F.col("l_extendedprice")
     close = F.avg(price) if freq == "w" else F.max_by(price, key)
-    return src.groupBy("series_id", (WEEK_OF if freq == "w" else DAY_OF).alias("date")).agg(
+    return src.groupBy("series_id", (week_of() if freq == "w" else day_of()).alias("date")).agg(
         F.min_by(price, key).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), close.alias("close"),
         F.avg(price * (1 - F.col("l_discount"))).alias("adj_close"),
         F.sum("l_quantity").alias("volume"), F.sum(price).alias("dollar_volume"))
@@ -55,20 +61,14 @@ def bars(spark: SparkSession, sf_dir: str, freq: str = "w", series: str = "brand
 
 def market_calendar(spark: SparkSession, sf_dir: str, freq: str = "w") -> DataFrame:
     """Calendar of the bars, from a scan of the ship-date column alone."""
-    return calendar(table(spark, sf_dir, "lineitem").select((WEEK_OF if freq == "w" else DAY_OF).alias("date")))
+    return calendar(table(spark, sf_dir, "lineitem").select((week_of() if freq == "w" else day_of()).alias("date")))
 
 
 def market_panel(spark: SparkSession, sf_dir: str, freq: str = "w", series: str = "brand", stored: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The dense bar panel and its calendar.
-
-    A plan that reads the panel several times would scan the order lines each time. With ``stored`` the bars (series x dates,
-    a small fraction of the lines) are written once to the shared folder and everything else, the calendar included, starts there.
-    """
-    if stored:
-        b = materialize(bars(spark, sf_dir, freq, series), "bars")
-        cal = calendar(b)
-        return densify(b, cal), cal
+    """The dense bar panel and its calendar; ``stored`` writes the calendar once, for plans that join it many times."""
     cal = market_calendar(spark, sf_dir, freq)
+    if stored:
+        cal = materialize(cal, "calendar")
     return densify(bars(spark, sf_dir, freq, series), cal), cal
 
 
@@ -88,7 +88,7 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly filings per brand with a publication date 40 to 60 days after the period end."""
-    q = lines(spark, sf_dir).groupBy("series_id", F.trunc(DAY_OF, "quarter").alias("q")).agg(
+    q = lines(spark, sf_dir).groupBy("series_id", F.trunc(day_of(), "quarter").alias("q")).agg(
         F.sum("l_extendedprice").alias("revenue"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("fcf"),
         F.sum("l_quantity").alias("shares"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("rnd"))
     no = F.regexp_extract("series_id", r"(\d+)", 1).cast("int")
@@ -99,7 +99,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_volume(spark: SparkSession, sf_dir: str, freq: str = "w") -> DataFrame:
-    return lines(spark, sf_dir).groupBy("series_id", (WEEK_OF if freq == "w" else DAY_OF).alias("date")).agg(
+    return lines(spark, sf_dir).groupBy("series_id", (week_of() if freq == "w" else day_of()).alias("date")).agg(
         F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(0.0)).alias("short_volume"),
         F.sum("l_quantity").alias("total_volume"))
 
@@ -110,7 +110,7 @@ def brand_no(c="series_id"):
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing window per brand; every fifth brand is delisted after 70 % of its own span."""
-    s = lines(spark, sf_dir).groupBy("series_id").agg(F.min(WEEK_OF).alias("ipo"), F.max(WEEK_OF).alias("last"))
+    s = lines(spark, sf_dir).groupBy("series_id").agg(F.min(week_of()).alias("ipo"), F.max(week_of()).alias("last"))
     cut = F.date_add("ipo", F.floor(F.datediff("last", "ipo") * 0.7).cast("int"))
     return s.select("series_id", "ipo", F.when(brand_no() % 5 == 0, cut).alias("delisted"))
 
@@ -124,7 +124,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def provider_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjusted close per provider (the return flag), series and week."""
     names = F.create_map(F.lit("A"), F.lit("alpha"), F.lit("N"), F.lit("north"), F.lit("R"), F.lit("river"))
-    return lines(spark, sf_dir).groupBy(names[F.col("l_returnflag")].alias("provider"), "series_id", WEEK_OF.alias("date")).agg(
+    return lines(spark, sf_dir).groupBy(names[F.col("l_returnflag")].alias("provider"), "series_id", week_of().alias("date")).agg(
         F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("adj_close"))
 
 
