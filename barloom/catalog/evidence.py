@@ -146,12 +146,9 @@ reg AS (SELECT * FROM rn UNION ALL SELECT * REPLACE (ts - INTERVAL 40 DAY AS ts,
 RG = f"{SQL_CURVES}, {SQL_REG}"
 
 
-def monthly(spark, d):
-    return M.resample_compound(curves(spark, d), ID, "me")
-
-
-def registry(spark, d):
-    return materialize(C.registry(spark, d), "registry")
+def registry(spark, d, c=None):
+    """The registry as a written table, built from the stored curves."""
+    return materialize(C.registry(curves(spark, d) if c is None else c), "registry")
 
 
 @query("r1_current_cohort", "strategy:s scenario:s family:s", f"{RG}, out AS (SELECT strategy, scenario, family FROM reg WHERE uh = 'u2' AND NOT failed)")
@@ -203,26 +200,26 @@ SQL_TIER = """tiers AS (SELECT *, CASE WHEN failed THEN 'C' WHEN family = 'rotat
  CASE WHEN failed THEN 'not run' WHEN family = 'rotate' THEN 'unrecognised family' WHEN family = 'value' THEN 'macro inputs are revised' WHEN family = 'growth' THEN 'universe lacks delisted names' ELSE 'complete adjusted histories' END AS tier_reason FROM reg WHERE uh = 'u2' AND scenario = 'base')"""
 
 
-def tiered(spark, d):
-    r = registry(spark, d).where("scenario = 'base' and coalesce(universe_hash, 'u2') = 'u2'").withColumn("family", mapped_family())
+def tiered(reg):
+    r = reg.where("scenario = 'base' and coalesce(universe_hash, 'u2') = 'u2'").withColumn("family", mapped_family())
     return RK.assign_tier(r, {"delisted_incomplete": True})
 
 
 @query("r5_assign_tier", "strategy:s tier:s tier_reason:s", f"{RG}, {SQL_TIER}, out AS (SELECT * FROM tiers)")
 def r5(spark, d):
-    return tiered(spark, d)
+    return tiered(registry(spark, d))
 
 
 SQL_FAMS = f"{SQL_TR}, bv AS (SELECT family, strategy AS best_variant, sharpe - 1.5 AS ci_lo FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY sharpe DESC, strategy) AS rn FROM tr) WHERE rn = 1)"
 
 
-def best_variants(spark, d):
-    t = V.trial_sharpes(curves(spark, d), VR)
+def best_variants(c):
+    t = V.trial_sharpes(c, VR)
     return t.groupBy("family").agg(F.min_by("strategy", F.struct(-F.col("sharpe"), "strategy")).alias("best_variant"), (F.max("sharpe") - 1.5).alias("ci_lo"))
 
 
-def capacities(spark, d):
-    return curves(spark, d).groupBy("strategy").agg(F.pow(F.lit(10.0), 5 + F.max("line") % 3).alias("capacity"))
+def capacities(c):
+    return c.groupBy("strategy").agg(F.pow(F.lit(10.0), 5 + F.max("line") % 3).alias("capacity"))
 
 
 @query("r6_decision_checks", "strategy:s family:s score:f tier_a:b robust_verdict:b not_concentrated:b not_late_only:b ci_positive:b capacity_ok:b passed:b", f"""{RG}, {SQL_RANK}, {SQL_TIER}, {SQL_FAMS},
@@ -230,14 +227,17 @@ k AS (SELECT r.strategy, r.family, r.score, coalesce(t.tier = 'A', FALSE) AS tie
  coalesce(pow(10, 5 + r.line % 3) >= 1e6, FALSE) AS capacity_ok FROM ranked r LEFT JOIN (SELECT strategy, tier FROM tiers) t USING (strategy) LEFT JOIN bv ON bv.best_variant = r.strategy WHERE r.family <> 'benchmark'),
 out AS (SELECT *, tier_a AND robust_verdict AND not_concentrated AND not_late_only AND ci_positive AND capacity_ok AS passed FROM k)""")
 def r6(spark, d):
-    rk = RK.rank(registry(spark, d)).join(tiered(spark, d).select("strategy", "tier"), "strategy", "left")
-    return RK.decision_checks(rk, best_variants(spark, d), capacities(spark, d))
+    c = curves(spark, d)
+    reg = registry(spark, d, c)
+    rk = RK.rank(reg).join(tiered(reg).select("strategy", "tier"), "strategy", "left")
+    return RK.decision_checks(rk, best_variants(c), capacities(c))
 
 
 @query("j15_best_variant_lookup", "strategy:s verdict:s ci_lo:f capacity:f", f"{RG}, {SQL_RANK}, {SQL_FAMS}, out AS (SELECT r.strategy, verdict, ci_lo, pow(10e0, 5 + r.line % 3) AS capacity FROM ranked r LEFT JOIN bv ON bv.best_variant = r.strategy)")
 def j15(spark, d):
-    rk = RK.rank(registry(spark, d))
-    return rk.join(best_variants(spark, d).select(F.col("best_variant").alias("strategy"), "ci_lo"), "strategy", "left").join(capacities(spark, d), "strategy", "left")
+    c = curves(spark, d)
+    rk = RK.rank(registry(spark, d, c))
+    return rk.join(best_variants(c).select(F.col("best_variant").alias("strategy"), "ci_lo"), "strategy", "left").join(capacities(c), "strategy", "left")
 
 
 @query("r7_review_suggestions", "kind:s subject:s value:f", f"""{RG}, {SQL_MONTHLY}, {SQL_CORR}, {SQL_TR}, okb AS (SELECT * FROM reg WHERE NOT failed AND scenario = 'base' AND uh = 'u2'),
@@ -246,9 +246,9 @@ out AS (SELECT 'weak_evidence' AS kind, strategy AS subject, dev_psr AS value FR
  UNION ALL SELECT 'duplicate', a || ' ~ ' || b, corr FROM pc WHERE corr > 0.2 AND split_part(a, '(', 1) <> split_part(b, '(', 1) UNION ALL SELECT 'missing_test', 'rotate', NULL
  UNION ALL SELECT 'parameter_instability', family, ns FROM sn WHERE rank = 1 AND n > 3 AND family <> 'benchmark' AND coalesce(ns, 0) > 0.5 * abs(sharpe))""")
 def r7(spark, d):
-    reg = RK.current_cohort(registry(spark, d))
-    sens = V.parameter_sensitivity(V.trial_sharpes(curves(spark, d), VR), ["family"], "strategy").where("family <> 'rotate'")
-    return RK.review(reg, monthly(spark, d), sens, corr_threshold=0.2)
+    c = curves(spark, d)
+    sens = V.parameter_sensitivity(V.trial_sharpes(c, VR), ["family"], "strategy").where("family <> 'rotate'")
+    return RK.review(RK.current_cohort(registry(spark, d, c)), M.resample_compound(c, ID, "me"), sens, corr_threshold=0.2)
 
 
 @query("r9_scorecard", "cls:s n:i statistical_confidence:f robustness:f interpretability:f capacity:f overall:f", f"""{RG}, okb AS (SELECT * FROM reg WHERE NOT failed AND scenario = 'base' AND uh = 'u2'),
@@ -284,9 +284,10 @@ def r13(spark, d):
 
 @query("v8_failed_trials_in_battery", "family:s n_trials:i expected_max:f", f"{RG}, {SQL_TR}, tf AS (SELECT family, sharpe FROM tr UNION ALL SELECT family, 0 FROM reg WHERE failed), {SQL_BAT.format(src='tf')}, out AS (SELECT * FROM be)")
 def v8(spark, d):
-    reg = registry(spark, d)
+    c = curves(spark, d)
+    reg = registry(spark, d, c)
     failed = RK.recovered_failures(reg, RK.current_cohort(reg))
-    return V.battery(V.trial_sharpes(curves(spark, d), VR), ["family"], failed)
+    return V.battery(V.trial_sharpes(c, VR), ["family"], failed)
 
 
 @query("v10_family_summary", "family:s n_variants:i best_variant:s best_dev_sharpe:f ci_lo:f ci_hi:f dsr:f wf_sharpe:f mdd_median:f mdd_p95:f", f"""{SQL_CURVES.replace('cv AS (', 'cva0 AS (')}, cv AS (SELECT * FROM cva0 WHERE date < DATE '1999-11-05' AND family <> 'benchmark'), {SQL_TR}, {SQL_WF}, {SQL_BAT.format(src='tr')}, {SQL_DSR}, {sql_boot(50, 21)}, {sql_perm(20)},
@@ -390,9 +391,9 @@ def p12(spark, d):
 
 @query("j6_resume_anti_join", "strategy:s scenario:s", f"{SQL_CURVES}, out AS (SELECT DISTINCT strategy, s.scenario FROM cv CROSS JOIN (VALUES ('zero'), ('low'), ('base'), ('stressed')) s(scenario) WHERE NOT (s.scenario IN ('base', 'stressed') AND cls <> 'Rotate'))")
 def j6(spark, d):
-    c = curves(spark, d).select("strategy", "cls").distinct()
-    plan = c.select("strategy", F.explode(F.array(*[F.lit(s) for s in ("zero", "low", "base", "stressed")])).alias("scenario")).withColumn("id", RK.stable_hash(F.struct("strategy", "scenario")))
-    done = C.scenario_curves(curves(spark, d)).where("cls <> 'Rotate'").select(RK.stable_hash(F.struct("strategy", "scenario")).alias("id"))
+    src = curves(spark, d)
+    plan = src.select("strategy", "cls").distinct().select("strategy", F.explode(F.array(*[F.lit(s) for s in ("zero", "low", "base", "stressed")])).alias("scenario")).withColumn("id", RK.stable_hash(F.struct("strategy", "scenario")))
+    done = C.scenario_curves(src).where("cls <> 'Rotate'").select(RK.stable_hash(F.struct("strategy", "scenario")).alias("id"))
     return study.pending(plan, done)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..session import materialize
 from ..sources import tables as T
 from .base import ORACLES, QUERIES, SQL_CAL, SQL_LINES, query, sql_bars
 from .panel import SQL_LISTING, SQL_MACRO
@@ -51,8 +52,8 @@ chk AS (SELECT 'universe_coverage' AS "check", count(*) >= 10 AS ok, count(*) AS
 
 
 def checks(spark, d):
-    b = dirty(spark, d)
-    uni = T.listing(spark, d)
+    b = materialize(dirty(spark, d), "bars")
+    uni = materialize(T.listing(spark, d), "listing")
     return Q.quality_gate(b, T.market_calendar(spark, d, "d"), uni, uni.select("series_id"), T.macro(spark, d), T.fundamentals(spark, d), ["Brand#1", "Brand#99"])
 
 

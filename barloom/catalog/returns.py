@@ -66,7 +66,8 @@ u AS (SELECT e2.date, w * night AS c FROM e2 JOIN w0 ON w0.date = e2.dold JOIN l
 out AS (SELECT date, sum(c) AS ret FROM u GROUP BY 1)""")
 def b2t(spark, d):
     m, w = top5(spark, d)
-    return B.two_part_returns(w, m.panel, m.cal, "me")
+    opens = T.bars(spark, d).select("series_id", "date", "open")
+    return B.two_part_returns(w, m.panel.join(opens, ["series_id", "date"], "left"), m.cal, "me")
 
 
 @query("b3_turnover", "date:d turnover:f n_trades:i", f"{W5}, {TRADES}, out AS (SELECT date, sum(abs(delta)) AS turnover, count(*) AS n_trades FROM tr GROUP BY 1)")

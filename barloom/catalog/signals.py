@@ -68,8 +68,17 @@ def equal(src: str, stamp: str, cond: str = "TRUE", name: str = "out") -> str:
     return f"{name} AS (SELECT series_id, date, 1e0 / count(*) OVER (PARTITION BY date) AS w FROM {src} WHERE mask AND {stamp}_stamp AND {cond})"
 
 
-def market(spark, d, *extra: str) -> Market:
-    panel, cal = masked_panel(spark, d, stored=True)
+# Signals that read the panel once; every other plan starts from the stored panel.
+SINGLE_PASS = {
+    "buy_and_hold", "equal_weight_universe", "cap_weight_universe", "dollar_volume_weight", "simple_momentum", "xs_momentum", "risk_adjusted_momentum", "rsi_reversion", "short_term_reversal", "bollinger_reversion",
+    "squeeze_breakout", "quality_growth", "valuation_aware_growth", "fundamental_acceleration", "gross_profitability", "post_filing_drift", "research_intensity", "accrual_quality", "inverse_vol_basket",
+    "multi_horizon_momentum", "low_volatility", "market_neutral_momentum", "gaussian_bands", "gaussian_hold", "supertrend", "adx_strength", "atr_trailing_stop", "high_proximity", "quiet_trend", "volume_breakout",
+    "turn_of_month", "short_squeeze", "golden_cross",
+}
+
+
+def market(spark, d, *extra: str, stored: bool = True) -> Market:
+    panel, cal = masked_panel(spark, d, stored=stored)
     m = Market(panel, cal, fallback=FB, index=IX)
     makers = {"members": T.members, "macro": T.macro, "filings": T.fundamentals, "short": T.short_volume}
     for e in extra:
@@ -80,7 +89,7 @@ def market(spark, d, *extra: str) -> Market:
 def sig(key: str, name: str, sql: str | None, needs: tuple = (), **params):
     @query(key, "series_id:s date:d w:f", sql)
     def run(spark, d):
-        return SIGNALS[name](market(spark, d, *needs), **params)
+        return SIGNALS[name](market(spark, d, *needs, stored=name not in SINGLE_PASS), **params)
 
 
 sig("g1_buy_and_hold", "buy_and_hold", f"{MK}, out AS (SELECT series_id, date, 1e0 AS w FROM px WHERE series_id = 'Brand#3' AND adj_close IS NOT NULL)", series="Brand#3")

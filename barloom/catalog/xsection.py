@@ -13,7 +13,7 @@ from ..plans.signals import SIGNALS, Market
 from ..sources import tables as T
 from .base import ORACLES, QUERIES, W, lagx, query, roll, sql_panel
 from .panel import SQL_MACRO, SQL_MEMBERS, masked_panel
-from .signals import (BRD, BT1, FB, GATE, HELD, IX, IXT, MACD, MB, MK, ROOT, THEME, UP40, VT, Z, basket_cond, equal, latch, market, mom, own_return, roll as _r, sma, sql_cap)
+from .signals import (SINGLE_PASS, BRD, BT1, FB, GATE, HELD, IX, IXT, MACD, MB, MK, ROOT, THEME, UP40, VT, Z, basket_cond, equal, latch, market, mom, own_return, sma, sql_cap)
 
 RK = "(rank() OVER (PARTITION BY date ORDER BY {x}) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2e0) / count(*) OVER (PARTITION BY date)"
 
@@ -240,7 +240,7 @@ def w27(spark, d):
 def sig(key, name, sql=None, **params):
     @query(key, "series_id:s date:d w:f", sql)
     def run(spark, d):
-        return SIGNALS[name](market(spark, d), **params)
+        return SIGNALS[name](market(spark, d, stored=name not in SINGLE_PASS), **params)
 
 
 GA = f"{sql_gauss('px', 'adj_close', 12, 4)}, {ATR(8)}, ga AS MATERIALIZED (SELECT px.*, g3_y AS centre, tra_y AS atr FROM px JOIN g3 USING (series_id, pos) JOIN tra USING (series_id, pos))"

@@ -9,7 +9,6 @@ from ..functions import stats as S
 from ..functions.mathx import with_probabilistic_sharpe
 from ..operators import metrics as M
 from ..operators.ranking import stable_hash
-from ..session import materialize
 from .tables import week_of, table
 
 PERIODS = [("early", "1995-01-01", "1996-12-31"), ("mid", "1997-01-01", "1998-12-31"), ("bull", "1999-01-01", "1999-12-31"), ("ai_rally", "2000-01-01", "2001-12-31")]
@@ -51,9 +50,9 @@ def scenario_curves(curves: DataFrame) -> DataFrame:
     return x.withColumn("ret", F.col("ret") - F.col("_c")).drop("_c")
 
 
-def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested record per (strategy, scenario), two failed runs and an older cohort."""
-    c = scenario_curves(materialize(strategy_curves(spark, sf_dir), "curves")).withColumn("split", F.when(F.col("date") < F.to_date(F.lit(HOLDOUT_START)), "dev").otherwise("holdout"))
+def registry(curves: DataFrame) -> DataFrame:
+    """One nested record per (strategy, scenario), two failed runs and an older cohort. ``curves`` is read twice."""
+    c = scenario_curves(curves).withColumn("split", F.when(F.col("date") < F.to_date(F.lit(HOLDOUT_START)), "dev").otherwise("holdout"))
     ids = ["strategy", "family", "cls", "line", "scenario"]
     m = M.drawdowns(c, [*ids, "split"]).groupBy(*ids, "split").agg(S.sharpe("ret").alias("sharpe"), S.cagr("ret").alias("cagr"), M.max_drawdown().alias("max_drawdown"),
                                                                   (F.avg("turnover") * 252).alias("_to"), F.count("ret").alias("n"), F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_sd"),
