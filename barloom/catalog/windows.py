@@ -38,7 +38,7 @@ _simple("w13_percentile_rank", lambda: R.percentile_rank("ret", 52), f"""CASE WH
  (len(list_filter(list(ret) {W(52)}, lambda v: v < ret)) + (len(list_filter(list(ret) {W(52)}, lambda v: v = ret)) + 1) / 2e0) / 52e0 END""")
 _simple("w14_median_multiple", lambda: F.coalesce(F.col("px") > 1.1 * R.quantile("px", 52, 0.5), F.lit(False)).cast("double"),
         f"CAST(coalesce(px > 1.1 * ({roll('median', 'px', 52)}), FALSE) AS DOUBLE)")
-_simple("w29_running_equity", lambda: R.growth_path("ret"), f"exp(sum(ln(1 + coalesce(ret, 0))) {W(None)})")
+_simple("w29_running_equity", lambda: F.ln(R.growth_path("ret")), f"sum(ln(1 + coalesce(ret, 0))) {W(None)}")  # as log growth
 
 
 @query("w3_sma_distance", "series_id:s date:d sma:p above:b distance:f", f"""{BASE}, m AS (SELECT series_id, date, px, {roll('avg', 'px', 40)} AS sma FROM px),

@@ -67,19 +67,21 @@ def equal_risk_weights(panel: DataFrame, cal: DataFrame, freq: str, window: int,
     """
     cov = trailing_covariance(panel, cal, freq, window).select("stamp", "a", "b", "cov")
 
+    none = pd.DataFrame({"series_id": pd.Series(dtype=object), "date": pd.Series(dtype=object), "w": pd.Series(dtype=float)})
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
         if len(names) > max_names:
             raise ValueError(f"equal-risk weights take a basket of at most {max_names} names, got {len(names)}")
         if len(names) < 2:
-            return pd.DataFrame({"series_id": [], "date": [], "w": []})
+            return none
         ix = pd.Index(names)
         m = np.full((len(names), len(names)), np.nan)
         i, j = ix.get_indexer(pdf["a"]), ix.get_indexer(pdf["b"])
         m[i, j] = m[j, i] = pdf["cov"].to_numpy()
         m = 0.9 * m + 0.1 * np.diag(np.diag(m))
         if not np.isfinite(m).all():
-            return pd.DataFrame({"series_id": [], "date": [], "w": []})
+            return none
         return pd.DataFrame({"series_id": names, "date": pdf["stamp"].iloc[0], "w": risk_parity(m)})
 
     solved = cov.groupBy("stamp").applyInPandas(solve, "series_id string, date date, w double")

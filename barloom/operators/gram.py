@@ -96,7 +96,7 @@ def mean_corr(df: DataFrame, group: list[str], id_col: str, t_col: str, x_col: s
             rows.append(pd.DataFrame({"id": ia, "s": np.nansum(corr, axis=1), "k": np.full(len(ia), len(ib) - (bi == bj))}))
             if bi != bj:
                 rows.append(pd.DataFrame({"id": ib, "s": np.nansum(corr, axis=0), "k": np.full(len(ib), len(ia))}))
-        out = pd.concat(rows) if rows else pd.DataFrame({"id": [], "s": [], "k": []})
+        out = pd.concat(rows) if rows else pd.DataFrame({"id": pd.Series(dtype=object), "s": pd.Series(dtype=float), "k": pd.Series(dtype="int64")})
         for g, k in zip(group, key):
             out[g] = k
         return out[[*group, "id", "s", "k"]]
