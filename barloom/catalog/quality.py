@@ -25,7 +25,7 @@ gp AS (SELECT *, (SELECT count(*) FROM cal WHERE date BETWEEN lo AND hi) AS expe
 
 
 def dirty(spark, d):
-    b = T.bars(spark, d, "d").withColumns({"_n": T.brand_no(), "_d": F.dayofmonth("date")})
+    b = materialize(T.bars(spark, d, "d"), "bars").withColumns({"_n": T.brand_no(), "_d": F.dayofmonth("date")})
     at = lambda m, dd: (F.col("_n") % 6 == m) & (F.col("_d") == dd)
     bad = b.withColumns({"open": F.when(at(1, 13), -F.col("open")).otherwise(F.col("open")), "high": F.when(at(2, 7), F.col("low") * 0.9).otherwise(F.col("high")),
                          "close": F.when((F.col("_n") % 6 == 3) & (F.year("date") == 1998), F.lit(5e4)).otherwise(F.col("close"))})
@@ -52,7 +52,7 @@ chk AS (SELECT 'universe_coverage' AS "check", count(*) >= 10 AS ok, count(*) AS
 
 
 def checks(spark, d):
-    b = materialize(dirty(spark, d), "bars")
+    b = dirty(spark, d)
     uni = materialize(T.listing(spark, d), "listing")
     return Q.quality_gate(b, T.market_calendar(spark, d, "d"), uni, uni.select("series_id"), T.macro(spark, d), T.fundamentals(spark, d), ["Brand#1", "Brand#99"])
 

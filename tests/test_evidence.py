@@ -195,6 +195,25 @@ def test_ridge_scores_match_numpy(spark):
     assert checked > 100 and checked == got.notna().sum().sum()
 
 
+def test_blend_drifts_inside_the_month_and_tax_orders(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(0.001, 0.02, 60), rng.normal(0.0, 0.02, 60)
+    c = curve(spark, a, strategy="a").unionByName(curve(spark, b, strategy="b"))
+    mem = spark.createDataFrame([("m", "a", 0.5), ("m", "b", 0.5)], "blend string, strategy string, weight double")
+    got = B.blend(c, mem).toPandas().sort_values("date")["ret"].to_numpy()
+    idx = pd.bdate_range("2015-01-02", periods=60)
+    want = []
+    for _, m in pd.DataFrame({"a": a, "b": b}, index=idx).groupby(pd.Grouper(freq="ME")):
+        v = (1 + m).cumprod().mean(axis=1)
+        want += list(v / v.shift(1).fillna(1.0) - 1)
+    np.testing.assert_allclose(got, want, atol=1e-12)
+    up = curve(spark, np.full(900, 0.0005)).withColumn("turnover", F.lit(0.001))
+    lo, hi = (B.tax_overlay(up.withColumn("turnover", F.lit(t)), ["strategy"]).first() for t in (0.0005, 0.01))
+    deferred = B.tax_overlay(up, ["strategy"], deferred=True).first()
+    assert hi["after_tax_cagr"] < lo["after_tax_cagr"] < lo["pre_tax_cagr"]
+    assert hi["after_tax_cagr"] < deferred["after_tax_cagr"] < deferred["pre_tax_cagr"]
+
+
 def test_rank_refuses_mixed_modes(spark):
     met = "struct<sharpe:double,cagr:double,calmar:double,max_drawdown:double>"
     schema = f"strategy string, family string, scenario string, status string, data_mode string, universe_hash string, freeze_version string, timestamp timestamp, metrics_dev {met}, metrics_holdout {met}, psr_dev double, annual_turnover double, concentration struct<top_name_share:double>, spec struct<params:map<string,string>>, subperiods array<struct<period:string,sharpe:double>>"
