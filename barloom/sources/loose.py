@@ -63,7 +63,10 @@ def read_loose(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def flatten_chart(payload: DataFrame, body: str = "body") -> DataFrame:
-    """Parallel arrays of a chart payload (timestamps, quotes, adjusted close) to rows; rows without a close are dropped."""
+    """Parallel arrays of a chart payload (timestamps, quotes, adjusted close) to rows; rows without a close are dropped.
+
+    Dates are UTC days of the epoch seconds, whatever the session's time zone.
+    """
     schema = ("timestamp array<bigint>, quote struct<open array<double>, high array<double>, low array<double>, close array<double>, volume array<double>>, "
               "adjclose array<double>")
     p = payload.withColumn("_p", F.from_json(body, schema))
@@ -73,7 +76,7 @@ def flatten_chart(payload: DataFrame, body: str = "body") -> DataFrame:
     names = ["ts", "open", "high", "low", "close", "volume", "adj"]
     z = z.cast("array<struct<" + ",".join(f"{n}:{'bigint' if n == 'ts' else 'double'}" for n in names) + ">>")
     r = p.select("series_id", F.inline(z)).where("close is not null")
-    return r.select("series_id", F.to_date(F.timestamp_seconds("ts")).alias("date"), "open", "high", "low", "close",
+    return r.select("series_id", F.date_from_unix_date(F.floor(F.col("ts") / 86400).cast("int")).alias("date"), "open", "high", "low", "close",
                     F.coalesce("adj", "close").alias("adj_close"), "volume")
 
 
