@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, rules, sharding, token_counts
+from . import chat, licenses, rules, sharding, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,9 @@ def tokenizer_file(name: str) -> str:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
         return token_counts.count_tokens(table(spark, sf_dir, "documents"), f.read())
+
+
+@query("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
