@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, rules, sharding, simhash, token_counts
+from . import chat, licenses, mixing, rules, sharding, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,30 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op7_mixing",
+    rf"""
+WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM z GROUP BY source),
+ w AS (SELECT *, [5, 2, 1][(k - 1) % 3 + 1] AS w, 3 * n / [5, 2, 1][(k - 1) % 3 + 1] AS r FROM s),
+ t AS (SELECT CAST(sum(n) AS BIGINT) AS t FROM s),
+ l AS (SELECT max((t - coalesce((SELECT sum(3 * b.n) FROM w b WHERE (b.r, b.k) < (a.r, a.k)), 0)) / (SELECT sum(b.w) FROM w b WHERE (b.r, b.k) >= (a.r, a.k))) AS level FROM w a, t),
+ g AS (SELECT source, k, n, least(CAST(3 * n AS DOUBLE), level * w) AS target FROM w, l),
+ e AS (SELECT k FROM (SELECT k, target / (2 * j + 1) AS q, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, k) AS place FROM g, (SELECT unnest(range((t * 2 + {mixing.BLOCK}) // {2 * mixing.BLOCK})) AS j FROM t) WHERE target > 0), t WHERE place <= (t * 2 + {mixing.BLOCK}) // {2 * mixing.BLOCK}),
+ q AS (SELECT g.*, (SELECT count(*) FROM e WHERE e.k = g.k) AS blocks FROM g),
+ d AS (SELECT z.*, q.k, q.n, q.target, q.blocks, ('0x' || draw[1:15])::BIGINT % greatest(1, (t + {mixing.SHARD_WORDS - 1}) // {mixing.SHARD_WORDS}) AS shard FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source, t),
+ c AS (SELECT k, shard, any_value(blocks) AS blocks, CAST(sum(size) AS BIGINT) AS cell FROM d GROUP BY k, shard),
+ h AS (SELECT k, shard, count(*) AS quota FROM (SELECT k, shard, blocks, row_number() OVER (PARTITION BY k ORDER BY cell / (2 * j + 1) DESC, shard) AS place FROM (SELECT c.*, unnest(range(blocks)) AS j FROM c) WHERE cell > 0) WHERE place <= blocks GROUP BY k, shard),
+ f AS (SELECT c.k, c.shard, cell, least(coalesce(quota, 0) * {mixing.BLOCK}, 3 * cell) AS due,
+  ('0x' || md5('{mixing.SEED}|from|' || c.k || '|' || c.shard)[1:15])::BIGINT % greatest(1, (cell + {mixing.BLOCK - 1}) // {mixing.BLOCK}) * {mixing.BLOCK} AS start FROM c LEFT JOIN h ON c.k = h.k AND c.shard = h.shard),
+ o AS (SELECT d.*, f.cell, f.due, f.start, sum(size) OVER (PARTITION BY d.k, d.shard ORDER BY draw, size ROWS UNBOUNDED PRECEDING) AS stop FROM d JOIN f ON d.k = f.k AND d.shard = f.shard),
+ p AS (SELECT *, CASE WHEN cell > 0 THEN due // cell ELSE 0 END AS rounds FROM o), r AS (SELECT *, start + due - rounds * cell AS upto FROM p)
+SELECT doc_id, size, n AS source_size, round(target, 6) AS target,
+ CAST(rounds * size + greatest(least(stop, upto, cell) - greatest(stop - size, start), 0) + greatest(least(stop, upto - cell) - (stop - size), 0) AS BIGINT) AS taken FROM r
+""",
+)
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
