@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from barloom.session import materialize
 
 from .components import components
+from .groups import pairs, starts, whole_groups
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -107,26 +108,14 @@ def spanning(fps: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.n
 
 def compared(key: np.ndarray, fp: np.ndarray, resident: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between residents and visitors of each anchor; rows are sorted by anchor and anchors are whole."""
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, key.size])
-    pairs = np.add.reduceat(resident.astype(np.int64), start) * size
-    small = np.repeat(pairs <= AT_ONCE, size)
-    for g in np.flatnonzero(pairs > AT_ONCE):
+    start, size = starts(key)
+    dense = np.add.reduceat(resident.astype(np.int64), start) * size > AT_ONCE
+    for g in np.flatnonzero(dense):
         yield from spanning(np.unique(fp[start[g] : start[g] + size[g]]), threshold)
-    left = np.flatnonzero(resident & small)
-    first, many = np.repeat(start, size)[left], np.repeat(size, size)[left]
-    ends = np.cumsum(many)
-    k = 0
-    while k < left.size:
-        done = ends[k] - many[k]
-        to = max(k + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
-        n = many[k:to]
-        x = np.repeat(left[k:to], n)
-        y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[k:to], n)
+    for x, y in pairs(start, size, np.flatnonzero(resident & ~np.repeat(dense, size)), AT_ONCE):
         a, b = fp[x], fp[y]
         near = (differing(a, b) <= threshold) & (a != b)
         yield a[near], b[near]
-        k = to
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -145,28 +134,11 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at]), pa.array(own)], ["anchor", "fp", "resident"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out(rows):
-            for a, b in compared(*rows, threshold):
+        for rows in whole_groups(batches, 1):
+            for a, b in compared(*[c.to_numpy() for c in rows.columns], threshold):
                 if a.size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-        for batch in batches:
-            rows = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not rows[0].size:
-                continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on in the next batch
-            if held and held[0][0][0] == rows[0][-1]:
-                held.append(rows)
-                continue
-            whole = [np.concatenate(c) for c in zip(*held, tuple(c[:last] for c in rows), strict=True)]
-            if whole[0].size:
-                yield from out(whole)
-            held = [tuple(c[last:] for c in rows)]
-        if held:
-            yield from out([np.concatenate(c) for c in zip(*held, strict=True)])
-
     rows = fps.select("fp").mapInArrow(replicated, "anchor bigint, fp bigint, resident boolean")
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(met, "a bigint, b bigint")
 
