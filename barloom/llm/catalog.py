@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, rules, sharding, simhash, token_counts, vectors
+from . import chat, licenses, mixing, rules, sharding, simhash, token_counts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +166,8 @@ FROM embeddings e JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = e.ve
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
