@@ -24,7 +24,7 @@ from barloom.session import materialize
 WORDS = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: Voters, labelled rows that choose them, rows that the classifier is fitted on; the least toxic rows that a voter must hit.
-LEXICON, PATTERNS, SAMPLE, FIT, SUPPORT = 120, 60, 20_000, 50_000, 4
+LEXICON, PATTERNS, SAMPLE, FIT, SUPPORT = 96, 48, 20_000, 50_000, 4
 #: At most this share of a voter's hits among labelled rows may be clean ones.
 CLEAN = 0.05
 ROUNDS, THRESHOLD = 10, 0.3
