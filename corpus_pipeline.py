@@ -1,8 +1,65 @@
-"""Corpus pipeline: see STAGES."""
+"""Corpus pipeline: documents are cleaned, deduplicated, mixed and encoded; every stage is written and read again as the next one's input.
 
-STAGES = []
+Rejected rows go by an anti-join on their ids, so rows with a null id count as one document. No stage is expressible in SQL as a whole
+(the first two learn their models), so ORACLE_SQL is None and the tests compare the stages with plain versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.llm import mixing, pieces, rules, simhash, toxicity
+from barloom.llm.catalog import table, tokenizer_file
+from barloom.session import materialize
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    gone = bad.select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    return _without(docs, toxicity.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rule nor the learned rules reject."""
+    return _without(docs, rules.judge(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, in whole copies: its taken words over its size, to the nearest (0 to 3)."""
+    mixed = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
+    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each row of the mix, their digest, and whether they decode to the text."""
+    return pieces.digest(docs, pieces.load(tokenizer_file("piece_bpe_32k.model")), keep=("lang", "source", "n_chars"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_junk),
+    ("SimHash near-dedup", drop_copies),
+    ("source mixing", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
