@@ -4,8 +4,8 @@ Texts fall into units (blanks with the word after them) that no piece crosses. T
 lattice: their substrings of bounded length are exploded and joined to the piece table, the edges are grouped by unit, and a fold over
 them gives the pieces. A BPE model's best path is not the one of the highest score but what its merges make, so the fold
 takes the edges by rank and joins an edge's two symbols where exactly two are left between its ends; the state is one bit for each place
-between characters. Units too long for the bits of a long are merged by a queue. Units then go back to their texts: frequent ones by a broadcast
-of bounded size, the others by a join.
+between characters. Units too long for the bits of a long are merged by a queue. Frequent units pass the lattice once and reach their
+places by a broadcast of bounded size; every other unit passes it with its place.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import materialize
+from barloom.session import discard, materialize, store
 
 BLANK = "\u2581"
 LONGEST = 61
-#: Units of the broadcast dictionary; the others are joined.
+#: Units of the broadcast dictionary; each of the others goes through the lattice where it stands.
 FREQUENT = 300_000
+#: Units whose edges a task sorts, and units of a text that stay together.
+UNITS_IN_TASK, STRETCH = 30_000, 4096
 
 
 @dataclass(frozen=True)
@@ -80,22 +82,22 @@ def _back(a: Column, n: Column) -> Column:
     return F.call_function("shiftright", a, n.cast("int"))
 
 
-def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges): the pieces in each unit, sorted by rank, start and length; one number holds rank, start, length and id.
+def lattice(rows: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
+    """(*by, edges): the pieces in each row's ``unit``, sorted by rank, start and length; one number holds rank, start, length and id.
 
-    The piece table is broadcast, as large as the model. ``units`` are distinct and keep their partitioning, so grouping shuffles nothing more.
+    The piece table is broadcast, as large as the model. ``by`` names a row and holds the unit; rows that are already partitioned by some of it
+    stay where they are.
     """
-    spark = units.sparkSession
-    at = units.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
-    cut = at.select("unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("at") + 1))).alias("n"))
-    found = cut.select("unit", "at", "n", F.substring("unit", F.col("at"), F.col("n")).alias("piece")).join(F.broadcast(table(spark, pieces)), "piece", "left")
-    one = lambda x, by: F.col(x).cast("long") * (1 << by)
-    edge = one("rank", 42) + (F.col("at") - 1).cast("long") * (1 << 36) + one("n", 30) + F.col("id")
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    at = rows.select(*by, F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("from"))
+    cut = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("from") + 1))).alias("n"))
+    found = cut.select("*", F.substring("unit", F.col("from"), F.col("n")).alias("piece")).join(F.broadcast(table(rows.sparkSession, pieces)), "piece", "left")
+    one = lambda x, by: x.cast("long") * (1 << by)
+    edge = one(F.col("rank"), 42) + one(F.col("from") - 1, 36) + one(F.col("n"), 30) + F.col("id")
+    return found.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) from :func:`lattice`."""
+def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
+    """(*by, ids) from :func:`lattice`."""
     long = lambda x: F.lit(x).cast("long")
     start, length = lambda e: _back(e, F.lit(36)).bitwiseAND(long(63)), lambda e: _back(e, F.lit(30)).bitwiseAND(long(63))
     ident = lambda e: e.bitwiseAND(long((1 << 30) - 1)).cast("int")
@@ -108,8 +110,8 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
         return F.when((ends == 2) & (F.bit_count(inner) == 1), m.bitwiseAND(F.bitwise_not(_shift(inner, s + 1)))).otherwise(m)
 
     cut = F.aggregate(F.filter("edges", lambda e: length(e) > 1), _shift(long(1), size + 1) - 1, join)
-    done = edges.select("unit", "edges", cut.alias("cut"))
-    done = done.select("unit", "edges", F.filter(F.sequence(F.lit(0), size), lambda k: _back(F.col("cut"), k).bitwiseAND(long(1)) == 1).alias("ends"))
+    done = edges.select(*by, "edges", cut.alias("cut"))
+    done = done.select(*by, "edges", F.filter(F.sequence(F.lit(0), size), lambda k: _back(F.col("cut"), k).bitwiseAND(long(1)) == 1).alias("ends"))
     letters = lambda c: F.transform(F.filter(F.split(F.hex(c), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int") + pieces.byte_zero)
 
     def symbol(k: Column) -> Column:
@@ -117,7 +119,7 @@ def fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
         of = F.filter("edges", lambda e: (start(e) == a) & (length(e) == b - a))
         return F.when(F.size(of) > 0, F.array(ident(F.get(of, F.lit(0))))).otherwise(letters(F.substring("unit", a + 1, b - a)))
 
-    return done.select("unit", F.flatten(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), symbol)).alias("ids"))
+    return done.select(*by, F.flatten(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), symbol)).alias("ids"))
 
 
 def merge(unit: str, ranks: dict[str, tuple[int, int]], byte_zero: int) -> list[int]:
@@ -151,33 +153,35 @@ def reading(ids: Column, pieces: Pieces) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda k: F.get(reads, k)), "")), "UTF-8")
 
 
-def dictionary(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """(unit, many, ids) of every different unit of all texts, written to the shared folder. Units are counted before they are shuffled."""
-    unit = docs.select(F.explode(units_of(F.col(text), pieces)).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("many"))
-    unit = materialize(unit, "units")
-    short, long = unit.where(F.length("unit") <= LONGEST), unit.where(F.length("unit") > LONGEST)
-    shared = docs.sparkSession.sparkContext.broadcast(({p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero))
+def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, mark, at, unit, *shape) of every unit: of the frequent ones, of the others, and of those too long for the fold.
+
+    ``mark`` is the text's hash, which tells texts apart that share an id; ``shape`` is made of unit and ids. Units are counted over all texts. The
+    ``frequent`` most frequent ones go through the lattice once and are broadcast; each of the others goes through it with its place, dealt
+    out by document and stretch of it, so that no later step shuffles units again.
+    """
+    places = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.posexplode(units_of(F.col(text), pieces)).alias("at", "unit"))
+    spark, short = docs.sparkSession, F.length("unit") <= LONGEST
+    counts, path = store(places.where(short).groupBy("unit").agg(F.count(F.lit(1)).alias("many")), "units")
+    top = materialize(counts.orderBy(F.desc("many"), "unit").limit(frequent), "frequent")
+    left = (counts.agg(F.sum("many")).first()[0] or 0) - (top.agg(F.sum("many")).first()[0] or 0)
+    parts = 1 + left // UNITS_IN_TASK
+    words = materialize(fold(lattice(top.select("unit").repartition(1 + frequent // UNITS_IN_TASK, "unit"), pieces, ["unit"]), pieces, ["unit"]).select("unit", *shape), "words")
+    discard(spark, path)
+    keep = ["doc_id", "mark", "at", "unit"]
+    known = places.join(F.broadcast(words), "unit").select(*keep, *words.columns[1:])
+    by = ["doc_id", "mark", "stretch", "at", "unit"]
+    rest = places.where(short).join(F.broadcast(words.select("unit")), "unit", "left_anti").withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    rest = fold(lattice(rest.repartition(parts, "doc_id", "mark", "stretch"), pieces, by), pieces, by).select(*keep, *shape)
+    shared = spark.sparkContext.broadcast(({p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, zero = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([merge(u.as_py(), ranks, zero) for u in batch.column(0)], pa.list_(pa.int32()))], ["unit", "many", "ids"])
-
-    grouped = short.groupBy("unit").agg(F.sum("many").alias("many"))
-    folded = fold(lattice(grouped, pieces), pieces).join(grouped, "unit").select("unit", "many", "ids")
-    return materialize(folded.union(long.select("unit", "many").mapInArrow(merged, "unit string, many bigint, ids array<int>")), "dictionary")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([merge(u.as_py(), ranks, zero) for u in batch.column(3)], pa.list_(pa.int32()))], [*keep, "ids"])
 
-
-def attach(docs: DataFrame, words: DataFrame, pieces: Pieces, doc_id: str, text: str, carry: list[str], frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, mark, at, unit, *carry) of the units in the frequent part of the dictionary, and of the others, which are shuffled by unit.
-
-    ``mark`` is the text's hash, which tells texts apart that share an id.
-    """
-    frequent_words = materialize(words.orderBy(F.desc("many"), "unit").limit(frequent).select("unit", *carry), "frequent")
-    places = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.posexplode(units_of(F.col(text), pieces)).alias("at", "unit"))
-    known = places.join(F.broadcast(frequent_words), "unit")
-    rest = places.join(F.broadcast(frequent_words.select("unit")), "unit", "left_anti").join(words.select("unit", *carry), "unit")
-    return known, rest
+    far = places.where(~short).mapInArrow(merged, f"doc_id {dict(places.dtypes)['doc_id']}, mark bigint, at int, unit string, ids array<int>").select(*keep, *shape)
+    return known, rest, far
 
 
 def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list[str], *more: Column) -> DataFrame:
@@ -188,8 +192,8 @@ def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of each row. Null and empty texts have no ids; repeated rows stay repeated."""
-    known, rest = attach(docs, dictionary(docs, pieces, text), pieces, doc_id, text, ["ids"])
-    got = known.unionByName(rest).groupBy("doc_id", "mark").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("at", "ids")))).alias("all"))
+    known, rest, far = resolved(docs, pieces, doc_id, text, [F.col("ids")])
+    got = known.union(rest).union(far).groupBy("doc_id", "mark").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("at", "ids")))).alias("all"))
     got = got.select("doc_id", "mark", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
     return _back_to(docs, got, doc_id, text, []).select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
@@ -207,14 +211,13 @@ def digest(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     text, which a text that holds the blank's own mark can't. Null and empty texts have no tokens and pass; repeated rows stay repeated;
     other columns are ignored unless named in ``keep``; an empty table gives no rows.
     """
-    words = dictionary(docs, pieces, text)
     same = reading(F.col("ids"), pieces) == F.replace(F.col("unit"), F.lit(BLANK), F.lit(" "))
-    short = materialize(words.select("unit", "many", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), F.xxhash64("ids").alias("h"), same.alias("same")), "words")
-    known, rest = attach(docs, short, pieces, doc_id, text, ["n", "s", "h", "same"])
+    shape = [F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), F.xxhash64("ids").alias("h"), same.alias("same")]
+    known, rest, far = resolved(docs, pieces, doc_id, text, shape)
     mixed = F.shiftrightunsigned(F.xxhash64("h", "at"), 32)
     sums = [F.count_if(F.col("at") == 0).alias("copies"), F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n_tokens"), F.sum("s").alias("id_sum"), F.sum(mixed).alias("digest"), F.sum(F.length("unit")).alias("chars"), F.min("same").alias("same")]
     by = ["doc_id", "mark"]
-    got = known.groupBy(*by).agg(*sums).unionByName(rest.groupBy(*by).agg(*sums)).groupBy(*by)
+    got = known.groupBy(*by).agg(*sums).union(rest.groupBy(*by).agg(*sums)).union(far.groupBy(*by).agg(*sums)).groupBy(*by)
     got = got.agg(*[F.sum(c).alias(c) for c in ("copies", "n_units", "n_tokens", "id_sum", "digest", "chars")], F.min("same").alias("same"))
     size = F.coalesce(F.length(F.col(text)), F.lit(0))
     due = (size + F.when(size > 0, int(pieces.dummy)).otherwise(0)).alias("due")
