@@ -39,7 +39,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole copies: its taken words over its size, to the nearest (0 to 3)."""
-    mixed = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0")
+    mixed = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0").groupBy("mixed_id").agg(F.max("copies").alias("copies"))
     taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
