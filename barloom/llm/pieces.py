@@ -91,6 +91,8 @@ def lattice(rows: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
     at = rows.select(*by, F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("from"))
     cut = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("from") + 1))).alias("n"))
     found = cut.select("*", F.substring("unit", F.col("from"), F.col("n")).alias("piece")).join(F.broadcast(table(rows.sparkSession, pieces)), "piece", "left")
+    # What is no piece goes before the sort, but for one row of each unit.
+    found = found.where(F.col("id").isNotNull() | ((F.col("from") == 1) & (F.col("n") == 1)))
     one = lambda x, by: x.cast("long") * (1 << by)
     edge = one(F.col("rank"), 42) + one(F.col("from") - 1, 36) + one(F.col("n"), 30) + F.col("id")
     return found.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
