@@ -349,10 +349,10 @@ def a29(spark, d):
     return m
 
 
-@query("a30_pivot_table", "cls:s l1:f l2:f l3:f", f"""{SQL_CURVES}, t AS (SELECT cls, line, strategy, {SHARPE} AS s FROM cv WHERE family <> 'benchmark' GROUP BY 1, 2, 3), out AS (SELECT cls, avg(CASE WHEN line = 1 THEN s END) AS l1, avg(CASE WHEN line = 2 THEN s END) AS l2, avg(CASE WHEN line = 3 THEN s END) AS l3 FROM t GROUP BY 1)""")
+@query("a30_pivot_table", "cls:s l1:f l2:f l3:f l4:f l5:f l6:f l7:f", f"""{SQL_CURVES}, t AS (SELECT cls, line, strategy, {SHARPE} AS s FROM cv WHERE family <> 'benchmark' GROUP BY 1, 2, 3), out AS (SELECT cls, {', '.join(f'avg(CASE WHEN line = {k} THEN s END) AS l{k}' for k in range(1, 8))} FROM t GROUP BY 1)""")
 def a30(spark, d):
     t = active(spark, d).groupBy("cls", "line", "strategy").agg(S.sharpe("ret").alias("s"))
-    return t.groupBy("cls").pivot("line", [1, 2, 3]).agg(F.avg("s")).select("cls", F.col("1").alias("l1"), F.col("2").alias("l2"), F.col("3").alias("l3"))
+    return t.groupBy("cls").pivot("line", list(range(1, 8))).agg(F.avg("s")).select("cls", *[F.col(str(k)).alias(f"l{k}") for k in range(1, 8)])
 
 
 SQL_FOCUS = f"""{SQL_RANK}, tg AS (SELECT *, regexp_extract(strategy, 'basket=([^,)]+)', 1) AS bk, regexp_extract(strategy, 'ticker=([^,)]+)', 1) AS tk FROM ranked WHERE family <> 'benchmark'),
@@ -397,12 +397,12 @@ def j6(spark, d):
     return study.pending(plan, done)
 
 
-@query("j7_outer_align", "date:d growth:f value:f rotate:f n:i", f"""{SQL_CURVES}, x AS (SELECT date, family, ret FROM cv WHERE line = 3), out AS (SELECT date, max(CASE WHEN family = 'growth' THEN ret END) AS growth, max(CASE WHEN family = 'value' THEN ret END) AS value,
- max(CASE WHEN family = 'rotate' THEN ret END) AS rotate, count(*) AS n FROM x GROUP BY 1)""")
+@query("j7_outer_align", "line:i date:d growth:f value:f rotate:f n:i", f"""{SQL_CURVES}, x AS (SELECT line, date, family, ret FROM cv WHERE family <> 'benchmark'), out AS (SELECT line, date, max(CASE WHEN family = 'growth' THEN ret END) AS growth, max(CASE WHEN family = 'value' THEN ret END) AS value,
+ max(CASE WHEN family = 'rotate' THEN ret END) AS rotate, count(*) AS n FROM x GROUP BY 1, 2)""")
 def j7(spark, d):
-    x = active(spark, d).where("line = 3")
+    x = active(spark, d)
     at = lambda f: F.max(F.when(F.col("family") == f, F.col("ret"))).alias(f)
-    return x.groupBy("date").agg(at("growth"), at("value"), at("rotate"), F.count("*").alias("n"))
+    return x.groupBy("line", "date").agg(at("growth"), at("value"), at("rotate"), F.count("*").alias("n"))
 
 
 @query("j12_grid_scenarios", "strategy:s scenario:s fixed_bps:f n:i", f"""{SQL_CURVES}, g AS (SELECT DISTINCT strategy FROM cv), s AS (SELECT * FROM (VALUES ('zero', 0e0), ('low', 2e0), ('base', 5.5e0), ('stressed', 16e0)) v(scenario, fixed_bps)),

@@ -50,10 +50,10 @@ def k3(spark, d):
     return g.where("n > 1")
 
 
-@query("u1_union_by_name", "series_id:s date:d close:p share:f", f"""{BARS}, out AS (SELECT series_id, date, close, CAST(NULL AS DOUBLE) AS share FROM bars WHERE date < DATE '1997-01-01' UNION ALL SELECT series_id, date, NULL, volume / 1000 FROM bars WHERE date >= DATE '2001-01-01')""")
+@query("u1_union_by_name", "series_id:s date:d close:p share:f", f"""{BARS}, out AS (SELECT series_id, date, close, CAST(NULL AS DOUBLE) AS share FROM bars WHERE date < DATE '1997-01-01' UNION ALL SELECT series_id, date, NULL, volume / 1000 FROM bars WHERE date >= DATE '1997-01-01')""")
 def u1(spark, d):
     b = T.bars(spark, d)
-    return union_all([b.where("date < '1997-01-01'").select("series_id", "date", "close"), b.where("date >= '2001-01-01'").select("date", "series_id", (F.col("volume") / 1000).alias("share"))])
+    return union_all([b.where("date < '1997-01-01'").select("series_id", "date", "close"), b.where("date >= '1997-01-01'").select("date", "series_id", (F.col("volume") / 1000).alias("share"))])
 
 
 @query("u2_set_operations", "date:d kind:s", f"""w AS (SELECT DISTINCT {WK} AS date FROM lineitem), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders),

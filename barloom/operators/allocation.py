@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,29 +40,29 @@ def trailing_covariance(panel: DataFrame, cal: DataFrame, freq: str, window: int
 
 
 def risk_parity(cov: np.ndarray, iterations: int = 60, tol: float = 1e-8) -> np.ndarray:
-    """Risk-balanced weights by dividing repeatedly by the marginal risk, starting from equal weights.
+    """Fixed point of ``w ~ w / (cov w)`` from equal weights: all marginal risks become equal.
 
-    The rule is kept as published: its fixed point equalises marginal risks, and it stops after ``iterations`` rounds.
+    It ends when no weight moves by ``tol`` or after ``iterations`` rounds; a round without a positive finite sum gives equal weights.
     """
-    n = len(cov)
-    w = np.full(n, 1.0 / n)
-    for _ in range(iterations):
-        m = cov @ w
-        m[np.abs(m) < 1e-14] = 1e-14
-        nxt = w / m
-        total = nxt.sum()
-        if not np.isfinite(total) or total <= 0:
-            return np.full(n, 1.0 / n)
-        nxt = nxt / total
-        done = np.abs(nxt - w).max() < tol
-        w = nxt
-        if done:
+    equal = np.ones(len(cov)) / len(cov)
+
+    def step(w: np.ndarray) -> np.ndarray:
+        marginal = cov @ w
+        raw = w / np.where(np.abs(marginal) < 1e-14, 1e-14, marginal)
+        return raw / raw.sum() if np.isfinite(raw.sum()) and raw.sum() > 0 else np.full_like(w, np.nan)
+
+    path = itertools.accumulate(range(iterations), lambda w, _: step(w), initial=equal)
+    last = equal
+    for before, last in itertools.pairwise(path):
+        if not np.isfinite(last).all():
+            return equal
+        if np.abs(last - before).max() < tol:
             break
-    return w
+    return last
 
 
-def equal_risk_weights(panel: DataFrame, cal: DataFrame, freq: str, window: int, max_names: int = 512) -> DataFrame:
-    """Equal-risk-contribution weights per decision date over a basket (its size is checked against ``max_names``).
+def equal_risk_weights(panel: DataFrame, cal: DataFrame, freq: str, window: int) -> DataFrame:
+    """Equal-risk-contribution weights per decision date over a basket.
 
     The covariances are formed block by block; one task then solves one date from its basket-sized matrix. Dates without a
     usable covariance fall back to equal weights of the live names.
@@ -71,8 +73,6 @@ def equal_risk_weights(panel: DataFrame, cal: DataFrame, freq: str, window: int,
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
-        if len(names) > max_names:
-            raise ValueError(f"equal-risk weights take a basket of at most {max_names} names, got {len(names)}")
         if len(names) < 2:
             return none
         ix = pd.Index(names)

@@ -135,7 +135,8 @@ def next_session(dates: DataFrame, session_days: DataFrame) -> DataFrame:
     """The first session after each date, by one ordered pass over the union of both (dates are a bounded dimension)."""
     u = dates.select("date", F.lit(0).alias("s")).unionByName(session_days.select("date", F.lit(1).alias("s")))
     u = u.groupBy("date").agg(F.max("s").alias("s"), F.count_if(F.col("s") == 0).alias("asked"))
-    w = Window.orderBy(F.col("date")).rowsBetween(1, Window.unboundedFollowing)
+    # Descending, so that the frame grows with the rows and is not scanned anew for each.
+    w = Window.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
     u = u.withColumn("next_session", F.min(F.when(F.col("s") == 1, F.col("date"))).over(w))
     return u.where("asked > 0").select("date", "next_session", (F.col("s") == 1).alias("is_session"))
 

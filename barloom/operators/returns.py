@@ -176,9 +176,10 @@ def capacity(curves: DataFrame, ids: list[str], share: float = 0.8) -> DataFrame
     """Largest capital keeping ``share`` of the smallest capital's Sharpe under the base scenario, and the drag per size."""
     from ..functions import stats as S
 
-    zero = curves.where("scenario = 'zero'").groupBy(*ids, "capital").agg(S.cagr("ret").alias("zero_cagr"))
-    base = curves.where("scenario = 'base'").groupBy(*ids, "capital").agg(S.cagr("ret").alias("cagr"), S.sharpe("ret").alias("sharpe"))
-    x = base.join(zero, [*ids, "capital"]).withColumn("cost_drag", F.col("zero_cagr") - F.col("cagr"))
+    both = curves.where("scenario IN ('zero', 'base')").groupBy(*ids, "capital", "scenario").agg(S.cagr("ret").alias("cagr"), S.sharpe("ret").alias("sharpe"))
+    of = lambda c, s: F.max(F.when(F.col("scenario") == s, F.col(c)))
+    x = both.groupBy(*ids, "capital").agg(of("cagr", "zero").alias("zero_cagr"), of("cagr", "base").alias("cagr"), of("sharpe", "base").alias("sharpe"), F.count("*").alias("_both"))
+    x = x.where("_both = 2").drop("_both").withColumn("cost_drag", F.col("zero_cagr") - F.col("cagr"))
     w = Window.partitionBy(*ids)
     x = x.withColumn("_s0", F.min_by("sharpe", "capital").over(w))
     cap = F.max(F.when(F.col("sharpe") >= share * F.col("_s0"), F.col("capital"))).over(w)

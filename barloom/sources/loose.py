@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,13 +34,13 @@ def normalize_bars(df: DataFrame, key: str = "series_id", order: list[str] | Non
         raise ValueError("no close column")
     col = lambda name: F.col(f"`{name}`")
     text = col(date).cast("string")
-    d = F.coalesce(F.try_to_timestamp(text).cast("date"), F.to_date(F.substring(text, 1, 10)))
+    d = F.coalesce(F.try_to_timestamp(text).cast("date"), F.substring(text, 1, 10).try_cast("date"))
     num = {c: col(find(a)).cast("string").try_cast("double") if find(a) else None for c, a in ALIASES.items()}
     extra = [c for c in ("dividend", "split") if c in names]
     out = df.select(*([F.col(key)] if key in df.columns else []), d.alias("date"),
                     num["close"].alias("close"), *[(num[c] if num[c] is not None else num["close"]).alias(c) for c in ("open", "high", "low", "adj_close")],
                     (num["volume"] if num["volume"] is not None else F.lit(None).cast("double")).alias("volume"),
-                    *[col(names[c]).cast("double").alias(c) for c in extra], *([F.col(o) for o in order] if order else []))
+                    *[col(names[c]).cast("string").try_cast("double").alias(c) for c in extra], *([F.col(o) for o in order] if order else []))
     keys = [key] if key in df.columns else []
     w = Window.partitionBy(*keys, "date").orderBy(*(order or PRICES))
     out = out.where("date is not null").withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
@@ -57,7 +56,7 @@ def read_loose(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         df = reader.json(path)
     else:
         df = spark.read.parquet(path)
-    stem = F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z0-9]+)+$", 1))
+    stem = F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1))
     folder = F.upper(F.regexp_extract(F.input_file_name(), r"series_key=([^/]+)/", 1))
     return df.withColumn("series_id", F.when(folder != "", folder).otherwise(stem))
 
@@ -127,7 +126,8 @@ def parse_session_lines(lines: DataFrame, value: str = "value", header: str = "D
     r = lines.select(F.trim(at("Date")).alias("_d"), F.upper(F.trim(at("Symbol"))).alias("series_id"), num("ShortVolume").alias("short_volume"),
                      exempt.alias("short_exempt_volume"), num("TotalVolume").alias("total_volume"))
     r = r.where(F.col("_d").rlike(r"^\d{8}$") & (F.coalesce("series_id", F.lit("")) != "") & (F.col("total_volume") > 0))
-    return r.select(F.to_date("_d", "yyyyMMdd").alias("date"), "series_id", "short_volume", "short_exempt_volume", "total_volume")
+    day = F.concat_ws("-", F.substring("_d", 1, 4), F.substring("_d", 5, 2), F.substring("_d", 7, 2)).try_cast("date")
+    return r.select(day.alias("date"), "series_id", "short_volume", "short_exempt_volume", "total_volume").where("date IS NOT NULL")
 
 
 def short_share() -> Column:
@@ -146,13 +146,13 @@ def short_panel(rows: DataFrame, series: list[str]) -> DataFrame:
     return r.groupBy("date").pivot("series_id", series).agg(F.last("share"))
 
 
-def level_to_yoy(obs: DataFrame, lag: int = 12, level_above: float = 30.0) -> DataFrame:
-    """Series whose median exceeds ``level_above`` are index levels and become percent changes over ``lag`` rows."""
+def level_to_yoy(obs: DataFrame, lag: int = 12, level_above: float = 30.0, series: list[str] | None = None) -> DataFrame:
+    """Series (of those named, if any are) whose median exceeds ``level_above`` are index levels and become percent changes over ``lag`` rows."""
     x = obs.where("value is not null")
     med = F.percentile("value", F.lit(0.5)).over(Window.partitionBy("series"))
     prev = F.lag("value", lag).over(Window.partitionBy("series").orderBy("date"))
     x = x.withColumns({"_m": med, "_p": prev})
-    x = x.withColumn("value", F.when(F.col("_m") > level_above, (F.try_divide("value", "_p") - 1) * 100).otherwise(F.col("value")))
+    x = x.withColumn("value", F.when((F.col("_m") > level_above) & (F.col("series").isin(series) if series else F.lit(True)), (F.try_divide("value", "_p") - 1) * 100).otherwise(F.col("value")))
     return x.where("value is not null").drop("_m", "_p")
 
 
@@ -178,7 +178,3 @@ def checksum_report(files: DataFrame, manifest: DataFrame) -> DataFrame:
     x = manifest.join(got, "path", "full")
     why = F.when(F.col("_got").isNull(), F.lit("missing")).when(F.col("sha256").isNull(), F.lit("unlisted")).when(F.col("_got") != F.col("sha256"), F.lit("mismatch"))
     return x.select("path", why.alias("problem")).where("problem is not null")
-
-
-def union_by_name(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
