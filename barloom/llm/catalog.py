@@ -72,10 +72,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     def starts(t: licenses.Template) -> str:
-        return f"list_filter(range(0, len(w)), lambda s: {' AND '.join(f"w[s + {j + 1}] = '{x}'" for j, x in t.key_places())})"
+        return f"list_filter(range({-t.key_places()[0][0]}, len(w)), lambda s: {' AND '.join(f"w[s + {j + 1}] = '{x}'" for j, x in t.key_places())})"
 
     def cover(k: int, t: licenses.Template) -> str:
-        weight = " + ".join(f"CASE WHEN w[s + {j + 1}] = '{x}' THEN idf['{x}'] ELSE 0 END" for j, x in enumerate(t.words))
+        weight = " + ".join(f"CASE WHEN s + {j} >= 0 AND w[s + {j + 1}] = '{x}' THEN idf['{x}'] ELSE 0 END" for j, x in enumerate(t.words))
         return f"coalesce(list_max(list_transform(s{k}, lambda s: ({weight}) / ({' + '.join(f"idf['{x}']" for x in t.words)}))), 0)"
 
     ts = licenses.TEMPLATES

@@ -86,7 +86,7 @@ def _starts(t: Template, idf: dict[str, float]) -> Column:
     offset, rare = max(t.key_places(), key=lambda p: (idf[p[1]], p[1], -p[0]))
 
     def stands(s: Column) -> Column:
-        ok = s >= 0
+        ok = s >= -t.key_places()[0][0]  # words before the first key may be missing at the file's beginning
         for j, w in t.key_places():
             ok = ok & (lowered(F.get("w", s + j)) == w)
         return ok

@@ -57,7 +57,7 @@ def codes(unit: np.ndarray) -> np.ndarray:
             number = (number[:, :, None] * (2 * d) + (2 * near + (value > 0))[:, None, :]).reshape(n, -1)
             loss = (loss[:, :, None] + far[:, None, :]).reshape(n, -1)
         best = np.argsort(loss, axis=1, kind="stable")
-        best = best[:, np.arange(PROBES) % best.shape[1]]  # in very few dimensions probes repeat
+        best = best[:, np.arange(PROBES) % best.shape[1]]  # of very few dimensions there are fewer, so they repeat
         out[:, t] = np.take_along_axis(number, best, axis=1)
     return out
 
@@ -84,8 +84,8 @@ def links(points: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 2048):
-                batch = whole.slice(k, 2048)
+            for first in range(0, whole.num_rows, 2048):
+                batch = whole.slice(first, 2048)
                 size = np.array([len(v) for v in batch.column(3)])
                 for dim in np.unique(size):
                     rows = batch.filter(pa.array(size == dim))
@@ -93,10 +93,13 @@ def links(points: DataFrame, cosine: float = COSINE) -> DataFrame:
                     length = np.sqrt(np.einsum("ij,ij->i", v.astype(np.float64), v.astype(np.float64)))
                     of = codes(v / length[:, None])
                     bucket = (int(dim) << 40) + (np.arange(TABLES, dtype=np.int64)[None, :, None] << 32) + of
-                    n = TABLES * PROBES
-                    at = pa.array(np.repeat(np.arange(len(v)), n))
+                    new = np.ones(of.shape, dtype=bool)
+                    for k in range(1, PROBES):
+                        new[:, :, k] = (of[:, :, :k] != of[:, :, k : k + 1]).all(axis=2)
+                    new = np.flatnonzero(new)
+                    at = pa.array(new // (TABLES * PROBES))
                     packed = [pa.array([x.tobytes() for x in what], pa.binary()).take(at) for what in (v, of)]
-                    yield pa.RecordBatch.from_arrays([rows.column(2).take(at), pa.array(bucket.reshape(-1)), rows.column(0).take(at), rows.column(1).take(at), *packed], ["lab", "bucket", "node", "copies", "v", "of"])
+                    yield pa.RecordBatch.from_arrays([rows.column(2).take(at), pa.array(bucket.reshape(-1)[new]), rows.column(0).take(at), rows.column(1).take(at), *packed], ["lab", "bucket", "node", "copies", "v", "of"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, 2):
