@@ -5,7 +5,8 @@ lattice: their substrings of bounded length are exploded and joined to the piece
 them gives the pieces. A BPE model's best path is not the one of the highest score but what its merges make, so the fold
 takes the edges by rank and joins an edge's two symbols where exactly two are left between its ends; the state is one bit for each place
 between characters. Units too long for the bits of a long are merged by a queue. Frequent units pass the lattice once and reach their
-places by a broadcast of bounded size; every other unit passes it with its place.
+places by a broadcast of bounded size. The others are cut where no piece holds the two characters that meet, which no merge can cross;
+frequent parts are broadcast too, and every other part passes the lattice with its place.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,8 +24,10 @@ from barloom.session import discard, materialize, store
 
 BLANK = "\u2581"
 LONGEST = 61
-#: Units of the broadcast dictionary; each of the others goes through the lattice where it stands.
+#: Units, and again parts of the other units, in the broadcast dictionary; each other part goes through the lattice where it stands.
 FREQUENT = 300_000
+#: Prime and base of the digest of a unit's ids: sum of (id + 1) * BASE^start, so that the digests of parts add up to the unit's.
+PRIME, BASE = (1 << 31) - 1, 1_000_003
 #: Units whose edges a task sorts, and units of a text that stay together.
 UNITS_IN_TASK, STRETCH = 30_000, 4096
 
@@ -74,6 +78,20 @@ def units_of(text: Column, pieces: Pieces) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(BLANK if pieces.dummy else ""), marked), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def parts_of(unit: Column, pieces: Pieces) -> Column:
+    """A unit cut between characters that stand side by side in no piece."""
+    follow: dict[str, set[str]] = {}
+    for p, _, _ in pieces.rows:
+        for a, b in zip(p, p[1:], strict=False):
+            follow.setdefault(a, set()).add(b)
+    alike: dict[frozenset[str], list[str]] = {}
+    for a in sorted(follow, key=lambda a: -len(follow[a])):
+        alike.setdefault(frozenset(follow[a]), []).append(a)
+    some = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    held = "|".join(f"{some(a)}(?={some(b)})" for b, a in alike.items())
+    return F.regexp_extract_all(unit, F.lit(f"(?:{held})*+[\\s\\S]"), F.lit(0))
+
+
 def _shift(a: Column, n: Column) -> Column:
     return F.call_function("shiftleft", a, n.cast("int"))
 
@@ -99,33 +117,38 @@ def lattice(rows: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
 
 
 def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
-    """(*by, ids) from :func:`lattice`."""
+    """(*by, ids) from :func:`lattice`; ids are (id, start) in order, the bytes of a character that is no piece have its start.
+
+    The state is one bit for each place between characters. An edge joins its two symbols where its ends and just one place between are set;
+    it is in the result where only its ends are left.
+    """
     long = lambda x: F.lit(x).cast("long")
     start, length = lambda e: _back(e, F.lit(36)).bitwiseAND(long(63)), lambda e: _back(e, F.lit(30)).bitwiseAND(long(63))
-    ident = lambda e: e.bitwiseAND(long((1 << 30) - 1)).cast("int")
     size = F.length("unit")
+    span = lambda e: F.struct(_shift(_shift(long(2), length(e)) - 1, start(e)).alias("all"), _shift(_shift(long(1), length(e)) + 1, start(e)).alias("ends"), e.bitwiseAND(long((1 << 42) - 1)).alias("e"))
 
-    def join(m: Column, e: Column) -> Column:
-        s, n = start(e), length(e)
-        inner = _back(m, s + 1).bitwiseAND(_shift(long(1), n - 1) - 1)
-        ends = _back(m, s).bitwiseAND(long(1)) + _back(m, s + n).bitwiseAND(long(1))
-        return F.when((ends == 2) & (F.bit_count(inner) == 1), m.bitwiseAND(F.bitwise_not(_shift(inner, s + 1)))).otherwise(m)
+    def join(m: Column, x: Column) -> Column:
+        joins = (F.bit_count(m.bitwiseAND(x["all"])) == 3) & (m.bitwiseAND(x["ends"]) == x["ends"])
+        return F.when(joins, m.bitwiseAND(F.bitwise_not(x["all"])).bitwiseOR(x["ends"])).otherwise(m)
 
-    cut = F.aggregate(F.filter("edges", lambda e: length(e) > 1), _shift(long(1), size + 1) - 1, join)
-    done = edges.select(*by, "edges", cut.alias("cut"))
-    done = done.select(*by, "edges", F.filter(F.sequence(F.lit(0), size), lambda k: _back(F.col("cut"), k).bitwiseAND(long(1)) == 1).alias("ends"))
-    letters = lambda c: F.transform(F.filter(F.split(F.hex(c), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int") + pieces.byte_zero)
+    done = edges.select(*by, F.transform("edges", span).alias("edges"))
+    done = done.select(*by, "edges", F.aggregate("edges", _shift(long(1), size + 1) - 1, join).alias("cut"))
+    done = done.select(*by, "cut", F.sort_array(F.transform(F.filter("edges", lambda x: F.col("cut").bitwiseAND(x["all"]) == x["ends"]), lambda x: x["e"])).alias("left"))
+    token = lambda i, at: F.struct(i.cast("int").alias("id"), at.cast("int").alias("start"))
+    ident = lambda e: e.bitwiseAND(long((1 << 30) - 1))
 
     def symbol(k: Column) -> Column:
-        a, b = F.get("ends", k), F.get("ends", k + 1)
-        of = F.filter("edges", lambda e: (start(e) == a) & (length(e) == b - a))
-        return F.when(F.size(of) > 0, F.array(ident(F.get(of, F.lit(0))))).otherwise(letters(F.substring("unit", a + 1, b - a)))
+        of = F.filter("left", lambda e: start(e) == k)
+        letters = F.transform(F.filter(F.split(F.hex(F.substring("unit", k + 1, F.lit(1))), "(?<=\\G..)"), lambda h: h != ""), lambda h: token(F.conv(h, 16, 10).cast("int") + pieces.byte_zero, k))
+        return F.when(F.size(of) > 0, F.transform(of, lambda e: token(ident(e), k))).otherwise(letters)
 
-    return done.select(*by, F.flatten(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), symbol)).alias("ids"))
+    begins = F.filter(F.sequence(F.lit(0), size - 1), lambda k: _back(F.col("cut"), k).bitwiseAND(long(1)) == 1)
+    whole = F.size("left") == F.bit_count("cut") - 1
+    return done.select(*by, F.when(whole, F.transform("left", lambda e: token(ident(e), start(e)))).otherwise(F.flatten(F.transform(begins, symbol))).alias("ids"))
 
 
-def merge(unit: str, ranks: dict[str, tuple[int, int]], byte_zero: int) -> list[int]:
-    """Ids of a unit of any length by a queue of the pairs that make a piece, the best rank and then the leftmost first."""
+def merge(unit: str, ranks: dict[str, tuple[int, int]], byte_zero: int) -> list[tuple[int, int]]:
+    """(id, start) of a unit of any length by a queue of the pairs that make a piece, the best rank and then the leftmost first."""
     parts, size = list(unit), len(unit)
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
     queue: list[tuple[int, int, str, str]] = []
@@ -146,7 +169,7 @@ def merge(unit: str, ranks: dict[str, tuple[int, int]], byte_zero: int) -> list[
             before[after[n]] = k
         offer(before[k], k)
         offer(k, after[k])
-    return [i for p in parts if p for i in ([ranks[p][1]] if p in ranks else [byte_zero + b for b in p.encode()])]
+    return [(i, k) for k, p in enumerate(parts) if p for i in ([ranks[p][1]] if p in ranks else [byte_zero + b for b in p.encode()])]
 
 
 def reading(ids: Column, pieces: Pieces) -> Column:
@@ -155,35 +178,57 @@ def reading(ids: Column, pieces: Pieces) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda k: F.get(reads, k)), "")), "UTF-8")
 
 
-def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, mark, at, unit, *shape) of every unit: of the frequent ones, of the others, and of those too long for the fold.
+def _placed_parts(rows: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
+    """(*keep, off, part) of each row's ``unit``: its parts and where in it they start."""
+    cut = rows.select(*keep, parts_of(F.col("unit"), pieces).alias("parts"))
+    off = lambda k: F.aggregate(F.slice("parts", 1, k), F.lit(0), lambda a, x: a + F.length(x))
+    return cut.select(*keep, F.inline(F.transform("parts", lambda x, k: F.struct(off(k).alias("off"), x.alias("part")))))
+
+
+def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], frequent: int = FREQUENT) -> list[DataFrame]:
+    """(doc_id, mark, at, off, unit, *shape) of every unit or part of it: of frequent units, of frequent parts and the rest, and of units too
+    long for the fold, if there are any.
 
     ``mark`` is the text's hash, which tells texts apart that share an id; ``shape`` is made of unit and ids. Units are counted over all texts. The
-    ``frequent`` most frequent ones go through the lattice once and are broadcast; each of the others goes through it with its place, dealt
-    out by document and stretch of it, so that no later step shuffles units again.
+    ``frequent`` most frequent ones, and of the parts of the others as many, go through the lattice once and are broadcast; each part that is left
+    goes through it with its place, dealt out by document and stretch of it, so that no later step shuffles units again.
     """
     places = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.posexplode(units_of(F.col(text), pieces)).alias("at", "unit"))
     spark, short = docs.sparkSession, F.length("unit") <= LONGEST
-    counts, path = store(places.where(short).groupBy("unit").agg(F.count(F.lit(1)).alias("many")), "units")
-    top = materialize(counts.orderBy(F.desc("many"), "unit").limit(frequent), "frequent")
-    left = (counts.agg(F.sum("many")).first()[0] or 0) - (top.agg(F.sum("many")).first()[0] or 0)
-    parts = 1 + left // UNITS_IN_TASK
-    words = materialize(fold(lattice(top.select("unit").repartition(1 + frequent // UNITS_IN_TASK, "unit"), pieces, ["unit"]), pieces, ["unit"]).select("unit", *shape), "words")
+    counts, path = store(places.groupBy(F.when(short, F.col("unit")).alias("unit")).agg(F.count(F.lit(1)).alias("many")), "units")
+    top = materialize(counts.where("unit IS NOT NULL").orderBy(F.desc("many"), "unit").limit(frequent).select("unit"), "frequent")
+    others = counts.where("unit IS NOT NULL").join(F.broadcast(top), "unit", "left_anti")
+    others = _placed_parts(others, pieces, ["many"]).groupBy(F.col("part").alias("unit")).agg(F.sum("many").alias("many"))
+    others, parts_path = store(others.join(F.broadcast(top), "unit", "left_anti"), "parts")
+    more = materialize(others.orderBy(F.desc("many"), "unit").limit(frequent), "frequent-parts")
+    left = (others.agg(F.sum("many")).first()[0] or 0) - (more.agg(F.sum("many")).first()[0] or 0)
+    far = counts.where("unit IS NULL").count() > 0
+    once = top.union(more.select("unit")).repartition(1 + 2 * frequent // UNITS_IN_TASK, "unit")
+    words = materialize(fold(lattice(once, pieces, ["unit"]), pieces, ["unit"]).select("unit", *shape), "words")
     discard(spark, path)
-    keep = ["doc_id", "mark", "at", "unit"]
-    known = places.join(F.broadcast(words), "unit").select(*keep, *words.columns[1:])
-    by = ["doc_id", "mark", "stretch", "at", "unit"]
-    rest = places.where(short).join(F.broadcast(words.select("unit")), "unit", "left_anti").withColumn("stretch", F.floor(F.col("at") / STRETCH))
-    rest = fold(lattice(rest.repartition(parts, "doc_id", "mark", "stretch"), pieces, by), pieces, by).select(*keep, *shape)
+    discard(spark, parts_path)
+    place = ["doc_id", "mark", "at"]
+    keep, names = [*place, "off", "unit"], words.columns[1:]
+    known = places.join(F.broadcast(words), "unit").select(*place, F.lit(0).alias("off"), "unit", *names)
+    parts = places.where(short).join(F.broadcast(words.select("unit")), "unit", "left_anti")
+    parts = _placed_parts(parts, pieces, place).withColumnRenamed("part", "unit")
+    found = parts.join(F.broadcast(words), "unit").select(*keep, *names)
+    by = ["doc_id", "mark", "stretch", "at", "off", "unit"]
+    rest = parts.join(F.broadcast(words.select("unit")), "unit", "left_anti").withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    rest = fold(lattice(rest.repartition(1 + left // UNITS_IN_TASK, "doc_id", "mark", "stretch"), pieces, by), pieces, by).select(*keep, *shape)
+    if not far:
+        return [known, found, rest]
     shared = spark.sparkContext.broadcast(({p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero))
+    kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32())]))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, zero = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([merge(u.as_py(), ranks, zero) for u in batch.column(3)], pa.list_(pa.int32()))], [*keep, "ids"])
+            ids = [[{"id": i, "start": k} for i, k in merge(u.as_py(), ranks, zero)] for u in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, kind)], [*place, "unit", "ids"])
 
-    far = places.where(~short).mapInArrow(merged, f"doc_id {dict(places.dtypes)['doc_id']}, mark bigint, at int, unit string, ids array<int>").select(*keep, *shape)
-    return known, rest, far
+    long = places.where(~short).mapInArrow(merged, f"doc_id {dict(places.dtypes)['doc_id']}, mark bigint, at int, unit string, ids array<struct<id:int,start:int>>")
+    return [known, found, rest, long.select(*place, F.lit(0).alias("off"), "unit", *shape)]
 
 
 def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list[str], *more: Column) -> DataFrame:
@@ -194,8 +239,8 @@ def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of each row. Null and empty texts have no ids; repeated rows stay repeated."""
-    known, rest, far = resolved(docs, pieces, doc_id, text, [F.col("ids")])
-    got = known.union(rest).union(far).groupBy("doc_id", "mark").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("at", "ids")))).alias("all"))
+    some = resolved(docs, pieces, doc_id, text, [F.col("ids")["id"].alias("ids")])
+    got = reduce(DataFrame.union, some).groupBy("doc_id", "mark").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("at", "off", "ids")))).alias("all"))
     got = got.select("doc_id", "mark", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
     return _back_to(docs, got, doc_id, text, []).select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
@@ -213,17 +258,21 @@ def digest(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     text, which a text that holds the blank's own mark can't. Null and empty texts have no tokens and pass; repeated rows stay repeated;
     other columns are ignored unless named in ``keep``; an empty table gives no rows.
     """
-    same = reading(F.col("ids"), pieces) == F.replace(F.col("unit"), F.lit(BLANK), F.lit(" "))
-    shape = [F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"), F.xxhash64("ids").alias("h"), same.alias("same")]
-    known, rest, far = resolved(docs, pieces, doc_id, text, shape)
-    mixed = F.shiftrightunsigned(F.xxhash64("h", "at"), 32)
-    sums = [F.count_if(F.col("at") == 0).alias("copies"), F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n_tokens"), F.sum("s").alias("id_sum"), F.sum(mixed).alias("digest"), F.sum(F.length("unit")).alias("chars"), F.min("same").alias("same")]
+    same = reading(F.col("ids")["id"], pieces) == F.replace(F.col("unit"), F.lit(BLANK), F.lit(" "))
+    zero, prime, powers = F.lit(0).cast("long"), F.lit(PRIME).cast("long"), F.array(*[F.lit(pow(BASE, k, PRIME)).cast("long") for k in range(LONGEST)])
+    power = lambda k: F.get(powers, k % LONGEST)
+    hashed = F.aggregate("ids", zero, lambda a, x: F.pmod(a + (x["id"] + 1) * power(x["start"]), prime))
+    shape = [F.size("ids").alias("n"), F.aggregate("ids", zero, lambda a, x: a + x["id"]).alias("s"), hashed.alias("h"), same.alias("same")]
+    some = resolved(docs, pieces, doc_id, text, shape)
+    mixed = F.pmod(F.pmod(F.col("h") * power(F.col("off")), prime) * F.shiftrightunsigned(F.xxhash64("at"), 33), prime)
+    sums = [F.count_if((F.col("at") == 0) & (F.col("off") == 0)).alias("copies"), F.count_if(F.col("off") == 0).alias("n_units"), F.sum("n").alias("n_tokens"), F.sum("s").alias("id_sum"), F.sum(mixed).alias("digest"), F.sum(F.length("unit")).alias("chars"), F.min("same").alias("same")]
     by = ["doc_id", "mark"]
-    got = known.groupBy(*by).agg(*sums).union(rest.groupBy(*by).agg(*sums)).union(far.groupBy(*by).agg(*sums)).groupBy(*by)
+    got = reduce(DataFrame.union, [one.groupBy(*by).agg(*sums) for one in some]).groupBy(*by)
     got = got.agg(*[F.sum(c).alias(c) for c in ("copies", "n_units", "n_tokens", "id_sum", "digest", "chars")], F.min("same").alias("same"))
     size = F.coalesce(F.length(F.col(text)), F.lit(0))
     due = (size + F.when(size > 0, int(pieces.dummy)).otherwise(0)).alias("due")
     rows = _back_to(docs, got, doc_id, text, list(keep), due, F.coalesce(F.contains(F.col(text), F.lit(BLANK)), F.lit(False)).alias("marked"))
     each = lambda c: F.coalesce(F.expr(f"{c} div copies"), F.lit(0)).cast("long")
+    # The sum is taken modulo the prime after the division by copies, so that it doesn't depend on how units were cut.
     trip = F.coalesce("same", F.lit(True)) & (each("chars") == F.col("due")) & ~F.col("marked")
-    return rows.select("doc_id", *keep, *[each(c).alias(c) for c in ("n_units", "n_tokens", "id_sum", "digest")], trip.alias("round_trip"))
+    return rows.select("doc_id", *keep, *[each(c).alias(c) for c in ("n_units", "n_tokens", "id_sum")], F.pmod(each("digest"), prime).alias("digest"), trip.alias("round_trip"))
