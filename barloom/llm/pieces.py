@@ -88,7 +88,14 @@ def parts_of(unit: Column, pieces: Pieces) -> Column:
     for a in sorted(follow, key=lambda a: -len(follow[a])):
         alike.setdefault(frozenset(follow[a]), []).append(a)
     some = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
-    held = "|".join(f"{some(a)}(?={some(b)})" for b, a in alike.items())
+    # A character is looked for among those of its kind only.
+    kinds: dict[int, list[str]] = {}
+    for b, chars in alike.items():
+        for kind in (0, 1, 2):
+            if mine := [c for c in chars if kind == (0 if c.islower() and c.isascii() else 1 if c.isascii() else 2)]:
+                kinds.setdefault(kind, []).append(f"{some(mine)}(?={some(b)})")
+    low, ascii_, wide = ("|".join(kinds.get(k, ["(?!)"])) for k in (0, 1, 2))
+    held = f"(?=[a-z])(?:{low})|(?=[\\x00-`{{-\\x7f])(?:{ascii_})|(?=[^\\x00-\\x7f])(?:{wide})"
     return F.regexp_extract_all(unit, F.lit(f"(?:{held})*+[\\s\\S]"), F.lit(0))
 
 
@@ -211,7 +218,7 @@ def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: lis
     keep, names = [*place, "off", "unit"], words.columns[1:]
     known = places.join(F.broadcast(words), "unit").select(*place, F.lit(0).alias("off"), "unit", *names)
     parts = places.where(short).join(F.broadcast(words.select("unit")), "unit", "left_anti")
-    parts = _placed_parts(parts, pieces, place).withColumnRenamed("part", "unit")
+    parts = materialize(_placed_parts(parts, pieces, place).withColumnRenamed("part", "unit"), "places")
     found = parts.join(F.broadcast(words), "unit").select(*keep, *names)
     by = ["doc_id", "mark", "stretch", "at", "off", "unit"]
     rest = parts.join(F.broadcast(words.select("unit")), "unit", "left_anti").withColumn("stretch", F.floor(F.col("at") / STRETCH))
