@@ -46,6 +46,12 @@ class Pieces:
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
 
+    @property
+    def singles(self) -> list[str]:
+        """The id of each character that is a piece, at its code point; else -1."""
+        known = {ord(p): str(k) for p, k, _ in self.rows if len(p) == 1}
+        return [known.get(c, "-1") for c in range(max(known, default=0) + 1)]
+
 
 def load(path: str) -> Pieces:
     """Read a .model file; only BPE models with byte fallback and no normalization rules are known here."""
@@ -108,19 +114,21 @@ def _back(a: Column, n: Column) -> Column:
 
 
 def lattice(rows: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
-    """(*by, edges): the pieces in each row's ``unit``, sorted by rank, start and length; one number holds rank, start, length and id.
+    """(*by, edges): the pieces of two and more characters in each row's ``unit``, sorted by rank, start and length; one number holds rank,
+    start, length and id.
 
     The piece table is broadcast, as large as the model. ``by`` names a row and holds the unit; rows that are already partitioned by some of it
-    stay where they are.
+    stay where they are. Rows are numbered in place, so that the sort by which they are grouped finds them in order.
     """
-    at = rows.select(*by, F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("from"))
-    cut = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("unit") - F.col("from") + 1))).alias("n"))
+    at = rows.select(F.monotonically_increasing_id().alias("row"), *by).select("*", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("from"))
+    least = F.when(F.col("from") == 1, 1).otherwise(2)
+    cut = at.where((F.col("from") == 1) | (F.col("from") < F.length("unit"))).select("*", F.explode(F.sequence(least, F.least(F.lit(pieces.longest), F.length("unit") - F.col("from") + 1))).alias("n"))
     found = cut.select("*", F.substring("unit", F.col("from"), F.col("n")).alias("piece")).join(F.broadcast(table(rows.sparkSession, pieces)), "piece", "left")
     # What is no piece goes before the sort, but for one row of each unit.
-    found = found.where(F.col("id").isNotNull() | ((F.col("from") == 1) & (F.col("n") == 1)))
+    found = found.where(F.col("id").isNotNull() | (F.col("n") == 1))
     one = lambda x, by: x.cast("long") * (1 << by)
-    edge = one(F.col("rank"), 42) + one(F.col("from") - 1, 36) + one(F.col("n"), 30) + F.col("id")
-    return found.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = F.when(F.col("n") > 1, one(F.col("rank"), 42) + one(F.col("from") - 1, 36) + one(F.col("n"), 30) + F.col("id"))
+    return found.groupBy("row", *by).agg(F.sort_array(F.collect_list(edge)).alias("edges")).drop("row")
 
 
 def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
@@ -143,15 +151,20 @@ def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
     done = done.select(*by, "cut", F.sort_array(F.transform(F.filter("edges", lambda x: F.col("cut").bitwiseAND(x["all"]) == x["ends"]), lambda x: x["e"])).alias("left"))
     token = lambda i, at: F.struct(i.cast("int").alias("id"), at.cast("int").alias("start"))
     ident = lambda e: e.bitwiseAND(long((1 << 30) - 1))
+    # In order of place and byte: start, byte and id in one number.
+    code = lambda k, j, i: _shift(k.cast("long"), F.lit(40)) + _shift(j.cast("long"), F.lit(32)) + i.cast("long")
+    alone = F.split(F.lit(",".join(pieces.singles)), ",").cast("array<int>")
 
     def symbol(k: Column) -> Column:
-        of = F.filter("left", lambda e: start(e) == k)
-        letters = F.transform(F.filter(F.split(F.hex(F.substring("unit", k + 1, F.lit(1))), "(?<=\\G..)"), lambda h: h != ""), lambda h: token(F.conv(h, 16, 10).cast("int") + pieces.byte_zero, k))
-        return F.when(F.size(of) > 0, F.transform(of, lambda e: token(ident(e), k))).otherwise(letters)
+        char = F.substring("unit", k + 1, F.lit(1))
+        letters = F.filter(F.split(F.hex(char), "(?<=\\G..)"), lambda h: h != "")
+        of = F.get(alone, F.ascii(char))
+        return F.when(of >= 0, F.array(code(k, F.lit(0), of))).otherwise(F.transform(letters, lambda h, j: code(k, j, F.conv(h, 16, 10).cast("int") + pieces.byte_zero)))
 
-    begins = F.filter(F.sequence(F.lit(0), size - 1), lambda k: _back(F.col("cut"), k).bitwiseAND(long(1)) == 1)
+    single = F.filter(F.sequence(F.lit(0), size - 1), lambda k: _back(F.col("cut"), k).bitwiseAND(long(3)) == 3)
+    mixed = F.sort_array(F.concat(F.transform("left", lambda e: code(start(e), F.lit(0), ident(e))), F.flatten(F.transform(single, symbol))))
     whole = F.size("left") == F.bit_count("cut") - 1
-    return done.select(*by, F.when(whole, F.transform("left", lambda e: token(ident(e), start(e)))).otherwise(F.flatten(F.transform(begins, symbol))).alias("ids"))
+    return done.select(*by, F.when(whole, F.transform("left", lambda e: token(ident(e), start(e)))).otherwise(F.transform(mixed, lambda c: token(c.bitwiseAND(long((1 << 32) - 1)), _back(c, F.lit(40))))).alias("ids"))
 
 
 def merge(unit: str, ranks: dict[str, tuple[int, int]], byte_zero: int) -> list[tuple[int, int]]:
@@ -200,7 +213,9 @@ def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: lis
     ``frequent`` most frequent ones, and of the parts of the others as many, go through the lattice once and are broadcast; each part that is left
     goes through it with its place, dealt out by document and stretch of it, so that no later step shuffles units again.
     """
-    places = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.posexplode(units_of(F.col(text), pieces)).alias("at", "unit"))
+    # The hash is taken once a text, below the explode.
+    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    places = marked.select("doc_id", "mark", F.posexplode(units_of(F.col("text"), pieces)).alias("at", "unit"))
     spark, short = docs.sparkSession, F.length("unit") <= LONGEST
     counts, path = store(places.groupBy(F.when(short, F.col("unit")).alias("unit")).agg(F.count(F.lit(1)).alias("many")), "units")
     top = materialize(counts.where("unit IS NOT NULL").orderBy(F.desc("many"), "unit").limit(frequent).select("unit"), "frequent")
