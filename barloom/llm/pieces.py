@@ -205,13 +205,14 @@ def _placed_parts(rows: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame
     return cut.select(*keep, F.inline(F.transform("parts", lambda x, k: F.struct(off(k).alias("off"), x.alias("part")))))
 
 
-def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], frequent: int = FREQUENT) -> list[DataFrame]:
-    """(doc_id, mark, at, off, unit, *shape) of every unit or part of it: of frequent units, of frequent parts and the rest, and of units too
-    long for the fold, if there are any.
-
-    ``mark`` is the text's hash, which tells texts apart that share an id; ``shape`` is made of unit and ids. Units are counted over all texts. The
-    ``frequent`` most frequent ones, and of the parts of the others as many, go through the lattice once and are broadcast; each part that is left
-    goes through it with its place, dealt out by document and stretch of it, so that no later step shuffles units again.
+def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], sums: list[Column], frequent: int = FREQUENT) -> list[DataFrame]:
+    """(doc_id, mark, *sums) over frequent units, frequent parts of the others, the rest, and units too long for the fold, if there are any.
+
+    ``mark`` is the text's hash, which tells texts apart that share an id; ``shape`` is made of unit and ids, and its first column is never null;
+    ``sums`` are aggregates of at, off, unit, times and the shape, where ``times`` tells how many copies of a text a row stands for. Units are
+    counted over all texts. The ``frequent`` most frequent ones, and of the parts of the others as many, go through the lattice once and are
+    broadcast. One pass over the texts sums up the known units and sets the others aside with their places; of their parts each that is still left
+    goes through the lattice with its place, dealt out by document and stretch of it, so that no later step shuffles units again.
     """
     # The hash is taken once a text, below the explode.
     marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
@@ -229,28 +230,31 @@ def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: lis
     words = materialize(fold(lattice(once, pieces, ["unit"]), pieces, ["unit"]).select("unit", *shape), "words")
     discard(spark, path)
     discard(spark, parts_path)
-    place = ["doc_id", "mark", "at"]
-    keep, names = [*place, "off", "unit"], words.columns[1:]
-    known = places.join(F.broadcast(words), "unit").select(*place, F.lit(0).alias("off"), "unit", *names)
-    parts = places.where(short).join(F.broadcast(words.select("unit")), "unit", "left_anti")
-    parts = materialize(_placed_parts(parts, pieces, place).withColumnRenamed("part", "unit"), "places")
+    one, place, names = ["doc_id", "mark"], ["doc_id", "mark", "at", "times"], words.columns[1:]
+    met = places.join(F.broadcast(words), "unit", "left").withColumns({"off": F.lit(0), "times": F.lit(1), "aside": F.when(F.col(names[0]).isNull(), F.struct("at", "unit"))})
+    met = materialize(met.groupBy(*one, "aside").agg(F.count(F.lit(1)).alias("many"), *sums), "met")
+    known = met.where("aside IS NULL").drop("aside", "many")
+    aside = met.where("aside IS NOT NULL").select(*one, "aside.at", F.col("many").alias("times"), "aside.unit")
+    keep = [*place, "off", "unit"]
+    parts = materialize(_placed_parts(aside.where(short), pieces, place).withColumnRenamed("part", "unit"), "places")
     found = parts.join(F.broadcast(words), "unit").select(*keep, *names)
-    by = ["doc_id", "mark", "stretch", "at", "off", "unit"]
+    by = ["doc_id", "mark", "stretch", "at", "times", "off", "unit"]
     rest = parts.join(F.broadcast(words.select("unit")), "unit", "left_anti").withColumn("stretch", F.floor(F.col("at") / STRETCH))
     rest = fold(lattice(rest.repartition(1 + left // UNITS_IN_TASK, "doc_id", "mark", "stretch"), pieces, by), pieces, by).select(*keep, *shape)
+    total = lambda some: some.groupBy(*one).agg(*sums)
     if not far:
-        return [known, found, rest]
+        return [known, total(found), total(rest)]
     shared = spark.sparkContext.broadcast(({p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero))
     kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32())]))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, zero = shared.value
         for batch in batches:
-            ids = [[{"id": i, "start": k} for i, k in merge(u.as_py(), ranks, zero)] for u in batch.column(3)]
+            ids = [[{"id": i, "start": k} for i, k in merge(u.as_py(), ranks, zero)] for u in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, kind)], [*place, "unit", "ids"])
 
-    long = places.where(~short).mapInArrow(merged, f"doc_id {dict(places.dtypes)['doc_id']}, mark bigint, at int, unit string, ids array<struct<id:int,start:int>>")
-    return [known, found, rest, long.select(*place, F.lit(0).alias("off"), "unit", *shape)]
+    long = aside.where(~short).mapInArrow(merged, f"doc_id {dict(places.dtypes)['doc_id']}, mark bigint, at int, times bigint, unit string, ids array<struct<id:int,start:int>>")
+    return [known, total(found), total(rest), total(long.select(*place, F.lit(0).alias("off"), "unit", *shape))]
 
 
 def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list[str], *more: Column) -> DataFrame:
@@ -261,8 +265,8 @@ def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of each row. Null and empty texts have no ids; repeated rows stay repeated."""
-    some = resolved(docs, pieces, doc_id, text, [F.col("ids")["id"].alias("ids")])
-    got = reduce(DataFrame.union, some).groupBy("doc_id", "mark").agg(F.array_distinct(F.sort_array(F.collect_list(F.struct("at", "off", "ids")))).alias("all"))
+    some = resolved(docs, pieces, doc_id, text, [F.col("ids")["id"].alias("ids")], [F.collect_list(F.struct("at", "off", "ids")).alias("all")])
+    got = reduce(DataFrame.union, some).groupBy("doc_id", "mark").agg(F.array_distinct(F.sort_array(F.flatten(F.collect_list("all")))).alias("all"))
     got = got.select("doc_id", "mark", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
     return _back_to(docs, got, doc_id, text, []).select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
@@ -285,11 +289,11 @@ def digest(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     power = lambda k: F.get(powers, k % LONGEST)
     hashed = F.aggregate("ids", zero, lambda a, x: F.pmod(a + (x["id"] + 1) * power(x["start"]), prime))
     shape = [F.size("ids").alias("n"), F.aggregate("ids", zero, lambda a, x: a + x["id"]).alias("s"), hashed.alias("h"), same.alias("same")]
-    some = resolved(docs, pieces, doc_id, text, shape)
     mixed = F.pmod(F.pmod(F.col("h") * power(F.col("off")), prime) * F.shiftrightunsigned(F.xxhash64("at"), 33), prime)
-    sums = [F.count_if((F.col("at") == 0) & (F.col("off") == 0)).alias("copies"), F.count_if(F.col("off") == 0).alias("n_units"), F.sum("n").alias("n_tokens"), F.sum("s").alias("id_sum"), F.sum(mixed).alias("digest"), F.sum(F.length("unit")).alias("chars"), F.min("same").alias("same")]
-    by = ["doc_id", "mark"]
-    got = reduce(DataFrame.union, [one.groupBy(*by).agg(*sums) for one in some]).groupBy(*by)
+    weighed = lambda x: F.sum(x * F.col("times"))
+    begins, first = F.when(F.col("off") == 0, 1).otherwise(0), F.when((F.col("at") == 0) & (F.col("off") == 0), 1).otherwise(0)
+    sums = [weighed(first).alias("copies"), weighed(begins).alias("n_units"), weighed(F.col("n")).alias("n_tokens"), weighed(F.col("s")).alias("id_sum"), weighed(mixed).alias("digest"), weighed(F.length("unit")).alias("chars"), F.min("same").alias("same")]
+    got = reduce(DataFrame.union, resolved(docs, pieces, doc_id, text, shape, sums)).groupBy("doc_id", "mark")
     got = got.agg(*[F.sum(c).alias(c) for c in ("copies", "n_units", "n_tokens", "id_sum", "digest", "chars")], F.min("same").alias("same"))
     size = F.coalesce(F.length(F.col(text)), F.lit(0))
     due = (size + F.when(size > 0, int(pieces.dummy)).otherwise(0)).alias("due")
