@@ -47,10 +47,10 @@ class Pieces:
         return max(len(p) for p, _, _ in self.rows)
 
     @property
-    def singles(self) -> list[str]:
-        """The id of each character that is a piece, at its code point; else -1."""
-        known = {ord(p): str(k) for p, k, _ in self.rows if len(p) == 1}
-        return [known.get(c, "-1") for c in range(max(known, default=0) + 1)]
+    def singles(self) -> tuple[str, list[int]]:
+        """The characters that are pieces, in the order of rank, and their ids."""
+        some = sorted((r, k, p) for p, k, r in self.rows if len(p) == 1)
+        return "".join(p for _, _, p in some), [k for _, k, _ in some]
 
 
 def load(path: str) -> Pieces:
@@ -153,13 +153,14 @@ def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
     ident = lambda e: e.bitwiseAND(long((1 << 30) - 1))
     # In order of place and byte: start, byte and id in one number.
     code = lambda k, j, i: _shift(k.cast("long"), F.lit(40)) + _shift(j.cast("long"), F.lit(32)) + i.cast("long")
-    alone = F.split(F.lit(",".join(pieces.singles)), ",").cast("array<int>")
+    chars, numbers = pieces.singles
+    numbers = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
 
     def symbol(k: Column) -> Column:
         char = F.substring("unit", k + 1, F.lit(1))
         letters = F.filter(F.split(F.hex(char), "(?<=\\G..)"), lambda h: h != "")
-        of = F.get(alone, F.ascii(char))
-        return F.when(of >= 0, F.array(code(k, F.lit(0), of))).otherwise(F.transform(letters, lambda h, j: code(k, j, F.conv(h, 16, 10).cast("int") + pieces.byte_zero)))
+        found = F.call_function("instr", F.lit(chars), char)
+        return F.when(found > 0, F.array(code(k, F.lit(0), F.get(numbers, found - 1)))).otherwise(F.transform(letters, lambda h, j: code(k, j, F.conv(h, 16, 10).cast("int") + pieces.byte_zero)))
 
     single = F.filter(F.sequence(F.lit(0), size - 1), lambda k: _back(F.col("cut"), k).bitwiseAND(long(3)) == 3)
     mixed = F.sort_array(F.concat(F.transform("left", lambda e: code(start(e), F.lit(0), ident(e))), F.flatten(F.transform(single, symbol))))
@@ -236,10 +237,11 @@ def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: lis
     known = met.where("aside IS NULL").drop("aside", "many")
     aside = met.where("aside IS NOT NULL").select(*one, "aside.at", F.col("many").alias("times"), "aside.unit")
     keep = [*place, "off", "unit"]
-    parts = materialize(_placed_parts(aside.where(short), pieces, place).withColumnRenamed("part", "unit"), "places")
-    found = parts.join(F.broadcast(words), "unit").select(*keep, *names)
+    parts = _placed_parts(aside.where(short), pieces, place).withColumnRenamed("part", "unit")
+    parts = materialize(parts.join(F.broadcast(words.select("unit", F.lit(True).alias("held"))), "unit", "left"), "places")
+    found = parts.where("held").join(F.broadcast(words), "unit").select(*keep, *names)
     by = ["doc_id", "mark", "stretch", "at", "times", "off", "unit"]
-    rest = parts.join(F.broadcast(words.select("unit")), "unit", "left_anti").withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    rest = parts.where("held IS NULL").withColumn("stretch", F.floor(F.col("at") / STRETCH))
     rest = fold(lattice(rest.repartition(1 + left // UNITS_IN_TASK, "doc_id", "mark", "stretch"), pieces, by), pieces, by).select(*keep, *shape)
     total = lambda some: some.groupBy(*one).agg(*sums)
     if not far:
