@@ -58,16 +58,16 @@ def apportion(rows: DataFrame, group: list[str], name: str, votes: str, seats: s
     return r.groupBy(*rows.columns).agg((F.first("had") + won).alias("quota"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, passes: int = PASSES, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, shard, size, source_size, target, taken) of each row; ``taken`` words, repeats counted, at most ``passes`` times the size.
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, passes: int = PASSES, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, shard, size, source_size, target, taken, *keep) of each row; ``taken`` words, repeats counted, at most ``passes`` times the size.
 
     A null source is a source of its own; null and wordless texts have size 0 and give nothing; rows with the same id and size
-    are documents of their own; other columns are ignored; an empty table gives no rows. The number of shards follows the words, so a source
+    are documents of their own; other columns are ignored unless named in ``keep``; an empty table gives no rows. The number of shards follows the words, so a source
     that holds a third of them has as many more groups, none above some ``shard_words`` words. Every source is within a
     block of its target and, by its shards' limits, a block for each shard at the most.
     """
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size")), "sizes")
+    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), *keep), "sizes")
     goal = materialize(targets(sizes, weights, passes), "targets")
     total = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     quota = apportion(goal.withColumn("seats", F.lit((2 * total + block) // (2 * block))), [], "k", "target", "seats").select("source", "k", "source_size", "target", F.col("quota").alias("blocks"))
@@ -83,4 +83,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     to = F.col("from") + F.col("due") - rounds * F.col("cell_size")
     shared = lambda a, b: F.greatest(F.least(F.col("end"), b) - F.greatest(F.col("end") - F.col("size"), a), F.lit(0))
     taken = rounds * F.col("size") + shared(F.col("from"), F.least(to, F.col("cell_size"))) + shared(F.lit(0), to - F.col("cell_size"))
-    return laid.select("doc_id", "source", "shard", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "source", "shard", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)

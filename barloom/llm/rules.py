@@ -23,15 +23,15 @@ FEATURES = ["n_words", "word_length", "symbol_rate", "upper_rate", "mark_rate",
 FEW = 32
 
 
-def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, the five base counts, ``base_failed`` and the rates of FEATURES, for each row; all within the row.
+def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, the five base counts, ``base_failed`` and the rates of FEATURES, for each row; all within the row.
 
     Null texts have no words and fail the base rule. Windows of three words are told apart by 64-bit hashes. Repeated rows
-    stay repeated, other columns are ignored, an empty table stays empty.
+    stay repeated, other columns are ignored unless kept (by names of no statistic), an empty table stays empty.
     """
-    t = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.coalesce(F.col(text), F.lit("")).alias("t"))
     t = t.select(
-        "doc_id", F.length("t").alias("n_chars"), F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
+        "doc_id", *keep, F.length("t").alias("n_chars"), F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"),
         F.regexp_count("t", F.lit(SYMBOL)).alias("n_symbols"), F.regexp_count("t", F.lit("[A-Z]")).alias("n_upper"), F.regexp_count("t", F.lit("[!?]")).alias("n_marks"),
     )
     none = F.array().cast("array<bigint>")
@@ -46,13 +46,13 @@ def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     # A window covers its three words, less what the next window covers.
     covered = F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - p, F.lit(3))))
     t = t.select(
-        "doc_id", "n_chars", F.size("w").cast("long").alias("n_words"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"), F.col("n_symbols").cast("long"),
+        "doc_id", *keep, "n_chars", F.size("w").cast("long").alias("n_words"), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"), F.col("n_symbols").cast("long"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         F.size("lines").alias("n_lines"), F.size(F.array_distinct("w")).alias("n_distinct"), "n_upper", "n_marks",
     )
     per = lambda x, y: F.coalesce(F.try_divide(F.col(x), F.col(y)), F.lit(0.0))
     return t.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         per("word_chars", "n_words").alias("word_length"), per("n_symbols", "n_words").alias("symbol_rate"), per("n_upper", "n_chars").alias("upper_rate"), per("n_marks", "n_words").alias("mark_rate"),
         per("n_distinct", "n_words").alias("distinct_rate"), per("n_repeat_words", "n_words").alias("repeat_rate"), per("n_dup_lines", "n_lines").alias("dup_line_rate"),
@@ -161,7 +161,7 @@ def apply(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return stats.withColumn("rule", first).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **fit) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), **fit) -> DataFrame:
     """Statistics and verdict of every row; texts are read once, their statistics are kept in the shared folder."""
-    stats = materialize(statistics(docs, doc_id, text), "stats")
+    stats = materialize(statistics(docs, doc_id, text, keep), "stats")
     return apply(stats, learn(stats, labels, **fit))

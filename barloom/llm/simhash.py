@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.session import materialize
@@ -46,15 +46,15 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > len(h)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, *keep) of each row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64()), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(hashed, f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), *keep)
+    return rows.mapInArrow(hashed, ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}, fp bigint", *[f"{c} {kind}" for c, kind in rows.dtypes[2:]]]))
 
 
 def home(points: np.ndarray) -> np.ndarray:
@@ -143,6 +143,14 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(met, "a bigint, b bigint")
 
 
+def _grouped(found: DataFrame, first: Column, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, first, component) of each fingerprint and (component, first); ``first`` is an aggregate, its least value counts."""
+    points = found.groupBy("fp").agg(first.alias("first"))
+    of = components(links(points, threshold)).select(F.col("node").alias("fp"), "component")
+    member = points.join(of, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    return member, member.groupBy("component").agg(F.min("first").alias("first"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fp, component_id) of each row; the component is the smallest id that links lead to.
 
@@ -150,8 +158,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Repeated rows stay repeated, other columns are ignored, an empty table gives no rows.
     """
     found = materialize(fingerprints(docs, doc_id, text), "fingerprints")
-    points = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    of = components(links(points, threshold)).select(F.col("node").alias("fp"), "component")
-    member = points.join(of, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    named = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    member, named = _grouped(found, F.min("doc_id"), threshold)
+    named = named.withColumnRenamed("first", "component_id")
     return found.join(member.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def firsts(docs: DataFrame, key: tuple[str, ...], doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """The ``key`` columns of one row of each component: the smallest id, null last, and of rows that share it the smallest key."""
+    found = materialize(fingerprints(docs, doc_id, text, key), "fingerprints")
+    _, named = _grouped(found, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)), threshold)
+    return named.select(*[F.col("first")[c].alias(c) for c in key])

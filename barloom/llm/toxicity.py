@@ -85,8 +85,8 @@ def voters(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return [r["key"] for r in chosen], *rates, sizes[1] / sum(sizes.values())
 
 
-def votes(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, hits, hit_words, n_words): numbers of the voters that vote, words that made them vote, words in all."""
+def votes(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, hits, hit_words, n_words, *keep): numbers of the voters that vote, words that made them vote, words in all."""
     index = {key: k for k, key in enumerate(keys)}
     lengths = sorted({len(k) - 1 for k in keys if k.endswith("*")})
 
@@ -108,10 +108,10 @@ def votes(docs: DataFrame, keys: list[str], doc_id: str = "doc_id", text: str =
                 hits.append(sorted({k for v in found for k in v}))
                 hit_words.append(len(found))
                 n_words.append(len(words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32())), pa.array(hit_words, pa.int64()), pa.array(n_words, pa.int64())], ["doc_id", "hits", "hit_words", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.int32())), pa.array(hit_words, pa.int64()), pa.array(n_words, pa.int64()), *batch.columns[2:]], ["doc_id", "hits", "hit_words", "n_words", *keep])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(voted, f"doc_id {dict(rows.dtypes)['doc_id']}, hits array<int>, hit_words bigint, n_words bigint")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"), *keep)
+    return rows.mapInArrow(voted, ", ".join([f"doc_id {dict(rows.dtypes)['doc_id']}, hits array<int>, hit_words bigint, n_words bigint", *[f"{c} {kind}" for c, kind in rows.dtypes[2:]]]))
 
 
 def _dense(lists: list[list[int]], m: int) -> np.ndarray:
@@ -211,18 +211,18 @@ def train(x: np.ndarray, target: np.ndarray, rows: np.ndarray, ridge: float = 0.
     return w
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit: int = FIT) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row.
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit: int = FIT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, *keep) of each row.
 
     ``fit`` bounds the rows that the classifier is fitted on, those of the smallest hash of the id. Null and empty texts have no votes and score low; repeated rows stay repeated; other columns are
-    ignored; an empty table gives no rows. Without usable labels of both kinds every score is zero.
+    ignored unless named in ``keep``; an empty table gives no rows. Without usable labels of both kinds every score is zero.
     """
     keys, toxic, clean, share = voters(docs, labels, doc_id, text, label)
     m = len(keys)
-    cast = materialize(votes(docs, keys, doc_id, text), "votes")
+    cast = materialize(votes(docs, keys, doc_id, text, keep), "votes")
     out = cast.withColumn("held_out", held_out("doc_id"))
     if not m:
-        return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return out.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *keep)
     patterns = materialize(cast.groupBy("hits").agg(F.count(F.lit(1)).alias("rows")), "patterns")
     model = label_model(patterns, toxic, clean, share)
     rows = out.where("NOT held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit).groupBy("hits", "hit_words", "n_words").count().collect()
@@ -238,6 +238,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
                 part = batch.slice(k, 4096)
                 s.append(1 / (1 + np.exp(-np.clip(features(_dense(part.column(1).to_pylist(), m), part.column(2).to_numpy().astype(float), part.column(3).to_numpy().astype(float)) @ w, -50, 50))))
             score = np.concatenate(s) if s else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), *batch.columns[5:]], ["doc_id", "held_out", "score", "predicted", *keep])
 
-    return out.select("doc_id", "hits", "hit_words", "n_words", "held_out").mapInArrow(scored, f"doc_id {dict(out.dtypes)['doc_id']}, held_out boolean, score double, predicted int")
+    kinds = dict(out.dtypes)
+    return out.select("doc_id", "hits", "hit_words", "n_words", "held_out", *keep).mapInArrow(scored, ", ".join([f"doc_id {kinds['doc_id']}, held_out boolean, score double, predicted int", *[f"{c} {kinds[c]}" for c in keep]]))

@@ -1,6 +1,7 @@
 """Corpus pipeline: documents are cleaned, deduplicated, mixed and encoded; every stage is written and read again as the next one's input.
 
-Rejected rows go by an anti-join on their ids, so rows with a null id count as one document. No stage is expressible in SQL as a whole
+Verdicts are on rows: each carries 128 bits that name all its columns, and by these rejected rows go and copies are told apart, whatever ids
+repeat or are null. No stage is expressible in SQL as a whole
 (the first two learn their models), so ORACLE_SQL is None and the tests compare the stages with plain versions.
 """
 
@@ -17,30 +18,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+KEY = ("row_a", "row_b")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds the row's name; only rows that agree in every column share it, and a null differs from every value."""
+    every = [x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]
+    return docs.select(*COLUMNS, *[F.xxhash64(F.lit(k), *every).alias(c) for k, c in enumerate(KEY)])
+
+
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    gone = bad.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    return docs.join(bad.select(*KEY).distinct(), list(KEY), "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
-    return _without(docs, toxicity.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    docs = _keyed(docs)
+    return _without(docs, toxicity.classify(docs, table(spark, sf_dir, "labels"), keep=KEY).where("predicted = 1"))
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned rules reject."""
-    return _without(docs, rules.judge(docs, table(spark, sf_dir, "labels")).where("NOT kept"))
+    docs = _keyed(docs)
+    return _without(docs, rules.judge(docs, table(spark, sf_dir, "labels"), keep=KEY).where("NOT kept"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    return _without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"))
+    """Of each group of near-duplicates one row: the smallest id, null last. Rows equal in every column become one before the join, map-side first."""
+    docs = _keyed(docs)
+    return docs.dropDuplicates(list(KEY)).join(simhash.firsts(docs, KEY), list(KEY), "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole copies: its taken words over its size, to the nearest (0 to 3)."""
-    mixed = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0").groupBy("mixed_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    docs = _keyed(docs)
+    mixed = mixing.mix(docs, keep=KEY).where("taken > 0").select(*KEY, F.round(F.col("taken") / F.col("size")).cast("int").alias("copies")).where("copies > 0").groupBy(*KEY).agg(F.max("copies").alias("copies"))
+    taken = docs.join(mixed, list(KEY))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
