@@ -175,4 +175,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pieces")
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(table(spark, sf_dir, "documents"), pieces.load(tokenizer_file("piece_bpe_32k.model")))
+    return pieces.trip(table(spark, sf_dir, "documents"), pieces.load(tokenizer_file("piece_bpe_32k.model")))

@@ -16,12 +16,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.session import discard, materialize, store
 
+from .groups import starts, whole_groups
+
 BLANK = "\u2581"
 LONGEST = 61
 #: Units, and again parts of the other units, in the broadcast dictionary; each other part goes through the lattice where it stands.
@@ -206,20 +209,20 @@ def _placed_parts(rows: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame
     return cut.select(*keep, F.inline(F.transform("parts", lambda x, k: F.struct(off(k).alias("off"), x.alias("part")))))
 
 
-def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], sums: list[Column], frequent: int = FREQUENT) -> list[DataFrame]:
-    """(doc_id, mark, *sums) over frequent units, frequent parts of the others, the rest, and units too long for the fold, if there are any.
+@dataclass(frozen=True)
+class _Known:
+    """``words``: (unit, *shape) of frequent units and frequent parts; how many parts are ``left``; whether units are too ``far`` long for the fold."""
 
-    ``mark`` is the text's hash, which tells texts apart that share an id; ``shape`` is made of unit and ids, and its first column is never null;
-    ``sums`` are aggregates of at, off, unit, times and the shape, where ``times`` tells how many copies of a text a row stands for. Units are
-    counted over all texts. The ``frequent`` most frequent ones, and of the parts of the others as many, go through the lattice once and are
-    broadcast. One pass over the texts sums up the known units and sets the others aside with their places; of their parts each that is still left
-    goes through the lattice with its place, dealt out by document and stretch of it, so that no later step shuffles units again.
-    """
-    # The hash is taken once a text, below the explode.
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    places = marked.select("doc_id", "mark", F.posexplode(units_of(F.col("text"), pieces)).alias("at", "unit"))
-    spark, short = docs.sparkSession, F.length("unit") <= LONGEST
-    counts, path = store(places.groupBy(F.when(short, F.col("unit")).alias("unit")).agg(F.count(F.lit(1)).alias("many")), "units")
+    words: DataFrame
+    left: int
+    far: bool
+
+
+def _known(places: DataFrame, pieces: Pieces, shape: list[Column], frequent: int) -> _Known:
+    """The dictionary for the units of ``places``. Units are counted over all texts. The ``frequent`` most frequent ones, and of the parts of the
+    others as many, go through the lattice once."""
+    spark = places.sparkSession
+    counts, path = store(places.groupBy(F.when(F.length("unit") <= LONGEST, F.col("unit")).alias("unit")).agg(F.count(F.lit(1)).alias("many")), "units")
     top = materialize(counts.where("unit IS NOT NULL").orderBy(F.desc("many"), "unit").limit(frequent).select("unit"), "frequent")
     others = counts.where("unit IS NOT NULL").join(F.broadcast(top), "unit", "left_anti")
     others = _placed_parts(others, pieces, ["many"]).groupBy(F.col("part").alias("unit")).agg(F.sum("many").alias("many"))
@@ -231,21 +234,24 @@ def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: lis
     words = materialize(fold(lattice(once, pieces, ["unit"]), pieces, ["unit"]).select("unit", *shape), "words")
     discard(spark, path)
     discard(spark, parts_path)
-    one, place, names = ["doc_id", "mark"], ["doc_id", "mark", "at", "times"], words.columns[1:]
-    met = places.join(F.broadcast(words), "unit", "left").withColumns({"off": F.lit(0), "times": F.lit(1), "aside": F.when(F.col(names[0]).isNull(), F.struct("at", "unit"))})
-    met = materialize(met.groupBy(*one, "aside").agg(F.count(F.lit(1)).alias("many"), *sums), "met")
-    known = met.where("aside IS NULL").drop("aside", "many")
-    aside = met.where("aside IS NOT NULL").select(*one, "aside.at", F.col("many").alias("times"), "aside.unit")
+    return _Known(words, left, far)
+
+
+def _others(aside: DataFrame, known: _Known, pieces: Pieces, one: list[str], shape: list[Column]) -> list[DataFrame]:
+    """(*one, at, times, off, unit, *shape) of the units set ``aside`` (*one, at, times, unit): frequent parts, the rest, and units too long for the
+    fold, if there are any. Each part that is no frequent one goes through the lattice with its place, dealt out by text and stretch of it, so that no
+    later step shuffles units again."""
+    words, spark, short = known.words, aside.sparkSession, F.length("unit") <= LONGEST
+    place, names = [*one, "at", "times"], words.columns[1:]
     keep = [*place, "off", "unit"]
     parts = _placed_parts(aside.where(short), pieces, place).withColumnRenamed("part", "unit")
     parts = materialize(parts.join(F.broadcast(words.select("unit", F.lit(True).alias("held"))), "unit", "left"), "places")
     found = parts.where("held").join(F.broadcast(words), "unit").select(*keep, *names)
-    by = ["doc_id", "mark", "stretch", "at", "times", "off", "unit"]
+    by = [*one, "stretch", "at", "times", "off", "unit"]
     rest = parts.where("held IS NULL").withColumn("stretch", F.floor(F.col("at") / STRETCH))
-    rest = fold(lattice(rest.repartition(1 + left // UNITS_IN_TASK, "doc_id", "mark", "stretch"), pieces, by), pieces, by).select(*keep, *shape)
-    total = lambda some: some.groupBy(*one).agg(*sums)
-    if not far:
-        return [known, total(found), total(rest)]
+    rest = fold(lattice(rest.repartition(1 + known.left // UNITS_IN_TASK, *one, "stretch"), pieces, by), pieces, by).select(*keep, *shape)
+    if not known.far:
+        return [found, rest]
     shared = spark.sparkContext.broadcast(({p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero))
     kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32())]))
 
@@ -255,8 +261,26 @@ def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: lis
             ids = [[{"id": i, "start": k} for i, k in merge(u.as_py(), ranks, zero)] for u in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, kind)], [*place, "unit", "ids"])
 
-    long = aside.where(~short).mapInArrow(merged, f"doc_id {dict(places.dtypes)['doc_id']}, mark bigint, at int, times bigint, unit string, ids array<struct<id:int,start:int>>")
-    return [known, total(found), total(rest), total(long.select(*place, F.lit(0).alias("off"), "unit", *shape))]
+    kinds = dict(aside.dtypes)
+    long = aside.where(~short).select(*place, "unit").mapInArrow(merged, ", ".join([f"{c} {kinds[c]}" for c in [*place, "unit"]]) + ", ids array<struct<id:int,start:int>>")
+    return [found, rest, long.select(*place, F.lit(0).alias("off"), "unit", *shape)]
+
+
+def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], sums: list[Column], frequent: int = FREQUENT) -> list[DataFrame]:
+    """(doc_id, mark, *sums) over frequent units, frequent parts of the others, the rest, and units too long for the fold, if there are any.
+
+    ``mark`` is the text's hash, which tells texts apart that share an id; ``shape`` is made of unit and ids, and its first column is never null;
+    ``sums`` are aggregates of at, off, unit, times and the shape, where ``times`` tells how many copies of a text a row stands for. The dictionary
+    is broadcast; one pass over the texts sums up the known units and sets the others aside with their places.
+    """
+    # The hash is taken once a text, below the explode.
+    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
+    places = marked.select("doc_id", "mark", F.posexplode(units_of(F.col("text"), pieces)).alias("at", "unit"))
+    known, one = _known(places, pieces, shape, frequent), ["doc_id", "mark"]
+    met = places.join(F.broadcast(known.words), "unit", "left").withColumns({"off": F.lit(0), "times": F.lit(1), "aside": F.when(F.col(known.words.columns[1]).isNull(), F.struct("at", "unit"))})
+    met = materialize(met.groupBy(*one, "aside").agg(F.count(F.lit(1)).alias("many"), *sums), "met")
+    aside = met.where("aside IS NOT NULL").select(*one, "aside.at", F.col("many").alias("times"), "aside.unit")
+    return [met.where("aside IS NULL").drop("aside", "many"), *[some.groupBy(*one).agg(*sums) for some in _others(aside, known, pieces, one, shape)]]
 
 
 def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list[str], *more: Column) -> DataFrame:
@@ -265,12 +289,76 @@ def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list
     return rows.join(got, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, stretch, n, runs, aside) of each text's stretches from their units in order (row, stretch, a, b, at, unit, ids).
+
+    Neighbouring units with known ids are one run (at, off, ids); the others are set aside (at, unit). A task holds a stretch besides a batch.
+    """
+    for table in whole_groups(batches, 2):
+        row, stretch, a, b, at = (table.column(k).to_numpy() for k in range(5))
+        ids = table.column(6).combine_chunks()
+        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+        held = ids.is_valid().to_numpy(zero_copy_only=False)
+        first, size = starts(row, stretch)
+        group = np.repeat(np.arange(first.size), size)
+        known, other = np.flatnonzero(held), np.flatnonzero(~held)
+        long = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)[known]
+        new = np.ones(known.size, dtype=bool)
+        new[1:] = (np.diff(known) > 1) | (np.diff(group[known]) > 0)
+        run, upto = np.flatnonzero(new), np.r_[0, np.cumsum(long)]
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+        runs = pa.StructArray.from_arrays([pa.array(at[known[run]]), pa.array(np.zeros(run.size, dtype=np.int32)), lists(np.r_[upto[run], upto[-1]], ids.flatten())], ["at", "off", "ids"])
+        units = table.column(5).take(pa.array(other)).combine_chunks()
+        units = pa.concat_arrays(units.chunks) if isinstance(units, pa.ChunkedArray) else units
+        aside = pa.StructArray.from_arrays([pa.array(at[other]), units], ["at", "unit"])
+        ends = lambda rows: np.r_[np.searchsorted(rows, first), rows.size]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in (a, b, stretch)], pa.array(size.astype(np.int64)), lists(ends(known[run]), runs), lists(ends(other), aside)], ["a", "b", "stretch", "n", "runs", "aside"])
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[str], frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, *keep, said, n_units, ids) of each row; ``said`` is its text.
+
+    A text is named by 128 bits, so that copies share their ids whatever their doc_id. Units meet the dictionary in order and become runs of ids, a
+    row for each stretch; copies of a stretch are one from there on, with a partial step before the shuffle. The units set aside are encoded with
+    their places, and stretches, each of bounded size, are joined to the text's ids.
+    """
+    named = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.col(text).alias("said"), *[F.xxhash64(F.lit(k), F.col(text)).alias(c) for k, c in enumerate("ab")])
+    texts = named.select(F.monotonically_increasing_id().alias("row"), "a", "b", "said")
+    places = texts.select("row", "a", "b", F.posexplode(units_of(F.col("said"), pieces)).alias("at", "unit"))
+    shape = [F.col("ids")["id"].alias("ids")]
+    known = _known(places, pieces, shape, frequent)
+    # In place: a broadcast join keeps the order of the units.
+    met = places.join(F.broadcast(known.words), "unit", "left").select("row", F.expr(f"at div {STRETCH}").cast("int").alias("stretch"), "a", "b", "at", F.when(F.col("ids").isNull(), F.col("unit")).alias("unit"), "ids")
+    run = "array<struct<at:int,off:int,ids:array<int>>>"
+    met = materialize(met.mapInArrow(_stretches, f"a bigint, b bigint, stretch int, n bigint, runs {run}, aside array<struct<at:int,unit:string>>"), "stretches")
+    aside = met.select("a", "b", F.inline("aside")).distinct().select("a", "b", "at", F.lit(1).cast("long").alias("times"), "unit")
+    others = reduce(DataFrame.union, [x.select("a", "b", "at", "off", "ids") for x in _others(aside, known, pieces, ["a", "b"], shape)])
+    others = others.groupBy("a", "b", F.expr(f"at div {STRETCH}").cast("int").alias("stretch")).agg(F.collect_list(F.struct("at", "off", "ids")).alias("others"))
+    none = F.array().cast(run)
+    both = met.select("a", "b", "stretch", "n", "runs", F.lit(None).cast(run).alias("others")).union(others.select("a", "b", "stretch", F.lit(None).cast("long"), F.lit(None).cast(run), "others"))
+    both = both.groupBy("a", "b", "stretch").agg(F.max("n").alias("n"), F.first("runs", True).alias("runs"), F.first("others", True).alias("others"))
+    joined = F.sort_array(F.concat(F.coalesce("runs", none), F.coalesce("others", none)))
+    both = both.select("a", "b", "stretch", "n", F.flatten(F.transform(joined, lambda x: x["ids"])).alias("ids"))
+    got = both.groupBy("a", "b").agg(F.sum("n").alias("n_units"), F.sort_array(F.collect_list(F.struct("stretch", "ids"))).alias("all"))
+    got = got.select("a", "b", "n_units", F.flatten(F.transform("all", lambda x: x["ids"])).alias("got"))
+    out = named.join(got, ["a", "b"], "left")
+    return out.select("doc_id", *keep, "said", F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"), F.coalesce("got", F.array().cast("array<int>")).alias("ids"))
+
+
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of each row. Null and empty texts have no ids; repeated rows stay repeated."""
-    some = resolved(docs, pieces, doc_id, text, [F.col("ids")["id"].alias("ids")], [F.collect_list(F.struct("at", "off", "ids")).alias("all")])
-    got = reduce(DataFrame.union, some).groupBy("doc_id", "mark").agg(F.array_distinct(F.sort_array(F.flatten(F.collect_list("all")))).alias("all"))
-    got = got.select("doc_id", "mark", F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
-    return _back_to(docs, got, doc_id, text, []).select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return _encoded(docs, pieces, doc_id, text, []).select("doc_id", "ids")
+
+
+def trip(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, ids, n_units, n_tokens, id_sum, digest, round_trip) of each row, all but ``n_units`` from its ids.
+
+    ``digest`` is a hash of the ids in order; ``round_trip`` says that the decoded ids are the text, which a text that holds the blank's own mark
+    can't be. Null texts pass with no ids; repeated rows stay repeated; other columns are ignored unless named in ``keep``.
+    """
+    back = decode(_encoded(docs, pieces, doc_id, text, list(keep)), pieces)
+    summed = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    return back.select("doc_id", *keep, "ids", "n_units", F.size("ids").cast("long").alias("n_tokens"), summed.alias("id_sum"), F.xxhash64("ids").alias("digest"), (F.col("text") == F.coalesce("said", F.lit(""))).alias("round_trip"))
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
