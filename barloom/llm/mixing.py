@@ -46,13 +46,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
 def apportion(rows: DataFrame, group: list[str], name: str, votes: str, seats: str) -> DataFrame:
     """Adds ``quota``: the seats of each row of its group by highest quotients, ties to the smaller ``name``.
 
-    This method never strays from the exact share by more than one seat, so each row starts one below its share and only the next four
-    quotients compete.
+    For a divisor d, a row has v / d seats, give or take a half; so of n rows in a group, the sum of votes over d is the seats give or take n / 2.
+    Each row starts with what this leaves it at least, and competes with its quotients up to what it allows at most: some three a row in all.
     """
     w = Window.partitionBy(*group)
-    start = F.greatest(F.floor(F.col(seats) * F.col(votes) / F.sum(votes).over(w)) - 1, F.lit(0))
-    r = rows.withColumn("had", F.coalesce(start, F.lit(0)))
-    r = r.withColumn("open", F.col(seats) - F.sum("had").over(w)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    share = lambda by: F.coalesce(F.try_divide(F.col(votes) * (F.col(seats) + by * F.count(F.lit(1)).over(w) / 2), F.sum(votes).over(w)), F.lit(0.0))
+    # One more on each side than the bounds, for rounding.
+    r = rows.withColumns({"had": F.greatest(F.floor(share(-1) - 1.5), F.lit(0)), "most": F.ceil(share(1) + 1.5)})
+    r = r.withColumn("open", F.col(seats) - F.sum("had").over(w)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - F.col("had"))))
     r = r.withColumn("place", F.row_number().over(w.orderBy((F.col(votes) / (2 * (F.col("had") + F.col("j")) + 1)).desc(), name)))
     won = F.count_if((F.col("place") <= F.col("open")) & (F.col(votes) > 0))
     return r.groupBy(*rows.columns).agg((F.first("had") + won).alias("quota"))

@@ -193,6 +193,15 @@ def test_apportionment_takes_the_highest_quotients(spark):
     assert {r.k: r.quota for r in got.collect()} == {k: sum(x == k for _, x in best) for k in range(len(votes))}
 
 
+@pytest.mark.parametrize("small, many, seats", [(4, 60, 100), (6, 60, 100), (5, 40, 30), (0, 3, 7)])
+def test_apportionment_far_from_the_share(spark, small, many, seats):
+    votes = [10 * seats - small * many if small else 0] + [small] * many
+    votes[0] = max(votes[0], 0)
+    got = mixing.apportion(spark.createDataFrame([(k, float(v), seats) for k, v in enumerate(votes)], "k int, v double, s long"), [], "k", "v", "s")
+    best = sorted(((-v / (2 * j + 1), k) for k, v in enumerate(votes) if v for j in range(seats)))[:seats]
+    assert {r.k: r.quota for r in got.collect()} == {k: sum(x == k for _, x in best) for k in range(len(votes))}
+
+
 def test_mix_of_odd_rows(odd, nothing):
     got = mixing.mix(odd).collect()
     assert len(got) == 10 and all(r.taken == 0 for r in got if r.size == 0) and all(r.taken <= 3 * r.size for r in got)
