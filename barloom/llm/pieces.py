@@ -245,10 +245,10 @@ def _others(aside: DataFrame, known: _Known, pieces: Pieces, one: list[str], sha
     place, names = [*one, "at", "times"], words.columns[1:]
     keep = [*place, "off", "unit"]
     parts = _placed_parts(aside.where(short), pieces, place).withColumnRenamed("part", "unit")
-    parts = materialize(parts.join(F.broadcast(words.select("unit", F.lit(True).alias("held"))), "unit", "left"), "places")
-    found = parts.where("held").join(F.broadcast(words), "unit").select(*keep, *names)
+    parts = materialize(parts.join(F.broadcast(words), "unit", "left"), "places")
+    found = parts.where(F.col(names[0]).isNotNull()).select(*keep, *names)
     by = [*one, "stretch", "at", "times", "off", "unit"]
-    rest = parts.where("held IS NULL").withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    rest = parts.where(F.col(names[0]).isNull()).withColumn("stretch", F.floor(F.col("at") / STRETCH))
     rest = fold(lattice(rest.repartition(1 + known.left // UNITS_IN_TASK, *one, "stretch"), pieces, by), pieces, by).select(*keep, *shape)
     if not known.far:
         return [found, rest]
