@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, pieces, rules, sharding, simhash, token_counts, toxicity, vectors
+from . import chat, licenses, mixing, pieces, rules, runs, sharding, simhash, token_counts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +176,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_pieces")
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.trip(table(spark, sf_dir, "documents"), pieces.load(tokenizer_file("piece_bpe_32k.model")))
+
+
+@query("op13_runs")
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.find(table(spark, sf_dir, "documents"), planted=True))
