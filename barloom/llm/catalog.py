@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, pieces, rules, runs, sharding, simhash, token_counts, toxicity, vectors
+from . import chat, licenses, lines, mixing, pieces, rules, runs, sharding, simhash, token_counts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,6 +178,23 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.trip(table(spark, sf_dir, "documents"), pieces.load(tokenizer_file("piece_bpe_32k.model")))
 
 
+@query(
+    "op12_line_dedup",
+    rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+ u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
+ k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{lines.UPPER}', '{lines.LOWER}') AS key FROM u),
+ g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= {lines.LENGTH} GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.DOCUMENTS}),
+ r AS (SELECT k.*, g.key IS NOT NULL AND k.doc_id <> g.top AS gone FROM k LEFT JOIN g ON k.key = g.key)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id
+""",
+)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op13_runs")
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.find(table(spark, sf_dir, "documents"), planted=True))
