@@ -18,8 +18,9 @@ from barloom.session import materialize
 LENGTH, DOCUMENTS = 20, 3
 #: Lines of a word of the bitmap.
 WORD = 60
-#: Hash classes in which keys with a large share are looked for; a key is hot if it has more lines than an average class, so there are fewer hot keys than classes.
-CLASSES = 1 << 14
+#: Hash classes in which keys with a large share are looked for. A key is hot if it has more lines than ``HEAVY`` average classes, so there are fewer hot
+#: keys than classes.
+CLASSES, HEAVY = 1 << 14, 4
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROW, KEY = ["row_a", "row_b"], ["key_a", "key_b"]
@@ -52,19 +53,19 @@ def _dropped(lines: DataFrame) -> DataFrame:
 
 
 def _hot(lines: DataFrame) -> DataFrame | None:
-    """(*key, n, top) of the keys that outgrow an average hash class: in how many documents they are, and the largest; None if there are none.
+    """(*key, n, top) of the hot keys: in how many documents they are, and the largest; None if there are none.
 
-    A class that is no larger than the average can't hold such a key, so only the rows of large classes are counted by key. All counts have a partial
-    step before the shuffle, and there are at most ``CLASSES`` results.
+    A smaller class can't hold such a key, so only the rows of the few large classes are counted by key. All counts have a partial step before the
+    shuffle.
     """
     which = F.pmod("key_a", F.lit(CLASSES))
     sizes = lines.groupBy(which.alias("class")).agg(F.count(F.lit(1)).alias("n")).collect()
-    mean = sum(r.n for r in sizes) / CLASSES
-    large = [r["class"] for r in sizes if r.n > max(mean, 1000)]
+    due = max(HEAVY * sum(r.n for r in sizes) / CLASSES, 1000)
+    large = [r["class"] for r in sizes if r.n > due]
     if not large:
         return None
     some = lines.where(which.isin(large))
-    keys = some.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(mean, 1000)).select(*KEY)
+    keys = some.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > due).select(*KEY)
     keys = materialize(keys, "hot-keys")
     each = some.join(F.broadcast(keys), KEY, "left_semi").select(*KEY, "doc_id").distinct()
     return materialize(each.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")), "hot")
@@ -101,7 +102,7 @@ def apply(docs: DataFrame, keep: DataFrame, doc_id: str = "doc_id", text: str =
     # The words between two that are listed are all kept; with them every word has its place in the array.
     gap = lambda x, k: x["word"] - F.when(k > 0, F.get("keep", k - 1)["word"]).otherwise(-1) - 1
     every = F.flatten(F.transform("keep", lambda x, k: F.concat(F.array_repeat(full, gap(x, k)), F.array(x["bits"]))))
-    bit = lambda w, k: F.call_function("shiftright", F.coalesce(F.get(w, F.expr(f"{k} div {WORD}") if isinstance(k, str) else F.floor(k / WORD).cast("int")), full), k % WORD).bitwiseAND(F.lit(1).cast("long"))
+    bit = lambda w, k: F.call_function("shiftright", F.coalesce(F.get(w, F.floor(k / WORD).cast("int")), full), k % WORD).bitwiseAND(F.lit(1).cast("long"))
     joined = _named(docs, doc_id, text).join(keep, ROW, "left").withColumn("words", F.when(size > 0, every))
     split = joined.select("doc_id", "text", F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"), "words", lines_of(F.col("text")).alias("lines"))
     left = F.array_join(F.filter("lines", lambda x, k: bit(F.col("words"), k) == 1), "\n")
