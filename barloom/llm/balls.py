@@ -23,8 +23,10 @@ from barloom.session import materialize
 
 #: Documents in a leaf; documents and vector entries in a tree.
 LEAF, CHUNK, ENTRIES = 32, 4096, 1 << 20
-#: Documents (the smallest hashes) among which pivots are chosen and first thresholds are found, and how many pivots. Results don't depend on them.
+#: Documents (some by their hashes) among which pivots are chosen and first thresholds are found, and how many pivots. Results don't depend on them.
 SAMPLE, PIVOTS = 4096, 64
+#: Vector entries that meet the pivots at once.
+AT_ONCE = 1 << 15
 #: Bytes of query text and queries that one pass over the documents answers, on average; more queries take more passes.
 BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 1024
 #: Relative error allowed to a bound; sums of n doubles err by less than n * 2^-53.
@@ -258,7 +260,7 @@ def _block(docs: DataFrame, items: list, k: int, kinds: tuple[str, str]) -> Data
     width, count = len(number), len(items)
     queries = Sparse.of([(np.array([number[t] for t in w], dtype=np.int64), np.ones(len(w), dtype=np.int64)) for w in wanted])
     rows = materialize(_features(docs, spark.sparkContext.broadcast(number), kinds[0]), "features")
-    n_docs, length = rows.where("n > 0").agg(F.count(F.lit(1)), F.sum("n")).first()
+    n_docs, length, met = rows.where("n > 0").agg(F.count(F.lit(1)), F.sum("n"), F.count_if(F.size("terms") > 0)).first()
     schema = f"item int, doc_id {kinds[0]}, score bigint"
     if not n_docs or not width:
         return spark.createDataFrame([], schema)
@@ -266,7 +268,7 @@ def _block(docs: DataFrame, items: list, k: int, kinds: tuple[str, str]) -> Data
     for t, df in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toLocalIterator():
         weight[t] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
     rows = rows.where(F.size("terms") > 0)
-    sample = pa.Table.from_pylist([r.asDict() for r in rows.orderBy(F.xxhash64("doc_id", "n", "terms", "tfs")).limit(SAMPLE).select("n", "terms", "tfs").collect()], pa.schema([("n", pa.int64()), ("terms", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int64()))]))
+    sample = pa.Table.from_pylist([r.asDict() for r in rows.where(F.pmod(F.xxhash64("doc_id", "n", "terms", "tfs"), F.lit(max(met, 1))) < SAMPLE).limit(SAMPLE).select("n", "terms", "tfs").collect()], pa.schema([("n", pa.int64()), ("terms", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int64()))]))
     sample = sample.combine_chunks().to_batches()
     floor, near = np.zeros(count, dtype=np.int64), Sparse.of([(np.zeros(0, dtype=np.int64),) * 2])
     if sample:
@@ -283,9 +285,13 @@ def _block(docs: DataFrame, items: list, k: int, kinds: tuple[str, str]) -> Data
         by_term, own = near.by_column(weight.size), near.squares()
         for batch in batches:
             x = impacts(batch.column("n").to_numpy(), _sparse(batch, "terms", "tfs"), weight, n_docs, length)
-            pivot = (own - 2.0 * x.times(by_term, own.size)).argmin(axis=1)
+            pivot, a = np.empty(len(x), dtype=np.int32), 0
+            while a < len(x):
+                b = max(a + 1, int(np.searchsorted(x.ptr, x.ptr[a] + AT_ONCE, "right")) - 1)
+                pivot[a:b] = (own - 2.0 * x.slice(a, b).times(by_term, own.size)).argmin(axis=1)
+                a = b
             lists = lambda v, t: pa.ListArray.from_arrays(pa.array(x.ptr, pa.int32()), pa.array(v, t))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pivot, pa.int32()), lists(x.cols, pa.int32()), lists(x.vals, pa.int64())], ["doc_id", "pivot", "terms", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pivot), lists(x.cols, pa.int32()), lists(x.vals, pa.int64())], ["doc_id", "pivot", "terms", "parts"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, _, queries, floor = shared.value
