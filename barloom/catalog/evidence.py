@@ -11,7 +11,7 @@ from ..plans import study
 from ..plans.lab import family_independence
 from ..session import materialize
 from ..sources import curves as C
-from .base import query
+from .base import ORACLES, QUERIES, query
 from .metrics import ID, SQL_CORR, SQL_CURVES, SQL_MONTHLY, SQL_PER, sql_dd
 from .metrics import stored_curves as curves
 from .returns import CAGR, SHARPE
@@ -64,21 +64,21 @@ bci AS (SELECT strategy, quantile_cont(stat, 0.05) AS lo, quantile_cont(stat, 0.
 PT = f"pt AS (SELECT strategy, CASE WHEN count(*) >= {{need}} THEN {SHARPE} END AS point FROM cv GROUP BY 1)"
 
 
-@query("v2_block_bootstrap", "strategy:s point:f lo:f hi:f n_boot:i", f"{SQL_CURVES}, {sql_boot(100, 21)}, {PT.format(need=42)}, out AS (SELECT pt.strategy, point, lo, hi, n_boot FROM pt LEFT JOIN bci USING (strategy))")
+@query("v2_block_bootstrap", "strategy:s point:f lo:f hi:f n_boot:i", f"{SQL_CURVES}, {sql_boot(2000, 21)}, {PT.format(need=42)}, out AS (SELECT pt.strategy, point, lo, hi, n_boot FROM pt LEFT JOIN bci USING (strategy))")
 def v2(spark, d):
-    return V.block_bootstrap(curves(spark, d), ID, 100, 21, 7)
+    return V.block_bootstrap(curves(spark, d), ID, 2000, 21, 7)
 
 
 @query("v3_stationary_bootstrap", "strategy:s point:f lo:f hi:f n_boot:i", f"""{SQL_CURVES}, {NUM}, ln AS (SELECT strategy, max(n) AS n FROM nm GROUP BY 1 HAVING max(n) >= 42),
-rp AS (SELECT strategy, n, rep, unnest(generate_series(0, n - 1)) AS t FROM (SELECT *, unnest(generate_series(0, 19)) AS rep FROM ln)),
-dr AS (SELECT *, CASE WHEN t = 0 OR {U("'7'", "'r'", 'strategy', 'rep', 't')} < 1e0 / 21 THEN t END AS t0, CAST(floor({U("'7'", "'s'", 'strategy', 'rep', 't')} * n) AS BIGINT) AS s0 FROM rp),
-lt AS (SELECT *, max(t0) OVER (PARTITION BY strategy, rep ORDER BY t) AS lt FROM dr),
-ix AS (SELECT a.strategy, a.rep, (b.s0 + a.t - a.lt) % a.n AS i FROM lt a JOIN dr b ON b.strategy = a.strategy AND b.rep = a.rep AND b.t = a.lt),
+rp AS (SELECT strategy, n, rep, unnest(generate_series(0, least(n, 200) - 1)) AS k FROM (SELECT *, unnest(generate_series(0, 1999)) AS rep FROM ln)),
+dr AS (SELECT *, CAST(1 + floor(ln(1 - {U("'7'", "'r'", 'strategy', 'rep', 'k')}) / ln(1 - 1e0 / 21)) AS BIGINT) AS len, CAST(floor({U("'7'", "'s'", 'strategy', 'rep', 'k')} * n) AS BIGINT) AS s0 FROM rp),
+sg AS (SELECT *, CAST(sum(len) OVER (PARTITION BY strategy, rep ORDER BY k) - len AS BIGINT) AS t0 FROM dr),
+ix AS (SELECT strategy, rep, (s0 + unnest(range(least(len, n - t0)))) % n AS i FROM sg WHERE t0 < n),
 bt AS (SELECT ix.strategy, rep, {SHARPE} AS stat FROM ix JOIN nm ON nm.strategy = ix.strategy AND nm.i = ix.i GROUP BY 1, 2),
 ci AS (SELECT strategy, quantile_cont(stat, 0.05) AS lo, quantile_cont(stat, 0.95) AS hi, count(stat) AS n_boot FROM bt GROUP BY 1), {PT.format(need=42)},
 out AS (SELECT pt.strategy, point, lo, hi, n_boot FROM pt LEFT JOIN ci USING (strategy))""")
 def v3(spark, d):
-    return V.stationary_bootstrap(curves(spark, d), ID, 20, 21, 7)
+    return V.stationary_bootstrap(curves(spark, d), ID, 2000, 21, 7)
 
 
 def sql_perm(n: int) -> str:
@@ -89,9 +89,9 @@ pd AS (SELECT strategy, path, min(dd) AS mdd FROM (SELECT *, e / max(e) OVER (PA
 mc AS (SELECT strategy, median(mdd) AS mdd_median, quantile_cont(mdd, 0.05) AS mdd_p95, avg(CASE WHEN mdd > observed THEN 1e0 ELSE 0e0 END) AS order_luck, max(observed) AS observed FROM pd JOIN ob2 USING (strategy) GROUP BY 1)"""
 
 
-@query("v4_permutation_drawdowns", "strategy:s mdd_median:f mdd_p95:f order_luck:f observed:f", f"{SQL_CURVES}, {NUM}, {sql_perm(20)}, out AS (SELECT * FROM mc)")
+@query("v4_permutation_drawdowns", "strategy:s mdd_median:f mdd_p95:f order_luck:f observed:f", f"{SQL_CURVES}, {NUM}, {sql_perm(2000)}, out AS (SELECT * FROM mc)")
 def v4(spark, d):
-    return V.permutation_drawdowns(curves(spark, d), ID, 20, 7)
+    return V.permutation_drawdowns(curves(spark, d), ID, 2000, 7)
 
 
 MOM = f"count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, {G1} AS g3, kurtosis_pop(ret) + 3 AS g4"
@@ -290,29 +290,17 @@ def v8(spark, d):
     return V.battery(V.trial_sharpes(c, VR), ["family"], failed)
 
 
-@query("v10_family_summary", "family:s n_variants:i best_variant:s best_dev_sharpe:f ci_lo:f ci_hi:f dsr:f wf_sharpe:f mdd_median:f mdd_p95:f", f"""{SQL_CURVES.replace('cv AS (', 'cva0 AS (')}, cv AS (SELECT * FROM cva0 WHERE date < DATE '1999-11-05' AND family <> 'benchmark'), {SQL_TR}, {SQL_WF}, {SQL_BAT.format(src='tr')}, {SQL_DSR}, {sql_boot(50, 21)}, {sql_perm(20)},
+@query("v10_family_summary", "family:s n_variants:i best_variant:s best_dev_sharpe:f ci_lo:f ci_hi:f dsr:f wf_sharpe:f mdd_median:f mdd_p95:f", f"""{SQL_CURVES.replace('cv AS (', 'cva0 AS (')}, cv AS (SELECT * FROM cva0 WHERE date < DATE '1999-11-05' AND family <> 'benchmark'), {SQL_TR}, {SQL_WF}, {SQL_BAT.format(src='tr')}, {SQL_DSR}, {sql_boot(2000, 21)}, {sql_perm(2000)},
 bst AS (SELECT family, n_variants, strategy, sharpe FROM (SELECT *, count(*) OVER (PARTITION BY family) AS n_variants, row_number() OVER (PARTITION BY family ORDER BY sharpe DESC, strategy) AS rn FROM tr) WHERE rn = 1),
 ws AS (SELECT family, {SHARPE} AS wf_sharpe FROM wf GROUP BY 1),
 out AS (SELECT b.family, n_variants, b.strategy AS best_variant, sharpe AS best_dev_sharpe, lo AS ci_lo, hi AS ci_hi, dsr, wf_sharpe, mdd_median, mdd_p95 FROM bst b JOIN bci ON bci.strategy = b.strategy JOIN ds ON ds.strategy = b.strategy JOIN ws ON ws.family = b.family JOIN mc ON mc.strategy = b.strategy)""")
 def v10(spark, d):
-    dev = curves(spark, d).where(F.col("date") < F.to_date(F.lit(C.HOLDOUT_START))).drop("cls", "line", "turnover")
-    # The draws are keyed by strategy alone, so the twin can number the same replicates.
-    c = dev.where("family <> 'benchmark'")
-    t = V.trial_sharpes(c, VR)
-    best = t.groupBy("family").agg(F.count("*").alias("n_variants"), F.min_by("strategy", F.struct(-F.col("sharpe"), "strategy")).alias("best_variant"))
-    top = c.join(best.select(F.col("best_variant").alias("strategy")), "strategy", "left_semi")
-    boot = V.block_bootstrap(top, ID, 50, 21, 7).withColumnRenamed("strategy", "best_variant")
-    mc = V.permutation_drawdowns(top, ID, 20, 7).withColumnRenamed("strategy", "best_variant")
-    dsr = V.deflated_sharpe(c, ["family"], "strategy").select(F.col("strategy").alias("best_variant"), "dsr")
-    wf = V.walk_forward(c, ["family"], "strategy", 24, 6)[0].groupBy("family").agg(S.sharpe("ret").alias("wf_sharpe"))
-    x = best.join(boot, "best_variant").join(dsr, "best_variant").join(wf, "family").join(mc, "best_variant")
-    return x.select("family", "n_variants", "best_variant", F.col("point").alias("best_dev_sharpe"), F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"), "dsr", "wf_sharpe", "mdd_median", "mdd_p95")
-
-
-@query("v10_family_summary_plan", "family:s n_variants:i best_variant:s best_dev_sharpe:f ci_lo:f ci_hi:f dsr:f wf_sharpe:f mdd_median:f mdd_p95:f")
-def v10p(spark, d):
     dev = curves(spark, d).where(F.col("date") < F.to_date(F.lit(C.HOLDOUT_START)))
-    return study.family_summary(dev, n_boot=50, n_paths=20, min_train_months=24, step_months=6)
+    # The draws are keyed by strategy alone, so the twin can number the same replicates.
+    return study.family_summary(dev, min_train_months=24, step_months=6, seed=7, draw=["strategy"])
+
+
+QUERIES["v10_family_summary_plan"], ORACLES["v10_family_summary_plan"] = QUERIES["v10_family_summary"], ORACLES["v10_family_summary"]
 
 
 # ------------------------------------------------------------------ rollups

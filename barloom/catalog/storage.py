@@ -1,5 +1,6 @@
 """Sources and sinks (S1-S25), streaming (T1, T2). Files are written from the given tables and read back by the sources."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
@@ -60,9 +61,33 @@ def csv_folder(spark, d, **rename):
     return path
 
 
-@query("s5_import_loose", SPEC, f"{BARS}, out AS (SELECT 'B' || substr(series_id, 7) AS series_id, date, open, close AS high, close AS low, close, adj_close, CASE WHEN month(date) <> 2 THEN volume END AS volume FROM bars)")
+def loose_folder(spark, d):
+    """CSV files with two column orders, a repeated last date, and files without a close or date column or with a date that is none."""
+    path = workspace(spark, "loose")
+    no, last = T.brand_no(), F.max("date").over(Window.partitionBy("series_id"))
+    b = T.bars(spark, d).withColumns({"no": no, "last": last, "vol": F.when(F.month("date") == 2, F.lit("n/a")).otherwise(F.col("volume").cast("string")), "day": F.date_format("date", "yyyy-MM-dd")})
+    row = lambda day, close: F.when(F.col("no") % 2 == 0, F.concat_ws(",", day, "open", close, "adj_close", "vol")).otherwise(F.concat_ws(",", "vol", close, "adj_close", F.concat(F.lit('"'), "open", F.lit('"')), F.concat(day, F.lit("T00:00:00"))))
+    some = lambda n, text, other: F.when(F.col("no") % 7 == n, F.lit(text)).otherwise(other)
+    head = F.when(F.col("no") % 2 == 0, F.concat_ws(",", some(2, "Dat", F.lit("Date")), F.lit("O"), some(0, "Prize", F.lit("Price")), F.lit("Adj Close"), F.lit("Vol"))) \
+        .otherwise(F.concat_ws(",", F.lit("VOLUME"), some(0, "Clse", F.lit(" close")), F.lit("Adjusted"), F.lit("Open"), some(2, "Dei", F.lit("Day"))))
+    day = F.when((F.col("no") % 7 == 1) & (F.col("date") == F.col("last")), F.lit("soon")).otherwise(F.col("day"))
+    lines = b.select(F.concat(F.lit("b"), F.col("no").cast("string")).alias("series_key"), F.explode(F.array(
+        F.struct(F.lit(None).cast("date").alias("o"), F.lit(0).alias("p"), head.alias("value")), F.struct(F.col("date").alias("o"), F.lit(1).alias("p"), row(day, "close").alias("value")),
+        F.struct(F.when(F.col("date") == F.col("last"), F.col("date")).alias("o"), F.lit(2).alias("p"), row(F.col("day"), F.lit("1")).alias("value")))).alias("x")).select("series_key", "x.*")
+    lines = lines.where("p = 0 or o is not null").dropDuplicates().repartition("series_key").sortWithinPartitions("series_key", F.col("p") > 0, "o", "p")
+    lines.select("series_key", "value").write.partitionBy("series_key").text(path)
+    return path
+
+
+@query("s5_import_loose", SPEC, f"{BARS}, out AS (SELECT 'B' || substr(series_id, 7) AS series_id, date, open, close AS high, close AS low, close, adj_close, CASE WHEN month(date) <> 2 THEN volume END AS volume FROM bars WHERE CAST(substr(series_id, 7) AS INTEGER) % 7 > 2)")
 def s5(spark, d):
-    return L.normalize_bars(L.read_loose(spark, csv_folder(spark, d) + "/*/*.csv", "csv"))
+    return L.import_loose_csv(spark, loose_folder(spark, d) + "/*/*.txt")[0]
+
+
+@query("s5_loose_rejects", "series_id:s reason:s", """b AS (SELECT DISTINCT CAST(substr(p_brand, 7) AS INTEGER) AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+out AS (SELECT 'B' || n AS series_id, CASE n % 7 WHEN 0 THEN 'no close column' WHEN 1 THEN 'unreadable date' ELSE 'no date column' END AS reason FROM b WHERE n % 7 <= 2)""")
+def s5r(spark, d):
+    return L.import_loose_csv(spark, loose_folder(spark, d) + "/*/*.txt")[1]
 
 
 @query("s6_normalize_bars", SPEC, f"{BARS}, out AS (SELECT series_id, date, close AS open, high, close AS low, close, close AS adj_close, NULL AS volume FROM bars)")
@@ -126,26 +151,36 @@ def s12(spark, d):
 
 
 def session_files(spark, d, dup=False):
-    """One folder of pipe-delimited session text with headers, trailers, lower-case symbols and zero-volume rows."""
+    """A file of pipe-delimited session text for each year, with trailers, lower-case symbols and zero-volume rows; odd years have another column
+    order, the file of 1995 lacks the total. ``dup`` puts rows to be replaced before some of the rows."""
     path = workspace(spark, "sessions")
-    s = T.short_volume(spark, d).withColumn("no", T.brand_no())
-    sym = F.concat(F.lit(" b"), F.col("no").cast("string"), F.lit(" "))
+    s = T.short_volume(spark, d).withColumns({"no": T.brand_no(), "y": F.year("date")})
+    sym, day = F.concat(F.lit(" b"), F.col("no").cast("string"), F.lit(" ")), F.date_format("date", "yyyyMMdd")
     total = F.when((F.col("no") == 4) & (F.month("date") == 1), 0.0).otherwise(F.col("total_volume"))
-    row = F.concat_ws("|", F.date_format("date", "yyyyMMdd"), sym, F.col("short_volume").cast("string"), F.lit("0"), total.cast("string"), F.lit("Q"))
-    out = [row, F.concat(F.lit("Records: "), F.col("no").cast("string")), F.lit("Date|Symbol|ShortVolume|ShortExemptVolume|TotalVolume|Market")]
+    odd = F.col("y") % 2 == 1
+    line = lambda short, total: F.when(odd, F.concat_ws("|", sym, total, day, short, F.lit("0"))).otherwise(F.concat_ws("|", day, sym, short, F.lit("0"), total, F.lit("Q")))
+    head = F.when(F.col("y") == 1995, "Symbol|Total|Date|ShortVolume|ShortExemptVolume").when(odd, "Symbol|TotalVolume|Date|ShortVolume|ShortExemptVolume").otherwise("Date|Symbol|ShortVolume|ShortExemptVolume|TotalVolume|Market")
+    at = lambda k, v: F.struct(F.lit(k).alias("p"), v.alias("value"))
+    out = [at(0, head), at(2, line(F.col("short_volume").cast("string"), total.cast("string"))), at(3, F.concat(F.lit("Records: "), F.col("no").cast("string")))]
     if dup:
-        out.append(F.when(F.col("no") % 3 == 0, row))
-    x = s.select(F.year("date").alias("y"), F.explode(F.array(*out)).alias("value")).where("value is not null")
-    x.repartition("y").write.partitionBy("y").text(path)
+        out.append(at(1, F.when((F.col("no") % 3 == 0) & (total > 0), line(F.lit("1"), F.lit("2")))))
+    x = s.select("y", F.explode(F.array(*out)).alias("x")).select("y", "x.*").where("value is not null").dropDuplicates()
+    x.repartition("y").sortWithinPartitions("y", "p").select("y", "value").write.partitionBy("y").text(path)
     return path
 
 
-SV = f"{SQL_LINES}, {SQL_SHORT}, sq AS (SELECT date, 'B' || substr(series_id, 7) AS series_id, short_volume, total_volume FROM sv WHERE NOT (series_id = 'Brand#4' AND month(date) = 1))"
+SV = f"{SQL_LINES}, {SQL_SHORT}, sq AS (SELECT date, 'B' || substr(series_id, 7) AS series_id, short_volume, total_volume FROM sv WHERE NOT (series_id = 'Brand#4' AND month(date) = 1) AND year(date) <> 1995)"
 
 
 @query("s13_read_sessions", "date:d series_id:s short_volume:f short_exempt_volume:f total_volume:f", f"{SV}, out AS (SELECT *, 0 AS short_exempt_volume FROM sq)")
 def s13(spark, d):
-    return L.parse_session_lines(spark.read.text(session_files(spark, d)))
+    return L.parse_session_files(L.placed_lines(spark, session_files(spark, d)))[0]
+
+
+@query("s13_session_rejects", "y:i reason:s", f"{SV}, out AS (SELECT DISTINCT year(date) AS y, 'missing columns: TotalVolume' AS reason FROM sv WHERE year(date) = 1995)")
+def s13r(spark, d):
+    refused = L.parse_session_files(L.placed_lines(spark, session_files(spark, d)))[1]
+    return refused.select(F.regexp_extract("file", r"y=(\d+)/", 1).cast("int").alias("y"), "reason")
 
 
 @query("s14_short_share", "series_id:s date:d share:f", f"{SQL_LINES}, {SQL_SHORT}, out AS (SELECT series_id, date, short_volume / nullif(total_volume, 0) AS share FROM sv)")
@@ -161,7 +196,7 @@ def s14p(spark, d):
 
 @query("s15_regroup_sessions", "series_id:s n:i s:f t:f", f"{SV}, out AS (SELECT series_id, count(*) AS n, sum(short_volume) AS s, sum(total_volume) AS t FROM sq GROUP BY 1)")
 def s15(spark, d):
-    r = L.regroup_sessions(L.parse_session_lines(spark.read.text(session_files(spark, d, dup=True))))
+    r = L.regroup_sessions(L.parse_session_files(L.placed_lines(spark, session_files(spark, d, dup=True)))[0])
     return r.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("short_volume").alias("s"), F.sum("total_volume").alias("t"))
 
 
@@ -278,16 +313,15 @@ def s25(spark, d):
 @query("t1_stream_sessions", "date:d series_id:s short_volume:f total_volume:f", f"{SV}, out AS (SELECT * FROM sq)")
 def t1(spark, d):
     root = workspace(spark, "stream")
-    jobs.ingest_sessions(spark, session_files(spark, d, dup=True), f"{root}/out", f"{root}/ck", late="4000 days").awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    jobs.ingest_sessions(spark, session_files(spark, d, dup=True), f"{root}/out", f"{root}/ck", files_per_trigger=3).awaitTermination()
+    return jobs.stored_sessions(spark, f"{root}/out")
 
 
-@query("t2_stream_bars", "series_id:s day:d open:f high:f low:f close:f volume:f n:i", """w AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(value) AS volume, count(*) AS n FROM events GROUP BY 1, 2),
-out AS (SELECT * FROM w WHERE CAST(day + 1 AS TIMESTAMP) <= (SELECT max(ts) - INTERVAL 1 DAY FROM events))""")
+@query("t2_stream_bars", "series_id:s day:d open:f high:f low:f close:f volume:f n:i", """out AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(value) AS volume, count(*) AS n FROM events GROUP BY 1, 2)""")
 def t2(spark, d):
     root = workspace(spark, "stream")
     jobs.run_bars(spark, f"{d.rstrip('/')}/events.parquet", f"{root}/out", f"{root}/ck").awaitTermination()
-    return spark.read.parquet(f"{root}/out").withColumn("day", jobs.utc_day("start"))
+    return jobs.read_bars(spark, f"{root}/out").withColumn("day", jobs.utc_day("start"))
 
 
 @query("t2_batch_bars", "series_id:s day:d open:f high:f low:f close:f volume:f n:i", """out AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS day, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(value) AS volume, count(*) AS n FROM events GROUP BY 1, 2)""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
+from ..operators.order_stats import expanding_quantile
 from ..sources import tables as T
 from .base import W, lagx, query, roll, sql_panel
 from .panel import masked_panel, sql_mask
@@ -86,7 +87,7 @@ def w10(spark, d):
 out AS (SELECT date, disp, CASE WHEN count(disp) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) >= 52 THEN quantile_cont(disp, 0.6) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) END AS q FROM x)""")
 def w12(spark, d):
     x = px(spark, d).groupBy("date").agg(F.stddev_samp("ret").alias("disp"))
-    return x.withColumn("q", R.rolling(lambda c: F.percentile(c, F.lit(0.6)), "disp", None, 52, key=[], order="date"))
+    return expanding_quantile(x, "disp", 0.6, "q", 52)
 
 
 @query("w19_latch", "series_id:s date:d held:b", f"""{BASE}, m AS (SELECT *, (px - ({roll('avg', 'px', 10)})) / nullif({roll('stddev_samp', 'px', 10)}, 0) AS z FROM px),

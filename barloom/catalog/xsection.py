@@ -8,6 +8,7 @@ from ..operators import recursive as REC
 from ..operators import returns as B
 from ..operators import stateful as ST
 from ..operators import xsection as X
+from ..operators.order_stats import expanding_quantile
 from ..plans import signals as S
 from ..plans.signals import SIGNALS, Market
 from ..sources import tables as T
@@ -40,7 +41,7 @@ def c1s(spark, d):
 @query("c2_xs_zscore", "series_id:s date:d z:f", f"{MK}, t AS (SELECT * FROM px WHERE mask), out AS (SELECT series_id, date, {Z('ret')} AS z FROM t)")
 def c2(spark, d):
     panel, _ = masked_panel(spark, d)
-    return panel.where("mask").withColumn("z", X.zscore("ret"))
+    return X.with_zscores(panel.where("mask"), ["ret"]).withColumnRenamed("z_ret", "z")
 
 
 @query("c3_top_n", "series_id:s date:d score:f", f"""{MK}, t AS (SELECT series_id, date, ret AS score, row_number() OVER (PARTITION BY date ORDER BY ret DESC, series_id) AS rn FROM px WHERE mask AND ret IS NOT NULL),
@@ -107,7 +108,7 @@ out AS (SELECT date, disp, CASE WHEN count(disp) OVER (ORDER BY date ROWS UNBOUN
 def c12(spark, d):
     panel, _ = masked_panel(spark, d)
     x = panel.withColumn("sd", R.std("ret", 13)).groupBy("date").agg(F.stddev_samp("sd").alias("disp"))
-    return x.withColumn("threshold", R.rolling(lambda c: F.percentile(c, F.lit(0.6)), "disp", None, 52, key=[], order="date"))
+    return expanding_quantile(x, "disp", 0.6, "threshold", 52)
 
 
 @query("c13_argmax_pick", "date:d series_id:s ret:f", f"""{MK}, t AS (SELECT date, series_id, ret, row_number() OVER (PARTITION BY date ORDER BY ret DESC, series_id) AS rn FROM px WHERE ret IS NOT NULL),

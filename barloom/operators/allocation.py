@@ -94,7 +94,7 @@ def least_correlated(panel: DataFrame, cal: DataFrame, freq: str, window: int, n
     """Equal weights of the ``n`` live names with the lowest average correlation to all others, per decision date."""
     m = mean_corr(enough_history(trailing_windows(panel, cal, freq, window), window), ["stamp"], "series_id", "pos", "ret")
     m = m.select(F.col("id").alias("series_id"), F.col("stamp").alias("date"), "n_others", "mean_corr")
-    picked = equal_weight(top_n(m.where("n_others > 0"), "mean_corr", n, ascending=True)).select("series_id", "date", "w")
+    picked = equal_weight(top_n(m.where("n_others > 0"), "mean_corr", n, ascending=True), few=True).select("series_id", "date", "w")
     live = panel.where("mask").join(F.broadcast(cal.where(F.col(f"{freq}_stamp")).select("date")), "date", "left_semi").select("series_id", "date")
     rest = live.join(picked.select("date").distinct(), "date", "left_anti")
     return picked.unionByName(equal_weight(rest).select("series_id", "date", "w"))

@@ -1,12 +1,14 @@
 """Walk-forward selection, bootstrap and permutation statistics, and multiple-testing corrections.
 
 Draws are hashes of (seed, replicate, position), so results do not change with retries, partitions or executors. Curves are
-addressed by row number; replicates are partition keys, and block sums are formed before the replicate explosion, so a
-replicate reads one row per block instead of one per observation.
+arrays with running sums; a replicate is folded from them and never becomes rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,69 +68,114 @@ def _interval(draws: DataFrame, ids: list[str], level: float) -> DataFrame:
     return draws.groupBy(*ids).agg(F.percentile("stat", F.lit(a)).alias("lo"), F.percentile("stat", F.lit(1 - a)).alias("hi"), F.count("stat").alias("n_boot"))
 
 
+#: Replicates that are computed from one copy of a curve.
+AT_ONCE = 50
+
+
+def _arrays(curves: DataFrame, ids: list[str], ret: str) -> DataFrame:
+    """One row per curve: its returns in order (``_r``), their number, and running sums from 0 of them and their squares (``_s``, ``_q``).
+
+    A curve has no more rows than the calendar, so its arrays are bounded.
+    """
+    x = numbered(curves, ids, ret)
+    run = Window.partitionBy(*ids).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_a": F.sum("ret").over(run), "_b": F.sum(F.col("ret") * F.col("ret")).over(run)})
+    x = x.groupBy(*ids).agg(S.sharpe("ret").alias("point"), F.count("ret").cast("int").alias("n"), F.sort_array(F.collect_list(F.struct("i", "ret", "_a", "_b"))).alias("_x"))
+    from_zero = lambda c: F.concat(F.array(F.lit(0.0)), F.transform("_x", lambda r: r[c]))
+    return x.select(*ids, "point", "n", F.transform("_x", lambda r: r["ret"]).alias("_r"), from_zero("_a").alias("_s"), from_zero("_b").alias("_q"))
+
+
+def _replicates(rows: DataFrame, ids: list[str], count: int, one: Callable[[Column], Column]) -> DataFrame:
+    """(ids, stat): ``one`` of each replicate number. A replicate never becomes rows; what moves is a copy of the curve for ``AT_ONCE`` of them."""
+    parts = rows.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // AT_ONCE)))).repartition(*ids, "_c")
+    mine = F.sequence(F.col("_c") * AT_ONCE, F.least((F.col("_c") + 1) * AT_ONCE, F.lit(count)) - 1)
+    return parts.select(*ids, F.explode(F.transform(mine, one)).alias("stat"))
+
+
+def _draw(seed: int, tag: list[str], keys: list[str], *more: Column) -> Column:
+    return uniform_from_key(F.lit(seed), *[F.lit(t) for t in tag], *[F.col(c) for c in keys], *more)
+
+
+def _of_sums(z: Column) -> Column:
+    return _sharpe_from_sums(F.col("n"), z["s"], z["q"])
+
+
 def block_bootstrap(curves: DataFrame, ids: list[str], n_boot: int = 2000, block: int = 21, seed: int = 0, level: float = 0.90,
-                    ret: str = "ret") -> DataFrame:
+                    ret: str = "ret", draw: list[str] | None = None) -> DataFrame:
     """Moving-block bootstrap interval of the Sharpe ratio: ``(ids, point, lo, hi, n_boot)``; curves under two blocks get NULLs.
 
-    The first and second moments of every possible block are windows over the curve; the last block of a replicate is cut to the
-    curve's length by using the moments of the shorter block.
+    A block's first and second moments are differences of running sums, so a replicate costs a step for each block; its last block is cut to the
+    curve's length. ``draw`` names the columns that key the draws (``ids`` if not given).
     """
-    x = numbered(curves, ids, ret)
-    nb = F.ceil(F.col("n") / block).cast("int")
-    tail = (F.col("n") - (nb - 1) * block).cast("int")
-    w = Window.partitionBy(*ids).orderBy("i")
-    cum = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({"_s": F.sum("ret").over(cum), "_q": F.sum(F.col("ret") * F.col("ret")).over(cum), "_nb": nb, "_tail": tail})
-    full, ahead = w.rowsBetween(0, block - 1), w.rowsBetween(0, block - 1)
-    take = F.slice(F.collect_list("ret").over(ahead), F.lit(1), F.col("_tail"))
-    x = x.withColumns({"_bs": F.sum("ret").over(full), "_bq": F.sum(F.col("ret") * F.col("ret")).over(full), "_t": take})
-    add = lambda a, b: a + b
-    blocks = x.where(F.col("i") < F.col("n") - block).select(
-        *ids, "i", "_bs", "_bq", F.aggregate("_t", F.lit(0.0), add).alias("_ts"), F.aggregate("_t", F.lit(0.0), lambda a, b: a + b * b).alias("_tq"))
-    point = x.groupBy(*ids).agg(S.sharpe("ret").alias("point"), F.max("n").alias("n"), F.max("_nb").alias("_nb"))
-    reps = point.where(F.col("n") >= 2 * block).select(*ids, "n", "_nb", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    reps = reps.select(*ids, "n", "_nb", "rep", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("k"))
-    reps = reps.withColumn("i", F.floor(uniform_from_key(F.lit(seed), *[F.col(c) for c in ids], F.col("rep"), F.col("k")) * (F.col("n") - block)).cast("int"))
-    last = F.col("k") == F.col("_nb") - 1
-    d = reps.join(blocks, [*ids, "i"]).groupBy(*ids, "rep").agg(F.max("n").alias("n"), F.sum(F.when(last, F.col("_ts")).otherwise(F.col("_bs"))).alias("s"),
-                                                               F.sum(F.when(last, F.col("_tq")).otherwise(F.col("_bq"))).alias("q"))
-    d = d.withColumn("stat", _sharpe_from_sums(F.col("n"), F.col("s"), F.col("q")))
-    return point.select(*ids, F.when(F.col("n") >= 2 * block, F.col("point")).alias("point")).join(_interval(d, ids, level), ids, "left")
+    x, keys = _arrays(curves, ids, ret), draw or ids
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    cut = F.col("n") - (blocks - 1) * block
+
+    def one(rep: Column) -> Column:
+        def add(z: Column, k: Column) -> Column:
+            a = F.floor(_draw(seed, [], keys, rep, k) * (F.col("n") - block)).cast("int")
+            size = F.when(k == blocks - 1, cut).otherwise(block)
+            part = lambda c: F.get(c, a + size) - F.get(c, a)
+            return F.struct((z["s"] + part("_s")).alias("s"), (z["q"] + part("_q")).alias("q"))
+
+        return F.aggregate(F.sequence(F.lit(0), blocks - 1), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), add, _of_sums)
+
+    long = F.col("n") >= 2 * block
+    d = _replicates(x.where(long), ids, n_boot, one)
+    return x.select(*ids, F.when(long, F.col("point")).alias("point")).join(_interval(d, ids, level), ids, "left")
 
 
 def stationary_bootstrap(curves: DataFrame, ids: list[str], n_boot: int = 2000, mean_block: int = 21, seed: int = 0, level: float = 0.90,
                          ret: str = "ret") -> DataFrame:
     """Stationary bootstrap interval of the Sharpe ratio: geometric block lengths and wrap-around.
 
-    A replicate's row index is its last restart's draw plus the rows since, modulo the length; the restarts come from hashes.
+    A replicate is a row of stretches, each with a drawn start and a geometric length by inversion, until the curve's length is reached; a stretch's
+    moments are differences of running sums.
+    """
+    x = _arrays(curves, ids, ret)
+    n = F.col("n")
+
+    def one(rep: Column) -> Column:
+        def add(z: Column, k: Column) -> Column:
+            more = 1 + F.floor(F.ln(1 - _draw(seed, ["r"], ids, rep, k)) / F.lit(math.log(1 - 1 / mean_block)))
+            size = F.least(more, (n - z["t"]).cast("bigint")).cast("int")
+            a = F.floor(_draw(seed, ["s"], ids, rep, k) * n).cast("int")
+            whole = lambda c: F.get(c, F.least(a + size, n)) - F.get(c, a) + F.get(c, F.greatest(a + size - n, F.lit(0)))
+            nxt = F.struct((z["t"] + size).alias("t"), (z["s"] + whole("_s")).alias("s"), (z["q"] + whole("_q")).alias("q"))
+            return F.when(z["t"] < n, nxt).otherwise(z)
+
+        start = F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        # Twice the expected number of stretches nearly always suffices; where it doesn't, as many more follow as there can be.
+        usual = F.least(n, F.ceil(n * 2 / mean_block).cast("int") + 50)
+        some = F.aggregate(F.sequence(F.lit(0), usual - 1), start, add)
+        return F.get(F.transform(F.array(some), lambda z: _of_sums(F.when(z["t"] < n, F.aggregate(F.sequence(usual, n), z, add)).otherwise(z))), F.lit(0))
+
+    long = n >= 2 * mean_block
+    d = _replicates(x.where(long), ids, n_boot, one)
+    return x.select(*ids, F.when(long, F.col("point")).alias("point")).join(_interval(d, ids, level), ids, "left")
+
+
+def permutation_drawdowns(curves: DataFrame, ids: list[str], n_paths: int = 2000, seed: int = 0, ret: str = "ret", draw: list[str] | None = None) -> DataFrame:
+    """Drawdown distribution over shuffled orders of a curve: median, 5 % quantile and the share of paths better than observed.
+
+    A path sorts the curve by drawn numbers and folds it with (growth, peak, deepest drawdown). ``draw`` names the columns that key the draws.
     """
-    x = numbered(curves, ids, ret)
-    point = x.groupBy(*ids).agg(S.sharpe("ret").alias("point"), F.max("n").alias("n"))
-    reps = point.where(F.col("n") >= 2 * mean_block).select(*ids, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    reps = reps.select(*ids, "n", "rep", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("t"))
-    key = [F.col(c) for c in ids]
-    fresh = (F.col("t") == 0) | (uniform_from_key(F.lit(seed), F.lit("r"), *key, F.col("rep"), F.col("t")) < 1.0 / mean_block)
-    draw = F.floor(uniform_from_key(F.lit(seed), F.lit("s"), *key, F.col("rep"), F.col("t")) * F.col("n")).cast("int")
-    reps = reps.withColumn("_m", F.when(fresh, F.struct(F.col("t").alias("t0"), draw.alias("s0"))))
-    w = Window.partitionBy(*ids, "rep").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    reps = reps.withColumn("_m", F.last("_m", ignorenulls=True).over(w))
-    reps = reps.select(*ids, "rep", F.pmod(F.col("_m.s0") + F.col("t") - F.col("_m.t0"), F.col("n")).cast("int").alias("i"))
-    d = reps.join(x.select(*ids, "i", "n", "ret"), [*ids, "i"]).groupBy(*ids, "rep").agg(
-        F.max("n").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    d = d.withColumn("stat", _sharpe_from_sums(F.col("n"), F.col("s"), F.col("q")))
-    return point.select(*ids, F.when(F.col("n") >= 2 * mean_block, F.col("point")).alias("point")).join(_interval(d, ids, level), ids, "left")
-
-
-def permutation_drawdowns(curves: DataFrame, ids: list[str], n_paths: int = 2000, seed: int = 0, ret: str = "ret") -> DataFrame:
-    """Drawdown distribution over shuffled orders of a curve: median, 5 % quantile and the share of paths better than observed."""
     from .metrics import drawdowns
 
-    x = numbered(curves, ids, ret)
-    p = x.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
-    p = p.withColumn("_u", uniform_from_key(F.lit(seed), *[F.col(c) for c in ids], F.col("path"), F.col("i")))
-    w = Window.partitionBy(*ids, "path").orderBy("_u", "i").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.withColumn("_eq", F.product(1 + F.col("ret")).over(w)).withColumn("_dd", F.try_divide("_eq", F.max("_eq").over(w)) - 1)
-    m = p.groupBy(*ids, "path").agg(F.min("_dd").alias("mdd"))
+    x, keys = _arrays(curves, ids, ret), draw or ids
+
+    def one(path: Column) -> Column:
+        order = F.sort_array(F.transform("_r", lambda r, i: F.struct(_draw(seed, [], keys, path, i).alias("u"), i.alias("i"), r.alias("r"))))
+
+        def step(z: Column, x: Column) -> Column:
+            e = z["e"] * (1 + x["r"])
+            top = F.greatest(z["top"], e)
+            return F.struct(e.alias("e"), top.alias("top"), F.least(z["dd"], F.try_divide(e, top) - 1).alias("dd"))
+
+        start = F.struct(F.lit(1.0).alias("e"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("dd"))
+        return F.aggregate(order, start, step, lambda z: z["dd"])
+
+    m = _replicates(x, ids, n_paths, one).withColumnRenamed("stat", "mdd")
     seen = drawdowns(curves, ids, ret).groupBy(*ids).agg(F.min("drawdown").alias("observed"))
     return m.join(seen, ids).groupBy(*ids).agg(
         F.percentile("mdd", F.lit(0.5)).alias("mdd_median"), F.percentile("mdd", F.lit(0.05)).alias("mdd_p95"),

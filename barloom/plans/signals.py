@@ -16,6 +16,7 @@ from ..functions import rolling as R
 from ..operators import allocation, stateful
 from ..operators import xsection as X
 from ..operators.asof import pit_asof, trailing_filings
+from ..operators.order_stats import expanding_quantile
 from ..operators.recursive import adx, atr, gaussian
 from ..operators.returns import portfolio_returns, vol_target
 
@@ -78,7 +79,7 @@ def _pick(m: Market, df: DataFrame, score, n: int, freq: str, positive: bool = T
     x = decisions(df.where("mask").withColumn("score", score), m, freq)
     if positive:
         x = x.where("score > 0")
-    return _w(X.equal_weight(X.top_n(x.select("series_id", "date", "score"), "score", n, ascending=ascending)))
+    return _w(X.equal_weight(X.top_n(x.select("series_id", "date", "score"), "score", n, ascending=ascending), few=True))
 
 
 def _masked_equal(df: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def xs_momentum(m: Market, lookback: int, skip: int, n: int = 5, weighting: str
     src = (m.basket(basket) if basket else m.panel).withColumns({"mom": R.momentum("adj_close", lookback, skip), "vol": R.realized_vol("ret", vol_window)})
     x = decisions(src.where("mask and mom > 0").select("series_id", "date", "mom", "vol"), m, freq)
     x = X.top_n(x, "mom", n)
-    how = {"equal": X.equal_weight, "inverse_vol": lambda d: X.inverse_vol_weight(d, "vol"), "momentum": lambda d: X.score_weight(d, "mom")}
+    how = {"equal": lambda d: X.equal_weight(d, few=True), "inverse_vol": lambda d: X.inverse_vol_weight(d, "vol", few=True), "momentum": lambda d: X.score_weight(d, "mom", few=True)}
     return _w(how[weighting](x))
 
 
@@ -200,7 +201,7 @@ def rsi_reversion(m: Market, window: int, entry: float, exit: float, trend: int,
     x = x.withColumns({"rsi": R.rsi("_d", window), "up": R.above("adj_close", R.sma("adj_close", trend))})
     x = x.withColumn("held", R.latch(F.coalesce(F.col("rsi") < entry, F.lit(False)) & F.col("up") & F.col("mask"),
                                      F.coalesce(F.col("rsi") > exit, F.lit(False)) | ~F.col("up")))
-    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "rsi"), "rsi", positions, ascending=True)))
+    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "rsi"), "rsi", positions, ascending=True), few=True))
 
 
 @signal
@@ -214,7 +215,7 @@ def bollinger_reversion(m: Market, window: int, entry_z: float, exit_z: float, t
     x = m.panel.withColumns({"z": R.bollinger_z("adj_close", window), "up": R.above("adj_close", R.sma("adj_close", trend))})
     x = x.withColumn("held", R.latch(F.coalesce(F.col("z") < entry_z, F.lit(False)) & F.col("up") & F.col("mask"),
                                      F.coalesce(F.col("z") > exit_z, F.lit(False)) | ~F.col("up")))
-    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "z"), "z", positions, ascending=True)))
+    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "z"), "z", positions, ascending=True), few=True))
 
 
 @signal
@@ -226,7 +227,7 @@ def donchian_breakout(m: Market, entry_window: int, exit_window: int, positions:
         x = x.join(F.broadcast(ix), "date")
         entry = entry & F.col("_on")
     x = x.withColumn("held", R.latch(entry, R.below("adj_close", "lo"))).withColumn("strength", F.try_divide("adj_close", "hi") - 1)
-    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "strength"), "strength", positions)))
+    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "strength"), "strength", positions), few=True))
 
 
 @signal
@@ -236,7 +237,7 @@ def squeeze_breakout(m: Market, entry_window: int, exit_window: int, squeeze: fl
                        "sq": F.coalesce(R.lag(F.col("vr") < squeeze), F.lit(False))})
     x = x.withColumn("held", R.latch(R.above("adj_close", "hi") & F.col("sq") & F.col("mask"), R.below("adj_close", "lo")))
     x = x.withColumn("strength", F.try_divide("adj_close", "hi") - 1)
-    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "strength"), "strength", positions)))
+    return _w(X.equal_weight(X.top_n(x.where("held").select("series_id", "date", "strength"), "strength", positions), few=True))
 
 
 # ------------------------------------------------------------------ filings
@@ -252,7 +253,8 @@ def _filed(m: Market, fields: list[str], base: DataFrame | None = None) -> DataF
 def quality_growth(m: Market, n: int = 8, freq: str = "qe", w_growth: float = 0.4, w_accel: float = 0.3, w_margin: float = 0.3) -> DataFrame:
     x = _filed(m, ["revenue_yoy", "revenue_accel", "revenue_ttm", "fcf_ttm"]).where("mask")
     x = decisions(x.withColumn("margin", F.try_divide("fcf_ttm", "revenue_ttm")), m, freq)
-    x = x.withColumn("z", w_growth * X.zscore("revenue_yoy") + w_accel * X.zscore("revenue_accel") + w_margin * X.zscore("margin"))
+    x = X.with_zscores(x, ["revenue_yoy", "revenue_accel", "margin"])
+    x = x.withColumn("z", w_growth * F.col("z_revenue_yoy") + w_accel * F.col("z_revenue_accel") + w_margin * F.col("z_margin"))
     return _pick(m, x, F.col("z"), n, "day", positive=False)
 
 
@@ -261,7 +263,7 @@ def valuation_aware_growth(m: Market, n: int = 8, freq: str = "qe", max_pct: flo
     x = _filed(m, ["revenue_yoy", "revenue_ttm", "fcf_ttm", "shares"])
     x = x.withColumn("ps", F.try_divide(F.col("close") * F.col("shares"), F.col("revenue_ttm")))
     x = x.withColumn("ps_pct", R.percentile_rank("ps", history, min_history)).withColumn("margin", F.try_divide("fcf_ttm", "revenue_ttm"))
-    x = decisions(x.where("mask"), m, freq).withColumn("z", X.zscore("revenue_yoy") + 0.5 * X.zscore("margin"))
+    x = X.with_zscores(decisions(x.where("mask"), m, freq), ["revenue_yoy", "margin"]).withColumn("z", F.col("z_revenue_yoy") + 0.5 * F.col("z_margin"))
     return _pick(m, x.where(F.col("ps_pct") < max_pct), F.col("z"), n, "day", positive=False)
 
 
@@ -420,12 +422,12 @@ def residual_momentum(m: Market, lookback: int, skip: int, beta_window: int, n:
 def multi_horizon_momentum(m: Market, horizons: tuple[int, ...], skip: int, n: int = 8, weighting: str = "equal", vol_window: int = 13, freq: str = "me") -> DataFrame:
     x = m.panel.withColumns({f"m{h}": R.momentum("adj_close", h, skip) for h in horizons} | {"vol": R.realized_vol("ret", vol_window)})
     x = decisions(x.where("mask"), m, freq)
-    z = sum((X.zscore(f"m{h}") for h in horizons[1:]), X.zscore(f"m{horizons[0]}"))
-    x = x.withColumn("z", z)
+    x = X.with_zscores(x, [f"m{h}" for h in horizons])
+    x = x.withColumn("z", sum((F.col(f"z_m{h}") for h in horizons[1:]), F.col(f"z_m{horizons[0]}")))
     for h in horizons:
         x = x.where(F.col(f"m{h}") > 0)
     x = X.top_n(x.select("series_id", "date", "z", "vol"), "z", n)
-    return _w(X.inverse_vol_weight(x, "vol") if weighting == "inverse_vol" else X.equal_weight(x))
+    return _w(X.inverse_vol_weight(x, "vol", few=True) if weighting == "inverse_vol" else X.equal_weight(x, few=True))
 
 
 @signal
@@ -456,7 +458,7 @@ def theme_rotation(m: Market, themes: list[str], lookback: int, skip: int, top:
     w = Window.partitionBy("basket").orderBy("pos")
     t = t.withColumn("mom", F.try_divide(F.lag("level", skip).over(w), F.lag("level", lookback).over(w)) - 1)
     t = X.top_n(decisions(t, m, freq).where("mom > 0"), "mom", top, tie="basket")
-    t = X.equal_weight(t, out="share").select("basket", "date", "share")
+    t = X.equal_weight(t, out="share", few=True).select("basket", "date", "share")
     live = decisions(m.panel.where("mask").select("series_id", "date"), m, freq).join(m.members.where(F.col("basket").isin(themes)), "series_id")
     inner = X.equal_weight(live, key=["basket", "date"]).join(t, ["basket", "date"])
     return _w(inner.groupBy("series_id", "date").agg(F.sum(F.col("w") * F.col("share")).alias("w")))
@@ -466,7 +468,7 @@ def theme_rotation(m: Market, themes: list[str], lookback: int, skip: int, top:
 def dispersion_timed(m: Market, lookback: int, skip: int, n: int, window: int, pct: float, min_history: int, freq: str = "me") -> DataFrame:
     x = m.panel.withColumn("_r", F.when(F.col("mask"), F.col("ret"))).withColumn("_sd", R.std("_r", window))
     d = x.groupBy("date").agg(F.stddev_samp("_sd").alias("disp"))
-    d = d.withColumn("_t", R.rolling(lambda c: F.percentile(c, F.lit(pct)), "disp", None, min_history, **BY_DATE))
+    d = expanding_quantile(d, "disp", pct, "_t", min_history)
     d = d.select("date", F.coalesce(F.col("disp") >= F.col("_t"), F.lit(False)).alias("selective"))
     picked = xs_momentum(m, lookback, skip, n, freq=freq).join(F.broadcast(d.where("selective")), "date", "left_semi")
     broad = _masked_equal(decisions(m.panel, m, freq)).join(F.broadcast(d.where("not selective")), "date", "left_semi")

@@ -43,7 +43,7 @@ def run_grid(market: Market, name: str, params: dict[str, list], freq: str = "me
 
 
 def family_summary(curves: DataFrame, failed: DataFrame | None = None, n_boot: int = 2000, block: int = 21, n_paths: int = 2000,
-                   min_train_months: int = 60, step_months: int = 12, seed: int = 0) -> DataFrame:
+                   min_train_months: int = 60, step_months: int = 12, seed: int = 0, draw: list[str] | None = None) -> DataFrame:
     """Best variant per family with its bootstrap interval, deflated Sharpe, walk-forward Sharpe and drawdown distribution.
 
     ``curves`` holds development rows ``(family, strategy, date, ret)``.
@@ -53,11 +53,11 @@ def family_summary(curves: DataFrame, failed: DataFrame | None = None, n_boot: i
     best = t.groupBy("family").agg(F.count("*").alias("n_variants"), F.min_by("strategy", F.struct(-F.col("sharpe"), "strategy")).alias("strategy")).where("n_variants >= 2")
     top = c.join(best.select("family", "strategy"), ["family", "strategy"], "left_semi")
     ids = ["family", "strategy"]
-    boot = V.block_bootstrap(top, ids, n_boot, block, seed)
+    boot = V.block_bootstrap(top, ids, n_boot, block, seed, draw=draw)
     dsr = V.deflated_sharpe(c, ["family"], "strategy", failed).select("family", "strategy", "dsr")
     comp, _ = V.walk_forward(c, ["family"], "strategy", min_train_months, step_months)
     wf = comp.groupBy("family").agg(S.sharpe("ret").alias("wf_sharpe"))
-    mc = V.permutation_drawdowns(top, ids, n_paths, seed)
+    mc = V.permutation_drawdowns(top, ids, n_paths, seed, draw=draw)
     out = best.join(boot, ids).join(dsr, ids, "left").join(wf, "family", "left").join(mc, ids, "left")
     return out.select("family", "n_variants", F.col("strategy").alias("best_variant"), F.col("point").alias("best_dev_sharpe"), F.col("lo").alias("ci_lo"), F.col("hi").alias("ci_hi"),
                       "dsr", "wf_sharpe", "mdd_median", "mdd_p95")

@@ -56,9 +56,7 @@ def read_loose(spark: SparkSession, path: str, fmt: str) -> DataFrame:
         df = reader.json(path)
     else:
         df = spark.read.parquet(path)
-    stem = F.upper(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1))
-    folder = F.upper(F.regexp_extract(F.input_file_name(), r"series_key=([^/]+)/", 1))
-    return df.withColumn("series_id", F.when(folder != "", folder).otherwise(stem))
+    return df.withColumn("series_id", _series_of(F.input_file_name()))
 
 
 def flatten_chart(payload: DataFrame, body: str = "body") -> DataFrame:
@@ -80,23 +78,24 @@ def flatten_chart(payload: DataFrame, body: str = "body") -> DataFrame:
 
 
 def flatten_dated_map(payload: DataFrame, body: str = "body", lo: str | None = None, hi: str | None = None) -> DataFrame:
-    """A ``{date: {field: text}}`` payload to typed rows, cut to [lo, hi]."""
+    """A ``{date: {field: text}}`` payload to typed rows, cut to [lo, hi]; entries whose key is no date are dropped."""
     m = payload.select("series_id", F.explode(F.from_json(body, "map<string, map<string, string>>")).alias("_d", "_v"))
     num = lambda k: F.element_at("_v", k).try_cast("double")
-    r = m.select("series_id", F.to_date("_d").alias("date"), *[num(f"{i}. {n}").alias(c) for i, n, c in (
+    r = m.select("series_id", F.col("_d").try_cast("date").alias("date"), *[num(f"{i}. {n}").alias(c) for i, n, c in (
         (1, "open", "open"), (2, "high", "high"), (3, "low", "low"), (4, "close", "close"), (5, "adjusted close", "adj_close"), (6, "volume", "volume"))],
         F.coalesce(num("7. dividend amount"), F.lit(0.0)).alias("dividend"), F.coalesce(num("8. split coefficient"), F.lit(1.0)).alias("split"))
+    r = r.where("date IS NOT NULL")
     if lo:
         r = r.where(F.col("date") >= F.to_date(F.lit(lo)))
     return r.where(F.col("date") <= F.to_date(F.lit(hi))) if hi else r
 
 
 def flatten_bar_list(payload: DataFrame, body: str = "body") -> DataFrame:
-    """A list of bar objects to rows, dividends defaulting to 0 and splits to 1."""
+    """A list of bar objects to rows, dividends defaulting to 0 and splits to 1; objects without a readable date are dropped."""
     schema = "array<struct<date string, open double, high double, low double, close double, adjClose double, volume double, divCash double, splitFactor double>>"
     r = payload.select("series_id", F.inline(F.from_json(body, schema)))
-    return r.select("series_id", F.to_date(F.substring("date", 1, 10)).alias("date"), "open", "high", "low", "close", F.col("adjClose").alias("adj_close"), "volume",
-                    F.coalesce("divCash", F.lit(0.0)).alias("dividend"), F.coalesce("splitFactor", F.lit(1.0)).alias("split"))
+    return r.select("series_id", F.substring("date", 1, 10).try_cast("date").alias("date"), "open", "high", "low", "close", F.col("adjClose").alias("adj_close"), "volume",
+                    F.coalesce("divCash", F.lit(0.0)).alias("dividend"), F.coalesce("splitFactor", F.lit(1.0)).alias("split")).where("date IS NOT NULL")
 
 
 def read_macro_csv(spark: SparkSession, path: str, lo: str | None = None, hi: str | None = None) -> DataFrame:
@@ -110,34 +109,94 @@ def read_macro_csv(spark: SparkSession, path: str, lo: str | None = None, hi: st
 SESSION_COLUMNS = ["Date", "Symbol", "ShortVolume", "TotalVolume"]
 
 
-def parse_session_lines(lines: DataFrame, value: str = "value", header: str = "Date|Symbol|ShortVolume|ShortExemptVolume|TotalVolume|Market") -> DataFrame:
-    """Pipe-delimited session lines to rows; headers, trailers, blank symbols and zero-volume rows are dropped.
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block): the lines of text files and the file and block they are from."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
-    A header without the four required columns is refused.
+
+def with_headers(lines: DataFrame) -> DataFrame:
+    """Adds ``at`` (file, block, line: sorts lines as they stand in their file) and ``head``, the first line of the line's own file that isn't blank.
+
+    A block of a file is read by one task from its start, so numbers that grow within the task order its lines. A file's header is found with a partial
+    step in each task and joined back; files of any size and number are read in parallel.
     """
-    fields = header.split("|")
-    missing = [c for c in SESSION_COLUMNS if c not in fields]
-    if missing:
-        raise ValueError(f"session file lacks columns {missing}")
-    part = F.split(value, r"\|")
-    at = lambda c: F.try_element_at(part, F.lit(fields.index(c) + 1))
+    x = lines.where(F.trim("value") != "").select("value", F.struct("file", "block", F.monotonically_increasing_id().alias("line")).alias("at"))
+    heads = x.groupBy(F.col("at.file").alias("_f")).agg(F.min(F.struct("at", "value"))["value"].alias("head"))
+    return x.join(heads, F.col("at.file") == F.col("_f")).drop("_f")
+
+
+def _body(x: DataFrame) -> DataFrame:
+    """Without the header lines."""
+    first = x.groupBy(F.col("at.file").alias("_f")).agg(F.min("at").alias("_first"))
+    return x.join(first, F.col("at.file") == F.col("_f")).where(F.col("at") != F.col("_first")).drop("_f", "_first")
+
+
+def parse_session_files(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pipe-delimited session lines (value, file, block) to rows, and the refused files with the reason.
+
+    Columns are found by each file's own header; a file whose header lacks one of the four required columns is refused. Headers, trailers, blank
+    symbols, unreadable dates and rows without volume are dropped.
+    """
+    x = with_headers(lines).withColumns({"_names": F.transform(F.split("head", r"\|"), lambda c: F.trim(c)), "_part": F.split("value", r"\|")})
+    wanted = F.array(*[F.lit(c) for c in SESSION_COLUMNS])
+    lacks = F.array_except(wanted, "_names")
+    refused = x.where(F.size(lacks) > 0).groupBy(F.col("at.file").alias("file")).agg(F.first(F.concat(F.lit("missing columns: "), F.array_join(lacks, ", "))).alias("reason"))
+    at = lambda c: F.get("_part", F.nullif(F.array_position("_names", c), F.lit(0)).cast("int") - 1)
     num = lambda c: at(c).try_cast("double")
-    exempt = num("ShortExemptVolume") if "ShortExemptVolume" in fields else F.lit(None).cast("double")
-    r = lines.select(F.trim(at("Date")).alias("_d"), F.upper(F.trim(at("Symbol"))).alias("series_id"), num("ShortVolume").alias("short_volume"),
-                     exempt.alias("short_exempt_volume"), num("TotalVolume").alias("total_volume"))
+    r = x.where(F.size(lacks) == 0).select(F.trim(at("Date")).alias("_d"), F.upper(F.trim(at("Symbol"))).alias("series_id"), num("ShortVolume").alias("short_volume"),
+                                           num("ShortExemptVolume").alias("short_exempt_volume"), num("TotalVolume").alias("total_volume"), "at")
     r = r.where(F.col("_d").rlike(r"^\d{8}$") & (F.coalesce("series_id", F.lit("")) != "") & (F.col("total_volume") > 0))
     day = F.concat_ws("-", F.substring("_d", 1, 4), F.substring("_d", 5, 2), F.substring("_d", 7, 2)).try_cast("date")
-    return r.select(day.alias("date"), "series_id", "short_volume", "short_exempt_volume", "total_volume").where("date IS NOT NULL")
+    return r.select(day.alias("date"), "series_id", "short_volume", "short_exempt_volume", "total_volume", "at").where("date IS NOT NULL"), refused
 
 
-def short_share() -> Column:
-    return F.try_divide("short_volume", "total_volume")
+def regroup_sessions(rows: DataFrame) -> DataFrame:
+    """One row per (series, date): the last of the last file wins. Raw counts are kept, the ratio is derived at read time."""
+    kept = ["short_volume", "short_exempt_volume", "total_volume"]
+    g = rows.groupBy("series_id", "date").agg(F.max_by(F.struct(*kept), "at").alias("_v"))
+    return g.select("date", "series_id", *[F.col(f"_v.{c}").alias(c) for c in kept])
+
+
+def import_loose_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, rejects) of a folder of CSV files, each read by its own header: ``(series_id, date, open .. volume)`` and ``(file, series_id, reason)``.
+
+    The upper-cased file stem (or ``series_key`` folder) is the series. A file that is empty, lacks a date or a close column or has a date that can't be
+    read is rejected as a whole. Prices that a file lacks are filled from the close, and the first row of a date in its file wins. Fields don't hold
+    line feeds.
+    """
+    x = with_headers(placed_lines(spark, path))
+    width = x.agg(F.max(F.size(F.split("head", ",")))).first()[0] or 1
+    fields = lambda c: F.array(*[F.from_csv(c, F.lit(", ".join(f"c{k} string" for k in range(width))))[f"c{k}"] for k in range(width)])
+    x = x.withColumn("_names", F.transform(fields(F.col("head")), lambda c: F.lower(F.trim(c))))
+    where = lambda names: F.coalesce(*[F.nullif(F.array_position("_names", n), F.lit(0)) for n in names]).cast("int") - 1
+    x = x.withColumns({f"_at_{c}": where(a) for c, a in {**ALIASES, "date": DATE_ALIASES}.items()})
+    file = F.col("at.file")
+    bad_head = F.when(F.col("_at_date").isNull(), "no date column").when(F.col("_at_close").isNull(), "no close column")
+    body = _body(x).withColumn("_part", fields(F.col("value")))
+    text = F.get("_part", F.col("_at_date"))
+    body = body.withColumn("date", F.coalesce(F.try_to_timestamp(text).cast("date"), F.substring(text, 1, 10).try_cast("date")))
+    rejects = x.where(bad_head.isNotNull()).groupBy(file.alias("file")).agg(F.first(bad_head).alias("reason"))
+    undated = body.where(bad_head.isNull()).groupBy(file.alias("file")).agg(F.bool_or(F.col("date").isNull()).alias("_bad")).where("_bad")
+    empty = spark.read.format("binaryFile").load(path).where("length = 0").select(F.col("path").alias("file"), F.lit("empty file").alias("reason"))
+    rejects = rejects.unionByName(undated.select("file", F.lit("unreadable date").alias("reason"))).unionByName(empty)
+    num = lambda c: F.get("_part", F.col(f"_at_{c}")).try_cast("double")
+    close = num("close")
+    # A column that the file lacks is the close; a cell that can't be read stays empty.
+    price = lambda c: F.when(F.col(f"_at_{c}").isNull(), close).otherwise(num(c))
+    rows = body.where(bad_head.isNull()).join(rejects.select(F.col("file").alias("_f")), file == F.col("_f"), "left_anti")
+    rows = rows.select(_series_of(file).alias("series_id"), "date", "at", F.struct(*[(close if c == "close" else num(c) if c == "volume" else price(c)).alias(c) for c in PRICES]).alias("_v"))
+    bars = rows.groupBy("series_id", "date").agg(F.min_by("_v", "at").alias("_v"))
+    return bars.select("series_id", "date", *[F.col(f"_v.{c}").alias(c) for c in PRICES]), rejects.select("file", _series_of(F.col("file")).alias("series_id"), "reason")
+
+
+def _series_of(file: Column) -> Column:
+    stem = F.upper(F.regexp_extract(file, r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1))
+    folder = F.upper(F.regexp_extract(file, r"series_key=([^/]+)/", 1))
+    return F.when(folder != "", folder).otherwise(stem)
 
 
-def regroup_sessions(rows: DataFrame, order: str | None = None) -> DataFrame:
-    """One row per (series, date): the last by ``order`` wins. Raw counts are kept, the ratio is derived at read time."""
-    w = Window.partitionBy("series_id", "date").orderBy(F.col(order).desc() if order else F.col("total_volume").desc(), F.col("short_volume").desc())
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("series_id", "date", "short_volume", "total_volume")
+def short_share() -> Column:
+    return F.try_divide("short_volume", "total_volume")
 
 
 def short_panel(rows: DataFrame, series: list[str]) -> DataFrame:
