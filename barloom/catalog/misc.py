@@ -15,7 +15,7 @@ from ..sources import tables as T
 from .base import SQL_LINES, WK, lagx, query, roll, sql_bars, sql_panel
 from .metrics import SQL_CURVES, curves
 from .returns import CAGR, SHARPE
-from .signals import MK, equal, market
+from .signals import MK, equal, market, mom, sma, topn
 
 BARS = f"{SQL_LINES}, {sql_bars()}"
 
@@ -161,14 +161,35 @@ def x13(spark, d):
     return m.select("p_brand", F.size("t").alias("n"), F.array_contains("t", "SMALL").alias("has"), F.explode(F.map_keys("m")).alias("k"))
 
 
-# ------------------------------------------------------------------ ridge ranking (checked against numpy in the tests)
-@query("m1_ridge_scores", "series_id:s date:d score:f")
+# ------------------------------------------------------------------ ridge ranking
+FEATURES = {"f_dist": f"adj_close / nullif({sma(40)}, 0) - 1", "f_mom_h": mom(26, 0), "f_mom_m": mom(13, 0), "f_mom_s": mom(4, 0), "f_mom_ys": mom(52, 4), "f_rev": f"-({mom(1, 0)})", "f_vol": f"({roll('stddev_samp', 'ret', 13)}) * sqrt(252e0)"}
+P = len(FEATURES)
+# Each refit standardises and solves its own rows; the system is reduced column by column.
+SQL_RIDGE = f"""{MK}, fe AS (SELECT series_id, date, pos, mask, me_stamp, lead(adj_close, 4) OVER (PARTITION BY series_id ORDER BY pos) / nullif(adj_close, 0) - 1 AS y, {', '.join(f'{x} AS {n}' for n, x in FEATURES.items())} FROM px),
+s0 AS (SELECT CAST(CASE WHEN day(m) = 1 THEN m ELSE date_trunc('month', m) + INTERVAL 1 MONTH END AS DATE) AS s0 FROM (SELECT min(date) AS m FROM cal)),
+cl AS (SELECT date, pos, CASE WHEN date < s0 THEN 0 ELSE CAST(floor(((year(date) - year(s0)) * 12 + month(date) - month(s0)) / 12e0) AS INTEGER) + 1 END AS k FROM cal, s0),
+cb AS (SELECT *, lead(k, 5) OVER (ORDER BY pos) + 1 AS bucket FROM cl),
+fx AS (SELECT fe.*, k, bucket FROM fe JOIN cb USING (date) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in FEATURES)}),
+tr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY series_id, date) AS rid, * FROM fx WHERE mask AND y IS NOT NULL AND bucket IS NOT NULL),
+rf AS (SELECT k FROM (SELECT k, min(pos) AS start FROM cb GROUP BY 1) s WHERE k > 0 AND start - 5 >= 104 AND (SELECT count(*) FROM tr WHERE bucket <= s.k) >= 500),
+tl AS MATERIALIZED (SELECT rid, bucket, y, unnest(range({P})) AS i, unnest([{', '.join(FEATURES)}]) AS v FROM tr),
+ms AS MATERIALIZED (SELECT rf.k, i, avg(v) AS mu, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS sd, avg(y) AS my FROM rf JOIN tl ON tl.bucket <= rf.k GROUP BY 1, 2),
+zs AS MATERIALIZED (SELECT ms.k, rid, tl.i, (v - mu) / sd AS z, y FROM ms JOIN tl ON tl.i = ms.i AND tl.bucket <= ms.k),
+aq AS MATERIALIZED (SELECT a.k, a.i, b.i AS j, sum(a.z * b.z) + CASE WHEN a.i = b.i THEN 10 ELSE 0 END AS v FROM zs a JOIN zs b ON a.k = b.k AND a.rid = b.rid GROUP BY 1, 2, 3 UNION ALL SELECT k, i, {P}, sum(z * y) FROM zs GROUP BY 1, 2),
+el AS (SELECT 0 AS s, k, i, j, v FROM aq UNION ALL SELECT s + 1, k, i, j, CASE WHEN i = s THEN v / piv ELSE v - vis * vsj / piv END FROM (
+ SELECT *, max(CASE WHEN i = s AND j = s THEN v END) OVER (PARTITION BY k) AS piv, max(CASE WHEN j = s THEN v END) OVER (PARTITION BY k, i) AS vis, max(CASE WHEN i = s THEN v END) OVER (PARTITION BY k, j) AS vsj FROM el WHERE s < {P})),
+co AS (SELECT k, i, v / sd AS b, mu, my FROM el JOIN ms USING (k, i) WHERE s = {P} AND j = {P}),
+bt AS (SELECT k, max(my) - sum(b * mu) AS b0, list(b ORDER BY i) AS b FROM co GROUP BY 1),
+rs AS (SELECT series_id, date, mask, me_stamp, b0 + {' + '.join(f'b[{k + 1}] * {n}' for k, n in enumerate(FEATURES))} AS pred FROM fx JOIN bt USING (k))"""
+
+
+@query("m1_ridge_scores", "series_id:s date:d score:f", f"{SQL_RIDGE}, out AS (SELECT series_id, date, pred AS score FROM rs)")
 def m1(spark, d):
     m = market(spark, d)
     return ml.ridge_scores(m.panel, m.cal, ml.feature_columns(week=True), 4, 10.0, 12, 104)
 
 
-@query("g25_ridge_rank", "series_id:s date:d w:f")
+@query("g25_ridge_rank", "series_id:s date:d w:f", f"{SQL_RIDGE}, {topn('pred', 6, 'me', 'score > 0', src='rs')}")
 def g25(spark, d):
     return ml.ridge_rank(market(spark, d), horizon=4, refit_months=12, min_train=104, week=True)
 

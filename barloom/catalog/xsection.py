@@ -1,5 +1,6 @@
 """Cross-sectional operators (C1-C18) and recursive filters."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
@@ -12,7 +13,7 @@ from ..operators.order_stats import expanding_quantile
 from ..plans import signals as S
 from ..plans.signals import SIGNALS, Market
 from ..sources import tables as T
-from .base import ORACLES, QUERIES, W, lagx, query, roll, sql_panel
+from .base import ORACLES, QUERIES, W, lagx, query, roll, shape_sql, sql_panel
 from .panel import SQL_MACRO, SQL_MEMBERS, masked_panel
 from .signals import (SINGLE_PASS, BRD, BT1, FB, GATE, HELD, IX, IXT, MACD, MB, MK, ROOT, THEME, UP40, VT, Z, basket_cond, equal, latch, market, mom, own_return, sma, sql_cap)
 
@@ -89,12 +90,12 @@ def c9(spark, d):
     return B.held_weights(w, cal, "me")
 
 
-@query("c10_fallback_sleeve", "series_id:s date:d w:f", f"""{MK}, w0 AS (SELECT series_id, date, least(ret, 0.2e0) AS w FROM px WHERE mask AND ret > 0 AND series_id IN ('Brand#3', 'Brand#4')),
-out AS (SELECT * FROM w0 UNION ALL SELECT '{FB}', c.date, greatest(1 - coalesce(s, 0), 0) FROM cal c JOIN px q ON q.date = c.date AND q.series_id = '{FB}' AND q.adj_close IS NOT NULL
- LEFT JOIN (SELECT date, sum(w) AS s FROM w0 GROUP BY 1) u ON u.date = c.date)""")
+@query("c10_fallback_sleeve", "series_id:s date:d w:f", f"""{MK}, w0 AS (SELECT series_id, date, least(ret, 0.2e0) * 0.2e0 AS w FROM px WHERE mask AND ret > 0),
+ot AS (SELECT * FROM w0 UNION ALL SELECT '{FB}', c.date, greatest(1 - coalesce(s, 0), 0) FROM cal c JOIN px q ON q.date = c.date AND q.series_id = '{FB}' AND q.adj_close IS NOT NULL
+ LEFT JOIN (SELECT date, sum(w) AS s FROM w0 GROUP BY 1) u ON u.date = c.date), out AS (SELECT * FROM ot WHERE w > 1e-12)""")
 def c10(spark, d):
     panel, cal = masked_panel(spark, d)
-    w = panel.where("mask and ret > 0 and series_id in ('Brand#3', 'Brand#4')").select("series_id", "date", F.least("ret", F.lit(0.2)).alias("w"))
+    w = panel.where("mask and ret > 0").select("series_id", "date", (F.least("ret", F.lit(0.2)) * 0.2).alias("w"))
     return X.with_fallback(w, cal, panel, FB)
 
 
@@ -117,29 +118,61 @@ def c13(spark, d):
     return X.argmax_pick(masked_panel(spark, d)[0], "ret").where("ret > 0")
 
 
-@query("c14_theme_index", "basket:s date:d level:f", f"{MB}, {THEME}, out AS (SELECT basket, date, ln(level) AS level FROM tl)")
+@query("c14_theme_index", "basket:s date:d level:f", f"""{MB}, {THEME.replace("WHERE basket LIKE 'U%'", '')}, out AS (SELECT basket, date, ln(level) AS level FROM tl)""")
 def c14(spark, d):
-    return S.theme_levels(market(spark, d, "members"), ["U0", "U1", "U2", "U3"]).withColumn("level", F.ln("level"))
+    return S.theme_levels(market(spark, d, "members")).withColumn("level", F.ln("level"))
 
 
-SQL_C15 = f"""{MB}, st AS (SELECT date AS stamp, pos AS sp FROM cal WHERE qe_stamp),
-wn AS (SELECT stamp, px.series_id, px.pos, px.ret FROM st JOIN px ON px.pos BETWEEN sp - 51 AND sp AND px.ret IS NOT NULL AND {basket_cond('T1').replace('series_id IN', 'px.series_id IN')}
- SEMI JOIN (SELECT series_id, date FROM px WHERE mask) lv ON lv.series_id = px.series_id AND lv.date = st.stamp),
-en AS (SELECT * FROM wn QUALIFY count(*) OVER (PARTITION BY stamp, series_id) >= 26),
-out AS (SELECT a.stamp, a.series_id AS a, b.series_id AS b, count(*) AS n, covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr
- FROM en a JOIN en b ON a.stamp = b.stamp AND a.pos = b.pos AND a.series_id <= b.series_id GROUP BY 1, 2, 3)"""
+def sql_windows(freq: str, window: int, panel: str) -> str:
+    """Returns of the trailing window of each basket and stamp; ``panel`` has a basket column."""
+    return f"""st AS (SELECT date AS stamp, pos AS sp FROM cal WHERE {freq}_stamp),
+wn AS (SELECT b.basket, stamp, b.series_id, b.pos, b.ret FROM st JOIN {panel} b ON b.pos BETWEEN sp - {window - 1} AND sp AND b.ret IS NOT NULL
+ SEMI JOIN (SELECT series_id, date FROM px WHERE mask) lv ON lv.series_id = b.series_id AND lv.date = st.stamp),
+en AS (SELECT * FROM wn QUALIFY count(*) OVER (PARTITION BY basket, stamp, series_id) >= {max(21, window // 2)}),
+cv AS (SELECT a.basket, a.stamp, a.series_id AS a, b.series_id AS b, count(*) AS n, covar_samp(a.ret, b.ret) AS cov, corr(a.ret, b.ret) AS corr
+ FROM en a JOIN en b ON a.basket = b.basket AND a.stamp = b.stamp AND a.pos = b.pos AND a.series_id <= b.series_id GROUP BY ALL HAVING count(*) >= 2)"""
 
 
-@query("c15_trailing_covariance", "stamp:d a:s b:s n:i cov:f corr:f", SQL_C15)
+def sql_equal_risk(freq: str, panel: str, name: str) -> str:
+    """Sixty rounds on lists: each stamp's weights and rows of its matrix."""
+    return f"""sy AS (SELECT basket, stamp, a, b, CASE WHEN a = b THEN cov ELSE 0.9e0 * cov END AS c FROM cv UNION ALL SELECT basket, stamp, b, a, 0.9e0 * cov FROM cv WHERE a <> b),
+mr AS (SELECT basket, stamp, a, list(c ORDER BY b) AS r FROM sy GROUP BY ALL),
+mx AS MATERIALIZED (SELECT basket, stamp, list(a ORDER BY a) AS ids, list(r ORDER BY a) AS m, CAST(count(*) AS BIGINT) AS n FROM mr GROUP BY ALL HAVING count(*) >= 2 AND min(len(r)) = count(*) AND bool_and(len(list_filter(r, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+er AS (SELECT 0 AS k, basket, stamp, [1e0 / n FOR x IN range(n)] AS w, [1e0 / n FOR x IN range(n)] AS pw, FALSE AS still FROM mx UNION ALL
+ SELECT k + 1, basket, stamp, CASE WHEN still THEN w WHEN ok THEN nw ELSE [1e0 / n FOR x IN range(n)] END, CASE WHEN still OR ok THEN w ELSE [1e0 / n FOR x IN range(n)] END, still OR NOT ok OR list_max(list_transform(range(1, n + 1), lambda i: abs(nw[i] - w[i]))) < 1e-8
+ FROM (SELECT *, coalesce(list_sum(raw) > 0 AND isfinite(list_sum(raw)), FALSE) AS ok, list_transform(raw, lambda x: x / list_sum(raw)) AS nw
+  FROM (SELECT er.*, n, list_transform(range(1, n + 1), lambda i: w[i] / CASE WHEN abs(list_dot_product(m[i], w)) < 1e-14 THEN 1e-14 ELSE list_dot_product(m[i], w) END) AS raw
+   FROM er JOIN mx USING (basket, stamp) WHERE k < 60))),
+sv AS (SELECT mx.basket, unnest(ids) AS series_id, mx.stamp AS date, unnest(w) AS w, list_max(list_transform(range(1, n + 1), lambda i: abs(w[i] - pw[i]))) < {SETTLED} AS settled FROM er JOIN mx USING (basket, stamp) WHERE k = 60),
+{name} AS (SELECT * FROM sv UNION ALL SELECT b.basket, b.series_id, b.date, 1e0 / count(*) OVER (PARTITION BY b.basket, b.date), TRUE FROM {panel} b
+ WHERE b.mask AND b.{freq}_stamp AND (b.basket, b.date) NOT IN (SELECT (basket, date) FROM sv))"""
+
+
+SETTLED = AL.STILL
+IN_BASKETS = "pb AS (SELECT px.*, basket FROM px JOIN members USING (series_id))"
+
+
+def in_baskets(m):
+    return m.panel.join(m.members, "series_id")
+
+
+@query("c15_trailing_covariance", "basket:s stamp:d a:s b:s n:i cov:f corr:f", f"{MB}, {IN_BASKETS}, {sql_windows('qe', 52, 'pb')}, out AS (SELECT * FROM cv)")
 def c15(spark, d):
     m = market(spark, d, "members")
-    return AL.trailing_covariance(m.basket("T1"), m.cal, "qe", 52)
+    return AL.trailing_covariance(in_baskets(m), m.cal, "qe", 52, ("basket",))
 
 
-@query("c16_equal_risk_contribution", "series_id:s date:d w:f")
+# Where the rule does not stand still its last weights may depend on the order of sums, so engines need not agree on them; such dates are told apart.
+@query("c16_equal_risk_contribution", "basket:s series_id:s date:d settled:b w:f",
+       f"{MB}, {IN_BASKETS}, {sql_windows('qe', 52, 'pb')}, {sql_equal_risk('qe', 'pb', 'eq')}, out AS (SELECT basket, series_id, date, settled, CASE WHEN settled THEN w END AS w FROM eq)")
 def c16(spark, d):
     m = market(spark, d, "members")
-    return AL.equal_risk_weights(m.basket("T1"), m.cal, "qe", 52)
+    w = AL.equal_risk_weights(in_baskets(m), m.cal, "qe", 52, ("basket",))
+    w = w.withColumn("settled", F.max("step").over(Window.partitionBy("basket", "date")) < SETTLED)
+    return w.withColumn("w", F.when(F.col("settled"), F.col("w")))
+
+
+ORACLES["g32_equal_risk"] = shape_sql(f"""{MB}, pb AS (SELECT px.*, basket FROM px JOIN members USING (series_id) WHERE basket = 'T1'), {sql_windows('me', 26, 'pb')}, {sql_equal_risk('me', 'pb', 'w0')}, {sql_cap('w0', 0.25)}""", "series_id:s date:d w:f")
 
 
 for new, old in (("c8_cap_weight_by_size", "g3_cap_weight"), ("c17_two_books", "g34_market_neutral_momentum"), ("c18_beta_hedge", "g35_beta_hedged_basket")):

@@ -123,10 +123,15 @@ def safe(x: Column | str, default: float | None = None) -> Column:
     return fin if default is None else F.coalesce(fin, F.lit(default))
 
 
+def draw_key(*parts: Column | str) -> Column:
+    """The draw of :func:`uniform_from_key` as 12 hexadecimal digits, which sort as the numbers do."""
+    key = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts])
+    return F.substring(F.md5(key), 1, 12)
+
+
 def uniform_from_key(*parts: Column | str) -> Column:
     """A reproducible uniform draw in [0, 1): the first 48 bits of the MD5 of the joined key parts.
 
     It depends only on the key, so it survives task retries and any repartitioning.
     """
-    key = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
+    return F.conv(draw_key(*parts), 16, 10).cast("double") / F.lit(float(2**48))

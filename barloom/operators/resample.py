@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..functions.mathx import uniform_from_key, with_expected_max_sharpe, with_probabilistic_sharpe
+from ..functions.mathx import draw_key, uniform_from_key, with_expected_max_sharpe, with_probabilistic_sharpe
 
 
 def _month_start(c: Column) -> Column:
@@ -165,7 +165,7 @@ def permutation_drawdowns(curves: DataFrame, ids: list[str], n_paths: int = 2000
     x, keys = _arrays(curves, ids, ret), draw or ids
 
     def one(path: Column) -> Column:
-        order = F.sort_array(F.transform("_r", lambda r, i: F.struct(_draw(seed, [], keys, path, i).alias("u"), i.alias("i"), r.alias("r"))))
+        order = F.sort_array(F.transform("_r", lambda r, i: F.struct(draw_key(F.lit(seed), *[F.col(c) for c in keys], path, i).alias("u"), i.alias("i"), r.alias("r"))))
 
         def step(z: Column, x: Column) -> Column:
             e = z["e"] * (1 + x["r"])

@@ -445,9 +445,9 @@ def breadth_gated_basket(m: Market, basket: str, window: int, threshold: float =
     return _overlay(m, _masked_equal(m.basket(basket)), b.select("date", gate.alias("exposure")), freq)
 
 
-def theme_levels(m: Market, themes: list[str]) -> DataFrame:
-    """Equal-weight compounded index of each theme over its masked members: ``(basket, date, pos, level)``."""
-    x = m.panel.join(m.members.where(F.col("basket").isin(themes)), "series_id")
+def theme_levels(m: Market, themes: list[str] | None = None) -> DataFrame:
+    """Equal-weight compounded index of each theme (of all, if none are named) over its masked members: ``(basket, date, pos, level)``."""
+    x = m.panel.join(m.members.where(F.col("basket").isin(themes)) if themes else m.members, "series_id")
     x = x.groupBy("basket", "date", "pos").agg(F.avg(F.when(F.col("mask"), F.col("ret"))).alias("ret"))
     return x.withColumn("level", R.growth_path("ret", key=["basket"], order="pos"))
 

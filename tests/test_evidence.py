@@ -14,7 +14,7 @@ from barloom.operators import metrics as M
 from barloom.operators import ranking as RK
 from barloom.operators import resample as V
 from barloom.operators import returns as B
-from barloom.operators.allocation import risk_parity
+from barloom.operators.allocation import equal_marginal_risk
 from barloom.operators.panel import calendar
 from barloom.plans import ml
 from barloom.plans.signals import SIGNALS
@@ -77,10 +77,20 @@ def test_blocked_correlation_matches_pandas_with_gaps(spark, block):
     assert set(zip(few.a, few.b)) == {(a, b) for a in corr for b in corr if a < b and corr.loc[a, b] > 0.1}
 
 
-def test_risk_parity_rule_on_diagonal_and_degenerate_covariance():
-    w = risk_parity(np.diag([1.0, 4.0, 9.0]))
-    np.testing.assert_allclose(w, np.array([1, 1 / 4, 1 / 9]) / (1 + 1 / 4 + 1 / 9), atol=1e-9)
-    np.testing.assert_allclose(risk_parity(np.full((3, 3), np.nan)), 1 / 3)
+def test_equal_risk_on_diagonal_correlated_and_unusable_covariance(spark):
+    def rows(g, m):
+        return [(g, f"s{i}", f"s{j}", float(m[i][j])) for i in range(len(m)) for j in range(i, len(m))]
+
+    two = np.array([[1.0, 0.2], [0.2, 2.0]])
+    cov = rows("diag", np.diag([1.0, 4.0, 9.0])) + rows("two", two) + rows("one", [[1.0]]) + rows("nan", np.full((3, 3), np.nan)) + rows("gap", np.eye(3))[:-2] + rows("sunk", -np.eye(2))
+    got = equal_marginal_risk(spark.createDataFrame(cov, "g string, a string, b string, cov double"), ["g"]).toPandas().set_index(["g", "id"])["w"]
+    assert set(got.index.get_level_values(0)) == {"diag", "two", "sunk"}
+    np.testing.assert_allclose(got["diag"].sort_index(), np.array([1, 1 / 4, 1 / 9]) / (1 + 1 / 4 + 1 / 9), atol=1e-9)
+    np.testing.assert_allclose(got["sunk"], 0.5)
+    m = two.copy()
+    m[0, 1] = m[1, 0] = 0.9 * 0.2
+    risk = m @ got["two"].sort_index().to_numpy()
+    assert abs(risk[0] - risk[1]) < 1e-6
 
 
 def test_walk_forward_matches_loop(spark):
