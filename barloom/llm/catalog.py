@@ -57,13 +57,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op5_chat",
     r"""
-WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
- p AS (SELECT conv_id, pos, n, string_agg(coalesce(role, '') || chr(1) || coalesce(text, ''), chr(2)) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sofar FROM t),
- whole AS (SELECT sofar, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY sofar),
- kept AS (SELECT conv_id FROM whole WHERE sofar NOT IN (SELECT sofar FROM p WHERE pos < n))
-SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+WITH k AS (SELECT *, CASE WHEN conv_id IS NULL THEN 'row ' || row_number() OVER () ELSE 'id ' || conv_id END AS key FROM conversations),
+ t AS (SELECT key, conv_id, turn, role, text, row_number() OVER w AS pos, count(*) OVER (PARTITION BY key) AS n FROM k WINDOW w AS (PARTITION BY key ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+ p AS (SELECT key, conv_id, pos, n, string_agg(coalesce(role, chr(3)) || chr(1) || coalesce(text, chr(3)), chr(2)) OVER (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sofar FROM t),
+ whole AS (SELECT sofar, coalesce('id ' || min(conv_id), min(key)) AS key FROM p WHERE pos = n GROUP BY sofar),
+ kept AS (SELECT key FROM whole WHERE sofar NOT IN (SELECT sofar FROM p WHERE pos < n))
+SELECT any_value(conv_id) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
  string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat
-FROM t WHERE conv_id IN (SELECT conv_id FROM kept) GROUP BY conv_id
+FROM t WHERE key IN (SELECT key FROM kept) GROUP BY key
 """,
 )
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op7_mixing",
     rf"""
-WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS draw FROM documents),
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM z GROUP BY source),
  w AS (SELECT *, [5, 2, 1][(k - 1) % 3 + 1] AS w, 3 * n / [5, 2, 1][(k - 1) % 3 + 1] AS r FROM s),
  t AS (SELECT CAST(sum(n) AS BIGINT) AS t FROM s),
@@ -135,11 +136,13 @@ WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, '')
  g AS (SELECT source, k, n, least(CAST(3 * n AS DOUBLE), level * w) AS target FROM w, l),
  e AS (SELECT k FROM (SELECT k, target / (2 * j + 1) AS q, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, k) AS place FROM g, (SELECT unnest(range((t * 2 + {mixing.BLOCK}) // {2 * mixing.BLOCK})) AS j FROM t) WHERE target > 0), t WHERE place <= (t * 2 + {mixing.BLOCK}) // {2 * mixing.BLOCK}),
  q AS (SELECT g.*, (SELECT count(*) FROM e WHERE e.k = g.k) AS blocks FROM g),
- d AS (SELECT z.*, q.k, q.n, q.target, q.blocks, ('0x' || draw[1:15])::BIGINT % greatest(1, (t + {mixing.SHARD_WORDS - 1}) // {mixing.SHARD_WORDS}) AS shard FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source, t),
+ d AS (SELECT z.*, q.k, q.n, q.target, q.blocks, ('0x' || draw[1:15])::BIGINT % greatest(1, (q.n + {mixing.SHARD_WORDS - 1}) // {mixing.SHARD_WORDS}) AS shard FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source),
  c AS (SELECT k, shard, any_value(blocks) AS blocks, CAST(sum(size) AS BIGINT) AS cell FROM d GROUP BY k, shard),
  h AS (SELECT k, shard, count(*) AS quota FROM (SELECT k, shard, blocks, row_number() OVER (PARTITION BY k ORDER BY cell / (2 * j + 1) DESC, shard) AS place FROM (SELECT c.*, unnest(range(blocks)) AS j FROM c) WHERE cell > 0) WHERE place <= blocks GROUP BY k, shard),
- f AS (SELECT c.k, c.shard, cell, least(coalesce(quota, 0) * {mixing.BLOCK}, 3 * cell) AS due,
-  ('0x' || md5('{mixing.SEED}|from|' || c.k || '|' || c.shard)[1:15])::BIGINT % greatest(1, (cell + {mixing.BLOCK - 1}) // {mixing.BLOCK}) * {mixing.BLOCK} AS start FROM c LEFT JOIN h ON c.k = h.k AND c.shard = h.shard),
+ f0 AS (SELECT c.k, c.shard, cell, coalesce(quota, 0) * {mixing.BLOCK} AS due0, least(coalesce(quota, 0) * {mixing.BLOCK}, 3 * cell) AS due1 FROM c LEFT JOIN h ON c.k = h.k AND c.shard = h.shard),
+ f1 AS (SELECT *, CAST(sum(3 * cell - due1) OVER (PARTITION BY k) AS HUGEINT) AS rooms, CAST(sum(3 * cell - due1) OVER (PARTITION BY k ORDER BY shard ROWS UNBOUNDED PRECEDING) AS HUGEINT) AS filled, CAST(sum(due0 - due1) OVER (PARTITION BY k) AS HUGEINT) AS cut FROM f0),
+ f AS (SELECT k, shard, cell, CAST(due1 + least(cut, rooms) * filled // greatest(rooms, 1) - least(cut, rooms) * (filled - 3 * cell + due1) // greatest(rooms, 1) AS BIGINT) AS due,
+  ('0x' || md5('{mixing.SEED}|from|' || k || '|' || shard)[1:15])::BIGINT % greatest(1, (cell + {mixing.BLOCK - 1}) // {mixing.BLOCK}) * {mixing.BLOCK} AS start FROM f1),
  o AS (SELECT d.*, f.cell, f.due, f.start, sum(size) OVER (PARTITION BY d.k, d.shard ORDER BY draw, size ROWS UNBOUNDED PRECEDING) AS stop FROM d JOIN f ON d.k = f.k AND d.shard = f.shard),
  p AS (SELECT *, CASE WHEN cell > 0 THEN due // cell ELSE 0 END AS rounds FROM o), r AS (SELECT *, start + due - rounds * cell AS upto FROM p)
 SELECT doc_id, size, n AS source_size, round(target, 6) AS target,
@@ -154,18 +157,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op9_embedding_dedup",
     """
-WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM embeddings), v AS (SELECT rid, label, CAST(embedding AS DOUBLE[]) AS e FROM m
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
- u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
- l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= 0.93 * a.n * b.n),
- r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = e.vec_id) AS BIGINT) AS n_links, CAST(c.c AS BIGINT) AS component_id, e.vec_id = c.c AS kept
-FROM embeddings e JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = e.vec_id
+ u AS (SELECT rid, label, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+ l AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) >= 0.93 * a.n * b.n),
+ r AS (SELECT rid AS a, rid AS b FROM m UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+ c AS (SELECT r.a, min(m.vec_id) AS c FROM r JOIN m ON m.rid = r.b GROUP BY r.a)
+SELECT m.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = m.rid) AS BIGINT) AS n_links, CAST(c.c AS BIGINT) AS component_id, m.vec_id IS NOT DISTINCT FROM c.c AS kept
+FROM m JOIN c ON c.a = m.rid
 """,
 )
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 @query("op10_toxicity")

@@ -2,7 +2,8 @@
 
 Targets share all words by weight, no source above ``passes`` times its size. The words are dealt out in blocks: highest quotients
 votes / (2 seats + 1) give every source an integer number of blocks, and again every shard of the source. Within a shard the
-documents lie in seeded order on a ring of words, cut into blocks; the quota takes whole rounds and then the blocks from a seeded one on.
+documents lie in seeded order on a ring of words, cut into blocks; the quota takes whole rounds and then the blocks from a seeded one on. What a shard's
+limit cuts off is shared by the shards of its source that have room.
 """
 
 from __future__ import annotations
@@ -59,26 +60,40 @@ def apportion(rows: DataFrame, group: list[str], name: str, votes: str, seats: s
     return r.groupBy(*rows.columns).agg((F.first("had") + won).alias("quota"))
 
 
+def _reshared(cells: DataFrame, block: int, passes: int) -> DataFrame:
+    """Adds ``due``: a cell's quota in words within its limit, and its part of what the limits of its source's other cells cut off, by room."""
+    every, upto = Window.partitionBy("k"), Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    limit = passes * F.col("cell_size")
+    c = cells.withColumn("due", F.least(F.col("quota") * block, limit)).withColumn("room", limit - F.col("due"))
+    c = c.withColumns({"rooms": F.sum("room").over(every), "filled": F.sum("room").over(upto), "cut": F.sum(F.col("quota") * block - F.col("due")).over(every)})
+    upto_here = lambda filled: F.expr(f"CAST(CAST(least(cut, rooms) AS DECIMAL(19, 0)) * CAST({filled} AS DECIMAL(19, 0)) / greatest(rooms, 1) AS DECIMAL(38, 6))")
+    more = F.floor(upto_here("filled")) - F.floor(upto_here("(filled - room)"))
+    return c.withColumn("due", (F.col("due") + more).cast("long")).drop("room", "rooms", "filled", "cut")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, passes: int = PASSES, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, shard, size, source_size, target, taken, *keep) of each row; ``taken`` words, repeats counted, at most ``passes`` times the size.
 
-    A null source is a source of its own; null and wordless texts have size 0 and give nothing; rows with the same id and size
-    are documents of their own; other columns are ignored unless named in ``keep``; an empty table gives no rows. The number of shards follows the words, so a source
-    that holds a third of them has as many more groups, none above some ``shard_words`` words. Every source is within a
-    block of its target and, by its shards' limits, a block for each shard at the most.
+    A null source is a source of its own; null and wordless texts have size 0 and give nothing; rows with the same id and text are documents of their
+    own; other columns are ignored unless named in ``keep``; an empty table gives no rows. A row's shard and place are drawn from its id and text, so rows
+    without id spread as others do. The number of shards of a source follows its words, some ``shard_words`` each (or one longer text). Every source is
+    within a block of its target.
     """
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), *keep), "sizes")
+    key = draw(seed, F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).alias("draw")
+    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words.alias("size"), key, *keep), "sizes")
     goal = materialize(targets(sizes, weights, passes), "targets")
     total = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     quota = apportion(goal.withColumn("seats", F.lit((2 * total + block) // (2 * block))), [], "k", "target", "seats").select("source", "k", "source_size", "target", F.col("quota").alias("blocks"))
 
-    dealt = sizes.withColumn("draw", draw(seed, F.col("doc_id"))).withColumn("shard", number("draw") % max(1, -(-total // shard_words)))
+    # One row for each source; Spark broadcasts it where it is small.
+    shards = goal.select(F.col("source").alias("of"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long").alias("shards"))
+    dealt = sizes.join(shards, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", number(F.col("draw")) % F.col("shards")).drop("of", "shards")
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     cells = cells.join(quota.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
-    cells = apportion(cells, ["k"], "shard", "cell_size", "blocks")
-    ring = cells.select(F.col("source").alias("named"), F.col("shard").alias("in_shard"), "source_size", "target", "cell_size", F.least(F.col("quota") * block, passes * F.col("cell_size")).alias("due"), (number(draw(seed, "from", F.col("k"), F.col("shard"))) % F.greatest(F.lit(1), F.ceil(F.col("cell_size") / block)) * block).alias("from"))
-    upto = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0))
+    cells = _reshared(apportion(cells, ["k"], "shard", "cell_size", "blocks"), block, passes)
+    ring = cells.select(F.col("source").alias("named"), F.col("shard").alias("in_shard"), "source_size", "target", "cell_size", "due", (number(draw(seed, "from", F.col("k"), F.col("shard"))) % F.greatest(F.lit(1), F.ceil(F.col("cell_size") / block)) * block).alias("from"))
+    upto = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("draw", "size", *keep).rowsBetween(Window.unboundedPreceding, 0))
     laid = dealt.withColumn("end", upto).join(ring, F.col("source").eqNullSafe(F.col("named")) & (F.col("shard") == F.col("in_shard")))
     rounds = F.coalesce(F.floor(F.try_divide("due", "cell_size")), F.lit(0))
     to = F.col("from") + F.col("due") - rounds * F.col("cell_size")

@@ -350,13 +350,13 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
     return _encoded(docs, pieces, doc_id, text, []).select("doc_id", "ids")
 
 
-def trip(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def trip(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, *keep, ids, n_units, n_tokens, id_sum, digest, round_trip) of each row, all but ``n_units`` from its ids.
 
     ``digest`` is a hash of the ids in order; ``round_trip`` says that the decoded ids are the text, which a text that holds the blank's own mark
     can't be. Null texts pass with no ids; repeated rows stay repeated; other columns are ignored unless named in ``keep``.
     """
-    back = decode(_encoded(docs, pieces, doc_id, text, list(keep)), pieces)
+    back = decode(_encoded(docs, pieces, doc_id, text, list(keep), frequent), pieces)
     summed = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
     return back.select("doc_id", *keep, "ids", "n_units", F.size("ids").cast("long").alias("n_tokens"), summed.alias("id_sum"), F.xxhash64("ids").alias("digest"), (F.col("text") == F.coalesce("said", F.lit(""))).alias("round_trip"))
 

@@ -22,7 +22,8 @@ from .groups import merged, pairs, starts, whole_groups
 
 COSINE, TABLES, HASHES, PROBES, SEED = 0.93, 5, 2, 6, 11
 AXES = 4  # nearest axes of a hash that probes choose among
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 22  # components of vectors that are compared at once
+SALTS = 32
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -116,7 +117,7 @@ def links(points: DataFrame, cosine: float = COSINE) -> DataFrame:
         table, code = (bucket >> 32) & 255, bucket & 0xFFFFFFFF
         resident = of[np.arange(len(v)), table, 0] == code
         start, size = starts(lab, bucket)
-        for x, y in pairs(start, size, np.flatnonzero(resident), AT_ONCE):
+        for x, y in pairs(start, size, np.flatnonzero(resident), max(1, AT_ONCE // v.shape[1])):
             near = (np.einsum("ij,ij->i", v[x], v[y]) >= cosine * length[x] * length[y]) & (node[x] != node[y])
             x, y = x[near], y[near]
             if not x.size:
@@ -135,20 +136,31 @@ def links(points: DataFrame, cosine: float = COSINE) -> DataFrame:
     return spread.repartition("lab", "bucket").sortWithinPartitions("lab", "bucket").mapInArrow(met, "node bigint, links bigint, root bigint")
 
 
+def _named(of: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds each component's name (node, component, name). The names of components are copied for a few salts, so that a large component isn't one task."""
+    roots = of.where("node = component").select("component").join(names.withColumnRenamed("node", "component"), "component")
+    roots = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("component", "name", F.col("salt").cast("long").alias("salt"))
+    return of.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(roots, ["component", "salt"]).select("node", "component", "name")
+
+
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id) of each row, for vectors of equal labels; ``vec_id`` is a whole number.
 
-    Equal vectors of a label are one point with a number of copies, however many rows share it. Rows that can't link stand alone.
-    Repeated rows are vectors of their own with the same id; other columns are ignored; an empty table gives no rows.
+    Equal vectors of a label are one point with a number of copies, however many rows share it; points are numbered in the order of their smallest id.
+    Rows that can't link stand alone. Repeated rows are vectors of their own, also where ids repeat or are null; a null id is no smallest id unless the
+    component has no other. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("vector"), F.col(label).alias("label"))
     lab = F.col("label").cast("long") if isinstance(rows.schema["label"].dataType, T.IntegralType) else F.xxhash64("label")
     good = rows.where(_able()).select("vec_id", lab.alias("lab"), "vector", F.xxhash64(F.lit(1), "vector").alias("a"), F.xxhash64(F.lit(2), "vector").alias("b"))
-    points = materialize(good.groupBy("lab", "a", "b").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vectors")
+    points = good.groupBy("lab", "a", "b").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    order = [F.asc_nulls_last("name"), F.asc("a")]
+    points = materialize(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = materialize(links(points, cosine).groupBy("node", "root").agg(F.sum("links").alias("links")), "links")
     count = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    point = points.select("lab", "a", "b", "node", "copies").join(count, "node", "left").join(of, "node", "left")
-    point = point.select("lab", "a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    of = _named(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), points.select("node", "name"))
+    point = points.select("lab", "a", "b", "node", "copies", F.col("name").alias("own")).join(count, "node", "left").join(of, "node", "left")
+    name = F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("name"))
+    point = point.select("lab", "a", "b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), name.alias("component_id"))
     linked = good.select("vec_id", "lab", "a", "b").join(point, ["lab", "a", "b"]).select("vec_id", "n_links", "component_id")
     return linked.union(rows.where(~_able()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
