@@ -15,6 +15,8 @@ from barloom.llm.catalog import table, tokenizer_file
 from barloom.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Frequent units, and parts of others, in the broadcast dictionary of the encoding; all others take its exact other way.
+FREQUENT = 100_000
 ORACLE_SQL = None
 
 
@@ -59,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each row of the mix, their number and digest, and whether they decode to the text."""
-    return pieces.trip(docs, pieces.load(tokenizer_file("piece_bpe_32k.model")), keep=("lang", "source", "n_chars"))
+    return pieces.trip(docs, pieces.load(tokenizer_file("piece_bpe_32k.model")), keep=("lang", "source", "n_chars"), frequent=FREQUENT)
 
 
 STAGES = [
