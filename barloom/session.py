@@ -51,7 +51,7 @@ def workspace(spark: SparkSession, tag: str) -> str:
 def store(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write a derived table to the shared folder; the table read back, and its path for :func:`discard`."""
     path = workspace(df.sparkSession, tag)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
