@@ -33,7 +33,7 @@ def test_run(spark):
 @pytest.mark.parametrize("key", sorted(catalog.ORACLES))
 def test_twin(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(catalog.ORACLES[key])
     names = [c[0] for c in cur.description]
