@@ -213,6 +213,13 @@ def s17(spark, d):
     return L.level_to_yoy(T.macro(spark, d))
 
 
+@query("s17_level_to_yoy_named", "series:s date:d value:f", f"""{SQL_MACRO}, m AS (SELECT *, lag(value, 12) OVER (PARTITION BY series ORDER BY date) AS pv FROM macro),
+o AS (SELECT series, date, CASE WHEN series = 'LEVEL' THEN (value / nullif(pv, 0) - 1) * 100 ELSE value END AS value FROM m), out AS (SELECT * FROM o WHERE value IS NOT NULL)""")
+def s17n(spark, d):
+    # Both medians are above zero, but only the named series is a level.
+    return L.level_to_yoy(T.macro(spark, d), level_above=0.0, series=["LEVEL"])
+
+
 @query("s19_registry_append", "strategy:s scenario:s status:s dev_sharpe:f", f"{RG}, out AS (SELECT strategy, scenario, CASE WHEN failed THEN 'failed' ELSE 'ok' END AS status, CASE WHEN NOT failed THEN dev_sharpe END AS dev_sharpe FROM reg)")
 def s19(spark, d):
     path = workspace(spark, "registry")

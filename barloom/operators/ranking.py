@@ -60,8 +60,11 @@ def score(records: DataFrame, carry: list[str] = ()) -> DataFrame:
     Rewards holdout and development Sharpe, Calmar, stability over sub-periods and confidence; charges degradation, turnover,
     concentration, parameter count, regime spread, drawdown and failure before the late period.
     """
-    s = F.transform(F.filter(F.coalesce("subperiods", F.array()), lambda p: p["sharpe"].isNotNull()), lambda p: p["sharpe"])
-    early = F.transform(F.filter(F.coalesce("subperiods", F.array()), lambda p: (p["period"] != LATE_PERIOD) & p["sharpe"].isNotNull()), lambda p: p["sharpe"])
+    # A sub-period without a Sharpe ratio counts as one that is neither above nor below zero; only the spread leaves it out.
+    known = lambda p: F.when(~F.isnan(p["sharpe"]), p["sharpe"])
+    s = F.transform(F.coalesce("subperiods", F.array()), known)
+    early = F.transform(F.filter(F.coalesce("subperiods", F.array()), lambda p: p["period"] != LATE_PERIOD), known)
+    held = F.filter(s, lambda v: v.isNotNull())
     share = lambda arr, f: F.size(F.filter(arr, f)) / F.size(arr)
     enough = F.size(F.coalesce("subperiods", F.array())) >= 3
     r = records.withColumns({
@@ -69,7 +72,7 @@ def score(records: DataFrame, carry: list[str] = ()) -> DataFrame:
         "_dd": safe("metrics_dev.max_drawdown", -1.0), "_psr": safe("psr_dev", 0.5), "_to": safe("annual_turnover", 0.0),
         "_top": safe("concentration.top_name_share", 1.0), "_np": F.coalesce(F.greatest(F.size("spec.params"), F.lit(0)), F.lit(0)),
         "_stab": F.when(enough & (F.size(s) > 0), share(s, lambda v: v > 0)).otherwise(0.5),
-        "_spread": F.when(enough & (F.size(s) > 1), _std(s)).otherwise(1.0),
+        "_spread": F.when(enough & (F.size(held) > 1), _std(held)).otherwise(1.0),
         "_fails": F.when(enough & (F.size(early) >= 2), share(early, lambda v: v <= 0) > 0.6).otherwise(False)})
     r = r.withColumn("_deg", F.greatest(F.col("_ds") - F.col("_hs"), F.lit(0.0)))
     d = lambda v: F.lit(float(v))

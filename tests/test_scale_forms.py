@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from helpers import frame, prices
 
+from barloom.operators import ranking as RK
 from barloom.operators import stateful as ST
 from barloom.operators import xsection as X
 from barloom.operators.order_stats import expanding_quantile
@@ -120,3 +121,13 @@ def test_folds_equal_loops(spark, seed):
         last = r.adj_close
         want.append(bool(long and r.mask))
     assert read(ST.ratchet_band(df, "atr", 1.0, 2)) == want
+
+
+def test_sub_periods_without_a_ratio_stay_in_the_denominators(spark):
+    met = "struct<sharpe:double,calmar:double,max_drawdown:double,cagr:double>"
+    schema = f"strategy string, family string, metrics_dev {met}, metrics_holdout {met}, psr_dev double, annual_turnover double, concentration struct<top_name_share:double>, spec struct<params:map<string,string>>, subperiods array<struct<period:string,sharpe:double>>"
+    one = (1.0, 1.0, -0.2, 0.1)
+    rows = [(name, "f", one, one, 0.9, 1.0, (0.3,), ({},), [(f"p{k}", v) for k, v in enumerate(subs)])
+            for name, subs in (("all", [1.0, 2.0, 1.5, 0.5]), ("some", [1.0, None, float("nan"), 0.5]), ("low", [-1.0, -1.0, -1.0, None]), ("lost", [-1.0, -1.0, None, None]))]
+    got = {r["strategy"]: (r["stability"], r["fails_early"]) for r in RK.score(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {"all": (1.0, False), "some": (0.5, False), "low": (0.0, True), "lost": (0.0, False)}
