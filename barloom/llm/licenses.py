@@ -1,13 +1,16 @@
 """Licence scan by a positional index of rare words.
 
-The templates (short phrases and longer notices) are indexed by word and position. In each file, only the places of every
-template's rarest key word are looked up (rarity is the inverse document frequency over all files); a place and the word's
-position in the template fix where the template would start, and there its key phrases must stand word by word. The rest of a
-notice may differ: the weight of its words that match, in place, is the score.
+The templates (short phrases and longer notices) are indexed by word: a posting is a template and the word's offset in it. A template is posted
+under the two rarest words of its key phrases (rarity is the inverse document frequency over all files), a word that several templates share
+holds several postings. In a file, the places of the posted words that it holds are looked up; a place less its posting's offset is where the
+template would start, and the starts that both words of a template name, the intersection of their postings by relative position, are
+verified: all key phrases must stand word by word. The rest of a notice may differ: the weight of its words that match, in place,
+is the score. Index, keys and weights are constant tables, so the plan doesn't grow with the number of templates.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -81,46 +84,57 @@ def rarity(docs: DataFrame, text: str = "text", templates: list[Template] = TEMP
     return {w: math.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
-def _starts(t: Template, idf: dict[str, float]) -> Column:
-    """Where the template stands: the places of its rarest key word, shifted to the start, at which all key words stand."""
-    offset, rare = max(t.key_places(), key=lambda p: (idf[p[1]], p[1], -p[0]))
+def anchors(t: Template, idf: dict[str, float]) -> list[tuple[int, str]]:
+    """(offset, word) of the two rarest different key words, one if there is no other: what the template is posted under."""
+    best: list[tuple[int, str]] = []
+    for offset, word in sorted(t.key_places(), key=lambda p: (-idf[p[1]], p[1], p[0])):
+        if word not in [w for _, w in best]:
+            best.append((offset, word))
+    return best[:2]
 
-    def stands(s: Column) -> Column:
-        ok = s >= -t.key_places()[0][0]  # words before the first key may be missing at the file's beginning
-        for j, w in t.key_places():
-            ok = ok & (lowered(F.get("w", s + j)) == w)
-        return ok
 
-    return F.filter(F.transform(F.filter("rare", lambda x: x["w"] == rare), lambda x: x["i"] - offset), stands)
-
-
-def _coverage(t: Template, idf: dict[str, float], starts: Column) -> Column:
-    total = sum(idf[w] for w in t.words)
-
-    def weight(s: Column) -> Column:
-        return sum((F.when(lowered(F.get("w", s + j)) == w, idf[w] / total).otherwise(0.0) for j, w in enumerate(t.words)), F.lit(0.0))
-
-    return F.coalesce(F.array_max(F.transform(starts, weight)), F.lit(0.0))
-
-
-def _places(t: Template, starts: Column) -> Column:
-    return F.transform(starts, lambda s: F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), s.cast("long").alias("start")))
+def _index(templates: list[Template], idf: dict[str, float]) -> tuple[Column, Column, list[str]]:
+    """Postings by word, what is verified and weighed of each template, and the posted words."""
+    postings: dict[str, list[dict]] = {}
+    entries = []
+    for k, t in enumerate(templates):
+        posted, total = anchors(t, idf), sum(idf[w] for w in t.words)
+        for offset, word in posted:
+            postings.setdefault(word, []).append({"t": k, "j": offset})
+        weighed = [] if t.base else [{"j": j, "w": w, "x": idf[w] / total} for j, w in enumerate(t.words)]
+        entries.append({"label": t.label, "base": t.base, "n": len(posted), "keys": [{"j": j, "w": w} for j, w in t.key_places()], "words": weighed})
+    word = "array<struct<j:int,w:string%s>>"
+    of = F.from_json(F.lit(json.dumps(postings)), "map<string,array<struct<t:int,j:int>>>")
+    what = F.from_json(F.lit(json.dumps(entries)), f"array<struct<label:string,base:boolean,n:int,keys:{word % ''},words:{word % ',x:double'}>>")
+    return of, what, sorted(postings)
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[Template] = TEMPLATES) -> DataFrame:
     """One row for each row of ``docs``: its id, ``n_words``, ``places`` (label, base, start) of every template found, ``coverage`` (of the best notice).
 
     Texts are scanned whole, null texts are empty, repeated rows stay repeated and other columns are ignored. Everything
-    happens in the row: nothing but one count for each template word is shuffled.
+    happens in the row: nothing but one count for each template word is shuffled. Starts are grouped by sorting them, so a text costs
+    about its words and its postings, however many templates there are.
     """
-    idf = rarity(docs, text, templates)
-    rare = sorted({max(t.key_places(), key=lambda p: (idf[p[1]], p[1], -p[0]))[1] for t in templates})
+    postings, entries, posted = _index(templates, rarity(docs, text, templates))
     words = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w"))
-    spots = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("w"))), lambda x: x["w"].isin(rare))
-    found = words.select("doc_id", "w", spots.alias("rare")).select("doc_id", "w", *[_starts(t, idf).alias(f"s{k}") for k, t in enumerate(templates)])
-    places = [_places(t, F.col(f"s{k}")) for k, t in enumerate(templates)]
-    best = [_coverage(t, idf, F.col(f"s{k}")) for k, t in enumerate(templates) if not t.base]
-    return found.select("doc_id", F.size("w").cast("long").alias("n_words"), F.concat(*places).alias("places"), F.greatest(*best, F.lit(0.0)).alias("coverage"))
+    spots = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("w"))), lambda x: x["w"].isin(posted))
+    # A start in one number, template first; a start before the text is moved along with all others and fails the verification.
+    longest = max((len(t.words) for t in templates), default=0)
+    start = lambda p, i: p["t"].cast("long") * (1 << 32) + (i - p["j"] + longest).cast("long")
+    named = F.sort_array(F.flatten(F.transform("spots", lambda x: F.transform(F.element_at(postings, x["w"]), lambda p: start(p, x["i"])))))
+    template = lambda c: F.get(entries, F.shiftright(c, 32).cast("int"))
+    # Different posted words name a start once each: it is in the intersection if it comes as often as its template has posted words.
+    both = F.filter("named", lambda c, k: F.get("named", k + template(c)["n"] - 1) == c)
+    first = F.array_distinct(both)
+    begin = lambda c: (c.bitwiseAND(F.lit((1 << 32) - 1)) - longest).cast("int")
+    stands = lambda c: F.forall(template(c)["keys"], lambda k: lowered(F.get("w", begin(c) + k["j"])) == k["w"])
+    weight = lambda c: F.aggregate(template(c)["words"], F.lit(0.0), lambda a, x: a + F.when(lowered(F.get("w", begin(c) + x["j"])) == x["w"], x["x"]).otherwise(0.0))
+    place = lambda c: F.struct(template(c)["label"].alias("label"), template(c)["base"].alias("base"), begin(c).cast("long").alias("start"), weight(c).alias("weight"))
+    found = words.select("doc_id", "w", spots.alias("spots")).select("doc_id", "w", named.alias("named")).select("doc_id", "w", first.alias("starts"))
+    found = found.select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform(F.filter("starts", stands), place).alias("found"))
+    plain = F.transform("found", lambda p: F.struct(p["label"], p["base"], p["start"]))
+    return found.select("doc_id", "n_words", plain.alias("places"), F.coalesce(F.array_max(F.transform("found", lambda p: p["weight"])), F.lit(0.0)).alias("coverage"))
 
 
 def digest(found: DataFrame) -> DataFrame:

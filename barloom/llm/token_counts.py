@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -109,13 +110,42 @@ class Merges:
         return sorted(out)
 
 
+def splitter(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
+
+
+def odd_characters(text: str, merges: Merges) -> dict[int, tuple[str, str]]:
+    """Characters newer than Python's tables: what the library makes of their case, and a letter, digit or point of the same kind for it.
+
+    The library, Python and the pattern engine follow different editions of Unicode, so the library is asked about every character that Python
+    doesn't know, in the planes that have letters; here are those where it and this module differ.
+    """
+    import tokenizers
+
+    library, split = tokenizers.Tokenizer.from_str(text), splitter(merges.pattern)
+    out = {}
+    for k in range(0x40000):
+        c = chr(k)
+        if unicodedata.category(c) != "Cn":
+            continue
+        low = library.normalizer.normalize_str(c)
+        pieces = lambda s: len(library.pre_tokenizer.pre_tokenize_str(s))
+        kind = "a" if pieces("a" + low) == 1 else "." if pieces("." + low) == 1 else "1"
+        mine = "a" if len(split.findall("a" + c)) == 1 else "." if len(split.findall("." + c)) == 1 else "1"
+        if low != c or kind != mine:
+            out[k] = (low, kind * len(low))
+    return out
+
+
 class Counter(dict):
     """Pre-token to its number of tokens."""
 
-    def __init__(self, merges: Merges, whole: list[str]):
+    def __init__(self, merges: Merges, whole: list[str], odd: dict[int, tuple[str, str]] | None = None):
         super().__init__(dict.fromkeys(whole, 1))
         self.merges, self.whole = merges, whole
-        self.split = regex.compile(merges.pattern.replace(r"\s", r"\p{White_Space}"), regex.V0)
+        self.odd = re.compile("[" + "".join(map(chr, odd)) + "]") if odd else None
+        self.lowers, self.kinds = ({k: x[j] for k, x in (odd or {}).items()} for j in (0, 1))
+        self.split = splitter(merges.pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.added, key=len, reverse=True)))) if merges.added else None
 
     def __missing__(self, word: str) -> int:
@@ -128,7 +158,11 @@ class Counter(dict):
     def words(self, text: str) -> list[str]:
         # NFC, then lower case code point by code point: a final sigma stays an ordinary one.
         text = unicodedata.normalize("NFC", text) if not text.isascii() else text
-        return self.split.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        if self.odd is None or text.isascii() or not self.odd.search(text):
+            return self.split.findall(text)
+        kinds, text = text.translate(self.kinds), text.translate(self.lowers)
+        return [text[m.start() : m.end()] for m in self.split.finditer(kinds)]
 
     def count(self, text: str) -> int:
         if self.special is None or not self.special.search(text):
@@ -144,8 +178,8 @@ def _counter(digest: str, shared: Broadcast) -> Counter:
     """The worker's counter; it outlives a task."""
     if digest not in _COUNTERS:
         _COUNTERS.clear()
-        spec, whole = shared.value
-        _COUNTERS[digest] = Counter(Merges(spec), whole)
+        spec, whole, odd = shared.value
+        _COUNTERS[digest] = Counter(Merges(spec), whole, odd)
     return _COUNTERS[digest]
 
 
@@ -156,7 +190,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     repeated rows stay repeated, other columns are ignored. Nothing is shuffled; what is broadcast is the vocabulary. A worker
     holds one batch of texts and REMEMBERED counts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, Merges(tokenizer).whole()))
+    merges = Merges(tokenizer)
+    shared = docs.sparkSession.sparkContext.broadcast((tokenizer, merges.whole(), odd_characters(tokenizer, merges)))
     digest = hashlib.md5(tokenizer.encode()).hexdigest()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

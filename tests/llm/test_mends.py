@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from barloom.llm import chat, mixing, vectors
 
@@ -68,3 +69,39 @@ def test_rows_without_id_spread_over_shards(spark):
     assert len(sizes) == 20 and max(sizes.values()) < 6000
     again = mixed(spark, rows[::-1], shard_words=3000)
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, again), key=repr)
+
+
+def test_licence_templates_by_the_hundred(spark):
+    """Many templates in one index; both rare words of a template must name the same start, and then its keys must stand."""
+    from barloom.llm import licenses
+
+    ts = [licenses._t(f"l{k}", f"covered by licence number n{k} of series s{k % 7}", f"licence number n{k} of series s{k % 7}") for k in range(200)] + licenses.BASE
+    said = ["covered by licence number n5 of series s5", "n5 s5 licence number n5 of series s4", "x licence number N199 of series S3 licence number n8 of series s1", "s5 licence n5", "", None, "licence number n5 of series s5 " * 300]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, templates=ts).collect()}
+    place = lambda k, at: (f"l{k}", False, at)
+    want = {0: [place(5, 0)], 1: [], 2: [place(8, 5), place(199, -1)], 3: [], 4: [], 5: [], 6: [place(5, 6 * j - 2) for j in range(300)]}
+    assert {k: sorted(map(tuple, r["places"])) for k, r in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert got[0]["coverage"] == pytest.approx(1.0) and got[3]["coverage"] == 0.0
+
+
+def test_tokens_of_characters_newer_than_python():
+    import unicodedata
+
+    import tokenizers
+
+    from barloom.llm import catalog, token_counts
+
+    with open(catalog.tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    merges, library = token_counts.Merges(text), tokenizers.Tokenizer.from_str(text)
+    odd = token_counts.odd_characters(text, merges)
+    counter = token_counts.Counter(merges, merges.whole(), odd)
+    back = {c: b for b, c in enumerate(merges.letters)}
+    some = {0xA7CB, 0xA7DC, 0x558, 0x323B0, 0x11DE0, *range(0x250), *(k for k in range(0x250, 0x40000) if unicodedata.category(chr(k)) == "Cn" and (k < 0x20000 or k % 16 == 0))}
+    for k in some:
+        for said in (f"a{chr(k)}b", f"1{chr(k)}2", f".{chr(k)}."):
+            ours = [w.encode() for w in counter.words(said)]
+            assert ours == [bytes(back[c] for c in w) for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(said))], hex(k)
+    for said in ("a\ua7cbb", "\ua7dc", "x\U00032808y \ua7cb\ua7dc"):
+        assert counter.count(said) == len(library.encode(said, add_special_tokens=False).ids)
