@@ -67,4 +67,38 @@ def q3v(spark, d):
     return Q.gate_verdict(checks(spark, d))
 
 
+# Brands whose number leaves 2 by 5 are adjusted for splits alone; no series stands for the volatility index.
+SQL_LIMITS = """adj AS (SELECT series_id, CASE WHEN CAST(substr(series_id, 7) AS INTEGER) % 5 = 2 THEN 'split_only' ELSE 'total_return' END AS adjustment FROM listing),
+lim AS (SELECT * FROM (SELECT 'split_only_prices' AS limitation, (SELECT count(*) FROM sp JOIN adj USING (series_id) WHERE adjustment = 'split_only') AS n, (SELECT count(*) FROM sp) AS "of") WHERE n > 0
+ UNION ALL SELECT 'no_rate', 0, 1 WHERE NOT EXISTS (SELECT 1 FROM macro WHERE series = 'RATE') UNION ALL SELECT 'no_vix', 0, 1 WHERE NOT EXISTS (SELECT 1 FROM macro WHERE series = 'VIX')
+ UNION ALL SELECT 'macro_revised', count(DISTINCT series), count(DISTINCT series) FROM macro
+ UNION ALL SELECT * FROM (SELECT 'fundamentals_partial', (SELECT count(DISTINCT series_id) FROM fund WHERE CAST(substr(series_id, 7) AS INTEGER) % 4 = 1) AS a, (SELECT least(30, count(*)) FROM listing JOIN sp USING (series_id)) AS b) WHERE a < b
+ UNION ALL SELECT * FROM (SELECT 'delisted_incomplete', count(sp.series_id) AS a, count(*) AS b FROM (SELECT series_id FROM listing WHERE delisted IS NOT NULL UNION ALL SELECT 'Brand#99') l LEFT JOIN sp USING (series_id)) WHERE a < b)"""
+SQL_STORE = f"{SQL_DIRTY}, {SQL_GAPS}, {SQL_LISTING}, {SQL_MACRO}, {SQL_FUND}"
+
+
+def limits(spark, d):
+    """The store's limitations: a quarter of the brands has filings, and one delisted name has no history."""
+    uni = materialize(T.listing(spark, d), "listing")
+    lost = uni.select("series_id", "delisted").unionByName(uni.limit(1).select(F.lit("Brand#99").alias("series_id"), F.to_date(F.lit("1995-01-01")).alias("delisted")))
+    adjustment = uni.select("series_id", F.when(T.brand_no() % 5 == 2, "split_only").otherwise("total_return").alias("adjustment"))
+    filed = T.fundamentals(spark, d).where(T.brand_no() % 4 == 1)
+    return Q.limitations(T.bars(spark, d, "d"), lost, uni, T.macro(spark, d), filed, adjustment, "RATE", "VIX", min_filings=30)
+
+
+@query("q3_limitations", "limitation:s n:i of:i", f"{SQL_STORE}, {SQL_LIMITS}, out AS (SELECT * FROM lim)")
+def q3l(spark, d):
+    return limits(spark, d)
+
+
+@query("q3_gate_status", "status:s failed:i fatal:i limitations:i", f"{SQL_GATE}, {SQL_LIMITS}, out AS (SELECT CASE WHEN count_if(NOT ok AND fatal) > 0 THEN 'FAIL - DO NOT BACKTEST' WHEN count_if(NOT ok) > 0 OR (SELECT count(*) FROM lim) > 0 THEN 'PASS WITH LIMITATIONS' ELSE 'PASS FOR RESEARCH' END AS status, count_if(NOT ok) AS failed, count_if(NOT ok AND fatal) AS fatal, (SELECT count(*) FROM lim) AS limitations FROM chk)")
+def q3s(spark, d):
+    return Q.gate_status(checks(spark, d), limits(spark, d))
+
+
+@query("r5_gate_flags", "delisted_incomplete:b split_only_prices:b fundamentals_partial:b macro_revised:b no_vix:b", f"{SQL_STORE}, {SQL_LIMITS}, out AS (SELECT {', '.join(f'count_if(limitation = {x!r}) > 0 AS {x}' for x in Q.FLAGS)} FROM lim)")
+def r5f(spark, d):
+    return Q.gate_flags(limits(spark, d))
+
+
 QUERIES["q4_reconcile"], ORACLES["q4_reconcile"] = QUERIES["j9_reconcile_providers"], ORACLES["j9_reconcile_providers"]

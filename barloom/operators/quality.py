@@ -76,3 +76,48 @@ def gate_verdict(checks: DataFrame, limitations: int = 0) -> DataFrame:
     """One row: the status, the number of failed checks and of fatal ones."""
     failed, fatal = F.count_if(~F.col("ok")), F.count_if(~F.col("ok") & F.col("fatal"))
     return checks.agg(F.when(fatal > 0, FAIL).when((failed > 0) | F.lit(limitations > 0), LIMITED).otherwise(PASS).alias("status"), failed.alias("failed"), fatal.alias("fatal"))
+
+
+#: The names of limitations, and of the flags that tiers are assigned by.
+LIMITATIONS = ("split_only_prices", "no_rate", "no_vix", "macro_revised", "fundamentals_partial", "delisted_incomplete")
+FLAGS = ("delisted_incomplete", "split_only_prices", "fundamentals_partial", "macro_revised", "no_vix")
+
+
+def limitations(bars: DataFrame, listing: DataFrame, universe: DataFrame, macro: DataFrame, filings: DataFrame, adjustment: DataFrame,
+                rate: str, fear: str, min_filings: int = 10) -> DataFrame:
+    """Rows ``(limitation, n, of)`` of what the store can't support though no check failed.
+
+    ``adjustment`` says how each series is adjusted; ``rate`` and ``fear`` are the macro series of the cash rate and of implied volatility. ``n`` and
+    ``of`` count series: adjusted for splits alone of those held, macro series, with filings of the names wanted, delisted ones held of those
+    listed. Macro series are always revised data. Each table is reduced to its distinct keys before anything is joined; series without
+    an adjustment row count as fully adjusted, and an empty store still gives its rows.
+    """
+    held = bars.select("series_id").distinct()
+    have = lambda x, on="series_id": x.join(held.withColumn("_h", F.lit(1)), on, "left")
+    split = adjustment.where(F.col("adjustment") == "split_only").select("series_id", F.lit(1).alias("_s")).dropDuplicates(["series_id"])
+    prices = held.join(split, "series_id", "left").agg(F.count("_s").alias("a"), F.count(F.lit(1)).alias("b"))
+    series = macro.agg(F.count_distinct("series").alias("b"), F.count_if(F.col("series") == rate).alias("rate"), F.count_if(F.col("series") == fear).alias("fear"))
+    names = have(universe.select("series_id").distinct()).agg(F.least(F.lit(min_filings), F.count("_h")).alias("b"))
+    filed = filings.agg(F.count_distinct("series_id").alias("a"))
+    gone = have(listing.where("delisted IS NOT NULL").select("series_id").distinct()).agg(F.count("_h").alias("a"), F.count(F.lit(1)).alias("b"))
+    row = lambda name, n, of, when: F.struct(F.lit(name).alias("limitation"), n.cast("bigint").alias("n"), of.cast("bigint").alias("of"), when.alias("_w"))
+    a, b = F.col("a"), F.col("b")
+    zero, one = F.lit(0), F.lit(1)
+    out = prices.select(F.inline(F.array(row("split_only_prices", a, b, a > 0))))
+    out = out.unionByName(series.select(F.inline(F.array(row("no_rate", zero, one, F.col("rate") == 0), row("no_vix", zero, one, F.col("fear") == 0), row("macro_revised", b, b, F.lit(True))))))
+    # Both sides are one row.
+    both = filed.withColumn("_k", one).join(names.withColumn("_k", one), "_k")
+    out = out.unionByName(both.select(F.inline(F.array(row("fundamentals_partial", a, b, a < b)))))
+    return out.unionByName(gone.select(F.inline(F.array(row("delisted_incomplete", a, b, a < b))))).where("_w").drop("_w")
+
+
+def gate_status(checks: DataFrame, limits: DataFrame) -> DataFrame:
+    """One row: the status under checks and limitations, and how many failed, were fatal and limit."""
+    rows = checks.select("ok", "fatal", F.lit(0).alias("limit")).unionByName(limits.select(F.lit(True).alias("ok"), F.lit(False).alias("fatal"), F.lit(1).alias("limit")))
+    failed, fatal, limited = F.count_if(~F.col("ok")), F.count_if(~F.col("ok") & F.col("fatal")), F.count_if(F.col("limit") == 1)
+    return rows.agg(F.when(fatal > 0, FAIL).when((failed > 0) | (limited > 0), LIMITED).otherwise(PASS).alias("status"), failed.alias("failed"), fatal.alias("fatal"), limited.alias("limitations"))
+
+
+def gate_flags(limits: DataFrame) -> DataFrame:
+    """One row of flags for :func:`~barloom.operators.ranking.assign_tier`: whether each limitation holds."""
+    return limits.agg(*[(F.count_if(F.col("limitation") == x) > 0).alias(x) for x in FLAGS])

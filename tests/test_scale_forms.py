@@ -131,3 +131,22 @@ def test_sub_periods_without_a_ratio_stay_in_the_denominators(spark):
             for name, subs in (("all", [1.0, 2.0, 1.5, 0.5]), ("some", [1.0, None, float("nan"), 0.5]), ("low", [-1.0, -1.0, -1.0, None]), ("lost", [-1.0, -1.0, None, None]))]
     got = {r["strategy"]: (r["stability"], r["fails_early"]) for r in RK.score(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"all": (1.0, False), "some": (0.5, False), "low": (0.0, True), "lost": (0.0, False)}
+
+
+def test_limitations_of_a_store(spark):
+    from barloom.operators import quality as Q
+
+    one = lambda names, **more: spark.createDataFrame([(n, *more.values()) for n in names], "series_id string" + "".join(f", {k} string" for k in more))
+    macro = spark.createDataFrame([("RATE", 1.0), ("RATE", 2.0), ("VIX", 1.0)], "series string, value double")
+    none = macro.where("false")
+    bars = one(["A", "A", "B", "B"])
+    full = Q.limitations(bars, one(["A"], delisted="1999-01-01"), one(["A", "B"]), macro, one(["A", "B", "B"]), one(["A", "B"], adjustment="total_return"), "RATE", "VIX")
+    assert [tuple(r) for r in full.collect()] == [("macro_revised", 2, 2)]
+    thin = Q.limitations(bars, one(["A", "C"], delisted="1999-01-01"), one(["A", "B"]), none, one(["A", "A"]), one(["B", "B", "C"], adjustment="split_only"), "RATE", "VIX")
+    assert {r["limitation"]: (r["n"], r["of"]) for r in thin.collect()} == {"split_only_prices": (1, 2), "no_rate": (0, 1), "no_vix": (0, 1), "macro_revised": (0, 0), "fundamentals_partial": (1, 2), "delisted_incomplete": (1, 2)}
+    assert Q.gate_flags(full).first().asDict() == {"delisted_incomplete": False, "split_only_prices": False, "fundamentals_partial": False, "macro_revised": True, "no_vix": False}
+    checks = spark.createDataFrame([("x", True, 1, True)], "check string, ok boolean, n bigint, fatal boolean")
+    assert tuple(Q.gate_status(checks, thin).first()) == ("PASS WITH LIMITATIONS", 0, 0, 6)
+    assert tuple(Q.gate_status(checks, thin.where("false")).first()) == ("PASS FOR RESEARCH", 0, 0, 0)
+    empty = Q.limitations(bars.where("false"), one([], delisted=""), one([]), none, one([]), one([], adjustment=""), "RATE", "VIX")
+    assert sorted(r["limitation"] for r in empty.collect()) == ["macro_revised", "no_rate", "no_vix"]
