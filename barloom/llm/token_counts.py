@@ -143,7 +143,8 @@ class Counter(dict):
     def __init__(self, merges: Merges, whole: list[str], odd: dict[int, tuple[str, str]] | None = None):
         super().__init__(dict.fromkeys(whole, 1))
         self.merges, self.whole = merges, whole
-        self.odd = re.compile("[" + "".join(map(chr, odd)) + "]") if odd else None
+        # Beyond the first plane the mapping alone tells: a class of thousands of such characters would be tried one by one.
+        self.odd = re.compile("[" + "".join(chr(k) for k in odd if k < 0x10000) + "\U00010000-\U0003ffff]") if odd else None
         self.lowers, self.kinds = ({k: x[j] for k, x in (odd or {}).items()} for j in (0, 1))
         self.split = splitter(merges.pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.added, key=len, reverse=True)))) if merges.added else None
