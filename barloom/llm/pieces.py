@@ -4,35 +4,39 @@ Texts fall into units (blanks with the word after them) that no piece crosses. T
 lattice: their substrings of bounded length are exploded and joined to the piece table, the edges are grouped by unit, and a fold over
 them gives the pieces. A BPE model's best path is not the one of the highest score but what its merges make, so the fold
 takes the edges by rank and joins an edge's two symbols where exactly two are left between its ends; the state is one bit for each place
-between characters. Units too long for the bits of a long are merged by a queue. Frequent units pass the lattice once and reach their
-places by a broadcast of bounded size. The others are cut where no piece holds the two characters that meet, which no merge can cross;
-frequent parts are broadcast too, and every other part passes the lattice with its place.
+between characters. Strings too long for the bits of a long are merged by a queue. Frequent units pass the lattice once and reach their places
+by a broadcast of bounded size. The others are cut where no piece holds the two characters that meet, which no merge can cross; frequent parts
+are in the broadcast too, and every other part passes the lattice with its place.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.session import discard, materialize, store
 
-from .groups import starts, whole_groups
-
 BLANK = "\u2581"
 LONGEST = 61
-#: Units, and again parts of the other units, in the broadcast dictionary; each other part goes through the lattice where it stands.
+#: Units and parts in the broadcast dictionary; each other part goes through the lattice where it stands.
 FREQUENT = 300_000
-#: Prime and base of the digest of a unit's ids: sum of (id + 1) * BASE^start, so that the digests of parts add up to the unit's.
-PRIME, BASE = (1 << 31) - 1, 1_000_003
-#: Units whose edges a task sorts, and units of a text that stay together.
-UNITS_IN_TASK, STRETCH = 30_000, 4096
+#: Different units that a task counts at once, and how often it must see a string to name it for the dictionary.
+COUNTED, SEEN = 500_000, 2
+#: Strings whose edges a task sorts.
+UNITS_IN_TASK = 30_000
+#: Stands among ids for a part whose ids come from the lattice later.
+HOLE = np.array([-1], dtype="<i4").tobytes()
 
 
 @dataclass(frozen=True)
@@ -79,33 +83,72 @@ def table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(list(pieces.rows), "piece string, id int, rank int")
 
 
-def units_of(text: Column, pieces: Pieces) -> Column:
-    """The units of a text in order; of null and empty texts none."""
-    stop = BLANK + pieces.apart.replace("\n", "\\n").replace("\r", "\\r").replace("\t", "\\t")
-    marked = F.replace(text, F.lit(" "), F.lit(BLANK))
-    pattern = f"{BLANK}+[^{stop}]*|[^{stop}]+" + (f"|[{stop[1:]}]+" if pieces.apart else "")
-    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(BLANK if pieces.dummy else ""), marked), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-
-def parts_of(unit: Column, pieces: Pieces) -> Column:
-    """A unit cut between characters that stand side by side in no piece."""
-    follow: dict[str, set[str]] = {}
-    for p, _, _ in pieces.rows:
-        for a, b in zip(p, p[1:], strict=False):
-            follow.setdefault(a, set()).add(b)
-    alike: dict[frozenset[str], list[str]] = {}
-    for a in sorted(follow, key=lambda a: -len(follow[a])):
-        alike.setdefault(frozenset(follow[a]), []).append(a)
-    some = lambda chars: "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
-    # A character is looked for among those of its kind only.
-    kinds: dict[int, list[str]] = {}
-    for b, chars in alike.items():
-        for kind in (0, 1, 2):
-            if mine := [c for c in chars if kind == (0 if c.islower() and c.isascii() else 1 if c.isascii() else 2)]:
-                kinds.setdefault(kind, []).append(f"{some(mine)}(?={some(b)})")
-    low, ascii_, wide = ("|".join(kinds.get(k, ["(?!)"])) for k in (0, 1, 2))
-    held = f"(?=[a-z])(?:{low})|(?=[\\x00-`{{-\\x7f])(?:{ascii_})|(?=[^\\x00-\\x7f])(?:{wide})"
-    return F.regexp_extract_all(unit, F.lit(f"(?:{held})*+[\\s\\S]"), F.lit(0))
+class Cutter:
+    """Cuts texts into units, and units between characters that stand side by side in no piece."""
+
+    def __init__(self, pieces: Pieces):
+        stop = re.escape(BLANK + pieces.apart)
+        self.find = re.compile(f"{BLANK}+[^{stop}]*|[^{stop}]+" + (f"|[{re.escape(pieces.apart)}]+" if pieces.apart else "")).findall
+        self.first = BLANK if pieces.dummy else ""
+        self.held = {p[k : k + 2] for p, _, _ in pieces.rows for k in range(len(p) - 1)}
+
+    def units(self, text: str | None) -> list[str]:
+        return self.find(self.first + text.replace(" ", BLANK)) if text else []
+
+    def parts(self, unit: str) -> list[str]:
+        ends = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.held]
+        return [unit[i:j] for i, j in zip([0, *ends], [*ends, len(unit)], strict=True)]
+
+    def often(self, seen: Counter[str]) -> Counter[str]:
+        """Of counted units those seen often, and the parts of the others that are."""
+        fit = lambda u, n: n >= SEEN and 1 < len(u) <= LONGEST
+        parts: Counter[str] = Counter()
+        for unit, n in seen.items():
+            if not fit(unit, n):
+                for part in self.parts(unit):
+                    parts[part] += n
+        out = Counter({u: n for u, n in seen.items() if fit(u, n)})
+        out.update({u: n for u, n in parts.items() if fit(u, n)})
+        return out
+
+
+class Placer(Cutter):
+    """Puts the dictionary's ids at their places in a text."""
+
+    def __init__(self, pieces: Pieces, units: list[str], ends: np.ndarray, ids: bytes):
+        super().__init__(pieces)
+        self.known = {u: ids[4 * i : 4 * j] for u, i, j in zip(units, np.r_[0, ends][:-1].tolist(), ends.tolist(), strict=True)}
+        self.ranks, self.byte_zero = {p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero
+
+    def part(self, part: str, holes: list[str]) -> bytes:
+        if (ids := self.known.get(part)) is not None:
+            return ids
+        # One character has no edges; a part with too many characters for the fold has its own way.
+        if len(part) == 1 or len(part) > LONGEST:
+            return np.array([k for k, _ in merge(part, self.ranks, self.byte_zero)], dtype="<i4").tobytes()
+        holes.append(part)
+        return HOLE
+
+    def place(self, text: str | None) -> tuple[int, np.ndarray, np.ndarray, list[str]]:
+        """Number of units, the ids that are known, and of the other parts how many of these stand before them."""
+        units, holes = self.units(text), []
+        found = list(map(self.known.get, units))
+        if None in found:
+            found = [b"".join([self.part(p, holes) for p in self.parts(u)]) if ids is None else ids for u, ids in zip(units, found, strict=True)]
+        ids = np.frombuffer(b"".join(found), dtype="<i4")
+        at = np.flatnonzero(ids < 0)
+        return len(units), ids[ids >= 0], at - np.arange(at.size), holes
+
+
+_PLACERS: dict[str, Placer] = {}
+
+
+def _placer(name: str, shared: Broadcast) -> Placer:
+    """The worker's dictionary; it outlives a task."""
+    if name not in _PLACERS:
+        _PLACERS.clear()
+        _PLACERS[name] = Placer(*shared.value)
+    return _PLACERS[name]
 
 
 def _shift(a: Column, n: Column) -> Column:
@@ -202,147 +245,82 @@ def reading(ids: Column, pieces: Pieces) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda k: F.get(reads, k)), "")), "UTF-8")
 
 
-def _placed_parts(rows: DataFrame, pieces: Pieces, keep: list[str]) -> DataFrame:
-    """(*keep, off, part) of each row's ``unit``: its parts and where in it they start."""
-    cut = rows.select(*keep, parts_of(F.col("unit"), pieces).alias("parts"))
-    off = lambda k: F.aggregate(F.slice("parts", 1, k), F.lit(0), lambda a, x: a + F.length(x))
-    return cut.select(*keep, F.inline(F.transform("parts", lambda x, k: F.struct(off(k).alias("off"), x.alias("part")))))
-
-
-@dataclass(frozen=True)
-class _Known:
-    """``words``: (unit, *shape) of frequent units and frequent parts; how many parts are ``left``; whether units are too ``far`` long for the fold."""
-
-    words: DataFrame
-    left: int
-    far: bool
-
-
-def _known(places: DataFrame, pieces: Pieces, shape: list[Column], frequent: int) -> _Known:
-    """The dictionary for the units of ``places``. Units are counted over all texts. The ``frequent`` most frequent ones, and of the parts of the
-    others as many, go through the lattice once."""
-    spark = places.sparkSession
-    counts, path = store(places.groupBy(F.when(F.length("unit") <= LONGEST, F.col("unit")).alias("unit")).agg(F.count(F.lit(1)).alias("many")), "units")
-    top = materialize(counts.where("unit IS NOT NULL").orderBy(F.desc("many"), "unit").limit(frequent).select("unit"), "frequent")
-    others = counts.where("unit IS NOT NULL").join(F.broadcast(top), "unit", "left_anti")
-    others = _placed_parts(others, pieces, ["many"]).groupBy(F.col("part").alias("unit")).agg(F.sum("many").alias("many"))
-    others, parts_path = store(others.join(F.broadcast(top), "unit", "left_anti"), "parts")
-    more = materialize(others.orderBy(F.desc("many"), "unit").limit(frequent), "frequent-parts")
-    left = (others.agg(F.sum("many")).first()[0] or 0) - (more.agg(F.sum("many")).first()[0] or 0)
-    far = counts.where("unit IS NULL").count() > 0
-    once = top.union(more.select("unit")).repartition(1 + 2 * frequent // UNITS_IN_TASK, "unit")
-    words = materialize(fold(lattice(once, pieces, ["unit"]), pieces, ["unit"]).select("unit", *shape), "words")
-    discard(spark, path)
-    discard(spark, parts_path)
-    return _Known(words, left, far)
-
-
-def _others(aside: DataFrame, known: _Known, pieces: Pieces, one: list[str], shape: list[Column]) -> list[DataFrame]:
-    """(*one, at, times, off, unit, *shape) of the units set ``aside`` (*one, at, times, unit): frequent parts, the rest, and units too long for the
-    fold, if there are any. Each part that is no frequent one goes through the lattice with its place, dealt out by text and stretch of it, so that no
-    later step shuffles units again."""
-    words, spark, short = known.words, aside.sparkSession, F.length("unit") <= LONGEST
-    place, names = [*one, "at", "times"], words.columns[1:]
-    keep = [*place, "off", "unit"]
-    parts = _placed_parts(aside.where(short), pieces, place).withColumnRenamed("part", "unit")
-    parts = materialize(parts.join(F.broadcast(words), "unit", "left"), "places")
-    found = parts.where(F.col(names[0]).isNotNull()).select(*keep, *names)
-    by = [*one, "stretch", "at", "times", "off", "unit"]
-    rest = parts.where(F.col(names[0]).isNull()).withColumn("stretch", F.floor(F.col("at") / STRETCH))
-    rest = fold(lattice(rest.repartition(1 + known.left // UNITS_IN_TASK, *one, "stretch"), pieces, by), pieces, by).select(*keep, *shape)
-    if not known.far:
-        return [found, rest]
-    shared = spark.sparkContext.broadcast(({p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero))
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int32())]))
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, zero = shared.value
-        for batch in batches:
-            ids = [[{"id": i, "start": k} for i, k in merge(u.as_py(), ranks, zero)] for u in batch.column(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, kind)], [*place, "unit", "ids"])
-
-    kinds = dict(aside.dtypes)
-    long = aside.where(~short).select(*place, "unit").mapInArrow(merged, ", ".join([f"{c} {kinds[c]}" for c in [*place, "unit"]]) + ", ids array<struct<id:int,start:int>>")
-    return [found, rest, long.select(*place, F.lit(0).alias("off"), "unit", *shape)]
+def _frequent(texts: DataFrame, pieces: Pieces, frequent: int) -> DataFrame:
+    """(unit): at most ``frequent`` units and parts, from the most frequent down, of one column of texts.
 
-
-def resolved(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, shape: list[Column], sums: list[Column], frequent: int = FREQUENT) -> list[DataFrame]:
-    """(doc_id, mark, *sums) over frequent units, frequent parts of the others, the rest, and units too long for the fold, if there are any.
-
-    ``mark`` is the text's hash, which tells texts apart that share an id; ``shape`` is made of unit and ids, and its first column is never null;
-    ``sums`` are aggregates of at, off, unit, times and the shape, where ``times`` tells how many copies of a text a row stands for. The dictionary
-    is broadcast; one pass over the texts sums up the known units and sets the others aside with their places.
+    A task counts its units, at most COUNTED at once, and names those it sees often and the parts of the others it sees often. Only which strings
+    are in the dictionary depends on it, never the ids. Frequencies come in steps of an eighth of a power of two, each in 64 by hash, of which whole
+    ones are taken; nothing is sorted, and what reaches the driver are the steps.
     """
-    # The hash is taken once a text, below the explode.
-    marked = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
-    places = marked.select("doc_id", "mark", F.posexplode(units_of(F.col("text"), pieces)).alias("at", "unit"))
-    known, one = _known(places, pieces, shape, frequent), ["doc_id", "mark"]
-    met = places.join(F.broadcast(known.words), "unit", "left").withColumns({"off": F.lit(0), "times": F.lit(1), "aside": F.when(F.col(known.words.columns[1]).isNull(), F.struct("at", "unit"))})
-    met = materialize(met.groupBy(*one, "aside").agg(F.count(F.lit(1)).alias("many"), *sums), "met")
-    aside = met.where("aside IS NOT NULL").select(*one, "aside.at", F.col("many").alias("times"), "aside.unit")
-    return [met.where("aside IS NULL").drop("aside", "many"), *[some.groupBy(*one).agg(*sums) for some in _others(aside, known, pieces, one, shape)]]
-
-
-def _back_to(docs: DataFrame, got: DataFrame, doc_id: str, text: str, keep: list[str], *more: Column) -> DataFrame:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.xxhash64(F.col(text)).alias("of_mark"), *more)
-    got = got.withColumnRenamed("doc_id", "of")
-    return rows.join(got, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(pieces)
 
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, stretch, n, runs, aside) of each text's stretches from their units in order (row, stretch, a, b, at, unit, ids).
-
-    Neighbouring units with known ids are one run (at, off, ids); the others are set aside (at, unit). A task holds a stretch besides a batch.
-    """
-    for table in whole_groups(batches, 2):
-        row, stretch, a, b, at = (table.column(k).to_numpy() for k in range(5))
-        ids = table.column(6).combine_chunks()
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-        held = ids.is_valid().to_numpy(zero_copy_only=False)
-        first, size = starts(row, stretch)
-        group = np.repeat(np.arange(first.size), size)
-        known, other = np.flatnonzero(held), np.flatnonzero(~held)
-        long = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)[known]
-        new = np.ones(known.size, dtype=bool)
-        new[1:] = (np.diff(known) > 1) | (np.diff(group[known]) > 0)
-        run, upto = np.flatnonzero(new), np.r_[0, np.cumsum(long)]
-        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-        runs = pa.StructArray.from_arrays([pa.array(at[known[run]]), pa.array(np.zeros(run.size, dtype=np.int32)), lists(np.r_[upto[run], upto[-1]], ids.flatten())], ["at", "off", "ids"])
-        units = table.column(5).take(pa.array(other)).combine_chunks()
-        units = pa.concat_arrays(units.chunks) if isinstance(units, pa.ChunkedArray) else units
-        aside = pa.StructArray.from_arrays([pa.array(at[other]), units], ["at", "unit"])
-        ends = lambda rows: np.r_[np.searchsorted(rows, first), rows.size]
-        yield pa.RecordBatch.from_arrays([*[pa.array(x[first]) for x in (a, b, stretch)], pa.array(size.astype(np.int64)), lists(ends(known[run]), runs), lists(ends(other), aside)], ["a", "b", "stretch", "n", "runs", "aside"])
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, seen = Cutter(shared.value), Counter()
+        rows = lambda found: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "many"])
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(cutter.units(text.as_py()))
+                if len(seen) > COUNTED:
+                    yield rows(cutter.often(seen))
+                    seen.clear()
+        yield rows(cutter.often(seen))
+
+    counts = texts.mapInArrow(named, "unit string, many bigint").groupBy("unit").agg(F.sum("many").alias("many"))
+    step = F.floor(F.log2("many") * 8) * 64 + F.pmod(F.xxhash64("unit"), F.lit(64))
+    counts, path = store(counts.select("unit", step.alias("step")), "units")
+    left, least = frequent, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    taken = materialize(counts.where(F.col("step") >= F.lit(least)).select("unit"), "frequent")
+    discard(spark, path)
+    return taken
 
 
 def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[str], frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, *keep, said, n_units, ids) of each row; ``said`` is its text.
+    """(doc_id, *keep, said, n_units, ids) of each row; ``said`` is the MD5 of its text, of an empty one for null.
 
-    A text is named by 128 bits, so that copies share their ids whatever their doc_id. Units meet the dictionary in order and become runs of ids, a
-    row for each stretch; copies of a stretch are one from there on, with a partial step before the shuffle. The units set aside are encoded with
-    their places, and stretches, each of bounded size, are joined to the text's ids.
+    One pass puts the dictionary's ids at their places and notes the other parts with theirs; rows are numbered in the table that it writes. These parts
+    pass the lattice dealt out by row, and rows that have some are joined with their ids. Copies are rows like all others, so no key is hot.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.col(text).alias("said"), *[F.xxhash64(F.lit(k), F.col(text)).alias(c) for k, c in enumerate("ab")])
-    texts = named.select(F.monotonically_increasing_id().alias("row"), "a", "b", "said")
-    places = texts.select("row", "a", "b", F.posexplode(units_of(F.col("said"), pieces)).alias("at", "unit"))
-    shape = [F.col("ids")["id"].alias("ids")]
-    known = _known(places, pieces, shape, frequent)
-    # In place: a broadcast join keeps the order of the units.
-    met = places.join(F.broadcast(known.words), "unit", "left").select("row", F.expr(f"at div {STRETCH}").cast("int").alias("stretch"), "a", "b", "at", F.when(F.col("ids").isNull(), F.col("unit")).alias("unit"), "ids")
-    run = "array<struct<at:int,off:int,ids:array<int>>>"
-    met = materialize(met.mapInArrow(_stretches, f"a bigint, b bigint, stretch int, n bigint, runs {run}, aside array<struct<at:int,unit:string>>"), "stretches")
-    aside = met.select("a", "b", F.inline("aside")).distinct().select("a", "b", "at", F.lit(1).cast("long").alias("times"), "unit")
-    others = reduce(DataFrame.union, [x.select("a", "b", "at", "off", "ids") for x in _others(aside, known, pieces, ["a", "b"], shape)])
-    others = others.groupBy("a", "b", F.expr(f"at div {STRETCH}").cast("int").alias("stretch")).agg(F.collect_list(F.struct("at", "off", "ids")).alias("others"))
-    none = F.array().cast(run)
-    both = met.select("a", "b", "stretch", "n", "runs", F.lit(None).cast(run).alias("others")).union(others.select("a", "b", "stretch", F.lit(None).cast("long"), F.lit(None).cast(run), "others"))
-    both = both.groupBy("a", "b", "stretch").agg(F.max("n").alias("n"), F.first("runs", True).alias("runs"), F.first("others", True).alias("others"))
-    joined = F.sort_array(F.concat(F.coalesce("runs", none), F.coalesce("others", none)))
-    both = both.select("a", "b", "stretch", "n", F.flatten(F.transform(joined, lambda x: x["ids"])).alias("ids"))
-    got = both.groupBy("a", "b").agg(F.sum("n").alias("n_units"), F.sort_array(F.collect_list(F.struct("stretch", "ids"))).alias("all"))
-    got = got.select("a", "b", "n_units", F.flatten(F.transform("all", lambda x: x["ids"])).alias("got"))
-    out = named.join(got, ["a", "b"], "left")
-    return out.select("doc_id", *keep, "said", F.coalesce("n_units", F.lit(0).cast("long")).alias("n_units"), F.coalesce("got", F.array().cast("array<int>")).alias("ids"))
+    spark = docs.sparkSession
+    once = _frequent(docs.select(F.col(text).alias("text")), pieces, frequent)
+    words = fold(lattice(once.repartition(1 + frequent // UNITS_IN_TASK, "unit"), pieces, ["unit"]), pieces, ["unit"]).select("unit", F.col("ids")["id"].alias("ids")).toArrow()
+    ids = words.column(1).combine_chunks()
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+    shared = spark.sparkContext.broadcast((pieces, words.column(0).to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(int), packed))
+    name = uuid.uuid4().hex
+    rows = docs.select(F.monotonically_increasing_id().alias("of"), F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
+    held = rows.columns[:-1]
+    hole = pa.struct([("at", pa.int32()), ("unit", pa.string())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placer = _placer(name, shared)
+        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.column(len(held))], strict=True)
+            parts = pa.StructArray.from_arrays([pa.array(np.concatenate(at).astype(np.int32)), pa.array([u for some in holes for u in some], pa.string())], fields=list(hole))
+            new = [pa.array(n, pa.int64()), lists([x.size for x in got], pa.array(np.concatenate(got).astype(np.int32))), lists([x.size for x in at], parts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], *new], [*held, "n_units", "ids", "holes"])
+
+    more = T.StructType.fromDDL("n_units bigint, ids array<int>, holes array<struct<at:int,unit:string>>")
+    met = materialize(rows.mapInArrow(placed, T.StructType([*rows.schema.fields[:-1], *more.fields])), "met")
+    open_, by = met.where(F.size("holes") > 0), ["of", "k", "unit"]
+    count = open_.agg(F.sum(F.size("holes"))).first()[0] or 0
+    rest = open_.select("of", F.posexplode("holes").alias("k", "hole")).select("of", "k", "hole.unit").repartition(1 + count // UNITS_IN_TASK, "of")
+    filled = fold(lattice(rest, pieces, by), pieces, by).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids")["id"].alias("got")))).alias("filled"))
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get("holes", k - 1)["at"])
+    end = lambda k: F.coalesce(F.get("holes", k)["at"], F.size("ids"))
+    run = lambda k: F.concat(F.slice("ids", start(k) + 1, end(k) - start(k)), F.coalesce(F.get("filled", k)["got"], F.array().cast("array<int>")))
+    both = open_.join(filled, "of").withColumn("ids", F.flatten(F.transform(F.sequence(F.lit(0), F.size("holes")), run)))
+    out = [*held[1:], "n_units", "ids"]
+    return met.where(F.size("holes") == 0).select(*out).union(both.select(*out))
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -353,42 +331,20 @@ def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str =
 def trip(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, *keep, ids, n_units, n_tokens, id_sum, digest, round_trip) of each row, all but ``n_units`` from its ids.
 
-    ``digest`` is a hash of the ids in order; ``round_trip`` says that the decoded ids are the text, which a text that holds the blank's own mark
-    can't be. Null texts pass with no ids; repeated rows stay repeated; other columns are ignored unless named in ``keep``.
+    ``digest`` is a hash of the ids in order; ``round_trip`` says that the decoded ids are the text, by 128 bits of hash, which a text that
+    holds the blank's own mark can't be. Null texts pass with no ids; repeated rows stay repeated; other columns are ignored unless named in ``keep``.
     """
-    back = decode(_encoded(docs, pieces, doc_id, text, list(keep), frequent), pieces)
+    back = decode(_encoded(docs, pieces, doc_id, text, list(keep), frequent), pieces, into="decoded")
     summed = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
-    return back.select("doc_id", *keep, "ids", "n_units", F.size("ids").cast("long").alias("n_tokens"), summed.alias("id_sum"), F.xxhash64("ids").alias("digest"), (F.col("text") == F.coalesce("said", F.lit(""))).alias("round_trip"))
+    return back.select("doc_id", *keep, "ids", "n_units", F.size("ids").cast("long").alias("n_tokens"), summed.alias("id_sum"), F.xxhash64("ids").alias("digest"), (F.md5(F.col("decoded").cast("binary")) == F.col("said")).alias("round_trip"))
 
 
-def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
-    """Adds ``text``; nothing is shuffled. Null ids read as an empty text, ids outside the model as nothing."""
+def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "text") -> DataFrame:
+    """Adds the text as ``into``; nothing is shuffled. Null ids read as an empty text, ids outside the model as nothing."""
     said = reading(F.coalesce(F.col(ids), F.array().cast("array<int>")), pieces)
-    return encoded.withColumn("text", F.when(F.startswith(said, F.lit(" ")), F.substring(said, 2, 1 << 30)).otherwise(said) if pieces.dummy else said)
+    return encoded.withColumn(into, F.when(F.startswith(said, F.lit(" ")), F.substring(said, 2, 1 << 30)).otherwise(said) if pieces.dummy else said)
 
 
 def digest(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_units, n_tokens, id_sum, digest, round_trip) of each row, without bringing a text's ids together.
-
-    ``digest`` depends on every unit's ids and place; ``round_trip`` says that all units decode to themselves and together make the
-    text, which a text that holds the blank's own mark can't. Null and empty texts have no tokens and pass; repeated rows stay repeated;
-    other columns are ignored unless named in ``keep``; an empty table gives no rows.
-    """
-    same = reading(F.col("ids")["id"], pieces) == F.replace(F.col("unit"), F.lit(BLANK), F.lit(" "))
-    zero, prime, powers = F.lit(0).cast("long"), F.lit(PRIME).cast("long"), F.array(*[F.lit(pow(BASE, k, PRIME)).cast("long") for k in range(LONGEST)])
-    power = lambda k: F.get(powers, k % LONGEST)
-    hashed = F.aggregate("ids", zero, lambda a, x: F.pmod(a + (x["id"] + 1) * power(x["start"]), prime))
-    shape = [F.size("ids").alias("n"), F.aggregate("ids", zero, lambda a, x: a + x["id"]).alias("s"), hashed.alias("h"), same.alias("same")]
-    mixed = F.pmod(F.pmod(F.col("h") * power(F.col("off")), prime) * F.shiftrightunsigned(F.xxhash64("at"), 33), prime)
-    weighed = lambda x: F.sum(x * F.col("times"))
-    begins, first = F.when(F.col("off") == 0, 1).otherwise(0), F.when((F.col("at") == 0) & (F.col("off") == 0), 1).otherwise(0)
-    sums = [weighed(first).alias("copies"), weighed(begins).alias("n_units"), weighed(F.col("n")).alias("n_tokens"), weighed(F.col("s")).alias("id_sum"), weighed(mixed).alias("digest"), weighed(F.length("unit")).alias("chars"), F.min("same").alias("same")]
-    got = reduce(DataFrame.union, resolved(docs, pieces, doc_id, text, shape, sums)).groupBy("doc_id", "mark")
-    got = got.agg(*[F.sum(c).alias(c) for c in ("copies", "n_units", "n_tokens", "id_sum", "digest", "chars")], F.min("same").alias("same"))
-    size = F.coalesce(F.length(F.col(text)), F.lit(0))
-    due = (size + F.when(size > 0, int(pieces.dummy)).otherwise(0)).alias("due")
-    rows = _back_to(docs, got, doc_id, text, list(keep), due, F.coalesce(F.contains(F.col(text), F.lit(BLANK)), F.lit(False)).alias("marked"))
-    each = lambda c: F.coalesce(F.expr(f"{c} div copies"), F.lit(0)).cast("long")
-    # The sum is taken modulo the prime after the division by copies, so that it doesn't depend on how units were cut.
-    trip = F.coalesce("same", F.lit(True)) & (each("chars") == F.col("due")) & ~F.col("marked")
-    return rows.select("doc_id", *keep, *[each(c).alias(c) for c in ("n_units", "n_tokens", "id_sum")], F.pmod(each("digest"), prime).alias("digest"), trip.alias("round_trip"))
+    """:func:`trip` without the ids."""
+    return trip(docs, pieces, doc_id, text, keep).drop("ids")

@@ -12,7 +12,7 @@ def test_query_and_stage_return_ids_of_every_text(spark, monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=catalog.tokenizer_file("piece_bpe_32k.model"))
     docs = catalog.table(spark, SF, "documents").select(*corpus_pipeline.COLUMNS)
     text = {r.doc_id: r.text or "" for r in docs.collect()}
-    monkeypatch.setattr(pieces, "STRETCH", 64)
+    monkeypatch.setattr(pieces, "COUNTED", 64)
     for got in (catalog.QUERIES["op8_pieces"](spark, SF).collect(), corpus_pipeline.encode_pieces(spark, docs.union(docs.limit(20)), SF).collect()):
         assert {r.doc_id for r in got} == set(text)
         for r in got:
@@ -30,6 +30,6 @@ def test_rare_units_and_long_texts_keep_their_order(spark):
     texts = ["the " * 20_000 + "qzxv" + " end" * 9000, "a" * 200 + " the", "é漢🙂 the", "", None, "▁▁x", "the there", "the there"]
     docs = spark.createDataFrame([(None if k > 5 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     # Three units are known; all others are set aside.
-    got = pieces._encoded(docs, model, "doc_id", "text", [], frequent=3).collect()
-    assert len(got) == len(texts) and all(r.ids == lib.encode(r.said or "") for r in got)
+    got = pieces._encoded(docs, model, "doc_id", "text", ["text"], frequent=3).collect()
+    assert len(got) == len(texts) and all(r.ids == lib.encode(r.text or "") for r in got)
     assert [r.round_trip for r in pieces.trip(docs, model).where("doc_id = 5 OR doc_id IS NULL OR doc_id = 4").orderBy("doc_id").collect()] == [True, True, True, False]
