@@ -32,7 +32,7 @@ LONGEST = 61
 #: Units and parts in the broadcast dictionary; each other part goes through the lattice where it stands.
 FREQUENT = 300_000
 #: Different units that a task counts at once, and how often it must see a string to name it for the dictionary.
-COUNTED, SEEN = 500_000, 2
+COUNTED, SEEN = 200_000, 2
 #: Strings whose edges a task sorts.
 UNITS_IN_TASK = 30_000
 #: Stands among ids for a part whose ids come from the lattice later.
@@ -293,34 +293,49 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
     ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
     packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
     shared = spark.sparkContext.broadcast((pieces, words.column(0).to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(int), packed))
-    name = uuid.uuid4().hex
+    name, kind = uuid.uuid4().hex, "<u2" if len(pieces.reads) <= 1 << 16 else "<u4"
     rows = docs.select(F.monotonically_increasing_id().alias("of"), F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
     held = rows.columns[:-1]
-    hole = pa.struct([("at", pa.int32()), ("unit", pa.string())])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer = _placer(name, shared)
-        lists = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+        lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), values)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.column(len(held))], strict=True)
-            parts = pa.StructArray.from_arrays([pa.array(np.concatenate(at).astype(np.int32)), pa.array([u for some in holes for u in some], pa.string())], fields=list(hole))
-            new = [pa.array(n, pa.int64()), lists([x.size for x in got], pa.array(np.concatenate(got).astype(np.int32))), lists([x.size for x in at], parts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], *new], [*held, "n_units", "ids", "holes"])
-
-    more = T.StructType.fromDDL("n_units bigint, ids array<int>, holes array<struct<at:int,unit:string>>")
+            if batch.num_rows:
+                n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.column(len(held))], strict=True)
+                known = pa.array([x.astype(kind).tobytes() for x in got], pa.binary())
+                after, units = pa.array(np.concatenate(at).astype(np.int32)), pa.array([u for some in holes for u in some], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], pa.array(n, pa.int64()), known, lists(at, after), lists(holes, units)], [*held, "n_units", "known", "at", "holes"])
+
+    more = T.StructType.fromDDL("n_units bigint, known binary, at array<int>, holes array<string>")
     met = materialize(rows.mapInArrow(placed, T.StructType([*rows.schema.fields[:-1], *more.fields])), "met")
-    open_, by = met.where(F.size("holes") > 0), ["of", "k", "unit"]
-    count = open_.agg(F.sum(F.size("holes"))).first()[0] or 0
-    rest = open_.select("of", F.posexplode("holes").alias("k", "hole")).select("of", "k", "hole.unit").repartition(1 + count // UNITS_IN_TASK, "of")
-    filled = fold(lattice(rest, pieces, by), pieces, by).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids")["id"].alias("got")))).alias("filled"))
-    start = lambda k: F.when(k == 0, 0).otherwise(F.get("holes", k - 1)["at"])
-    end = lambda k: F.coalesce(F.get("holes", k)["at"], F.size("ids"))
-    run = lambda k: F.concat(F.slice("ids", start(k) + 1, end(k) - start(k)), F.coalesce(F.get("filled", k)["got"], F.array().cast("array<int>")))
-    both = open_.join(filled, "of").withColumn("ids", F.flatten(F.transform(F.sequence(F.lit(0), F.size("holes")), run)))
-    out = [*held[1:], "n_units", "ids"]
-    return met.where(F.size("holes") == 0).select(*out).union(both.select(*out))
+    some, by = met.where(F.size("holes") > 0), ["of", "k", "unit"]
+    count = some.agg(F.sum(F.size("holes"))).first()[0] or 0
+    # Whole lists are dealt out, which are shorter than their rows.
+    rest = some.select("of", "holes").repartition(1 + count // UNITS_IN_TASK, "of").select("of", F.posexplode("holes").alias("k", "unit"))
+    filled = fold(lattice(rest, pieces, by), pieces, by).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids")["id"].alias("ids")))).alias("filled"))
+    out = [*held[1:], "n_units", "known", "at"]
+    both = some.select("of", *out).join(filled, "of").select(*out, F.transform("filled", lambda x: x["ids"]).alias("filled"))
+    both = met.where(F.size("holes") == 0).select(*out, F.array().cast("array<array<int>>").alias("filled")).union(both)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda a: a.to_numpy(zero_copy_only=False)
+        for batch in batches:
+            known, at, filled = batch.columns[-3:]
+            ends, starts, values = numbers(at.offsets), numbers(filled.offsets), numbers(filled.values.values)
+            after, cuts = numbers(at.values), numbers(filled.values.offsets)
+            got = []
+            for k, x in enumerate(known):
+                ids = np.frombuffer(x.as_buffer(), dtype=kind).astype(np.int32)
+                if ends[k] < ends[k + 1]:
+                    lo = cuts[starts[k] : starts[k + 1] + 1]
+                    ids = np.insert(ids, np.repeat(after[ends[k] : ends[k + 1]], np.diff(lo)), values[lo[0] : lo[-1]])
+                got.append(ids)
+            if got:
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([x.size for x in got])].astype(np.int32)), pa.array(np.concatenate(got)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], lists], [*out[:-2], "ids"])
+
+    return both.mapInArrow(whole, T.StructType([*both.schema.fields[:-3], *T.StructType.fromDDL("ids array<int>").fields]))
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
