@@ -9,6 +9,7 @@ from ..functions import stats as S
 from ..functions.mathx import with_probabilistic_sharpe
 from ..operators import metrics as M
 from ..operators.ranking import stable_hash
+from ..session import materialize
 from .tables import week_of, table
 
 PERIODS = [("early", "1995-01-01", "1996-12-31"), ("mid", "1997-01-01", "1998-12-31"), ("bull", "1999-01-01", "1999-12-31"), ("ai_rally", "2000-01-01", "2001-12-31")]
@@ -38,7 +39,11 @@ def strategy_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_benchmark(curves: DataFrame, name: str = "BuyAndHold(ticker=SPY)") -> DataFrame:
-    """Attach the benchmark's return of each date (one row per date)."""
+    """Attach the benchmark's return of each date (one row per date).
+
+    The curves are written first: sums that are computed twice can differ in their last bits, and the benchmark would deviate from itself.
+    """
+    curves = materialize(curves, "curves")
     b = curves.where(F.col("strategy") == name).select("date", F.col("ret").alias("bench"))
     return curves.join(F.broadcast(b), "date", "left")
 
