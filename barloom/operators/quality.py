@@ -37,9 +37,9 @@ def validate_bars(bars: DataFrame, cal: DataFrame | None = None, max_move: float
 
 
 def assert_clean(issues: DataFrame) -> DataFrame:
-    """One row with the number of warnings; the query fails while any error issue exists."""
+    """One row with the numbers of issues and of warnings; the query fails while any error issue exists."""
     msg = F.concat(F.lit("price errors: "), F.count_if(F.col("severity") == "error").cast("string"))
-    return issues.agg(F.count_if(F.col("severity") == "warn").alias("warnings"),
+    return issues.agg(F.count("*").alias("issues"), F.count_if(F.col("severity") == "warn").alias("warnings"),
                       F.when(F.count_if(F.col("severity") == "error") > 0, F.raise_error(msg).cast("boolean")).otherwise(F.lit(True)).alias("clean"))
 
 
