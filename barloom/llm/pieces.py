@@ -357,7 +357,9 @@ def trip(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "t
 def decode(encoded: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "text") -> DataFrame:
     """Adds the text as ``into``; nothing is shuffled. Null ids read as an empty text, ids outside the model as nothing."""
     said = reading(F.coalesce(F.col(ids), F.array().cast("array<int>")), pieces)
-    return encoded.withColumn(into, F.when(F.startswith(said, F.lit(" ")), F.substring(said, 2, 1 << 30)).otherwise(said) if pieces.dummy else said)
+    # Named by a lambda, so that the model's table stands once in the plan, whose text the driver makes at each step.
+    bare = lambda x: F.when(F.startswith(x, F.lit(" ")), F.substring(x, 2, 1 << 30)).otherwise(x)
+    return encoded.withColumn(into, F.get(F.transform(F.array(said), bare), F.lit(0)) if pieces.dummy else said)
 
 
 def digest(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

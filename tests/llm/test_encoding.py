@@ -33,3 +33,12 @@ def test_rare_units_and_long_texts_keep_their_order(spark):
     got = pieces._encoded(docs, model, "doc_id", "text", ["text"], frequent=3).collect()
     assert len(got) == len(texts) and all(r.ids == lib.encode(r.text or "") for r in got)
     assert [r.round_trip for r in pieces.trip(docs, model).where("doc_id = 5 OR doc_id IS NULL OR doc_id = 4").orderBy("doc_id").collect()] == [True, True, True, False]
+
+
+def test_the_models_table_stands_once_in_the_plan(spark):
+    model = pieces.load(catalog.tokenizer_file("piece_bpe_32k.model"))
+    docs = spark.createDataFrame([(1, [5000, 6000]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    got = pieces.decode(docs, model)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 1.5 * len(",".join(model.reads))
+    said = [bytes.fromhex("".join(model.reads[k] for k in r.ids or [])).decode() for r in got.collect()]
+    assert [r.text for r in got.collect()] == [x[1:] if x[:1] == " " else x for x in said]
