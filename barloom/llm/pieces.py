@@ -6,7 +6,7 @@ them gives the pieces. A BPE model's best path is not the one of the highest sco
 takes the edges by rank and joins an edge's two symbols where exactly two are left between its ends; the state is one bit for each place
 between characters. Strings too long for the bits of a long are merged by a queue. Frequent units pass the lattice once and reach their places
 by a broadcast of bounded size. The others are cut where no piece holds the two characters that meet, which no merge can cross; frequent parts
-are in the broadcast too, and every other part passes the lattice with its place.
+are in the broadcast too, and every other part passes the lattice where it stands, as a row before that of its text.
 """
 
 from __future__ import annotations
@@ -159,22 +159,58 @@ def _back(a: Column, n: Column) -> Column:
     return F.call_function("shiftright", a, n.cast("int"))
 
 
-def lattice(rows: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
-    """(*by, edges): the pieces of two and more characters in each row's ``unit``, sorted by rank, start and length; one number holds rank,
-    start, length and id.
+def edges(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """Adds to each row's ``unit`` the pieces of two and more characters in it, one row for each ``edge``, and before them one row without an edge;
+    one number holds rank, start, length and id. Rows without a unit pass once.
 
-    The piece table is broadcast, as large as the model. ``by`` names a row and holds the unit; rows that are already partitioned by some of it
-    stay where they are. Rows are numbered in place, so that the sort by which they are grouped finds them in order.
+    The piece table is broadcast, as large as the model; rows stay where they are, in their order.
     """
-    at = rows.select(F.monotonically_increasing_id().alias("row"), *by).select("*", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("from"))
+    size = F.coalesce(F.length("unit"), F.lit(1))
+    at = rows.select("*", F.explode(F.sequence(F.lit(1), size)).alias("from"))
     least = F.when(F.col("from") == 1, 1).otherwise(2)
-    cut = at.where((F.col("from") == 1) | (F.col("from") < F.length("unit"))).select("*", F.explode(F.sequence(least, F.least(F.lit(pieces.longest), F.length("unit") - F.col("from") + 1))).alias("n"))
+    cut = at.where((F.col("from") == 1) | (F.col("from") < size)).select("*", F.explode(F.sequence(least, F.least(F.lit(pieces.longest), size - F.col("from") + 1))).alias("n"))
     found = cut.select("*", F.substring("unit", F.col("from"), F.col("n")).alias("piece")).join(F.broadcast(table(rows.sparkSession, pieces)), "piece", "left")
-    # What is no piece goes before the sort, but for one row of each unit.
+    # What is no piece goes here, but for one row of each unit.
     found = found.where(F.col("id").isNotNull() | (F.col("n") == 1))
     one = lambda x, by: x.cast("long") * (1 << by)
     edge = F.when(F.col("n") > 1, one(F.col("rank"), 42) + one(F.col("from") - 1, 36) + one(F.col("n"), 30) + F.col("id"))
-    return found.groupBy("row", *by).agg(F.sort_array(F.collect_list(edge)).alias("edges")).drop("row")
+    return found.select(*rows.columns, "n", edge.alias("edge"))
+
+
+def lattice(rows: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
+    """(*by, edges): :func:`edges` of each row, sorted by rank, start and length.
+
+    ``by`` names a row and holds the unit; rows that are already partitioned by some of it stay where they are. Rows are numbered in place, so that
+    the sort by which they are grouped finds them in order.
+    """
+    found = edges(rows.select(F.monotonically_increasing_id().alias("row"), *by), pieces)
+    return found.groupBy("row", *by).agg(F.sort_array(F.collect_list("edge")).alias("edges")).drop("row")
+
+
+def _in_runs(found: DataFrame, held: list[str]) -> DataFrame:
+    """(*held, unit, edges) from :func:`edges`: a unit's rows stand one after another, so they are gathered where they are, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+            edge = batch.column("edge")
+            before = np.r_[0, np.cumsum(edge.is_valid().to_numpy(zero_copy_only=False))]
+            lists = pa.ListArray.from_arrays(pa.array(before[np.r_[first, batch.num_rows]].astype(np.int32)), edge.drop_null())
+            return pa.RecordBatch.from_arrays([*batch.select([*held, "unit"]).take(pa.array(first)).columns, lists], [*held, "unit", "edges"])
+
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                batch = batch if rest is None else pa.concat_batches([rest, batch])
+                # A unit's first row has one character; the last unit may go on in the next batch.
+                first = np.flatnonzero(batch.column("n").to_numpy() == 1)
+                if first.size > 1:
+                    yield gathered(batch.slice(0, first[-1]), first[:-1])
+                rest = batch.slice(first[-1])
+        if rest is not None:
+            yield gathered(rest, np.array([0]))
+
+    fields = [found.schema[c] for c in [*held, "unit"]]
+    return found.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL("edges array<bigint>").fields])).withColumn("edges", F.sort_array("edges"))
 
 
 def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
@@ -283,8 +319,8 @@ def _frequent(texts: DataFrame, pieces: Pieces, frequent: int) -> DataFrame:
 def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[str], frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, *keep, said, n_units, ids) of each row; ``said`` is the MD5 of its text, of an empty one for null.
 
-    One pass puts the dictionary's ids at their places and notes the other parts with theirs; rows are numbered in the table that it writes. These parts
-    pass the lattice dealt out by row, and rows that have some are joined with their ids. Copies are rows like all others, so no key is hot.
+    One pass over the texts, in which nothing is moved or written: the dictionary's ids are put at their places, the other parts stand as rows before
+    the row that they are of, pass the lattice and are put at theirs. Copies are rows like all others, so no key is hot.
     """
     spark = docs.sparkSession
     once = _frequent(docs.select(F.col(text).alias("text")), pieces, frequent)
@@ -294,48 +330,54 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
     packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
     shared = spark.sparkContext.broadcast((pieces, words.column(0).to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(int), packed))
     name, kind = uuid.uuid4().hex, "<u2" if len(pieces.reads) <= 1 << 16 else "<u4"
-    rows = docs.select(F.monotonically_increasing_id().alias("of"), F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
-    held = rows.columns[:-1]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
+    held = [*rows.columns[:-1], "n_units"]
+    numbers = lambda a: a.to_numpy(zero_copy_only=False)
+    lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), values)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer = _placer(name, shared)
-        lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), values)
         for batch in batches:
             if batch.num_rows:
-                n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.column(len(held))], strict=True)
+                n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.column(len(held) - 1)], strict=True)
                 known = pa.array([x.astype(kind).tobytes() for x in got], pa.binary())
-                after, units = pa.array(np.concatenate(at).astype(np.int32)), pa.array([u for some in holes for u in some], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], pa.array(n, pa.int64()), known, lists(at, after), lists(holes, units)], [*held, "n_units", "known", "at", "holes"])
-
-    more = T.StructType.fromDDL("n_units bigint, known binary, at array<int>, holes array<string>")
-    met = materialize(rows.mapInArrow(placed, T.StructType([*rows.schema.fields[:-1], *more.fields])), "met")
-    some, by = met.where(F.size("holes") > 0), ["of", "k", "unit"]
-    count = some.agg(F.sum(F.size("holes"))).first()[0] or 0
-    # Whole lists are dealt out, which are shorter than their rows.
-    rest = some.select("of", "holes").repartition(1 + count // UNITS_IN_TASK, "of").select("of", F.posexplode("holes").alias("k", "unit"))
-    filled = fold(lattice(rest, pieces, by), pieces, by).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids")["id"].alias("ids")))).alias("filled"))
-    out = [*held[1:], "n_units", "known", "at"]
-    both = some.select("of", *out).join(filled, "of").select(*out, F.transform("filled", lambda x: x["ids"]).alias("filled"))
-    both = met.where(F.size("holes") == 0).select(*out, F.array().cast("array<array<int>>").alias("filled")).union(both)
+                columns = [*batch.columns[:-1], pa.array(n, pa.int64()), known, lists(at, pa.array(np.concatenate(at).astype(np.int32)))]
+                unit = pa.array([u for some in holes for u in (*some, None)], pa.string())
+                # Rows of parts have nothing but their part.
+                whose = np.zeros(len(unit), np.int64)
+                whose[np.cumsum([len(some) + 1 for some in holes]) - 1] = np.arange(batch.num_rows)
+                whose = pa.array(whose, mask=numbers(unit.is_valid()))
+                yield pa.RecordBatch.from_arrays([*[c.take(whose) for c in columns], unit], [*held, "known", "at", "unit"])
+
+    more = T.StructType.fromDDL("n_units bigint, known binary, at array<int>, unit string")
+    own = [*held, "known", "at"]
+    parts = rows.mapInArrow(placed, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + more.fields))
+    done = fold(_in_runs(edges(parts, pieces), own), pieces, [*own, "unit"]).select(*own, F.col("ids")["id"].alias("filled"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = lambda a: a.to_numpy(zero_copy_only=False)
+        some = []
         for batch in batches:
+            ends = np.flatnonzero(numbers(batch.column("n_units").is_valid()))
+            if not ends.size:
+                some += [batch] if batch.num_rows else []
+                continue
+            some, batch = [batch.slice(ends[-1] + 1)], pa.concat_batches([*some, batch])
+            ends = np.flatnonzero(numbers(batch.column("n_units").is_valid()))
             known, at, filled = batch.columns[-3:]
-            ends, starts, values = numbers(at.offsets), numbers(filled.offsets), numbers(filled.values.values)
-            after, cuts = numbers(at.values), numbers(filled.values.offsets)
+            after, places, values, cuts = numbers(at.values), numbers(at.offsets), numbers(filled.values), numbers(filled.offsets)
             got = []
-            for k, x in enumerate(known):
-                ids = np.frombuffer(x.as_buffer(), dtype=kind).astype(np.int32)
-                if ends[k] < ends[k + 1]:
-                    lo = cuts[starts[k] : starts[k + 1] + 1]
-                    ids = np.insert(ids, np.repeat(after[ends[k] : ends[k + 1]], np.diff(lo)), values[lo[0] : lo[-1]])
+            for first, last in zip(np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True):
+                ids, lo = np.frombuffer(known[last].as_buffer(), dtype=kind).astype(np.int32), cuts[first : last + 1]
+                if places[last + 1] - places[last] != last - first:
+                    raise ValueError("parts don't stand before their row")
+                if first < last:
+                    ids = np.insert(ids, np.repeat(after[places[last] : places[last + 1]], np.diff(lo)), values[lo[0] : lo[-1]])
                 got.append(ids)
-            if got:
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([x.size for x in got])].astype(np.int32)), pa.array(np.concatenate(got)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], lists], [*out[:-2], "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.select(held).take(pa.array(ends)).columns, lists(got, pa.array(np.concatenate(got)))], [*held, "ids"])
+        if any(batch.num_rows for batch in some):
+            raise ValueError("parts without their row")
 
-    return both.mapInArrow(whole, T.StructType([*both.schema.fields[:-3], *T.StructType.fromDDL("ids array<int>").fields]))
+    return done.mapInArrow(whole, T.StructType([done.schema[c] for c in held] + T.StructType.fromDDL("ids array<int>").fields))
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

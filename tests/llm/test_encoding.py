@@ -42,3 +42,23 @@ def test_the_models_table_stands_once_in_the_plan(spark):
     assert len(got._jdf.queryExecution().analyzed().toString()) < 1.5 * len(",".join(model.reads))
     said = [bytes.fromhex("".join(model.reads[k] for k in r.ids or [])).decode() for r in got.collect()]
     assert [r.text for r in got.collect()] == [x[1:] if x[:1] == " " else x for x in said]
+
+
+def test_parts_stay_with_their_row_and_nothing_is_moved(spark):
+    import sentencepiece
+
+    path = catalog.tokenizer_file("piece_bpe_32k.model")
+    lib, model = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path)
+    docs = catalog.table(spark, SF, "documents").selectExpr("nullif(doc_id, 3) AS doc_id", "text").unionAll(spark.createDataFrame([(None, "qz xv " * 3000), (None, None)], "doc_id long, text string"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        # Units, and the parts of a row, go on over many batches.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "61")
+        out = pieces._encoded(docs, model, "doc_id", "text", ["text"], frequent=20)
+        got = out.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(got) == docs.count() and all(r.ids == lib.encode(r.text or "") for r in got)
+    # The ids that are known already are neither written nor shuffled on the way to their text.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and sum("documents.parquet" in f for f in out.inputFiles()) == len(out.inputFiles())
