@@ -35,6 +35,8 @@ FREQUENT = 300_000
 COUNTED, SEEN = 200_000, 2
 #: Strings whose edges a task sorts.
 UNITS_IN_TASK = 30_000
+#: Texts whose parts become rows at once.
+TEXTS_AT_ONCE = 500
 #: Stands among ids for a part whose ids come from the lattice later.
 HOLE = np.array([-1], dtype="<i4").tobytes()
 
@@ -144,7 +146,7 @@ _PLACERS: dict[str, Placer] = {}
 
 
 def _placer(name: str, shared: Broadcast) -> Placer:
-    """The worker's dictionary; it outlives a task."""
+    """The worker's dictionary; it outlives a task, unless the worker is given one that needs none."""
     if name not in _PLACERS:
         _PLACERS.clear()
         _PLACERS[name] = Placer(*shared.value)
@@ -197,6 +199,7 @@ def _in_runs(found: DataFrame, held: list[str]) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(before[np.r_[first, batch.num_rows]].astype(np.int32)), edge.drop_null())
             return pa.RecordBatch.from_arrays([*batch.select([*held, "unit"]).take(pa.array(first)).columns, lists], [*held, "unit", "edges"])
 
+        _PLACERS.clear()
         rest = None
         for batch in batches:
             if batch.num_rows:
@@ -331,53 +334,54 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
     shared = spark.sparkContext.broadcast((pieces, words.column(0).to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(int), packed))
     name, kind = uuid.uuid4().hex, "<u2" if len(pieces.reads) <= 1 << 16 else "<u4"
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
-    held = [*rows.columns[:-1], "n_units"]
+    fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + T.StructType.fromDDL("n_units bigint").fields
+    held = [f.name for f in fields]
     numbers = lambda a: a.to_numpy(zero_copy_only=False)
     lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), values)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer = _placer(name, shared)
-        for batch in batches:
-            if batch.num_rows:
-                n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.column(len(held) - 1)], strict=True)
-                known = pa.array([x.astype(kind).tobytes() for x in got], pa.binary())
-                columns = [*batch.columns[:-1], pa.array(n, pa.int64()), known, lists(at, pa.array(np.concatenate(at).astype(np.int32)))]
-                unit = pa.array([u for some in holes for u in (*some, None)], pa.string())
-                # Rows of parts have nothing but their part.
-                whose = np.zeros(len(unit), np.int64)
-                whose[np.cumsum([len(some) + 1 for some in holes]) - 1] = np.arange(batch.num_rows)
-                whose = pa.array(whose, mask=numbers(unit.is_valid()))
-                yield pa.RecordBatch.from_arrays([*[c.take(whose) for c in columns], unit], [*held, "known", "at", "unit"])
-
-    more = T.StructType.fromDDL("n_units bigint, known binary, at array<int>, unit string")
-    own = [*held, "known", "at"]
-    parts = rows.mapInArrow(placed, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + more.fields))
-    done = fold(_in_runs(edges(parts, pieces), own), pieces, [*own, "unit"]).select(*own, F.col("ids")["id"].alias("filled"))
+        for batch in (b.slice(k, TEXTS_AT_ONCE) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
+            n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.columns[-1]], strict=True)
+            known = pa.array([x.astype(kind).tobytes() for x in got], pa.binary())
+            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), known, lists(at, pa.array(np.concatenate(at).astype(np.int32)))]
+            unit = pa.array([u for some in holes for u in (*some, None)], pa.string())
+            # Rows of parts have nothing but their part.
+            part, whose = numbers(unit.is_valid()), np.zeros(len(unit), np.int64)
+            whose[~part] = np.arange(batch.num_rows)
+            whose = pa.array(whose, mask=part)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([c.take(whose) for c in columns], names=[*held, "known", "at"], mask=pa.array(part)), unit], ["row", "unit"])
+
+    more = T.StructType.fromDDL("known binary, at array<int>").fields
+    parts = rows.mapInArrow(placed, T.StructType([T.StructField("row", T.StructType(fields + more)), T.StructField("unit", T.StringType())]))
+    done = fold(_in_runs(edges(parts, pieces), ["row"]), pieces, ["row", "unit"]).select("row", F.col("ids")["id"].alias("filled"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PLACERS.clear()
         some = []
         for batch in batches:
-            ends = np.flatnonzero(numbers(batch.column("n_units").is_valid()))
+            ends = np.flatnonzero(numbers(batch.column("row").is_valid()))
             if not ends.size:
                 some += [batch] if batch.num_rows else []
                 continue
             some, batch = [batch.slice(ends[-1] + 1)], pa.concat_batches([*some, batch])
-            ends = np.flatnonzero(numbers(batch.column("n_units").is_valid()))
-            known, at, filled = batch.columns[-3:]
+            ends = np.flatnonzero(numbers(batch.column("row").is_valid()))
+            *columns, known, at = batch.column("row").take(pa.array(ends)).flatten()
+            filled = batch.column("filled")
             after, places, values, cuts = numbers(at.values), numbers(at.offsets), numbers(filled.values), numbers(filled.offsets)
             got = []
-            for first, last in zip(np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True):
-                ids, lo = np.frombuffer(known[last].as_buffer(), dtype=kind).astype(np.int32), cuts[first : last + 1]
-                if places[last + 1] - places[last] != last - first:
+            for k, (first, last) in enumerate(zip(np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True)):
+                ids, lo = np.frombuffer(known[k].as_buffer(), dtype=kind).astype(np.int32), cuts[first : last + 1]
+                if places[k + 1] - places[k] != last - first:
                     raise ValueError("parts don't stand before their row")
                 if first < last:
-                    ids = np.insert(ids, np.repeat(after[places[last] : places[last + 1]], np.diff(lo)), values[lo[0] : lo[-1]])
+                    ids = np.insert(ids, np.repeat(after[places[k] : places[k + 1]], np.diff(lo)), values[lo[0] : lo[-1]])
                 got.append(ids)
-            yield pa.RecordBatch.from_arrays([*batch.select(held).take(pa.array(ends)).columns, lists(got, pa.array(np.concatenate(got)))], [*held, "ids"])
+            yield pa.RecordBatch.from_arrays([*columns, lists(got, pa.array(np.concatenate(got)))], [*held, "ids"])
         if any(batch.num_rows for batch in some):
             raise ValueError("parts without their row")
 
-    return done.mapInArrow(whole, T.StructType([done.schema[c] for c in held] + T.StructType.fromDDL("ids array<int>").fields))
+    return done.mapInArrow(whole, T.StructType(fields + T.StructType.fromDDL("ids array<int>").fields))
 
 
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
