@@ -319,19 +319,24 @@ def _frequent(texts: DataFrame, pieces: Pieces, frequent: int) -> DataFrame:
     return taken
 
 
-def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[str], frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, *keep, said, n_units, ids) of each row; ``said`` is the MD5 of its text, of an empty one for null.
-
-    One pass over the texts, in which nothing is moved or written: the dictionary's ids are put at their places, the other parts stand as rows before
-    the row that they are of, pass the lattice and are put at theirs. Copies are rows like all others, so no key is hot.
-    """
+def _dictionary(docs: DataFrame, pieces: Pieces, text: str, frequent: int) -> Broadcast:
+    """The arguments of a :class:`Placer`; the frequent units and parts pass the lattice."""
     spark = docs.sparkSession
     once = _frequent(docs.select(F.col(text).alias("text")), pieces, frequent)
     words = fold(lattice(once.repartition(1 + frequent // UNITS_IN_TASK, "unit"), pieces, ["unit"]), pieces, ["unit"]).select("unit", F.col("ids")["id"].alias("ids")).toArrow()
     ids = words.column(1).combine_chunks()
     ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
     packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-    shared = spark.sparkContext.broadcast((pieces, words.column(0).to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(int), packed))
+    return spark.sparkContext.broadcast((pieces, words.column(0).to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(int), packed))
+
+
+def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[str], frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, *keep, said, n_units, ids) of each row; ``said`` is the MD5 of its text, of an empty one for null.
+
+    One pass over the texts, in which nothing is moved or written: the dictionary's ids are put at their places, the other parts stand as rows before
+    the row that they are of, pass the lattice and are put at theirs. Copies are rows like all others, so no key is hot.
+    """
+    shared = _dictionary(docs, pieces, text, frequent)
     name, kind = uuid.uuid4().hex, "<u2" if len(pieces.reads) <= 1 << 16 else "<u4"
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + T.StructType.fromDDL("n_units bigint").fields
@@ -384,18 +389,70 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
     return done.mapInArrow(whole, T.StructType(fields + T.StructType.fromDDL("ids array<int>").fields))
 
 
+def _joined(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[str], frequent: int = FREQUENT) -> DataFrame:
+    """As :func:`_encoded`, by a written table of known ids and a join of the rows that have other parts: more disk, one Python worker for each task.
+
+    Rows are numbered in the table; parts pass the lattice dealt out by row.
+    """
+    shared = _dictionary(docs, pieces, text, frequent)
+    name, kind = uuid.uuid4().hex, "<u2" if len(pieces.reads) <= 1 << 16 else "<u4"
+    rows = docs.select(F.monotonically_increasing_id().alias("of"), F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
+    held = rows.columns[:-1]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placer = _placer(name, shared)
+        lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), values)
+        for batch in batches:
+            if batch.num_rows:
+                n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.column(len(held))], strict=True)
+                known = pa.array([x.astype(kind).tobytes() for x in got], pa.binary())
+                after, units = pa.array(np.concatenate(at).astype(np.int32)), pa.array([u for some in holes for u in some], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(held)], pa.array(n, pa.int64()), known, lists(at, after), lists(holes, units)], [*held, "n_units", "known", "at", "holes"])
+
+    more = T.StructType.fromDDL("n_units bigint, known binary, at array<int>, holes array<string>")
+    met = materialize(rows.mapInArrow(placed, T.StructType([*rows.schema.fields[:-1], *more.fields])), "met")
+    some, by = met.where(F.size("holes") > 0), ["of", "k", "unit"]
+    count = some.agg(F.sum(F.size("holes"))).first()[0] or 0
+    # Whole lists are dealt out, which are shorter than their rows.
+    rest = some.select("of", "holes").repartition(1 + count // UNITS_IN_TASK, "of").select("of", F.posexplode("holes").alias("k", "unit"))
+    filled = fold(lattice(rest, pieces, by), pieces, by).groupBy("of").agg(F.sort_array(F.collect_list(F.struct("k", F.col("ids")["id"].alias("ids")))).alias("filled"))
+    out = [*held[1:], "n_units", "known", "at"]
+    both = some.select("of", *out).join(filled, "of").select(*out, F.transform("filled", lambda x: x["ids"]).alias("filled"))
+    both = met.where(F.size("holes") == 0).select(*out, F.array().cast("array<array<int>>").alias("filled")).union(both)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda a: a.to_numpy(zero_copy_only=False)
+        for batch in batches:
+            known, at, filled = batch.columns[-3:]
+            ends, starts, values = numbers(at.offsets), numbers(filled.offsets), numbers(filled.values.values)
+            after, cuts = numbers(at.values), numbers(filled.values.offsets)
+            got = []
+            for k, x in enumerate(known):
+                ids = np.frombuffer(x.as_buffer(), dtype=kind).astype(np.int32)
+                if ends[k] < ends[k + 1]:
+                    lo = cuts[starts[k] : starts[k + 1] + 1]
+                    ids = np.insert(ids, np.repeat(after[ends[k] : ends[k + 1]], np.diff(lo)), values[lo[0] : lo[-1]])
+                got.append(ids)
+            if got:
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([x.size for x in got])].astype(np.int32)), pa.array(np.concatenate(got)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], lists], [*out[:-2], "ids"])
+
+    return both.mapInArrow(whole, T.StructType([*both.schema.fields[:-3], *T.StructType.fromDDL("ids array<int>").fields]))
+
+
 def encode(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids) of each row. Null and empty texts have no ids; repeated rows stay repeated."""
     return _encoded(docs, pieces, doc_id, text, []).select("doc_id", "ids")
 
 
-def trip(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT) -> DataFrame:
+def trip(docs: DataFrame, pieces: Pieces, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT, joined: bool = False) -> DataFrame:
     """(doc_id, *keep, ids, n_units, n_tokens, id_sum, digest, round_trip) of each row, all but ``n_units`` from its ids.
 
     ``digest`` is a hash of the ids in order; ``round_trip`` says that the decoded ids are the text, by 128 bits of hash, which a text that
-    holds the blank's own mark can't be. Null texts pass with no ids; repeated rows stay repeated; other columns are ignored unless named in ``keep``.
+    holds the blank's own mark can't be. Null texts pass with no ids; repeated rows stay repeated; other columns are ignored unless named in ``keep``. ``joined`` takes
+    more disk and less memory (:func:`_joined`).
     """
-    back = decode(_encoded(docs, pieces, doc_id, text, list(keep), frequent), pieces, into="decoded")
+    back = decode((_joined if joined else _encoded)(docs, pieces, doc_id, text, list(keep), frequent), pieces, into="decoded")
     summed = F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x)
     return back.select("doc_id", *keep, "ids", "n_units", F.size("ids").cast("long").alias("n_tokens"), summed.alias("id_sum"), F.xxhash64("ids").alias("digest"), (F.md5(F.col("decoded").cast("binary")) == F.col("said")).alias("round_trip"))
 

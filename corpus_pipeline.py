@@ -61,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each row of the mix, their number and digest, and whether they decode to the text."""
-    return pieces.trip(docs, pieces.load(tokenizer_file("piece_bpe_32k.model")), keep=("lang", "source", "n_chars"), frequent=FREQUENT)
+    return pieces.trip(docs, pieces.load(tokenizer_file("piece_bpe_32k.model")), keep=("lang", "source", "n_chars"), frequent=FREQUENT, joined=True)
 
 
 STAGES = [
