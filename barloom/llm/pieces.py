@@ -6,7 +6,7 @@ them gives the pieces. A BPE model's best path is not the one of the highest sco
 takes the edges by rank and joins an edge's two symbols where exactly two are left between its ends; the state is one bit for each place
 between characters. Strings too long for the bits of a long are merged by a queue. Frequent units pass the lattice once and reach their places
 by a broadcast of bounded size. The others are cut where no piece holds the two characters that meet, which no merge can cross; frequent parts
-are in the broadcast too, and every other part passes the lattice where it stands, as a row before that of its text.
+are in the broadcast too, and every other part passes the lattice where it stands, as a row before that of its texts.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ from __future__ import annotations
 import heapq
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +34,13 @@ from barloom.session import discard, materialize, store
 BLANK = "\u2581"
 LONGEST = 61
 #: Units and parts in the broadcast dictionary; each other part goes through the lattice where it stands.
-FREQUENT = 300_000
+FREQUENT = 1_000_000
 #: Different units that a task counts at once, and how often it must see a string to name it for the dictionary.
 COUNTED, SEEN = 200_000, 2
 #: Strings whose edges a task sorts.
 UNITS_IN_TASK = 30_000
-#: Texts whose parts become rows at once.
-TEXTS_AT_ONCE = 500
+#: Characters of the texts whose parts become rows at once.
+TEXT_AT_ONCE = 2_000_000
 #: Stands among ids for a part whose ids come from the lattice later.
 HOLE = np.array([-1], dtype="<i4").tobytes()
 
@@ -98,28 +102,30 @@ class Cutter:
         return self.find(self.first + text.replace(" ", BLANK)) if text else []
 
     def parts(self, unit: str) -> list[str]:
-        ends = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.held]
-        return [unit[i:j] for i, j in zip([0, *ends], [*ends, len(unit)], strict=True)]
+        held = self.held
+        ends = [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in held]
+        return [unit[i:j] for i, j in zip([0, *ends], [*ends, len(unit)], strict=True)] if ends else [unit]
 
-    def often(self, seen: Counter[str]) -> Counter[str]:
-        """Of counted units those seen often, and the parts of the others that are."""
-        fit = lambda u, n: n >= SEEN and 1 < len(u) <= LONGEST
+    def often(self, seen: Counter[str], least: int = SEEN) -> Counter[str]:
+        """Of counted units those seen often, and the parts of the others that were seen ``least`` times."""
+        fit = lambda u, n, least: n >= least and 1 < len(u) <= LONGEST
         parts: Counter[str] = Counter()
         for unit, n in seen.items():
-            if not fit(unit, n):
+            if not fit(unit, n, SEEN):
                 for part in self.parts(unit):
                     parts[part] += n
-        out = Counter({u: n for u, n in seen.items() if fit(u, n)})
-        out.update({u: n for u, n in parts.items() if fit(u, n)})
+        out = Counter({u: n for u, n in seen.items() if fit(u, n, SEEN)})
+        out.update({u: n for u, n in parts.items() if fit(u, n, least)})
         return out
 
 
 class Placer(Cutter):
     """Puts the dictionary's ids at their places in a text."""
 
-    def __init__(self, pieces: Pieces, units: list[str], ends: np.ndarray, ids: bytes):
+    def __init__(self, pieces: Pieces, units: pa.Array, ids: pa.ListArray, _: np.ndarray):
         super().__init__(pieces)
-        self.known = {u: ids[4 * i : 4 * j] for u, i, j in zip(units, np.r_[0, ends][:-1].tolist(), ends.tolist(), strict=True)}
+        ends, packed = 4 * ids.offsets.to_numpy(), ids.values.to_numpy().tobytes()
+        self.known = {u: packed[i:j] for u, i, j in zip(units.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
         self.ranks, self.byte_zero = {p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero
 
     def part(self, part: str, holes: list[str]) -> bytes:
@@ -142,14 +148,69 @@ class Placer(Cutter):
         return len(units), ids[ids >= 0], at - np.arange(at.size), holes
 
 
-_PLACERS: dict[str, Placer] = {}
+class BatchPlacer(Cutter):
+    """Puts the dictionary's ids at their places in many texts at once. The dictionary stays in Arrow, in order of the strings' CRC-32."""
 
+    def __init__(self, pieces: Pieces, units: pa.Array, ids: pa.ListArray, codes: np.ndarray):
+        super().__init__(pieces)
+        self.known, self.ids, self.codes = units, ids, codes
+        self.ranks, self.byte_zero = {p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero
 
-def _placer(name: str, shared: Broadcast) -> Placer:
+    def at(self, strings: pa.Array) -> pa.Array:
+        """The place of each string in the dictionary or null; one whose code comes first with another string isn't found."""
+        if not len(self.known):
+            return pa.nulls(len(strings), pa.int64())
+        codes = np.fromiter(map(zlib.crc32, strings.cast(pa.binary()).to_pylist()), np.uint32, len(strings))
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.known) - 1)
+        return pa.array(at, mask=~pc.equal(self.known.take(pa.array(at)), strings).to_numpy(zero_copy_only=False))
+
+    def place(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Number of units of each text, the ids of all, where each text's begin and end, and the different other parts; -1 - k stands for the part k."""
+        cut = [self.units(text) for text in texts]
+        many = np.fromiter(map(len, cut), np.int64, len(cut))
+        each = pa.array(chain.from_iterable(cut), pa.string(), size=int(many.sum())).dictionary_encode()
+        del cut
+        at = self.at(each.dictionary)
+        rest = each.dictionary.filter(at.is_null())
+        parts = [self.parts(u) for u in rest.to_pylist()]
+        some = pa.array(chain.from_iterable(parts), pa.string()).dictionary_encode()
+        where, holes, own = self.at(some.dictionary), [], []
+        for part, known in zip(some.dictionary.to_pylist(), where.is_valid().to_pylist(), strict=True):
+            # One character has no edges; a part with too many characters for the fold has its own way.
+            if not known and (len(part) == 1 or len(part) > LONGEST):
+                own.append([k for k, _ in merge(part, self.ranks, self.byte_zero)])
+            elif not known:
+                holes.append(part)
+                own.append([-len(holes)])
+        # The ids of the different parts, then of the different units, then of all units.
+        of_parts = self.mixed(where, pa.array(own, pa.list_(pa.int32()))).take(some.indices)
+        sizes = np.r_[0, np.cumsum(list(map(len, parts)), dtype=np.int64)]
+        of_rest = pa.ListArray.from_arrays(pa.array(_ends(of_parts)[sizes].astype(np.int32)), of_parts.flatten())
+        of_all = self.mixed(at, of_rest).take(each.indices)
+        return many, of_all.flatten().to_numpy(), _ends(of_all)[np.r_[0, np.cumsum(many)]], holes
+
+    def mixed(self, at: pa.Array, others: pa.ListArray) -> pa.ListArray:
+        """The dictionary's ids at ``at``; for its nulls the lists ``others``, in order."""
+        both = pa.concat_arrays([self.ids.take(at.drop_null()), others])
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        order = np.empty(len(at), np.int64)
+        order[~missing], order[missing] = np.arange(len(at) - missing.sum()), np.arange(len(at) - missing.sum(), len(at))
+        return both.take(pa.array(order))
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins and ends among the values of all."""
+    return np.r_[0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+
+
+_PLACERS: dict[str, Placer | BatchPlacer] = {}
+
+
+def _placer(name: str, shared: Broadcast, kind: type[Placer | BatchPlacer]) -> Placer | BatchPlacer:
     """The worker's dictionary; it outlives a task, unless the worker is given one that needs none."""
     if name not in _PLACERS:
         _PLACERS.clear()
-        _PLACERS[name] = Placer(*shared.value)
+        _PLACERS[name] = kind(*shared.value)
     return _PLACERS[name]
 
 
@@ -165,55 +226,64 @@ def edges(rows: DataFrame, pieces: Pieces) -> DataFrame:
     """Adds to each row's ``unit`` the pieces of two and more characters in it, one row for each ``edge``, and before them one row without an edge;
     one number holds rank, start, length and id. Rows without a unit pass once.
 
-    The piece table is broadcast, as large as the model; rows stay where they are, in their order.
+    The piece table is broadcast, as large as the model, and joined by a hash of 64 bits before pieces are compared; rows stay where they are, in their order.
     """
-    size = F.coalesce(F.length("unit"), F.lit(1))
-    at = rows.select("*", F.explode(F.sequence(F.lit(1), size)).alias("from"))
-    least = F.when(F.col("from") == 1, 1).otherwise(2)
-    cut = at.where((F.col("from") == 1) | (F.col("from") < size)).select("*", F.explode(F.sequence(least, F.least(F.lit(pieces.longest), size - F.col("from") + 1))).alias("n"))
-    found = cut.select("*", F.substring("unit", F.col("from"), F.col("n")).alias("piece")).join(F.broadcast(table(rows.sparkSession, pieces)), "piece", "left")
+    model = table(rows.sparkSession, pieces).where(F.length("piece") > 1).select(F.xxhash64("piece").alias("key"), F.col("piece").alias("held"), "id", "rank")
+    size = lambda c: F.coalesce(F.length(c), F.lit(1))
+    at = rows.select("*", F.explode(F.sequence(F.lit(1), size("unit"))).alias("from"))
+    at = at.select("*", F.substring("unit", F.col("from"), F.lit(pieces.longest)).alias("tail")).where((F.col("from") == 1) | (F.length("tail") > 1))
+    cut = at.select("*", F.explode(F.sequence(F.when(F.col("from") == 1, 1).otherwise(2), size("tail"))).alias("n")).select("*", F.substring("tail", F.lit(1), F.col("n")).alias("piece"))
+    found = cut.withColumn("key", F.xxhash64("piece")).join(F.broadcast(model), "key", "left")
     # What is no piece goes here, but for one row of each unit.
-    found = found.where(F.col("id").isNotNull() | (F.col("n") == 1))
+    found = found.where((F.col("held") == F.col("piece")) | (F.col("n") == 1))
     one = lambda x, by: x.cast("long") * (1 << by)
     edge = F.when(F.col("n") > 1, one(F.col("rank"), 42) + one(F.col("from") - 1, 36) + one(F.col("n"), 30) + F.col("id"))
     return found.select(*rows.columns, "n", edge.alias("edge"))
 
 
 def lattice(rows: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
-    """(*by, edges): :func:`edges` of each row, sorted by rank, start and length.
+    """(*by, edges): :func:`edges` of each row, sorted by rank, start and length; of each the bits it spans, those at its ends, and start, length and id.
 
     ``by`` names a row and holds the unit; rows that are already partitioned by some of it stay where they are. Rows are numbered in place, so that
     the sort by which they are grouped finds them in order.
     """
     found = edges(rows.select(F.monotonically_increasing_id().alias("row"), *by), pieces)
-    return found.groupBy("row", *by).agg(F.sort_array(F.collect_list("edge")).alias("edges")).drop("row")
+    long = lambda x: F.lit(x).cast("long")
+    start, length = lambda e: _back(e, F.lit(36)).bitwiseAND(long(63)), lambda e: _back(e, F.lit(30)).bitwiseAND(long(63))
+    span = lambda e: F.struct(_shift(_shift(long(2), length(e)) - 1, start(e)).alias("all"), _shift(_shift(long(1), length(e)) + 1, start(e)).alias("ends"), e.bitwiseAND(long((1 << 42) - 1)).alias("e"))
+    return found.groupBy("row", *by).agg(F.sort_array(F.collect_list("edge")).alias("edges")).select(*by, F.transform("edges", span).alias("edges"))
 
 
-def _in_runs(found: DataFrame, held: list[str]) -> DataFrame:
-    """(*held, unit, edges) from :func:`edges`: a unit's rows stand one after another, so they are gathered where they are, some at a time."""
+def _in_runs(rows: DataFrame, pieces: Pieces, held: list[str]) -> DataFrame:
+    """(*held, unit, edges) as :func:`lattice`, of rows (*held, unit): a unit's edges stand one after another, so they are gathered where they are, some at a time."""
+    found = edges(rows, pieces).select(*held, F.when(F.col("edge").isNull(), F.col("unit")).alias("unit"), "edge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def gathered(batch: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
             edge = batch.column("edge")
-            before = np.r_[0, np.cumsum(edge.is_valid().to_numpy(zero_copy_only=False))]
-            lists = pa.ListArray.from_arrays(pa.array(before[np.r_[first, batch.num_rows]].astype(np.int32)), edge.drop_null())
-            return pa.RecordBatch.from_arrays([*batch.select([*held, "unit"]).take(pa.array(first)).columns, lists], [*held, "unit", "edges"])
+            before = np.r_[0, np.cumsum(edge.is_valid().to_numpy(zero_copy_only=False))][np.r_[first, batch.num_rows]]
+            e = edge.drop_null().to_numpy()
+            e = e[np.lexsort((e, np.repeat(np.arange(first.size), np.diff(before))))]
+            start, n = e >> 36 & 63, e >> 30 & 63
+            spans = pa.StructArray.from_arrays([pa.array(((2 << n) - 1) << start), pa.array(((1 << n) + 1) << start), pa.array(e & ((1 << 42) - 1))], ["all", "ends", "e"])
+            return pa.RecordBatch.from_arrays([*batch.select([*held, "unit"]).take(pa.array(first)).columns, pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), spans)], [*held, "unit", "edges"])
 
         _PLACERS.clear()
         rest = None
         for batch in batches:
             if batch.num_rows:
                 batch = batch if rest is None else pa.concat_batches([rest, batch])
-                # A unit's first row has one character; the last unit may go on in the next batch.
-                first = np.flatnonzero(batch.column("n").to_numpy() == 1)
+                # A unit's first row has no edge; the last unit may go on in the next batch.
+                first = np.flatnonzero(batch.column("edge").is_null().to_numpy(zero_copy_only=False))
                 if first.size > 1:
                     yield gathered(batch.slice(0, first[-1]), first[:-1])
                 rest = batch.slice(first[-1])
         if rest is not None:
             yield gathered(rest, np.array([0]))
+        pa.default_memory_pool().release_unused()
 
     fields = [found.schema[c] for c in [*held, "unit"]]
-    return found.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL("edges array<bigint>").fields])).withColumn("edges", F.sort_array("edges"))
+    return found.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL("edges array<struct<all: bigint, ends: bigint, e: bigint>>").fields]))
 
 
 def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
@@ -223,16 +293,13 @@ def fold(edges: DataFrame, pieces: Pieces, by: list[str]) -> DataFrame:
     it is in the result where only its ends are left.
     """
     long = lambda x: F.lit(x).cast("long")
-    start, length = lambda e: _back(e, F.lit(36)).bitwiseAND(long(63)), lambda e: _back(e, F.lit(30)).bitwiseAND(long(63))
-    size = F.length("unit")
-    span = lambda e: F.struct(_shift(_shift(long(2), length(e)) - 1, start(e)).alias("all"), _shift(_shift(long(1), length(e)) + 1, start(e)).alias("ends"), e.bitwiseAND(long((1 << 42) - 1)).alias("e"))
+    start, size = lambda e: _back(e, F.lit(36)).bitwiseAND(long(63)), F.length("unit")
 
     def join(m: Column, x: Column) -> Column:
         joins = (F.bit_count(m.bitwiseAND(x["all"])) == 3) & (m.bitwiseAND(x["ends"]) == x["ends"])
         return F.when(joins, m.bitwiseAND(F.bitwise_not(x["all"])).bitwiseOR(x["ends"])).otherwise(m)
 
-    done = edges.select(*by, F.transform("edges", span).alias("edges"))
-    done = done.select(*by, "edges", F.aggregate("edges", _shift(long(1), size + 1) - 1, join).alias("cut"))
+    done = edges.select(*by, "edges", F.aggregate("edges", _shift(long(1), size + 1) - 1, join).alias("cut"))
     done = done.select(*by, "cut", F.sort_array(F.transform(F.filter("edges", lambda x: F.col("cut").bitwiseAND(x["all"]) == x["ends"]), lambda x: x["e"])).alias("left"))
     token = lambda i, at: F.struct(i.cast("int").alias("id"), at.cast("int").alias("start"))
     ident = lambda e: e.bitwiseAND(long((1 << 30) - 1))
@@ -284,28 +351,29 @@ def reading(ids: Column, pieces: Pieces) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda k: F.get(reads, k)), "")), "UTF-8")
 
 
-def _frequent(texts: DataFrame, pieces: Pieces, frequent: int) -> DataFrame:
+def _frequent(texts: DataFrame, pieces: Pieces, frequent: int, least: int) -> DataFrame:
     """(unit): at most ``frequent`` units and parts, from the most frequent down, of one column of texts.
 
-    A task counts its units, at most COUNTED at once, and names those it sees often and the parts of the others it sees often. Only which strings
-    are in the dictionary depends on it, never the ids. Frequencies come in steps of an eighth of a power of two, each in 64 by hash, of which whole
+    A task counts its units, at most COUNTED at once, and names those it sees often and the parts of the others that it sees ``least`` times. Only which
+    strings are in the dictionary depends on it, never the ids; what is named once in all would gain nothing there. Frequencies come in steps of an eighth of a power of two, each in 64 by hash, of which whole
     ones are taken; nothing is sorted, and what reaches the driver are the steps.
     """
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PLACERS.clear()
         cutter, seen = Cutter(shared.value), Counter()
         rows = lambda found: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "many"])
         for batch in batches:
             for text in batch.column(0):
                 seen.update(cutter.units(text.as_py()))
                 if len(seen) > COUNTED:
-                    yield rows(cutter.often(seen))
+                    yield rows(cutter.often(seen, least))
                     seen.clear()
-        yield rows(cutter.often(seen))
+        yield rows(cutter.often(seen, least))
 
-    counts = texts.mapInArrow(named, "unit string, many bigint").groupBy("unit").agg(F.sum("many").alias("many"))
+    counts = texts.mapInArrow(named, "unit string, many bigint").groupBy("unit").agg(F.sum("many").alias("many")).where("many > 1")
     step = F.floor(F.log2("many") * 8) * 64 + F.pmod(F.xxhash64("unit"), F.lit(64))
     counts, path = store(counts.select("unit", step.alias("step")), "units")
     left, least = frequent, None
@@ -319,72 +387,86 @@ def _frequent(texts: DataFrame, pieces: Pieces, frequent: int) -> DataFrame:
     return taken
 
 
-def _dictionary(docs: DataFrame, pieces: Pieces, text: str, frequent: int) -> Broadcast:
-    """The arguments of a :class:`Placer`; the frequent units and parts pass the lattice."""
+def _dictionary(docs: DataFrame, pieces: Pieces, text: str, frequent: int, least: int = SEEN) -> Broadcast:
+    """The arguments of a placer; the frequent units and parts pass the lattice."""
     spark = docs.sparkSession
-    once = _frequent(docs.select(F.col(text).alias("text")), pieces, frequent)
-    words = fold(lattice(once.repartition(1 + frequent // UNITS_IN_TASK, "unit"), pieces, ["unit"]), pieces, ["unit"]).select("unit", F.col("ids")["id"].alias("ids")).toArrow()
-    ids = words.column(1).combine_chunks()
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-    packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-    return spark.sparkContext.broadcast((pieces, words.column(0).to_pylist(), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(int), packed))
+    once = _frequent(docs.select(F.col(text).alias("text")), pieces, frequent, least)
+    words = fold(_in_runs(once.repartition(1 + frequent // UNITS_IN_TASK, "unit"), pieces, []), pieces, ["unit"])
+    words = words.select("unit", F.col("ids")["id"].alias("ids"), F.crc32(F.col("unit").cast("binary")).alias("code")).toArrow().combine_chunks().sort_by("code")
+    units, ids, codes = (c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in words.combine_chunks().columns)
+    ids = pa.ListArray.from_arrays(pa.array(_ends(ids).astype(np.int32)), ids.flatten())
+    return spark.sparkContext.broadcast((pieces, units, ids, codes.to_numpy().astype(np.uint32)))
 
 
 def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[str], frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, *keep, said, n_units, ids) of each row; ``said`` is the MD5 of its text, of an empty one for null.
 
-    One pass over the texts, in which nothing is moved or written: the dictionary's ids are put at their places, the other parts stand as rows before
-    the row that they are of, pass the lattice and are put at theirs. Copies are rows like all others, so no key is hot.
+    One pass over the texts, in which nothing is moved or written: the dictionary's ids are put at their places, the other parts of some texts stand as
+    rows before the row of these texts, pass the lattice and are put at theirs. Copies are rows like all others, so no key is hot.
     """
-    shared = _dictionary(docs, pieces, text, frequent)
-    name, kind = uuid.uuid4().hex, "<u2" if len(pieces.reads) <= 1 << 16 else "<u4"
+    shared = _dictionary(docs, pieces, text, frequent, 1)
+    name = uuid.uuid4().hex
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + T.StructType.fromDDL("n_units bigint").fields
     held = [f.name for f in fields]
     numbers = lambda a: a.to_numpy(zero_copy_only=False)
-    lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), values)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placer = _placer(name, shared)
-        for batch in (b.slice(k, TEXTS_AT_ONCE) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
-            n, got, at, holes = zip(*[placer.place(t.as_py()) for t in batch.columns[-1]], strict=True)
-            known = pa.array([x.astype(kind).tobytes() for x in got], pa.binary())
-            columns = [*batch.columns[:-1], pa.array(n, pa.int64()), known, lists(at, pa.array(np.concatenate(at).astype(np.int32)))]
-            unit = pa.array([u for some in holes for u in (*some, None)], pa.string())
-            # Rows of parts have nothing but their part.
-            part, whose = numbers(unit.is_valid()), np.zeros(len(unit), np.int64)
-            whose[~part] = np.arange(batch.num_rows)
-            whose = pa.array(whose, mask=part)
-            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([c.take(whose) for c in columns], names=[*held, "known", "at"], mask=pa.array(part)), unit], ["row", "unit"])
-
-    more = T.StructType.fromDDL("known binary, at array<int>").fields
-    parts = rows.mapInArrow(placed, T.StructType([T.StructField("row", T.StructType(fields + more)), T.StructField("unit", T.StringType())]))
-    done = fold(_in_runs(edges(parts, pieces), ["row"]), pieces, ["row", "unit"]).select("row", F.col("ids")["id"].alias("filled"))
+        placer = _placer(name, shared, BatchPlacer)
+
+        def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            sizes = np.cumsum(numbers(pc.fill_null(pc.utf8_length(batch.columns[-1]), 0)), dtype=np.int64)
+            ends = np.flatnonzero(np.diff(sizes // TEXT_AT_ONCE, append=-1)) + 1
+            for k, n in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield batch.slice(k, n - k)
+
+        for batch in chain.from_iterable(some(b) for b in batches if b.num_rows):
+            n, ids, ends, holes = placer.place(batch.columns[-1].to_pylist())
+            texts = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*held, "ids"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema) as out:
+                out.write_batch(texts)
+            # Rows of parts have nothing but their part, the row of the texts has no part.
+            none = [None] * len(holes)
+            yield pa.RecordBatch.from_arrays([pa.array([*none, sink.getvalue().to_pybytes()], pa.binary()), pa.array([*holes, None], pa.string())], ["row", "unit"])
+        pa.default_memory_pool().release_unused()
+
+    parts = rows.mapInArrow(placed, "row binary, unit string")
+    done = fold(_in_runs(parts, pieces, ["row"]), pieces, ["row", "unit"]).select("row", F.col("ids")["id"].alias("filled"))
+
+    def filled(texts: pa.RecordBatch, values: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        """Texts with the ids of their other parts, of which part k has values[cuts[k] : cuts[k + 1]]."""
+        ids, ends = numbers(texts.column("ids").values), numbers(texts.column("ids").offsets)
+        at = np.flatnonzero(ids < 0)
+        part = -1 - ids[at]
+        if cuts.size - 1 != part.max(initial=-1) + 1:
+            raise ValueError("parts don't stand before their row")
+        size = np.diff(cuts)[part]
+        many = np.ones(ids.size, np.int64)
+        many[at] = size
+        to = np.r_[0, np.cumsum(many)]
+        out, within = np.repeat(ids, many), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(to[at], size) + within] = values[np.repeat(cuts[part], size) + within]
+        return pa.RecordBatch.from_arrays([*texts.columns[:-1], pa.ListArray.from_arrays(pa.array(to[ends].astype(np.int32)), pa.array(out))], [*held, "ids"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _PLACERS.clear()
-        some = []
+        left = []
         for batch in batches:
             ends = np.flatnonzero(numbers(batch.column("row").is_valid()))
             if not ends.size:
-                some += [batch] if batch.num_rows else []
+                left += [batch.column("filled")] if batch.num_rows else []
                 continue
-            some, batch = [batch.slice(ends[-1] + 1)], pa.concat_batches([*some, batch])
-            ends = np.flatnonzero(numbers(batch.column("row").is_valid()))
-            *columns, known, at = batch.column("row").take(pa.array(ends)).flatten()
-            filled = batch.column("filled")
-            after, places, values, cuts = numbers(at.values), numbers(at.offsets), numbers(filled.values), numbers(filled.offsets)
-            got = []
-            for k, (first, last) in enumerate(zip(np.r_[0, ends[:-1] + 1].tolist(), ends.tolist(), strict=True)):
-                ids, lo = np.frombuffer(known[k].as_buffer(), dtype=kind).astype(np.int32), cuts[first : last + 1]
-                if places[k + 1] - places[k] != last - first:
-                    raise ValueError("parts don't stand before their row")
-                if first < last:
-                    ids = np.insert(ids, np.repeat(after[places[k] : places[k + 1]], np.diff(lo)), values[lo[0] : lo[-1]])
-                got.append(ids)
-            yield pa.RecordBatch.from_arrays([*columns, lists(got, pa.array(np.concatenate(got)))], [*held, "ids"])
-        if any(batch.num_rows for batch in some):
+            before = sum(map(len, left))
+            all_ids, row = pa.concat_arrays([*left, batch.column("filled")]), batch.column("row")
+            values, cuts = numbers(all_ids.flatten()), _ends(all_ids)
+            for first, last in zip([0, *(before + ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                with pa.ipc.open_stream(row[last].as_buffer()) as texts:
+                    yield filled(texts.read_next_batch(), values, cuts[first : before + last + 1])
+            left = [batch.column("filled").slice(ends[-1] + 1)]
+        if any(map(len, left)):
             raise ValueError("parts without their row")
+        pa.default_memory_pool().release_unused()
 
     return done.mapInArrow(whole, T.StructType(fields + T.StructType.fromDDL("ids array<int>").fields))
 
@@ -400,7 +482,7 @@ def _joined(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list[
     held = rows.columns[:-1]
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placer = _placer(name, shared)
+        placer = _placer(name, shared, Placer)
         lists = lambda rows, values: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), values)
         for batch in batches:
             if batch.num_rows:
