@@ -36,7 +36,7 @@ LONGEST = 61
 #: Units and parts in the broadcast dictionary; each other part goes through the lattice where it stands.
 FREQUENT = 1_000_000
 #: Different units that a task counts at once, and how often it must see a string to name it for the dictionary.
-COUNTED, SEEN = 200_000, 2
+COUNTED, SEEN = 400_000, 2
 #: Strings whose edges a task sorts.
 UNITS_IN_TASK = 30_000
 #: Characters of the texts whose parts become rows at once.
@@ -96,7 +96,15 @@ class Cutter:
         stop = re.escape(BLANK + pieces.apart)
         self.find = re.compile(f"{BLANK}+[^{stop}]*|[^{stop}]+" + (f"|[{re.escape(pieces.apart)}]+" if pieces.apart else "")).findall
         self.first = BLANK if pieces.dummy else ""
-        self.held = {p[k : k + 2] for p, _, _ in pieces.rows for k in range(len(p) - 1)}
+        self.apart, self.held = pieces.apart, {p[k : k + 2] for p, _, _ in pieces.rows for k in range(len(p) - 1)}
+        # Characters of pieces by number, 0 for all others, and which numbers stand side by side.
+        chars = sorted({c for pair in self.held for c in pair})
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        self.count = len(chars) + 1
+        self.beside = np.zeros(self.count * self.count, bool)
+        for a, b in self.held:
+            self.beside[self.number[ord(a)] * self.count + self.number[ord(b)]] = True
 
     def units(self, text: str | None) -> list[str]:
         return self.find(self.first + text.replace(" ", BLANK)) if text else []
@@ -106,14 +114,47 @@ class Cutter:
         ends = [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in held]
         return [unit[i:j] for i, j in zip([0, *ends], [*ends, len(unit)], strict=True)] if ends else [unit]
 
-    def often(self, seen: Counter[str], least: int = SEEN) -> Counter[str]:
+    def all_units(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Number of units of each text, and the units of all as :meth:`units` gives them."""
+        marks = pc.match_substring_regex(texts, "[\\x00-\\x02]")
+        if pc.any(marks).as_py():
+            cut = [self.units(t) for t in texts.to_pylist()]
+            return np.fromiter(map(len, cut), np.int64, len(cut)), pa.array(chain.from_iterable(cut), pa.string())
+        put = lambda x, a, b: pc.replace_substring(x, a, b)
+        # Empty texts become null; in pyarrow, if_else on a slice of strings gives wrong ones.
+        none = pc.fill_null(pc.equal(texts, ""), True).to_numpy(zero_copy_only=False)
+        texts = texts.take(pa.array(np.arange(len(texts)), mask=none))
+        found = put(pc.binary_join_element_wise(self.first, texts, ""), " ", BLANK)
+        found = put(put(found, BLANK, "\x02" + BLANK), BLANK + "\x02", BLANK)
+        for c in self.apart:
+            found = put(found, c, f"\x00{c}\x01")
+        for a, b in (("\x01\x00", ""), ("\x01", "\x00"), ("\x02", "\x00")):
+            found = put(found, a, b)
+        lists = pc.split_pattern(found, "\x00")
+        units, ends = lists.flatten(), _ends(lists)
+        some = pc.not_equal(units, "")
+        before = np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)]
+        return np.diff(before[ends]), units.filter(some)
+
+    def all_parts(self, units: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Number of parts of each unit, and the parts of all as :meth:`parts` gives them."""
+        whole, ends = "".join(units), np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        if not whole:
+            return np.zeros(0, np.int64), []
+        code = self.number[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+        cut = np.r_[~self.beside[code[:-1].astype(np.int64) * self.count + code[1:]], True]
+        cut[ends - 1] = True
+        at, places = np.flatnonzero(cut) + 1, np.r_[0, np.cumsum(cut)]
+        return np.diff(np.r_[0, places[ends]]), [whole[i:j] for i, j in zip(np.r_[0, at[:-1]].tolist(), at.tolist(), strict=True)]
+
+    def often(self, seen: dict[str, int], least: int = SEEN) -> Counter[str]:
         """Of counted units those seen often, and the parts of the others that were seen ``least`` times."""
         fit = lambda u, n, least: n >= least and 1 < len(u) <= LONGEST
-        parts: Counter[str] = Counter()
-        for unit, n in seen.items():
-            if not fit(unit, n, SEEN):
-                for part in self.parts(unit):
-                    parts[part] += n
+        parts: dict[str, int] = {}
+        rest = [(unit, n) for unit, n in seen.items() if not fit(unit, n, SEEN)]
+        many, found = self.all_parts([unit for unit, _ in rest])
+        for part, n in zip(found, np.repeat(np.array([n for _, n in rest], np.int64), many).tolist(), strict=True):
+            parts[part] = parts.get(part, 0) + n
         out = Counter({u: n for u, n in seen.items() if fit(u, n, SEEN)})
         out.update({u: n for u, n in parts.items() if fit(u, n, least)})
         return out
@@ -125,7 +166,7 @@ class Placer(Cutter):
     def __init__(self, pieces: Pieces, units: pa.Array, ids: pa.ListArray, _: np.ndarray):
         super().__init__(pieces)
         ends, packed = 4 * ids.offsets.to_numpy(), ids.values.to_numpy().tobytes()
-        self.known = {u: packed[i:j] for u, i, j in zip(units.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+        self.known = {u: packed[i:j] for u, i, j in zip(_objects(units), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
         self.ranks, self.byte_zero = {p: (r, k) for p, k, r in pieces.rows}, pieces.byte_zero
 
     def part(self, part: str, holes: list[str]) -> bytes:
@@ -160,22 +201,20 @@ class BatchPlacer(Cutter):
         """The place of each string in the dictionary or null; one whose code comes first with another string isn't found."""
         if not len(self.known):
             return pa.nulls(len(strings), pa.int64())
-        codes = np.fromiter(map(zlib.crc32, strings.cast(pa.binary()).to_pylist()), np.uint32, len(strings))
+        codes = np.fromiter(map(zlib.crc32, _objects(strings.cast(pa.binary()))), np.uint32, len(strings))
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.known) - 1)
         return pa.array(at, mask=~pc.equal(self.known.take(pa.array(at)), strings).to_numpy(zero_copy_only=False))
 
-    def place(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    def place(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """Number of units of each text, the ids of all, where each text's begin and end, and the different other parts; -1 - k stands for the part k."""
-        cut = [self.units(text) for text in texts]
-        many = np.fromiter(map(len, cut), np.int64, len(cut))
-        each = pa.array(chain.from_iterable(cut), pa.string(), size=int(many.sum())).dictionary_encode()
-        del cut
+        many, each = self.all_units(texts)
+        each = each.dictionary_encode()
         at = self.at(each.dictionary)
         rest = each.dictionary.filter(at.is_null())
-        parts = [self.parts(u) for u in rest.to_pylist()]
-        some = pa.array(chain.from_iterable(parts), pa.string()).dictionary_encode()
+        sizes, parts = self.all_parts(_objects(rest))
+        some = pa.array(parts, pa.string()).dictionary_encode()
         where, holes, own = self.at(some.dictionary), [], []
-        for part, known in zip(some.dictionary.to_pylist(), where.is_valid().to_pylist(), strict=True):
+        for part, known in zip(_objects(some.dictionary), where.is_valid().to_numpy(zero_copy_only=False).tolist(), strict=True):
             # One character has no edges; a part with too many characters for the fold has its own way.
             if not known and (len(part) == 1 or len(part) > LONGEST):
                 own.append([k for k, _ in merge(part, self.ranks, self.byte_zero)])
@@ -184,8 +223,7 @@ class BatchPlacer(Cutter):
                 own.append([-len(holes)])
         # The ids of the different parts, then of the different units, then of all units.
         of_parts = self.mixed(where, pa.array(own, pa.list_(pa.int32()))).take(some.indices)
-        sizes = np.r_[0, np.cumsum(list(map(len, parts)), dtype=np.int64)]
-        of_rest = pa.ListArray.from_arrays(pa.array(_ends(of_parts)[sizes].astype(np.int32)), of_parts.flatten())
+        of_rest = pa.ListArray.from_arrays(pa.array(_ends(of_parts)[np.r_[0, np.cumsum(sizes)]].astype(np.int32)), of_parts.flatten())
         of_all = self.mixed(at, of_rest).take(each.indices)
         return many, of_all.flatten().to_numpy(), _ends(of_all)[np.r_[0, np.cumsum(many)]], holes
 
@@ -198,6 +236,11 @@ class BatchPlacer(Cutter):
         return both.take(pa.array(order))
 
 
+def _objects(strings: pa.Array) -> list[str] | list[bytes]:
+    """Python's strings, faster than by ``to_pylist``."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def _ends(lists: pa.ListArray) -> np.ndarray:
     """Where each list begins and ends among the values of all."""
     return np.r_[0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
@@ -351,6 +394,15 @@ def reading(ids: Column, pieces: Pieces) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(ids, lambda k: F.get(reads, k)), "")), "UTF-8")
 
 
+def _in_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch cut into some rows each, by the characters of its last column."""
+    if batch.num_rows:
+        sizes = np.cumsum(pc.fill_null(pc.utf8_length(batch.columns[-1]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        ends = np.flatnonzero(np.diff(sizes // TEXT_AT_ONCE, append=-1)) + 1
+        for k, n in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            yield batch.slice(k, n - k)
+
+
 def _frequent(texts: DataFrame, pieces: Pieces, frequent: int, least: int) -> DataFrame:
     """(unit): at most ``frequent`` units and parts, from the most frequent down, of one column of texts.
 
@@ -363,15 +415,17 @@ def _frequent(texts: DataFrame, pieces: Pieces, frequent: int, least: int) -> Da
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _PLACERS.clear()
-        cutter, seen = Cutter(shared.value), Counter()
+        cutter, seen = Cutter(shared.value), {}
         rows = lambda found: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "many"])
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(cutter.units(text.as_py()))
-                if len(seen) > COUNTED:
-                    yield rows(cutter.often(seen, least))
-                    seen.clear()
+        for batch in chain.from_iterable(map(_in_slices, batches)):
+            units = cutter.all_units(batch.column(0))[1].dictionary_encode()
+            for unit, n in zip(_objects(units.dictionary), np.bincount(units.indices.to_numpy()).tolist(), strict=True):
+                seen[unit] = seen.get(unit, 0) + n
+            if len(seen) > COUNTED:
+                yield rows(cutter.often(seen, least))
+                seen.clear()
         yield rows(cutter.often(seen, least))
+        pa.default_memory_pool().release_unused()
 
     counts = texts.mapInArrow(named, "unit string, many bigint").groupBy("unit").agg(F.sum("many").alias("many")).where("many > 1")
     step = F.floor(F.log2("many") * 8) * 64 + F.pmod(F.xxhash64("unit"), F.lit(64))
@@ -413,15 +467,8 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer = _placer(name, shared, BatchPlacer)
-
-        def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            sizes = np.cumsum(numbers(pc.fill_null(pc.utf8_length(batch.columns[-1]), 0)), dtype=np.int64)
-            ends = np.flatnonzero(np.diff(sizes // TEXT_AT_ONCE, append=-1)) + 1
-            for k, n in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                yield batch.slice(k, n - k)
-
-        for batch in chain.from_iterable(some(b) for b in batches if b.num_rows):
-            n, ids, ends, holes = placer.place(batch.columns[-1].to_pylist())
+        for batch in chain.from_iterable(map(_in_slices, batches)):
+            n, ids, ends, holes = placer.place(batch.columns[-1])
             texts = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*held, "ids"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts.schema) as out:

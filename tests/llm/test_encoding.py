@@ -62,3 +62,29 @@ def test_parts_stay_with_their_row_and_nothing_is_moved(spark):
     # The ids that are known already are neither written nor shuffled on the way to their text.
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and sum("documents.parquet" in f for f in out.inputFiles()) == len(out.inputFiles())
+
+
+def test_many_texts_are_cut_as_one_and_their_other_parts_stand_once(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    model = pieces.load(catalog.tokenizer_file("piece_bpe_32k.model"))
+    texts = ["the qzxv", "the qzxv qzxv", "", None, "  a  b ", "a▁b▁▁c", "\n\n\tx\n y", "▁", " ", "é漢🙂 the", "a\r\nb", "x  \n\n  y"]
+    cutter = pieces.Cutter(model)
+    for some in (texts, [*texts, "x\x00y \x01"]):
+        many, units = cutter.all_units(pa.array(["cut off", *some]).slice(1))
+        assert [cutter.units(t) for t in some] == [x.tolist() for x in np.split(np.array(units.to_pylist(), object), np.cumsum(many)[:-1])]
+    each = [u for t in texts for u in cutter.units(t)]
+    many, parts = cutter.all_parts(each)
+    assert (many.tolist(), parts) == ([len(cutter.parts(u)) for u in each], [p for u in each for p in cutter.parts(u)])
+    none = pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.int32()))
+    placer = pieces.BatchPlacer(model, pa.array([], pa.string()), none, np.zeros(0, np.uint32))
+    _, _, ends, holes = placer.place(pa.array(texts))
+    assert len(ends) == len(texts) + 1 and len(holes) == len(set(holes))
+    # What a task has seen once is named by its parts for the dictionary.
+    assert set(cutter.often({"▁qzxv": 1, "▁the": 2}, 1)) == {"▁the"} | {p for p in cutter.parts("▁qzxv") if len(p) > 1}
+    got = pieces._encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model, "doc_id", "text", ["text"], frequent=0)
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=catalog.tokenizer_file("piece_bpe_32k.model"))
+    assert all(r.ids == lib.encode(r.text or "") for r in got.collect())
