@@ -36,11 +36,11 @@ LONGEST = 61
 #: Units and parts in the broadcast dictionary; each other part goes through the lattice where it stands.
 FREQUENT = 1_000_000
 #: Different units that a task counts at once, and how often it must see a string to name it for the dictionary.
-COUNTED, SEEN = 400_000, 2
+COUNTED, SEEN = 200_000, 2
 #: Strings whose edges a task sorts.
 UNITS_IN_TASK = 30_000
-#: Characters of the texts whose parts become rows at once.
-TEXT_AT_ONCE = 2_000_000
+#: Characters of the texts whose parts become rows at once; their ids make a row of some 400 KB.
+TEXT_AT_ONCE = 500_000
 #: Stands among ids for a part whose ids come from the lattice later.
 HOLE = np.array([-1], dtype="<i4").tobytes()
 
@@ -104,7 +104,7 @@ class Cutter:
         self.count = len(chars) + 1
         self.beside = np.zeros(self.count * self.count, bool)
         for a, b in self.held:
-            self.beside[self.number[ord(a)] * self.count + self.number[ord(b)]] = True
+            self.beside[int(self.number[ord(a)]) * self.count + int(self.number[ord(b)])] = True
 
     def units(self, text: str | None) -> list[str]:
         return self.find(self.first + text.replace(" ", BLANK)) if text else []
@@ -422,9 +422,11 @@ def _frequent(texts: DataFrame, pieces: Pieces, frequent: int, least: int) -> Da
             for unit, n in zip(_objects(units.dictionary), np.bincount(units.indices.to_numpy()).tolist(), strict=True):
                 seen[unit] = seen.get(unit, 0) + n
             if len(seen) > COUNTED:
-                yield rows(cutter.often(seen, least))
-                seen.clear()
-        yield rows(cutter.often(seen, least))
+                found, seen = cutter.often(seen, least), {}
+                yield rows(found)
+                del found
+        found, seen = cutter.often(seen, least), {}
+        yield rows(found)
         pa.default_memory_pool().release_unused()
 
     counts = texts.mapInArrow(named, "unit string, many bigint").groupBy("unit").agg(F.sum("many").alias("many")).where("many > 1")
@@ -469,6 +471,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
         placer = _placer(name, shared, BatchPlacer)
         for batch in chain.from_iterable(map(_in_slices, batches)):
             n, ids, ends, holes = placer.place(batch.columns[-1])
+            ids = ids.astype(np.int16) if len(pieces.reads) <= 1 << 15 and len(holes) <= 1 << 15 else ids
             texts = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*held, "ids"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts.schema) as out:
@@ -492,7 +495,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
         many = np.ones(ids.size, np.int64)
         many[at] = size
         to = np.r_[0, np.cumsum(many)]
-        out, within = np.repeat(ids, many), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        out, within = np.repeat(ids.astype(np.int32), many), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         out[np.repeat(to[at], size) + within] = values[np.repeat(cuts[part], size) + within]
         return pa.RecordBatch.from_arrays([*texts.columns[:-1], pa.ListArray.from_arrays(pa.array(to[ends].astype(np.int32)), pa.array(out))], [*held, "ids"])
 
