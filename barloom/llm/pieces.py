@@ -36,7 +36,7 @@ LONGEST = 61
 #: Units and parts in the broadcast dictionary; each other part goes through the lattice where it stands.
 FREQUENT = 1_000_000
 #: Different units that a task counts at once, and how often it must see a string to name it for the dictionary.
-COUNTED, SEEN = 200_000, 2
+COUNTED, SEEN = 100_000, 2
 #: Strings whose edges a task sorts.
 UNITS_IN_TASK = 30_000
 #: Characters of the texts whose parts become rows at once; their ids make a row of some 400 KB.
