@@ -193,23 +193,28 @@ def best_per_class(records: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def focus(ranking: DataFrame, min_trials: int = 2) -> DataFrame:
-    """Results grouped by the basket or ticker a variant aims at, against the best of as many worthless trials."""
+    """Results grouped by the basket or ticker a variant aims at, against the best of as many worthless trials.
+
+    Of equal best Sharpes the one with the higher score is named, as it comes first in the ranking; equal scores go by name.
+    """
     b = F.regexp_extract("strategy", r"basket=([^,)]+)", 1)
     t = F.regexp_extract("strategy", r"ticker=([^,)]+)", 1)
     aimed = ~b.isin("", "None", "null")
     x = ranking.withColumns({"kind": F.when(aimed, "cluster").when(t != "", "company"), "key": F.when(aimed, b).when(t != "", t)})
-    x = x.where("kind is not null and family <> 'benchmark'")
+    x = x.where("kind is not null and family is distinct from 'benchmark'")
+    best = F.when(F.col("dev_sharpe").isNotNull(), F.struct(-F.col("dev_sharpe"), -F.col("score"), "strategy"))
     per = F.col("dev_sharpe") / F.sqrt(F.lit(252.0))
     g = x.groupBy("kind", "key").agg(F.count("*").alias("_rows"), F.count("dev_sharpe").alias("n_trials"), F.max("dev_sharpe").alias("best_sharpe"), F.percentile("dev_sharpe", F.lit(0.5)).alias("median_sharpe"),
-                                     F.min_by("strategy", F.struct(-F.col("dev_sharpe"), "strategy")).alias("best_strategy"), F.min_by("verdict", F.struct(-F.col("dev_sharpe"), "strategy")).alias("best_verdict"),
-                                     F.min("max_drawdown").alias("worst_drawdown"), F.stddev_samp("dev_sharpe").alias("_sd"), F.avg("dev_sharpe").alias("_m"), F.var_pop(per).alias("_v"))
+                                     F.min_by("strategy", best).alias("best_strategy"), F.min_by("verdict", best).alias("best_verdict"),
+                                     F.min("max_drawdown").alias("worst_drawdown"), F.stddev_samp("dev_sharpe").alias("_sd"), F.avg("dev_sharpe").alias("_m"), F.avg(F.abs("dev_sharpe")).alias("_size"), F.var_pop(per).alias("_v"))
     g = g.where((F.col("_rows") >= min_trials) & (F.col("n_trials") > 0))
     g = with_expected_max_sharpe(g, "expected_best", "n_trials", "_v")
+    # Sharpes that cancel leave the last bits of their sum, which hang on the order of rows; such a mean is zero.
     g = g.withColumns({"excess": F.col("best_sharpe") - F.col("expected_best"),
-                       "dispersion": F.when((F.col("n_trials") > 1) & (F.col("_m") != 0), F.col("_sd") / F.abs("_m")).otherwise(0.0)})
+                       "dispersion": F.when((F.col("n_trials") > 1) & (F.abs("_m") > 1e-12 * F.col("_size")), F.col("_sd") / F.abs("_m")).otherwise(0.0)})
     weak = (F.col("n_trials") >= 5) & (F.col("dispersion") < 0.25)
     reading = F.when(F.col("n_trials") < 3, "too few trials").when(F.col("excess") <= 0, "luck").when(weak, "near-duplicate trials").when(F.col("excess") < 0.15, "marginal").otherwise("clears luck")
-    return g.withColumns({"weak_correction": weak, "reading": reading}).drop("_rows", "_sd", "_m", "_v")
+    return g.withColumns({"weak_correction": weak, "reading": reading}).drop("_rows", "_sd", "_m", "_size", "_v")
 
 
 def focus_summary(targets: DataFrame) -> DataFrame:

@@ -237,6 +237,19 @@ def test_rank_refuses_mixed_modes(spark):
         RK.rank(mixed).collect()
 
 
+def test_focus_takes_the_higher_score_of_equal_sharpes_and_a_zero_mean_as_zero(spark):
+    schema = "strategy string, family string, score double, dev_sharpe double, max_drawdown double, verdict string"
+    row = lambda name, sharpe, score, family="growth": (name, family, score, sharpe, -0.1, f"verdict of {name}")
+    rows = [row("A(basket=T1)", 0.1, 0.2), row("B(basket=T1)", 0.1, 0.9), row("C(basket=T1)", 0.1, 0.5),
+            row("A(ticker=X1)", 0.1, 0.0), row("B(ticker=X1)", 0.2, 0.0), row("C(ticker=X1)", -0.3, 0.0),
+            row("A(ticker=X2)", None, 9.0), row("B(ticker=X2)", 0.3, 0.1), row("C(ticker=X2)", 0.2, 0.1, None), row("D(ticker=X2)", 0.4, 9.0, "benchmark")]
+    for order in (rows, rows[::-1]):
+        got = {r["key"]: r for r in RK.focus(spark.createDataFrame(order, schema).coalesce(1)).collect()}
+        assert (got["T1"]["best_strategy"], got["T1"]["best_verdict"]) == ("B(basket=T1)", "verdict of B(basket=T1)")
+        assert got["X1"]["dispersion"] == 0.0
+        assert (got["X2"]["n_trials"], got["X2"]["best_sharpe"], got["X2"]["best_strategy"]) == (2, 0.3, "B(ticker=X2)")
+
+
 def test_calendar_marks_unfinished_bucket(spark):
     c = calendar(spark.createDataFrame([("2020-01-30",), ("2020-01-31",), ("2020-02-03",), ("2020-02-04",)], "d string").select(F.to_date("d").alias("date"))).orderBy("pos").collect()
     assert [r["me_stamp"] for r in c] == [False, True, False, True]
