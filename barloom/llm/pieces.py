@@ -11,6 +11,7 @@ are in the broadcast too, and every other part passes the lattice where it stand
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import re
 import uuid
@@ -246,6 +247,13 @@ def _ends(lists: pa.ListArray) -> np.ndarray:
     return np.r_[0, np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
 
 
+def _give_back() -> None:
+    """Returns a worker's unused memory to the system, which it otherwise keeps for its next task, beside the workers of that stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 _PLACERS: dict[str, Placer | BatchPlacer] = {}
 
 
@@ -312,6 +320,7 @@ def _in_runs(rows: DataFrame, pieces: Pieces, held: list[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays([*batch.select([*held, "unit"]).take(pa.array(first)).columns, pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), spans)], [*held, "unit", "edges"])
 
         _PLACERS.clear()
+        _give_back()
         rest = None
         for batch in batches:
             if batch.num_rows:
@@ -323,7 +332,7 @@ def _in_runs(rows: DataFrame, pieces: Pieces, held: list[str]) -> DataFrame:
                 rest = batch.slice(first[-1])
         if rest is not None:
             yield gathered(rest, np.array([0]))
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     fields = [found.schema[c] for c in [*held, "unit"]]
     return found.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL("edges array<struct<all: bigint, ends: bigint, e: bigint>>").fields]))
@@ -415,6 +424,7 @@ def _frequent(texts: DataFrame, pieces: Pieces, frequent: int, least: int) -> Da
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _PLACERS.clear()
+        _give_back()
         cutter, seen = Cutter(shared.value), {}
         rows = lambda found: pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "many"])
         for batch in chain.from_iterable(map(_in_slices, batches)):
@@ -425,9 +435,10 @@ def _frequent(texts: DataFrame, pieces: Pieces, frequent: int, least: int) -> Da
                 found, seen = cutter.often(seen, least), {}
                 yield rows(found)
                 del found
+                _give_back()
         found, seen = cutter.often(seen, least), {}
         yield rows(found)
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     counts = texts.mapInArrow(named, "unit string, many bigint").groupBy("unit").agg(F.sum("many").alias("many")).where("many > 1")
     step = F.floor(F.log2("many") * 8) * 64 + F.pmod(F.xxhash64("unit"), F.lit(64))
@@ -464,14 +475,14 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
     name = uuid.uuid4().hex
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.col(c) for c in keep], F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("said"), F.col(text).alias("whole"))
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema.fields[:-1]] + T.StructType.fromDDL("n_units bigint").fields
-    held = [f.name for f in fields]
+    held, narrow = [f.name for f in fields], len(pieces.reads) <= 1 << 15
     numbers = lambda a: a.to_numpy(zero_copy_only=False)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer = _placer(name, shared, BatchPlacer)
         for batch in chain.from_iterable(map(_in_slices, batches)):
             n, ids, ends, holes = placer.place(batch.columns[-1])
-            ids = ids.astype(np.int16) if len(pieces.reads) <= 1 << 15 and len(holes) <= 1 << 15 else ids
+            ids = ids.astype(np.int16) if narrow and len(holes) <= 1 << 15 else ids
             texts = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], [*held, "ids"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts.schema) as out:
@@ -479,7 +490,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
             # Rows of parts have nothing but their part, the row of the texts has no part.
             none = [None] * len(holes)
             yield pa.RecordBatch.from_arrays([pa.array([*none, sink.getvalue().to_pybytes()], pa.binary()), pa.array([*holes, None], pa.string())], ["row", "unit"])
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     parts = rows.mapInArrow(placed, "row binary, unit string")
     done = fold(_in_runs(parts, pieces, ["row"]), pieces, ["row", "unit"]).select("row", F.col("ids")["id"].alias("filled"))
@@ -501,6 +512,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _PLACERS.clear()
+        _give_back()
         left = []
         for batch in batches:
             ends = np.flatnonzero(numbers(batch.column("row").is_valid()))
@@ -516,7 +528,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, doc_id: str, text: str, keep: list
             left = [batch.column("filled").slice(ends[-1] + 1)]
         if any(map(len, left)):
             raise ValueError("parts without their row")
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return done.mapInArrow(whole, T.StructType(fields + T.StructType.fromDDL("ids array<int>").fields))
 

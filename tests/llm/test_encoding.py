@@ -1,5 +1,13 @@
 """The registered queries encode and decode every text as the library does."""
 
+import ctypes
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
 import corpus_pipeline
 from barloom.llm import catalog, pieces
 
@@ -88,3 +96,22 @@ def test_many_texts_are_cut_as_one_and_their_other_parts_stand_once(spark):
 
     lib = sentencepiece.SentencePieceProcessor(model_file=catalog.tokenizer_file("piece_bpe_32k.model"))
     assert all(r.ids == lib.encode(r.text or "") for r in got.collect())
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="no glibc")
+def test_a_worker_gives_back_what_it_no_longer_uses():
+    code = """
+import re
+import numpy as np
+from barloom.llm.pieces import _give_back
+used = lambda: int(re.search(r"Pss_Anon: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1])
+before = used()
+some = [np.ones(100_000, np.uint8) for _ in range(1_000)]
+del some[:-1]
+kept = used() - before
+_give_back()
+print(kept, used() - before)
+"""
+    root = str(Path(pieces.__file__).resolve().parents[2])
+    kept, left = map(int, subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout.split())
+    assert kept > 80_000 and left < 10_000
